@@ -1,38 +1,37 @@
-"""Encoding of texts inside tasks, with a bounded memory of words that were encoded before."""
+"""Encoding of texts inside tasks, with a bounded memory of chunks that were encoded before."""
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Space and the Latin letters after it up to an ASCII mark or digit, or else all up to the next space: no pre-token of the
-#: two vocabularies crosses the end of such a chunk.
-CHUNK = re.compile(r"\s*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-@\[-`{-~])|\S+)|\s+")
-#: Space that isn't a single blank between words or a line feed between words, and characters that engines' space classes
-#: treat differently: a text with such is encoded in one piece.
-ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]|  | \n|\n |^ | $"
-#: Stands before a text's first word, which no blank precedes.
-FIRST = "\x01"
+#: Latin letters before an ASCII mark or digit: no pre-token of the two vocabularies spans the place between.
+LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-ɏ])([!-@\[-`{-~])"
+#: Put where a text is cut: there, and before blanks and line feeds.
+CUT = "\x02"
+#: Space other than blank and line feed, and characters that engines' space classes treat differently: a text with such is
+#: encoded in one piece.
+ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]"
+#: Two blanks or line feeds in a row, which are not cut apart.
+RUN = r"[ \n][ \n]"
 
 
 @functools.cache
-def encoder(path: str, dtype: str = "<u4") -> WordEncoder:
+def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """This process's encoder, which keeps its memory from task to task."""
-    return WordEncoder(path, dtype)
+    return ChunkEncoder(path, dtype)
 
 
-class WordEncoder:
-    """Encodes texts as the tokenizer does, but looks known words up.
+class ChunkEncoder:
+    """Encodes texts as the tokenizer does, but looks known chunks of them up.
 
     ``path`` is a tokenizers JSON file. Results are little-endian ids of ``dtype``. The memory holds
-    at most ``limit`` words and as many chunks, of at most ``longest`` characters each, so it doesn't
-    grow with the corpus.
+    at most ``limit`` chunks of at most ``longest`` characters, so it doesn't grow with the corpus.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", limit: int = 800_000, longest: int = 48):
@@ -43,30 +42,24 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype, self.limit, self.longest = np.dtype(dtype), limit, longest
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def lookup(self, seen: dict[str, bytes], keys: list[str], make) -> list[bytes]:
-        """The bytes of each key, all of them distinct; make gives those of new keys."""
-        got = list(map(seen.get, keys))
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, all of them distinct."""
+        got = list(map(self.seen.get, chunks))
         if None in got:
-            new = [k for k, g in zip(keys, got) if g is None]
-            made = iter(made_list := make(new))
-            got = [next(made) if g is None else g for g in got]
-            if len(seen) + len(new) > self.limit:
-                seen.clear()
-            seen.update([(k, m) for k, m in zip(new, made_list) if len(k) <= self.longest][: self.limit])
+            new = [c for c, g in zip(chunks, got) if g is None]
+            made = self.direct(new)
+            rest = iter(made)
+            got = [next(rest) if g is None else g for g in got]
+            if len(self.seen) + len(new) > self.limit:
+                self.seen.clear()
+            self.seen.update([(c, m) for c, m in zip(new, made) if len(c) <= self.longest][: self.limit])
         return got
 
-    def by_chunks(self, words: list[str]) -> list[bytes]:
-        parts = [CHUNK.findall(w[1:] if w[:1] == FIRST else " " + w) for w in words]
-        keys = list({c for p in parts for c in p})
-        known = dict(zip(keys, self.lookup(self.chunks, keys, self.direct)))
-        return [b"".join([known[c] for c in p]) for p in parts]
-
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes; null counts as an empty text. The more texts at once, the better."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
@@ -77,10 +70,16 @@ class WordEncoder:
         for i, ids in zip(at, self.direct(texts.filter(odd).to_pylist()) if at else ()):
             out[i] = ids
         plain = pc.invert(odd)
-        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), texts.filter(plain), pa.scalar("", pa.large_string())), " ")
-        words = pc.dictionary_encode(lists.flatten())
-        ids = self.lookup(self.words, words.dictionary.to_pylist(), self.by_chunks)
-        joined = pa.array(ids, pa.large_binary()).take(words.indices)
+        cut = pc.replace_substring_regex(texts.filter(plain), LETTER_MARK, rf"\1{CUT}\2")
+        if pc.any(pc.match_substring_regex(cut, RUN)).as_py():
+            cut = pc.replace_substring_regex(cut, r"([^ \n])([ \n])", rf"\1{CUT}\2")
+        else:
+            for gap in " \n":
+                cut = pc.replace_substring(cut, gap, CUT + gap)
+        lists = pc.split_pattern(cut, CUT)
+        chunks = pc.dictionary_encode(lists.flatten())
+        ids = self.lookup(chunks.dictionary.to_pylist())
+        joined = pa.array(ids, pa.large_binary()).take(chunks.indices)
         ends = np.frombuffer(joined.buffers()[1], np.int64)[np.asarray(lists.offsets)] if len(joined) else np.zeros(1, np.int64)
         data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
         for i, a, b in zip(pc.indices_nonzero(plain).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):

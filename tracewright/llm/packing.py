@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import stash
 from tracewright.llm.encoding import encoder
+from tracewright.llm.shingles import batches_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, part int, bin int, offset long, fill int, bins int, bound int"
@@ -35,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in batches_of(batches, 1, 8_000_000):
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), codec.encode(b.column(1))):
                 data += end

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import scratch
 from tracewright.llm.encoding import encoder
+from tracewright.llm.shingles import batches_of
 
 INDEX = "part int, file string, doc_id long, local_start long, n_tokens long"
 #: Sequences in a record batch; all batches of a file but the last have as many.
@@ -126,7 +127,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 2048,
         end, task, at = np.array([end_id], codec.dtype), TaskContext.get(), 0
         part = task.partitionId()
         uri = f"{to}/files/seq-{part:06d}-{task.taskAttemptId()}.arrow"
-        for b in batches:
+        for b in batches_of(batches, 1, 8_000_000):
             starts, sizes = [], []
             for data in codec.encode(b.column(1)):
                 ids = np.frombuffer(data, codec.dtype)
