@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, ngram_join, packing, token_files
+from tracewright.llm import mixing, ngram_join, packing, pii, token_files
 from tracewright.llm.common import table
 
 
@@ -35,6 +35,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -59,7 +66,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_best_fit_packing, op5_source_mixing, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op3_token_files, op4_best_fit_packing, op5_source_mixing, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
