@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, ngram_join, packing, pii, token_files
+from tracewright.llm import mixing, ngram_join, packing, pii, quality_rules, token_files
 from tracewright.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.read(token_files.placed(index)).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -66,7 +70,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_best_fit_packing, op5_source_mixing, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
