@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, ngram_join, packing, pii, quality_rules, token_files
+from tracewright.llm import mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
 from tracewright.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("base", F.filter("spans", lambda s: s["kind"] != secret_scan.ADDED))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in secret_scan.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -70,7 +78,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
