@@ -9,7 +9,8 @@ Documents with equal shingle sets form a class; from there on a class stands for
    shingles at least, or it leaves. Its T - 1 longest lists are set aside, as DivideSkip does: any partner
    must also be in one of the others. Lists that many documents share (licences, quoted passages) are so
    set aside wherever that is exact, and never make pairs.
-3. *Links.* Each class is first compared with one class: the one that leads most of its lists. Those that
+3. *Links.* Each class is first compared with one class: the one that leads most of its lists,
+   which is likely the original that others copy. Those that
    are linked share a component; then only pairs of different components that meet in a list, often enough
    for the overlap they need, are left to compare. A group of alike documents costs one comparison each.
    Overlaps are counted by DivideSkip on whole sets: short lists are merged, long ones probed.
@@ -158,7 +159,10 @@ def documents_of(blobs: DataFrame) -> DataFrame:
 
 
 def survivors(blobs: DataFrame, needed: Callable[[np.ndarray], np.ndarray], keep_lists: bool) -> DataFrame:
-    """Classes (sig, n) with needed(n) shared shingles or more; or (token, sig, n): what is left of their lists without the needed(n) - 1 longest."""
+    """Classes (sig, n) with needed(n) shared shingles or more; or (token, sig, n, weight): what is left of their lists without the needed(n) - 1 longest.
+
+    ``weight`` tells how much of a class others share, and how many: the original of many copies has the most.
+    """
 
     def work(df: pd.DataFrame) -> pd.DataFrame:
         token, length, sig, n = [], [], [], []
@@ -175,14 +179,15 @@ def survivors(blobs: DataFrame, needed: Callable[[np.ndarray], np.ndarray], keep
         least = needed(size)
         passed = count >= least
         if not keep_lists:
-            return pd.DataFrame({"token": 0, "sig": own[passed], "n": size[passed]})
+            return pd.DataFrame({"token": 0, "sig": own[passed], "n": size[passed], "weight": 0.0})
+        weight = np.bincount(which, np.log2(length), len(own)) / size
         order = np.lexsort((token, -length.astype(np.int64), sig))
         token, which = token[order], which[order]
         rank = np.arange(len(which)) - (np.cumsum(count) - count)[which]
         kept = passed[which] & (rank >= least[which] - 1)
-        return pd.DataFrame({"token": token[kept], "sig": own[which[kept]], "n": size[which[kept]]})
+        return pd.DataFrame({"token": token[kept], "sig": own[which[kept]], "n": size[which[kept]], "weight": weight[which[kept]]})
 
-    return blobs.where("kind >= 2").groupBy("bucket").applyInPandas(work, "token long, sig long, n long")
+    return blobs.where("kind >= 2").groupBy("bucket").applyInPandas(work, "token long, sig long, n long, weight double")
 
 
 def restricted(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
@@ -278,7 +283,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     kept = stash(survivors(second, lambda n: need(n, percent), True), "kept-lists")
 
     def leaders(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["token", "sig"], ignore_index=True)
+        df = df.sort_values(["token", "weight", "sig"], ascending=[True, False, True], ignore_index=True)
         x = df.groupby("token")["sig"].transform("first")
         some = pd.DataFrame({"y": df["sig"], "x": x})[df["sig"] != x]
         return some.groupby(["y", "x"], as_index=False).size().rename(columns={"size": "lists"})
