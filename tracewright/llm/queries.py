@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
+from tracewright.llm import line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
 from tracewright.llm.common import table
 
 
@@ -43,6 +43,25 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+v AS (SELECT *, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) AS v FROM l),
+m AS (SELECT *, i > 0 AND (lag(v, 1, 0) OVER w * 31 + v) % 1021 < 510 AS m FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, m AND NOT lag(m, 1, FALSE) OVER w AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM c GROUP BY doc_id, k),
+f AS (SELECT *, n > 1 AND len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 10
+        AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM g)
+SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text
+FROM documents d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id GROUP BY d.doc_id
+"""
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -78,8 +97,8 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL}
+    return {"op5_source_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
