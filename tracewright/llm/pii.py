@@ -89,26 +89,34 @@ def words_near(text: Column, span: Column, reach: int) -> Column:
 
 def disclosing(rows: DataFrame, docs: DataFrame, reach: int, support: int, generalise: float, remove: float) -> DataFrame:
     """entity, term, action: terms that disclose an entity over the corpus."""
-    near = rows.where("hits > 0").select(F.xxhash64("text").alias("of"), "text", F.explode("entities").alias("e"))
-    near = near.select("of", F.col("e.entity").alias("entity"), F.explode(words_near(F.col("text"), F.col("e.span"), reach)).alias("term")).distinct()
+    hits = rows.where("hits > 0").select(F.xxhash64("text").alias("of"), "text", "entities")
+    near = hits.select("of", "text", F.explode("entities").alias("e"))
+    # outer, as Spark would else evaluate the terms twice, the second time in a filter
+    near = near.select("of", F.col("e.entity").alias("entity"), F.explode_outer(words_near(F.col("text"), F.col("e.span"), reach)).alias("term")).where("term is not null").distinct()
+    near = stash(near, "near")
     together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    entities = hits.select("of", F.explode("entities.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("alone"))
+    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("of")).distinct().agg(F.count("*").alias("n")).first()["n"])
+
+    def score(texts: str) -> Column:
+        pmi = F.log(F.lit(n) * F.col("both") / (F.col("alone") * F.col(texts))) / F.log(F.lit(n) / F.col("alone"))
+        # an entity of every text has no information to give away
+        return F.when(F.col("alone") < F.lit(n), pmi).otherwise(F.lit(0.0))
+
+    # texts with the term near any entity are some of those with it, so this leaves out no term that discloses
+    at_least = near.select("term", "of").distinct().groupBy("term").agg(F.count("*").alias("near_texts"))
+    together = together.join(entities, "entity").join(at_least, "term").where(score("near_texts") >= generalise)
     together = stash(together, "together")
     terms = together.select("term").distinct()
-    # every document of the corpus counts for a term, wherever the term stands in it
-    words = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    words = words.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("word"))
     count = terms.count()
     if not count:
         return together.select("entity", "term", F.lit("").alias("action")).where(F.lit(False))
+    # every document of the corpus counts for a term, wherever the term stands in it
+    words = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    words = words.select(F.xxhash64("text").alias("of"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("word"))
     meets = F.col("word") == F.col("term")
     in_texts = words.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, meets).groupBy("term", "of").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts"))
-    entities = rows.where("hits > 0").select(F.xxhash64("text").alias("of"), F.explode("entities.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("alone"))
-    everything = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("of")).distinct().agg(F.count("*").alias("n"))
-    n = float(everything.first()[0])
-    scored = together.join(in_texts, "term").join(entities, "entity")
-    pmi = F.log(F.lit(n) * F.col("both") / (F.col("alone") * F.col("texts"))) / F.log(F.lit(n) / F.col("alone"))
-    # an entity of every text has no information to give away
-    scored = scored.withColumn("score", F.when(F.col("alone") < F.lit(n), pmi).otherwise(F.lit(0.0)))
+    scored = together.join(in_texts, "term").withColumn("score", score("texts"))
     return scored.where(F.col("score") >= generalise).select("entity", "term", F.when(F.col("score") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
