@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
+from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
 from tracewright.llm.common import table
 
 
@@ -62,6 +62,11 @@ FROM documents d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id GROUP BY
 """
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -97,7 +102,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op8_quality_classifier, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
