@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files
+from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files, topk_search
 from tracewright.llm.common import table
 
 
@@ -21,6 +21,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.top_k(rows, F.col("id") % 50 == 0, 5)
+
+
+OP2_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.w, d.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.read(token_files.placed(index)).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -102,8 +116,8 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op8_quality_classifier, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op8_quality_classifier, op9_ngram_jaccard_join, op10_pii_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op5_source_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
