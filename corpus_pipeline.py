@@ -1,10 +1,65 @@
-"""A corpus pipeline of five stages over documents; each stage works on what the one before it kept."""
+"""A corpus pipeline of five stages over documents.
+
+Each stage works on what the one before it kept, which lies in between as Parquet, and all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing
+from tracewright.llm.common import stash, table
+from tracewright.llm.queries import vocabulary
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    return classifier.kept(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand elsewhere before; those of which nothing is left are gone."""
+    out = line_dedup.dedup(docs).where("n_removed_lines = 0 or n_removed_lines < n_lines")
+    return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    groups = ngram_join.join(docs)
+    gone = stash(groups.where("not (component_id <=> doc_id)").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    out = docs.join(line_dedup.sized(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    again = out.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix's proportions, each as often as the mix takes it."""
+    return mixing.repeated(docs, mixing.mix(docs).select("doc_id", "copies"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(packing.cut(docs, vocabulary("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: No SQL expresses a trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
