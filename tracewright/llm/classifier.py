@@ -228,9 +228,10 @@ def score(docs: DataFrame, model: CoTrained | None, limit: float = 0.5) -> DataF
 
 def kept(docs: DataFrame, model: CoTrained | None, limit: float = 0.5) -> DataFrame:
     """The rows of docs that the model keeps, whole, in one pass."""
+    at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, docs.columns.index("text"), 8_000_000):
+        for b in batches_of(batches, at, 8_000_000):
             good = model.odds([text_view(b.column("text")), meta_view(b)])[2] >= np.log(limit / (1 - limit))
             yield b.filter(pa.array(good))
 
