@@ -25,13 +25,14 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import stash
@@ -262,6 +263,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.04) -> DataFrame:
+    """Pairs x, y of different components that meet in lists often enough for the overlap that their sizes need.
+
+    Classes are dealt to steps of size. For two steps it is known how many of the kept lists a pair shares at
+    least; half of that number, the longest, are set aside once more, and the pair must meet in as many of the
+    rest as its overlap then still asks for.
+    """
+    marked = kept.join(groups, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    mixed = marked.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length")).where("low < high")
+    marked = marked.join(mixed.select("token", "length"), "token")
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.col("length").desc(), "token"))
+    marked = marked.select("token", "sig", "n", "comp", rank.alias("rank"), F.floor(F.log("n") / F.lit(math.log(ratio))).cast("int").alias("step"))
+    marked = stash(marked, "mixed-lists")
+    most = math.ceil(math.log(100 / percent) / math.log(ratio)) + 1
+    t = percent / (100 + percent)
+    # of sets of a and b <= a, t * (a + b) are common, and less than percent / 100 * a of these were set aside
+    below, above = F.pow(F.lit(ratio), F.col("large") - F.col("apart")), F.pow(F.lit(ratio), F.col("large") + 1)
+    shared = F.greatest(F.lit(1), F.ceil(t * below - (percent / 100 - t) * above - 1e-6)).cast("int")
+    spread = lambda large: marked.withColumn("apart", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("large", large).withColumn("aside", F.floor(shared / 2).cast("int")).where("rank > aside")
+    a, b = spread(F.col("step")), spread(F.col("step") + F.col("apart"))
+    side = lambda df, k: df.select("token", "large", "apart", *[F.col(c).alias(c + k) for c in ("sig", "n", "comp", "aside")])
+    keys = ["token", "large", "apart"]
+    close = (F.col("compa") != F.col("compb")) & ((F.col("apart") > 0) | (F.col("siga") < F.col("sigb"))) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    a, b = side(a, "a"), side(b, "b").select(*[F.col(c).alias(f"b_{c}") for c in keys], "sigb", "nb", "compb")
+    met = a.join(b, (F.col("token") == F.col("b_token")) & (F.col("large") == F.col("b_large")) & (F.col("apart") == F.col("b_apart")) & close)
+    overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
+    set_aside = F.ceil(F.greatest("na", "nb") * F.lit(percent) / F.lit(100)) - 1 + F.col("aside")
+    met = met.groupBy("siga", "sigb", "na", "nb", F.col("asidea").alias("aside")).agg(F.count("*").alias("lists")).where(F.col("lists") >= overlap - set_aside)
+    return met.select(F.least("siga", "sigb").alias("x"), F.greatest("siga", "sigb").alias("y")).distinct()
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text).
 
@@ -304,16 +336,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     sets = stash(sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "members-sets")
     links = stash(compare(led, sets, percent), "links")
     groups = components(links)
-    # pairs of different components that meet in lists often enough
-    marked = kept.join(groups, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    mixed = marked.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    marked = stash(marked.join(mixed, "token"), "mixed-lists")
-    a, b = (marked.select("token", *[F.col(c).alias(c + k) for c in ("sig", "n", "comp")]) for k in "ab")
-    close = (F.col("compa") != F.col("compb")) & (F.col("siga") < F.col("sigb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    met = a.join(b, (a["token"] == b["token"]) & close).groupBy("siga", "sigb", "na", "nb").agg(F.count("*").alias("lists"))
-    overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
-    aside = F.ceil(F.greatest("na", "nb") * F.lit(percent) / F.lit(100)) - 1
-    rest = stash(met.where(F.col("lists") >= overlap - aside).select(F.col("siga").alias("x"), F.col("sigb").alias("y")), "rest")
+    rest = stash(meetings(kept, groups, percent), "rest")
     if not rest.isEmpty():
         links = stash(links.union(compare(rest, sets, percent)), "links")
         groups = components(links)
