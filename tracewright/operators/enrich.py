@@ -69,13 +69,12 @@ def roots(procs: DataFrame) -> DataFrame:
 
     Each round halves what is left of every chain; rounds end when no pointer moves.
     """
-    parent = procs.select("container_id", F.col("pid").alias("parent_pid"), F.col("first_seq").alias("parent_seq"))
-    known = procs.join(parent, (procs["container_id"] == parent["container_id"]) & (procs["ppid"] == parent["parent_pid"]) & (parent["parent_seq"] < procs["first_seq"]), "left")
-    at = stash(known.select(procs["container_id"], "pid", F.coalesce("parent_pid", "pid").alias("root_pid")), "roots")
+    parent = procs.select("container_id", F.col("pid").alias("ppid"), F.col("first_seq").alias("parent_seq"))
+    known = procs.select("container_id", "pid", "ppid", "first_seq").join(parent, ["container_id", "ppid"], "left")
+    at = stash(known.select("container_id", "pid", F.when(F.col("parent_seq") < F.col("first_seq"), F.col("ppid")).otherwise(F.col("pid")).cast("long").alias("root_pid")), "roots")
     while True:
-        up = at.select("container_id", F.col("pid").alias("via"), F.col("root_pid").alias("next"))
-        moved = at.join(up, (at["container_id"] == up["container_id"]) & (at["root_pid"] == up["via"])).select(at["container_id"], "pid", "root_pid", "next")
-        moved = stash(moved, "roots")
+        up = at.select("container_id", F.col("pid").alias("root_pid"), F.col("root_pid").alias("next"))
+        moved = stash(at.join(up, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "next"), "roots")
         if moved.where("next <> root_pid").isEmpty():
             return at
         at = moved.select("container_id", "pid", F.col("next").alias("root_pid"))
