@@ -102,7 +102,8 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row (id, weights) that is_query picks, the k best of all rows of other ids."""
     rows = stash(rows, "vectors")
-    queries = rows.where(is_query)
+    # a table of its own, as Spark takes columns of one table on both sides of a cogroup for ambiguous
+    queries = stash(rows.where(is_query), "queries")
     n, m = rows.count(), queries.count()
     shards, chunks = max(1, -(-n // SHARD)), max(1, -(-m // CHUNK))
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
@@ -114,7 +115,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if shards == 1:
         return best(pilot, k).select("query_id", "rank", "vec_id", "score")
     floors = pilot.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
-    asked = asked.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id")
+    asked = stash(asked.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id"), "floors")
     rest = index.where("shard > 0").withColumn("chunk", spread(chunks))
     others = asked.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
     found = pilot.unionByName(search_shards(rest, others, k))
