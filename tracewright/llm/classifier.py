@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.shingles import batches_of
 
-LABELLED, POOL = 6000, 4000
+LABELLED, POOL = 5000, 3000
 #: Hashed features of the text view: trigrams of bytes, trigrams of byte classes, steps of repetition; of the metadata view: names.
 BYTE_DIMS, CLASS_DIMS, STEP_DIMS, META_DIMS = 1024, 256, 32, 256
 TEXT_DIMS = BYTE_DIMS + CLASS_DIMS + STEP_DIMS
@@ -88,12 +88,14 @@ class Logistic:
         self.a, self.c = 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.05, l2: float = 1e-3) -> Logistic:
-        self.mean = x.mean(0)
-        self.scale = 1 / (x.std(0) + 0.01)
+        z = x.astype(np.float32)
+        self.mean = z.mean(0)
+        self.scale = 1 / (z.std(0) + 0.01)
+        z -= self.mean
+        z *= self.scale
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
         w, b = np.zeros(x.shape[1], np.float32), 0.0
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-        z = (x - self.mean) * self.scale
         for k in range(1, rounds + 1):
             g = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y) * weight
             gw, gb = z.T @ g + l2 * w, float(g.sum())
@@ -105,7 +107,7 @@ class Logistic:
         return self
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.w + self.b
+        return x.astype(np.float32) @ self.w + (self.b - float(self.mean @ self.w))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt's scaling: log-odds a * margin + c by Newton's method, with his smoothed targets."""
@@ -136,11 +138,11 @@ class Logistic:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, text_x, meta_x: both views of each row, as float32 bytes."""
+    """doc_id, text_x, meta_x: both views of each row, as float16 bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 1):
-            pair = [[row.tobytes() for row in x] for x in (text_view(b.column("text")), meta_view(b))]
+            pair = [[row.tobytes() for row in x.astype(np.float16)] for x in (text_view(b.column("text")), meta_view(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.binary()) for x in pair]], ["doc_id", "text_x", "meta_x"])
 
     return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_x binary, meta_x binary")
@@ -200,10 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     rest = by_hash(ids.join(marked, "doc_id", "left_anti").distinct(), pool).withColumn("label", F.lit(-1))
     chosen = some.unionByName(rest).select(F.col("doc_id").alias("chosen"), "label")
     picked = docs.join(F.broadcast(chosen.select("chosen").distinct()), F.col("doc_id") == F.col("chosen"), "left_semi")
-    found = {r["doc_id"]: (r["text_x"], r["meta_x"]) for r in features(picked).collect()}
+    found = {r[0]: (r[1], r[2]) for r in features(picked).toLocalIterator()}
     rows = sorted((r["chosen"], r["label"]) for r in chosen.collect() if r["chosen"] in found)
     y = np.array([v for _, v in rows], np.int64)
-    x = [np.stack([np.frombuffer(found[d][i], np.float32) for d, _ in rows]) if rows else np.zeros((0, 1), np.float32) for i in (0, 1)]
+    x = [np.stack([np.frombuffer(found[d][i], np.float16) for d, _ in rows]) if rows else np.zeros((0, 1), np.float16) for i in (0, 1)]
+    del found
     known = y >= 0
     if not (y == 0).any() or not (y == 1).any() or known.sum() < 10:
         return None
