@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import n_words, stash
 
 #: Rows beyond which a table of repeated hashes or decisions is joined by a shuffle instead of broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def hashed_lines(text: Column) -> tuple[Column, Column]:
