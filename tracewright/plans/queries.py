@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions import exprs as X
 from tracewright.operators import enrich, facts, graph, receipts, rules, views
-from tracewright.plans import derived
-from tracewright.sources import records
+from tracewright.plans import derived, texts
 
 
 class Tables:
@@ -106,6 +104,8 @@ CTE = {
     UNION ALL SELECT up.container_id, up.pid, f.src, d + 1 FROM up JOIN forks f ON f.container_id = up.container_id AND f.dst = up.root_pid),
   r AS (SELECT container_id, pid, arg_max(root_pid, d) AS root_pid FROM up GROUP BY 1, 2)
   SELECT r.*, t.action_id FROM r JOIN procs p ON p.container_id = r.container_id AND p.pid = r.root_pid JOIN timed t ON t.serial = p.first_seq""",
+    "ancestors": """SELECT pid, ppid, CASE WHEN ppid = 1 THEN lpad(substr(container_id, 2), 12, '0') END AS id, ppid AS at FROM procs
+  UNION ALL SELECT u.pid, u.ppid, CASE WHEN p.ppid = 1 THEN lpad(substr(p.container_id, 2), 12, '0') END, p.ppid FROM ancestors u JOIN procs p ON p.pid = u.at""",
     "initial": """WITH RECURSIVE f AS (SELECT container_id, arg_min(pid, first_seq) AS first_pid FROM procs GROUP BY 1),
   s AS (SELECT a.container_id, a.pid, CASE WHEN a.pid = f.first_pid THEN 0.0::DOUBLE WHEN a.action_id > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM attributed a JOIN f USING (container_id) WHERE a.pid = a.root_pid
     UNION ALL SELECT a.container_id, a.pid, CASE WHEN s.score = 0 AND a.action_id > 0 THEN 1.0::DOUBLE ELSE s.score * 0.9::DOUBLE END
@@ -146,7 +146,7 @@ def sql(body: str) -> str:
     def visit(text: str) -> None:
         for name in CTE:
             if re.search(rf"\b(FROM|JOIN)\s+\(?{name}\b", text, re.I) and name not in needed:
-                visit(CTE[name])
+                visit(CTE[name].replace(f"FROM {name} ", ""))
                 needed.append(name)
 
     visit(body)
@@ -227,8 +227,8 @@ register("experiment_totals", "experiment_id name container_id n_processes n_exi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query(columns)(make) for name, (columns, make, _) in QUERIES.items()}
+    return {name: query(columns)(make) for name, (columns, make, _) in QUERIES.items()} | {name: q for name, (q, _) in texts.TEXT_QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(body) for name, (_, _, body) in QUERIES.items() if body}
+    return {name: sql(body) for name, (_, _, body) in QUERIES.items() if body} | {name: sql(body) for name, (_, body) in texts.TEXT_QUERIES.items()}

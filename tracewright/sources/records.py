@@ -76,7 +76,7 @@ def classify(groups: DataFrame, names: DataFrame) -> DataFrame:
     """Syscall groups as events: name, cmdline, path, flags, ret, addr, fd, src_fd, dst_fd, channel; names: (syscall, syscall_name)."""
     rows = groups.join(F.broadcast(names.select("syscall", "syscall_name")), "syscall", "left").withColumn("syscall_name", F.coalesce("syscall_name", F.lit("unknown")))
     name, one = F.col("syscall_name"), first_path()
-    a = {k: F.col(k).cast("long") for k in ("a1", "a2")} | {"a0": F.when(F.col("a0") < 2**63, F.col("a0").cast("long"))}
+    a = {k: F.col(k).cast("long") for k in ("a1", "a2")} | {"a0": F.when(F.col("a0") < F.lit("9223372036854775808").cast("decimal(20,0)"), F.col("a0").cast("long"))}
     opens, metas = name.isin("openat", "openat2", "open", "creat"), name.isin("rename", "renameat", "renameat2", "unlink", "unlinkat", "chmod", "fchmodat", "chown", "fchownat")
     nets = name.isin("connect", "bind", "sendto", "sendmsg", "sendmmsg", "recvmsg", "recvmmsg") & F.col("saddr").isNotNull()
     flags = F.when(name.isin("openat", "openat2"), a["a2"]).when(name == "open", a["a1"]).when(name == "creat", F.lit(577)).when(metas, F.lit(0))
