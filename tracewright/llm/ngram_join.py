@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import stash
@@ -263,11 +263,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.04) -> DataFrame:
+def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.02) -> DataFrame:
     """Pairs x, y of different components that meet in lists often enough for the overlap that their sizes need.
 
     Classes are dealt to steps of size. For two steps it is known how many of the kept lists a pair shares at
-    least; half of that number, the longest, are set aside once more, and the pair must meet in as many of the
+    least; all of these but one, the longest, are set aside once more, and the pair must meet in as many of the
     rest as its overlap then still asks for.
     """
     marked = kept.join(groups, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -278,11 +278,18 @@ def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.
     marked = stash(marked, "mixed-lists")
     most = math.ceil(math.log(100 / percent) / math.log(ratio)) + 1
     t = percent / (100 + percent)
-    # of sets of a and b <= a, t * (a + b) are common, and less than percent / 100 * a of these were set aside
-    below, above = F.pow(F.lit(ratio), F.col("large") - F.col("apart")), F.pow(F.lit(ratio), F.col("large") + 1)
-    shared = F.greatest(F.lit(1), F.ceil(t * below - (percent / 100 - t) * above - 1e-6)).cast("int")
-    spread = lambda large: marked.withColumn("apart", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("large", large).withColumn("aside", F.floor(shared / 2).cast("int")).where("rank > aside")
-    a, b = spread(F.col("step")), spread(F.col("step") + F.col("apart"))
+
+    def aside(large: Column, apart: Column) -> Column:
+        # of sets of a and b <= a, t * (a + b) are common, and less than percent / 100 * a of these were set aside
+        below, above = F.pow(F.lit(ratio), large - apart), F.pow(F.lit(ratio), large + 1)
+        return F.greatest(F.lit(0), F.ceil(t * below - (percent / 100 - t) * above - 1e-6).cast("int") - 1)
+
+    def spread(large: Callable[[Column], Column]) -> DataFrame:
+        steps = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda d: F.col("rank") > aside(large(d), d))
+        out = marked.withColumn("apart", F.explode(steps)).withColumn("large", large(F.col("apart")))
+        return out.withColumn("aside", aside(F.col("large"), F.col("apart")))
+
+    a, b = spread(lambda d: F.col("step")), spread(lambda d: F.col("step") + d)
     side = lambda df, k: df.select("token", "large", "apart", *[F.col(c).alias(c + k) for c in ("sig", "n", "comp", "aside")])
     keys = ["token", "large", "apart"]
     close = (F.col("compa") != F.col("compb")) & ((F.col("apart") > 0) | (F.col("siga") < F.col("sigb"))) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
