@@ -263,6 +263,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def whole_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """sig, tokens: whole sets of the classes in members (sig, doc_id)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            sets = shingle_sets(b.column(1), width)
+            data = [sets.tokens[e - n : e].tobytes() for e, n in zip(sets.ends.tolist(), sets.n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.signatures()), pa.array(data, pa.large_binary()).cast(pa.binary())], ["sig", "tokens"])
+
+    sets = restricted(docs, members, members.count()).mapInArrow(whole, "sig long, tokens binary")
+    return stash(sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+
+
 def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.02) -> DataFrame:
     """Pairs x, y of different components that meet in lists often enough for the overlap that their sizes need.
 
@@ -331,20 +344,17 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     led = by_bucket.groupBy("bucket").applyInPandas(leaders, "y long, x long, lists long")
     led = led.groupBy("y", "x").agg(F.sum("lists").alias("lists")).groupBy("y").agg(F.max_by("x", F.struct("lists", "x")).alias("x"))
     led = stash(led.select("x", "y"), "leaders")
-    members = stash(led.select(F.col("y").alias("sig")).union(led.select("x")).distinct().join(left, "sig"), "members")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches):
-            sets = shingle_sets(b.column(1), width)
-            data = [sets.tokens[e - n : e].tobytes() for e, n in zip(sets.ends.tolist(), sets.n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(sets.signatures()), pa.array(data, pa.large_binary()).cast(pa.binary())], ["sig", "tokens"])
-
-    sets = restricted(docs, members, members.count()).mapInArrow(whole, "sig long, tokens binary")
-    sets = stash(sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "members-sets")
+    ends = lambda pairs: pairs.select(F.col("y").alias("sig")).union(pairs.select("x")).distinct()
+    members = stash(ends(led).join(left, "sig"), "members")
+    sets = whole_sets(docs, members, width)
     links = stash(compare(led, sets, percent), "links")
     groups = components(links)
     rest = stash(meetings(kept, groups, percent), "rest")
     if not rest.isEmpty():
+        # classes that led nobody in the end
+        others = stash(ends(rest).join(left, "sig").join(members.select("sig"), "sig", "left_anti"), "members")
+        if not others.isEmpty():
+            sets = sets.unionByName(whole_sets(docs, others, width))
         links = stash(links.union(compare(rest, sets, percent)), "links")
         groups = components(links)
     degree = links.select(F.col("x").alias("sig")).union(links.select("y")).groupBy("sig").agg(F.count("*").alias("n_links"))
