@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
@@ -26,6 +26,11 @@ def named(events: DataFrame) -> DataFrame:
     return events.join(dim, "syscall", "left").withColumn("syscall_name", F.coalesce("syscall_name", F.lit("unknown")))
 
 
+def audited(events: DataFrame) -> DataFrame:
+    """Events whose call the audit policy records."""
+    return events.join(F.broadcast(syscall_table(events.sparkSession).where("audited").select("syscall")), "syscall", "left_semi")
+
+
 def processes(events: DataFrame) -> DataFrame:
     """One row per (container_id, pid): parent and first sight, latest non-empty comm, cmdline and exe, whether it has exited."""
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("serial"))).alias(c)
@@ -129,6 +134,3 @@ def pair_boundaries(marks: DataFrame) -> DataFrame:
     ids = Window.partitionBy("container_id").orderBy("ts_ms")
     return nxt.select("container_id", F.row_number().over(ids).cast("long").alias("action_id"), "command", F.col("ts_ms").alias("start_ms"), F.when(F.col("next_kind") == "end", F.col("next_ms")).alias("end_ms"))
 
-
-def any_of(*tests: Column) -> Column:
-    return reduce(lambda a, b: a | b, tests)

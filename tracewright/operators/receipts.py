@@ -89,6 +89,25 @@ def cross_container_flows(conns: DataFrame, owners: DataFrame, experiments: Data
     return rows.select("experiment_id", F.col("container_id").alias("source"), "target", "addr").distinct()
 
 
+def cross_container_edges(conns: DataFrame, owners: DataFrame, experiments: DataFrame, scores: DataFrame) -> DataFrame:
+    """experiment_id, source, target, n_pids: cross-container flows of tainted processes, as edges between containers."""
+    tainted = conns.join(scores.where(F.col("score") >= schema.TAINTED).select("container_id", "pid"), ["container_id", "pid"], "left_semi")
+    flows = cross_container_flows(tainted, owners, experiments)
+    users = tainted.where("direction = 'connect'").select(F.col("container_id").alias("source"), "addr", "pid")
+    return flows.join(users, ["source", "addr"]).groupBy("experiment_id", "source", "target").agg(F.count_distinct("pid").alias("n_pids"))
+
+
+def experiment_action(diff: DataFrame, experiments: DataFrame) -> DataFrame:
+    """experiment_id, action_id, verb, n_containers, n: one action's flows over all containers of an experiment."""
+    members = experiments.select("experiment_id", F.explode("container_ids").alias("container_id"))
+    return diff.join(members, "container_id").groupBy("experiment_id", "action_id", "verb").agg(F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n"))
+
+
+def shown_communities(groups: DataFrame, most: int = 3) -> DataFrame:
+    """container_id, shown, hidden_processes: how many groups of more than so many members there are, and the processes of the rest."""
+    return groups.groupBy("container_id").agg(F.count_if(F.col("size") > most).alias("shown"), F.coalesce(F.sum(F.when(F.col("size") <= most, F.col("size"))), F.lit(0)).alias("hidden_processes"))
+
+
 def preexisting_influence(graph: DataFrame, pids: DataFrame, scores: DataFrame) -> DataFrame:
     """container_id, action_id, src, dst, channel_type: edges from tainted processes of an action to processes outside it that were raised by others."""
     tainted = scores.where(F.col("score") >= schema.TAINTED).select("container_id", F.col("pid").alias("src"))

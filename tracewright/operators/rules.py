@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.functions import exprs as X
+from tracewright.operators.enrich import named
 
 
 def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
@@ -59,6 +60,13 @@ def detections(ops: DataFrame, access: DataFrame, procs: DataFrame, conns: DataF
     return rows.where("nth = 1").select("container_id", "action_id", "technique", "pid", "severity", "description")
 
 
+def event_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every event against the rules by its own call and path, whatever the call is: container_id, serial, pid, technique, severity."""
+    exe = F.col("exe") if "exe" in events.columns else F.lit(None).cast("string")
+    subjects = named(events).select("container_id", "serial", "pid", "syscall_name", exe.alias("exe"), "comm", F.when(F.col("path").isNotNull(), F.array("path")).alias("files_seen"))
+    return matches(subjects, rules).select("container_id", "serial", "pid", "technique", "severity").distinct()
+
+
 def technique_rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("container_id", "action_id", "technique").agg(
         F.max("severity").alias("severity"), F.count_distinct("description").alias("n_descriptions"), F.count("*").alias("n"), F.min("description").alias("example"),

@@ -150,7 +150,7 @@ def sql(body: str) -> str:
                 needed.append(name)
 
     visit(body)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n]})" for n in needed) + "\n" + body
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n]})" for n in needed) + "\n" if needed else "") + body
 
 
 def query(columns: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
@@ -226,6 +226,24 @@ register("first_actions", "container_id pid first_action", lambda t: views.first
 register("experiment_totals", "experiment_id name container_id n_processes n_exited n_edges n_actions", lambda t: views.experiment_totals(t.experiments, t.status, t.actions), "SELECT experiment_id, name, m.container_id, n_processes, n_exited, n_edges, n_actions FROM members m LEFT JOIN status USING (container_id)")
 
 
+register("audited_events", "serial container_id syscall", lambda t: enrich.audited(t.events), "SELECT serial, container_id, syscall FROM ev WHERE syscall <> 231")
+register("event_rule_matches", "container_id serial pid technique severity", lambda t: rules.event_matches(t.events, rules.rule_table(t.spark)),
+  """SELECT container_id, serial, pid, 'T1105' AS technique, 2 AS severity FROM ev WHERE syscall = 59 AND comm = 'curl' UNION ALL SELECT container_id, serial, pid, 'T1027.004', 1 FROM ev WHERE syscall = 59 AND comm = 'gcc'
+  UNION ALL SELECT container_id, serial, pid, 'T1059.004', 3 FROM ev WHERE syscall = 59 AND comm = 'nc' UNION ALL SELECT container_id, serial, pid, 'T1071', 1 FROM ev WHERE syscall = 42
+  UNION ALL SELECT container_id, serial, pid, 'T1048', 2 FROM ev WHERE syscall = 40 UNION ALL SELECT container_id, serial, pid, 'T1053.003', 3 FROM ev WHERE syscall = 257 AND path = '/etc/crontab'
+  UNION ALL SELECT container_id, serial, pid, 'T1098', 3 FROM ev WHERE syscall = 257 AND path = '/etc/passwd'""")
+register("cross_container_edges", "experiment_id source target n_pids", lambda t: receipts.cross_container_edges(t.conns, t.owners, t.experiments, t.scores),
+  """SELECT m.experiment_id, c.container_id AS source, o.container_id AS target, count(DISTINCT c.pid) AS n_pids FROM conns c JOIN owners o ON c.addr = o.ip || ':80' JOIN members m ON m.container_id = c.container_id
+  JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id JOIN scores s ON s.container_id = c.container_id AND s.pid = c.pid AND s.score >= 0.1 WHERE c.container_id <> o.container_id GROUP BY 1, 2, 3""")
+register("experiment_action_receipt", "experiment_id action_id verb n_containers n", lambda t: receipts.experiment_action(t.diff, t.experiments), None)
+register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(graph.communities(t.procs, t.edges, t.scores)), None)
+register("ip_ownership", "ip container_id", lambda t: enrich.ip_owner(t.events.where("addr is not null").select(F.substring_index("addr", ":", 1).alias("ip"), "container_id", (F.col("serial") % 7 == 0).alias("explicit"), "ts_ms")),
+  "SELECT ip, container_id FROM (SELECT split_part(addr, ':', 1) AS ip, container_id, row_number() OVER (PARTITION BY addr ORDER BY CASE WHEN serial % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN serial % 7 = 0 THEN -ts_ms ELSE ts_ms END, container_id) AS nth FROM ev WHERE addr IS NOT NULL) WHERE nth = 1")
+register("turn_boundaries", "container_id action_id start_ms end_ms", lambda t: enrich.pair_boundaries(t.spark.read.parquet(f"{t.sf_dir}/conversations.parquet").selectExpr("cast(conv_id as string) as container_id", "turn as ts_ms", "case when role = 'user' then 'start' else 'end' end as kind", "text as command")),
+  """SELECT container_id, CAST(row_number() OVER (PARTITION BY container_id ORDER BY start_ms) AS BIGINT) AS action_id, start_ms, end_ms FROM (SELECT CAST(conv_id AS VARCHAR) AS container_id, turn AS start_ms, role,
+  CASE WHEN lead(role) OVER w <> 'user' THEN lead(turn) OVER w END AS end_ms FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, CASE WHEN role = 'user' THEN 'start' ELSE 'end' END)) WHERE role = 'user'""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query(columns)(make) for name, (columns, make, _) in QUERIES.items()} | {name: q for name, (q, _) in texts.TEXT_QUERIES.items()}
 
