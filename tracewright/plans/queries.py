@@ -129,6 +129,21 @@ CTE = {
     "influence": """SELECT e.container_id, p.action_id, e.src, e.dst, e.channel_type FROM edges e JOIN scores a ON a.container_id = e.container_id AND a.pid = e.src AND a.score >= 0.1
   JOIN scores d ON d.container_id = e.container_id AND d.pid = e.dst AND d.score > d.initial JOIN pids p ON p.container_id = e.container_id AND p.pid = e.src
   WHERE NOT EXISTS (SELECT 1 FROM pids q WHERE q.container_id = e.container_id AND q.action_id = p.action_id AND q.pid = e.dst)""",
+    "found": """SELECT container_id, action_id, technique, pid, severity, description FROM (
+  SELECT DISTINCT o.container_id, o.action_id, CASE p.comm WHEN 'curl' THEN 'T1105' WHEN 'gcc' THEN 'T1027.004' ELSE 'T1059.004' END AS technique, o.pid, CASE p.comm WHEN 'curl' THEN 2 WHEN 'gcc' THEN 1 ELSE 3 END AS severity,
+    CASE p.comm WHEN 'curl' THEN 'Curl/wget download' WHEN 'gcc' THEN 'Source compilation' ELSE 'Netcat/socat (reverse shell tool)' END || ': ' || p.cmdline AS description
+  FROM ops o JOIN procs p ON o.container_id = p.container_id AND o.pid = p.pid WHERE class = 'process' AND op = 'Exec' AND p.comm IN ('curl', 'gcc', 'nc')
+  UNION ALL SELECT DISTINCT container_id, action_id, CASE path WHEN '/etc/passwd' THEN 'T1098' ELSE 'T1053.003' END, pid, 3, CASE path WHEN '/etc/passwd' THEN 'Passwd/shadow modification: ' ELSE 'Cron job modification: ' END || path
+  FROM files WHERE role = 'writer' AND path IN ('/etc/passwd', '/etc/crontab')
+  UNION ALL SELECT DISTINCT o.container_id, o.action_id, 'T1071', o.pid, 1, 'Outbound network connection: ' || CASE WHEN len(l) <= 3 THEN array_to_string(l, ', ') ELSE l[1] || ', ' || l[2] || ' +' || (len(l) - 2) || ' more' END
+  FROM ops o JOIN scores s ON s.container_id = o.container_id AND s.pid = o.pid AND s.score >= 0.1 JOIN remotes r ON r.container_id = o.container_id AND r.pid = o.pid WHERE class = 'net') WHERE action_id > 0""",
+    "remotes": "SELECT container_id, pid, list_sort(list(addr)) AS l FROM conns GROUP BY 1, 2",
+    "diff": """SELECT DISTINCT * FROM (SELECT container_id, action_id, 0 AS rank, 'flow' AS verb, CAST(pid AS VARCHAR) AS subject, path || ' from action ' || writer_action AS detail FROM flows
+  UNION ALL SELECT container_id, action_id, 1, 'read', CAST(pid AS VARCHAR), path FROM reads UNION ALL SELECT container_id, action_id, 2, 'write', CAST(pid AS VARCHAR), path FROM writes
+  UNION ALL SELECT f.container_id, p.action_id, 3, 'fork', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM forks f JOIN pids p ON p.container_id = f.container_id AND p.pid = f.dst
+  UNION ALL SELECT container_id, action_id, 4, 'connect', CAST(pid AS VARCHAR), addr || coalesce(' (' || owner || ')', '') FROM network
+  UNION ALL SELECT container_id, action_id, 6, 'influence', CAST(src AS VARCHAR), dst || ' by ' || channel_type FROM influence)""",
+    "nodes": "SELECT container_id, pid FROM scores QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY score DESC, pid) <= 50",
     "status": """SELECT container_id, n_processes, n_exited, n_edges, CAST(30 AS BIGINT) AS n_actions, CAST(NULL AS BIGINT) AS active_action
   FROM (SELECT container_id, count(*) AS n_processes, count(*) FILTER (exited) AS n_exited FROM procs GROUP BY 1) JOIN (SELECT container_id, count(*) AS n_edges FROM edges GROUP BY 1) USING (container_id)""",
     "shown": """SELECT container_id, path, CASE WHEN s THEN 'sensitive' WHEN d THEN 'deleted' ELSE 'data' END AS class, right(path, 45) AS label FROM (
@@ -201,15 +216,12 @@ register("cross_container_flows", "experiment_id source target addr", lambda t:
 register("preexisting_influence", "container_id action_id src dst channel_type", lambda t: t.influence, "SELECT * FROM influence")
 register("process_summary", "container_id action_id command n first_seq", lambda t: receipts.process_summary(t.ops, t.procs),
   "SELECT o.container_id, action_id, concat(p.comm, ' ', split_part(p.cmdline, ' ', 2), ' <ADDR>') AS command, count(*) AS n, min(serial) AS first_seq FROM ops o JOIN procs p USING (container_id, pid) WHERE class = 'process' AND op = 'Exec' GROUP BY 1, 2, 3")
-register("rule_detections", "container_id action_id technique pid severity description", lambda t: t.found, None)
-register("technique_rollup", "container_id action_id technique severity mark n n_descriptions example", lambda t: rules.technique_rollup(t.found), None)
-register("data_flow_diff", "container_id action_id rank verb subject detail", lambda t: t.diff,
-  """SELECT DISTINCT * FROM (SELECT container_id, action_id, 0 AS rank, 'flow' AS verb, CAST(pid AS VARCHAR) AS subject, path || ' from action ' || writer_action AS detail FROM flows
-  UNION ALL SELECT container_id, action_id, 1, 'read', CAST(pid AS VARCHAR), path FROM reads UNION ALL SELECT container_id, action_id, 2, 'write', CAST(pid AS VARCHAR), path FROM writes
-  UNION ALL SELECT f.container_id, p.action_id, 3, 'fork', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM forks f JOIN pids p ON p.container_id = f.container_id AND p.pid = f.dst
-  UNION ALL SELECT container_id, action_id, 4, 'connect', CAST(pid AS VARCHAR), addr || coalesce(' (' || owner || ')', '') FROM network
-  UNION ALL SELECT container_id, action_id, 6, 'influence', CAST(src AS VARCHAR), dst || ' by ' || channel_type FROM influence)""")
-register("merged_flows", "container_id action_id rank verb detail comm n pids", lambda t: receipts.merged(t.diff, t.procs), None)
+register("rule_detections", "container_id action_id technique pid severity description", lambda t: t.found, "SELECT * FROM found")
+register("technique_rollup", "container_id action_id technique severity mark n n_descriptions example", lambda t: rules.technique_rollup(t.found),
+  "SELECT container_id, action_id, technique, max(severity) AS severity, [' ', '.', '!', '!!'][max(severity) + 1] AS mark, count(*) AS n, count(DISTINCT description) AS n_descriptions, min(description) AS example FROM found GROUP BY 1, 2, 3")
+register("data_flow_diff", "container_id action_id rank verb subject detail", lambda t: t.diff, "SELECT * FROM diff")
+register("merged_flows", "container_id action_id rank verb detail comm n pids", lambda t: receipts.merged(t.diff, t.procs),
+  "SELECT d.container_id, action_id, rank, verb, detail, coalesce(p.comm, '?') AS comm, count(*) AS n, string_agg(subject, ',' ORDER BY CAST(subject AS BIGINT)) AS pids FROM diff d LEFT JOIN procs p ON p.container_id = d.container_id AND CAST(p.pid AS VARCHAR) = d.subject GROUP BY 1, 2, 3, 4, 5, 6")
 register("receipt_text", "container_id action_id receipt", lambda t: receipts.receipt_text(t.diff), None)
 register("action_list", "container_id action_id command start_ms end_ms total_events process_events", lambda t: views.action_list(t.actions, t.ops),
   "SELECT a.container_id, a.action_id, command, start_ms, end_ms, count(o.serial) AS total_events, count(o.serial) FILTER (class = 'process') AS process_events FROM actions a LEFT JOIN ops o ON o.container_id = a.container_id AND o.action_id = a.action_id GROUP BY 1, 2, 3, 4, 5")
@@ -218,7 +230,8 @@ register("listed_containers", "container_id n_processes", lambda t: views.listed
 register("shown_files", "container_id path class label", lambda t: t.shown, "SELECT * FROM shown")
 register("graph_nodes", "container_id pid label cmd action_id score", lambda t: t.nodes,
   "SELECT container_id, pid, concat(comm, ':', CAST(pid AS VARCHAR)) AS label, cmdline AS cmd, action_id, round(score, 9) AS score FROM procs JOIN scores USING (container_id, pid) JOIN attributed USING (container_id, pid) QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY score DESC, pid) <= 50")
-register("graph_edges", "container_id src dst channel_type channel event_count", lambda t: views.graph_edges(t.edges, t.nodes), None)
+register("graph_edges", "container_id src dst channel_type channel event_count", lambda t: views.graph_edges(t.edges, t.nodes),
+  "SELECT e.* FROM edges e JOIN nodes a ON a.container_id = e.container_id AND a.pid = e.src JOIN nodes b ON b.container_id = e.container_id AND b.pid = e.dst")
 register("data_edges", "container_id path pid verb", lambda t: views.data_edges(t.files, t.shown), "SELECT DISTINCT f.container_id, f.path, pid, CASE role WHEN 'writer' THEN 'write' WHEN 'reader' THEN 'read' ELSE 'delete' END AS verb FROM files f JOIN shown s USING (container_id, path)")
 register("endpoints", "container_id addr direction n_pids pids", lambda t: views.endpoints(t.conns), "SELECT container_id, addr, direction, count(*) AS n_pids, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS pids FROM conns GROUP BY 1, 2, 3")
 register("entry_points", "container_id pid ppid comm", lambda t: views.entry_points(t.procs), "SELECT container_id, pid, ppid, comm FROM procs p WHERE ppid <> 0 AND NOT EXISTS (SELECT 1 FROM procs q WHERE q.container_id = p.container_id AND q.pid = p.ppid)")
@@ -235,7 +248,8 @@ register("event_rule_matches", "container_id serial pid technique severity", lam
 register("cross_container_edges", "experiment_id source target n_pids", lambda t: receipts.cross_container_edges(t.conns, t.owners, t.experiments, t.scores),
   """SELECT m.experiment_id, c.container_id AS source, o.container_id AS target, count(DISTINCT c.pid) AS n_pids FROM conns c JOIN owners o ON c.addr = o.ip || ':80' JOIN members m ON m.container_id = c.container_id
   JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id JOIN scores s ON s.container_id = c.container_id AND s.pid = c.pid AND s.score >= 0.1 WHERE c.container_id <> o.container_id GROUP BY 1, 2, 3""")
-register("experiment_action_receipt", "experiment_id action_id verb n_containers n", lambda t: receipts.experiment_action(t.diff, t.experiments), None)
+register("experiment_action_receipt", "experiment_id action_id verb n_containers n", lambda t: receipts.experiment_action(t.diff, t.experiments),
+  "SELECT experiment_id, action_id, verb, count(DISTINCT d.container_id) AS n_containers, count(*) AS n FROM diff d JOIN members m ON m.container_id = d.container_id GROUP BY 1, 2, 3")
 register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(graph.communities(t.procs, t.edges, t.scores)), None)
 register("ip_ownership", "ip container_id", lambda t: enrich.ip_owner(t.events.where("addr is not null").select(F.substring_index("addr", ":", 1).alias("ip"), "container_id", (F.col("serial") % 7 == 0).alias("explicit"), "ts_ms")),
   "SELECT ip, container_id FROM (SELECT split_part(addr, ':', 1) AS ip, container_id, row_number() OVER (PARTITION BY addr ORDER BY CASE WHEN serial % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN serial % 7 = 0 THEN -ts_ms ELSE ts_ms END, container_id) AS nth FROM ev WHERE addr IS NOT NULL) WHERE nth = 1")

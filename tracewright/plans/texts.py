@@ -133,6 +133,12 @@ def stream_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.running_processes(stream_of(spark, sf_dir))
 
 
+def stream_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream, late or not, by the time they carry: they meet the table of actions without state."""
+    timed = enrich.action_at_time(stream_of(spark, sf_dir), derived.actions(spark), derived.GAP_MS)
+    return stream.drained(timed.select("serial", "container_id", "action_id"))
+
+
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.drained(stream.assemble(records.parse(raw_records(stream_of(spark, sf_dir)))))
     return classified(rows)
@@ -143,5 +149,6 @@ TEXT_QUERIES = {
     "audit_parse_roundtrip": (audit_parse_roundtrip, ROUNDTRIP), "assemble_groups": (assemble_groups, ASSEMBLED), "sockaddr_decode": (sockaddr_decode, SOCKADDR), "path_functions": (path_functions, PATHS),
     "command_functions": (command_functions, COMMANDS), "kernel_transfers": (kernel_transfers, TRANSFERS), "container_resolution": (container_resolution, RESOLUTION), "stream_counts": (stream_counts, COUNTS),
     "stream_processes": (stream_processes, "SELECT container_id, pid, first_seq, n_events, exited FROM procs"),
+    "stream_attribution": (stream_attribution, "SELECT serial, container_id, action_id FROM timed"),
     "stream_assemble": (stream_assemble, ROUNDTRIP + " AND ts_ms <= (SELECT max(ts_ms) FROM ev) - 600000"),
 }
