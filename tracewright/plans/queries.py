@@ -144,6 +144,19 @@ CTE = {
   UNION ALL SELECT container_id, action_id, 4, 'connect', CAST(pid AS VARCHAR), addr || coalesce(' (' || owner || ')', '') FROM network
   UNION ALL SELECT container_id, action_id, 6, 'influence', CAST(src AS VARCHAR), dst || ' by ' || channel_type FROM influence)""",
     "nodes": "SELECT container_id, pid FROM scores QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY score DESC, pid) <= 50",
+    "ulinks": """SELECT f.container_id, f.src AS a, f.dst AS b FROM forks f JOIN procs p ON p.container_id = f.container_id AND p.pid = f.src JOIN procs q ON q.container_id = f.container_id AND q.pid = f.dst AND p.comm = q.comm
+  UNION SELECT f.container_id, f.dst, f.src FROM forks f JOIN procs p ON p.container_id = f.container_id AND p.pid = f.src JOIN procs q ON q.container_id = f.container_id AND q.pid = f.dst AND p.comm = q.comm
+  UNION SELECT container_id, src, dst FROM edges WHERE channel_type <> 'fork' AND event_count >= 10 UNION SELECT container_id, dst, src FROM edges WHERE channel_type <> 'fork' AND event_count >= 10""",
+    "reach": "SELECT container_id, pid, pid AS node FROM procs UNION SELECT r.container_id, r.pid, l.b FROM reach r JOIN ulinks l ON l.container_id = r.container_id AND l.a = r.node",
+    "groups": """SELECT m.container_id, community, count(*) AS size, arg_max(p.pid, {'l': coalesce(length(cmdline), 0), 'p': -p.pid}) AS representative_pid, round(avg(score), 6) AS avg_score,
+  string_agg(DISTINCT comm, ',' ORDER BY comm) AS label, string_agg(CAST(p.pid AS VARCHAR), ',' ORDER BY p.pid) AS members
+  FROM (SELECT container_id, pid, min(node) AS community FROM reach GROUP BY 1, 2) m JOIN procs p ON p.container_id = m.container_id AND p.pid = m.pid JOIN scores s ON s.container_id = m.container_id AND s.pid = m.pid GROUP BY 1, 2""",
+    "listed": """SELECT *, count(*) OVER w AS n_all, count(*) FILTER (NOT s) OVER w AS n_plain, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name,
+  regexp_extract(path, '/([^0-9/]*)([0-9]+)([^/]*)$', 1) AS p, regexp_extract(path, '/([^0-9/]*)([0-9]+)([^/]*)$', 2) AS num, regexp_extract(path, '/([^0-9/]*)([0-9]+)([^/]*)$', 3) AS x
+  FROM (SELECT *, contains(path, '/etc/passwd') AS s FROM opened) WINDOW w AS (PARTITION BY container_id, pid)""",
+    "dirs": """SELECT container_id, pid, dir, count(*) AS n, list_sort(list(name)) AS names, min(num) AS low, max(num) AS high, min(p) AS p, min(x) AS x,
+  count(DISTINCT p || '|' || x || '|' || length(num)) = 1 AND min(length(num)) > 0 AND max(TRY_CAST(num AS BIGINT)) - min(TRY_CAST(num AS BIGINT)) + 1 = count(*) AS gapless
+  FROM listed WHERE NOT s AND n_all > 3 AND n_plain > 3 GROUP BY 1, 2, 3""",
     "status": """SELECT container_id, n_processes, n_exited, n_edges, CAST(30 AS BIGINT) AS n_actions, CAST(NULL AS BIGINT) AS active_action
   FROM (SELECT container_id, count(*) AS n_processes, count(*) FILTER (exited) AS n_exited FROM procs GROUP BY 1) JOIN (SELECT container_id, count(*) AS n_edges FROM edges GROUP BY 1) USING (container_id)""",
     "shown": """SELECT container_id, path, CASE WHEN s THEN 'sensitive' WHEN d THEN 'deleted' ELSE 'data' END AS class, right(path, 45) AS label FROM (
@@ -205,11 +218,14 @@ register("ipc_flow_edges", "container_id src dst channel_type channel event_coun
 register("taint_init", "container_id pid score", lambda t: t.initial.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM initial")
 register("taint_scores", "container_id pid score", lambda t: t.scores.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores")
 register("newly_tainted", "container_id pid score", lambda t: t.scores.where("score >= 0.1 and initial < 0.1").withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores WHERE score >= 0.1 AND initial < 0.1")
-register("communities", "container_id community size representative_pid avg_score label members", lambda t: graph.communities(t.procs, t.edges, t.scores).withColumn("avg_score", F.round("avg_score", 6)), None)
+register("communities", "container_id community size representative_pid avg_score label members", lambda t: graph.communities(t.procs, t.edges, t.scores).withColumn("avg_score", F.round("avg_score", 6)), "SELECT * FROM groups")
 register("cross_action_flows", "container_id action_id path writer_action writer pid", lambda t: t.flows, "SELECT * FROM flows")
 register("reads_by_process", "container_id action_id pid path", lambda t: t.reads, "SELECT * FROM reads")
 register("writes_by_process", "container_id action_id pid path", lambda t: t.writes, "SELECT * FROM writes")
-register("file_list_compressed", "container_id pid files", lambda t: receipts.compressed(t.opened, "container_id", "pid"), None)
+register("file_list_compressed", "container_id pid files", lambda t: receipts.compressed(t.opened, "container_id", "pid"),
+  """SELECT container_id, pid, string_agg(item, ', ' ORDER BY item) AS files FROM (SELECT container_id, pid, path AS item FROM listed WHERE s OR n_all <= 3 OR n_plain <= 3
+  UNION ALL SELECT container_id, pid, CASE WHEN n = 1 THEN dir || '/' || names[1] WHEN n >= 3 AND gapless THEN dir || '/' || p || '{' || low || '..' || high || '}' || x
+    WHEN n <= 5 THEN dir || '/{' || array_to_string(names, ',') || '}' ELSE dir || '/{' || names[1] || ',' || names[2] || ',... ' || names[-1] || '} (' || n || ' files)' END FROM dirs) GROUP BY 1, 2""")
 register("network_flows", "container_id action_id pid direction addr owner", lambda t: t.network, "SELECT * FROM network")
 register("cross_container_flows", "experiment_id source target addr", lambda t: receipts.cross_container_flows(t.conns, t.owners, t.experiments),
   "SELECT DISTINCT m.experiment_id, c.container_id AS source, o.container_id AS target, addr FROM conns c JOIN owners o ON c.addr = o.ip || ':80' JOIN members m ON m.container_id = c.container_id JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id WHERE c.container_id <> o.container_id")
@@ -222,7 +238,7 @@ register("technique_rollup", "container_id action_id technique severity mark n n
 register("data_flow_diff", "container_id action_id rank verb subject detail", lambda t: t.diff, "SELECT * FROM diff")
 register("merged_flows", "container_id action_id rank verb detail comm n pids", lambda t: receipts.merged(t.diff, t.procs),
   "SELECT d.container_id, action_id, rank, verb, detail, coalesce(p.comm, '?') AS comm, count(*) AS n, string_agg(subject, ',' ORDER BY CAST(subject AS BIGINT)) AS pids FROM diff d LEFT JOIN procs p ON p.container_id = d.container_id AND CAST(p.pid AS VARCHAR) = d.subject GROUP BY 1, 2, 3, 4, 5, 6")
-register("receipt_text", "container_id action_id receipt", lambda t: receipts.receipt_text(t.diff), None)
+register("receipt_text", "container_id action_id receipt", lambda t: receipts.receipt_text(t.diff), "SELECT container_id, action_id, string_agg(verb || ' ' || subject || ' ' || detail, chr(10) ORDER BY rank, detail, subject) AS receipt FROM diff GROUP BY 1, 2")
 register("action_list", "container_id action_id command start_ms end_ms total_events process_events", lambda t: views.action_list(t.actions, t.ops),
   "SELECT a.container_id, a.action_id, command, start_ms, end_ms, count(o.serial) AS total_events, count(o.serial) FILTER (class = 'process') AS process_events FROM actions a LEFT JOIN ops o ON o.container_id = a.container_id AND o.action_id = a.action_id GROUP BY 1, 2, 3, 4, 5")
 register("container_status", "container_id n_processes n_exited n_edges n_actions active_action", lambda t: t.status, "SELECT * FROM status")
@@ -250,7 +266,7 @@ register("cross_container_edges", "experiment_id source target n_pids", lambda t
   JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id JOIN scores s ON s.container_id = c.container_id AND s.pid = c.pid AND s.score >= 0.1 WHERE c.container_id <> o.container_id GROUP BY 1, 2, 3""")
 register("experiment_action_receipt", "experiment_id action_id verb n_containers n", lambda t: receipts.experiment_action(t.diff, t.experiments),
   "SELECT experiment_id, action_id, verb, count(DISTINCT d.container_id) AS n_containers, count(*) AS n FROM diff d JOIN members m ON m.container_id = d.container_id GROUP BY 1, 2, 3")
-register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(graph.communities(t.procs, t.edges, t.scores)), None)
+register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(graph.communities(t.procs, t.edges, t.scores)), "SELECT container_id, count(*) FILTER (size > 3) AS shown, CAST(coalesce(sum(size) FILTER (size <= 3), 0) AS BIGINT) AS hidden_processes FROM groups GROUP BY 1")
 register("ip_ownership", "ip container_id", lambda t: enrich.ip_owner(t.events.where("addr is not null").select(F.substring_index("addr", ":", 1).alias("ip"), "container_id", (F.col("serial") % 7 == 0).alias("explicit"), "ts_ms")),
   "SELECT ip, container_id FROM (SELECT split_part(addr, ':', 1) AS ip, container_id, row_number() OVER (PARTITION BY addr ORDER BY CASE WHEN serial % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN serial % 7 = 0 THEN -ts_ms ELSE ts_ms END, container_id) AS nth FROM ev WHERE addr IS NOT NULL) WHERE nth = 1")
 register("turn_boundaries", "container_id action_id start_ms end_ms", lambda t: enrich.pair_boundaries(t.spark.read.parquet(f"{t.sf_dir}/conversations.parquet").selectExpr("cast(conv_id as string) as container_id", "turn as ts_ms", "case when role = 'user' then 'start' else 'end' end as kind", "text as command")),
