@@ -131,7 +131,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Sets:
     return Sets(np.concatenate(tokens or [np.zeros(0, U8)]), np.concatenate(n or [np.zeros(0, np.int64)]))
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, bytes_most: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, bytes_most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that none holds much more text than bytes_most, unless one row does."""
     for b in batches:
         n = max(1, -(-b.column(column).nbytes // bytes_most))
