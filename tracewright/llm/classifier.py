@@ -161,11 +161,14 @@ class CoTrained:
 
 
 def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 3, share: float = 0.05, sure: float = 3.0) -> CoTrained:
-    """Fits both views on labelled rows (every fifth is kept for calibration) and a pool of unlabelled ones.
+    """Fits both views on labelled rows (every fifth of each class is kept for calibration) and a pool of unlabelled ones.
 
     Each round each view hands over at most ``share`` of the pool per class, of calibrated log-odds of ``sure`` at least.
     """
-    held = np.arange(len(y)) % 5 == 4
+    held = np.zeros(len(y), bool)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        held[own[min(4, len(own) - 1) :: 5] if len(own) > 1 else own[:0]] = True
     train = [[v[~held]] for v in x]
     labels = [[y[~held].astype(np.float32)] for _ in x]
     taken = [np.zeros(len(pool[0]), bool) for _ in x]
