@@ -112,6 +112,21 @@ def test_mixing_comes_near_targets(spark):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] for r in got)
 
 
+@pytest.mark.parametrize("sizes", [[10, 10], [10, 10, 0, 0, 10, 10], [7] * 40, [3, 3, 6] * 8, [0, 0]])
+def test_mixing_where_sums_meet_the_limit(spark, sizes):
+    import duckdb
+
+    rows = [(i, "w " * n, "s") for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(queries.OP5_SQL).fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == sorted(want)
+    # what the limit leaves out is less than one document
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(sizes)) <= max(sizes) / 2
+
+
 def brute_join(texts, width=5, percent=75):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

@@ -81,8 +81,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     whole = F.sum("certain").over(Window.partitionBy("key"))
     before = F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("words"))).over(Window.partitionBy("key").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("key", "bucket", "words", before.alias("before"), (F.col("target") - whole).alias("lacks"))
-    # the bucket in which the sample ends; a source without one takes all its ranked documents
-    ends = per.where("bucket is not null and before < lacks and before + words > lacks")
+    # the bucket whose words go beyond what is lacking, where buckets before it don't: there is one unless the source lacks
+    # less than nothing, and takes no ranked document, or as much as all of them have, and takes them all
+    ends = per.where("bucket is not null and before <= lacks and before + words > lacks")
     none = per.where("bucket is not null").groupBy("key").agg(F.max("lacks").alias("lacks2"), F.sum("words").alias("all_words"))
     limits = none.join(ends, "key", "left").select("key", F.coalesce("bucket", F.when(F.col("all_words") <= F.col("lacks2"), F.lit(BUCKETS + 1)).otherwise(F.lit(-1))).alias("limit"), F.coalesce("before", F.lit(0)).alias("before"), F.col("lacks2").alias("lacks"))
     judged = some.join(salted(limits), ["key", "salt"], "left")
