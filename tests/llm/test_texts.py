@@ -45,6 +45,18 @@ def test_encoder_is_exact(name):
         assert codec.encode(texts) == codec.direct(texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_finds_added_tokens(name):
+    from tokenizers import Tokenizer
+
+    t, codec = Tokenizer.from_file(queries.vocabulary(name)), ChunkEncoder(queries.vocabulary(name))
+    texts = [f"{a}{token}{b}" for token in ("<|endoftext|>", "<|startoftext|>", "<|endoftext", "<|ENDOFTEXT|>") for a in ("", "one ", "two\n", "a") for b in ("", " three", "\n\nfour", "b<|endoftext|>")]
+    texts = [*texts, "without one", "<|endoftext|>" * 3]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+    assert want[-1] == [t.token_to_id("<|endoftext|>")] * 3
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 

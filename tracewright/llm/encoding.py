@@ -39,7 +39,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Found in texts before anything else; a text with one is encoded in one piece.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype, self.limit, self.longest = np.dtype(dtype), limit, longest
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.seen: dict[str, bytes] = {}
@@ -65,6 +66,8 @@ class ChunkEncoder:
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         out: list[bytes] = [b""] * len(texts)
         at = pc.indices_nonzero(odd).to_pylist()
         for i, ids in zip(at, self.direct(texts.filter(odd).to_pylist()) if at else ()):
