@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing
-from tracewright.llm.common import stash, table
+from tracewright.llm.common import WORD, stash, table
 from tracewright.llm.queries import vocabulary
 
 
@@ -27,18 +27,33 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stashed with a number of each row of its own as __row: ids may be null or repeat."""
+    return stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
-    groups = ngram_join.join(docs)
-    gone = stash(groups.where("not (component_id <=> doc_id)").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    out = docs.join(line_dedup.sized(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    again = out.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: the one of the smallest id, null ids last.
+
+    Texts without words group with nothing but rows alike in a non-null id and text.
+    """
+    rows = numbered(docs)
+    groups = ngram_join.join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__of"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
+    members = rows.select("__row", "doc_id", F.xxhash64("text").alias("hash"), wordless.alias("wordless"), F.when(wordless, F.col("text")).alias("blank"))
+    members = members.join(groups, F.col("__row") == F.col("__of"))
+    alone = F.when(F.col("wordless"), F.when(F.col("doc_id").isNull(), F.col("__row")))
+    same = ["group", F.when(F.col("wordless"), F.col("doc_id")).alias("same_id"), "blank", alone.alias("alone")]
+    members = stash(members.select("__row", *same, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "__row").alias("place")), "members")
+    firsts = members.groupBy("group", "same_id", "blank", "alone").agg(F.min("place")["__row"].alias("first"))
+    gone = stash(members.join(firsts, F.col("__row") == F.col("first"), "left_anti").select(F.col("__row").alias("__gone")), "gone")
+    return rows.join(line_dedup.sized(gone), F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix's proportions, each as often as the mix takes it."""
-    return mixing.repeated(docs, mixing.mix(docs).select("doc_id", "copies"))
+    rows = numbered(docs)
+    return mixing.repeated(rows, mixing.mix(rows, keep=("__row",)), "__row").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_texts import brute_join
-from tracewright.llm import classifier, packing, queries
+from tracewright.llm import classifier, mixing, packing, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -130,3 +130,24 @@ def test_stages(spark, corpus, tmp_path):
     assert length == Counter({r[0]: times[r[0]] * (1 + len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in mixed})
     assert max(room.values()) <= 4096 and bound <= len(room) <= bound + 1
     assert corpus_pipeline.run(spark, corpus).count() == tables[-1].count()
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are kept by what they hold: neither a null id nor one that others have makes a clean document a copy."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefgh"}
+    rows = [(1, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (2, text["d"]), (2, text["e"]), (2, text["e"]), (3, text["f"]), (5, text["g"]), (4, text["g"] + " more")]
+    rows += [(6, None), (6, None), (6, ""), (7, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", f"s{i % 2}", None) for i, (k, t) in enumerate(rows)], DOCS).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect())
+    want = [(1, text["a"]), (None, text["b"]), (None, text["c"]), (2, text["d"]), (2, text["e"]), (3, text["f"]), (4, text["g"] + " more")]
+    assert got == Counter([*want, (6, None), (6, ""), (7, " "), (None, ""), (None, "")])
+
+
+def test_mixing_copies_each_row_by_its_own_share(spark):
+    rows = [(k, " ".join(f"w{i}" for _ in range(n)), "en", s, None) for i, (k, n, s) in enumerate([(None, 5, "a"), (None, 9, "b"), (None, 7, "c"), (1, 8, "a"), (1, 6, "b"), (1, 20, "c"), (2, 11, "a")])]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[(r.doc_id, r.source, r["size"])] += r.copies
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.source_mixing(spark, docs, "").collect())
+    assert got == +want

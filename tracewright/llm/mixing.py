@@ -51,14 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return by.select("source", "source_size", F.when(found.isNull() | (F.col("ratio") <= found), capped).otherwise(found * F.col("weight")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix:", preference: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, source, text).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix:", preference: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, and the columns ``keep`` for every row of docs (doc_id, source, text).
 
     ``preference``: relative number of copies wished for a document (a positive column of docs; default: equal).
     Expected copies never exceed ``most``.
     """
     wish = F.coalesce(preference.cast("double"), F.lit(1.0)) if preference is not None else F.lit(1.0)
-    rows = stash(docs.select("doc_id", "source", n_words("text").alias("size"), wish.alias("wish")), "sizes")
+    rows = stash(docs.select("doc_id", "source", n_words("text").alias("size"), wish.alias("wish"), *keep), "sizes")
     goals = targets(rows, weights, share, most)
     if preference is not None:
         means = rows.groupBy("source").agg((F.sum(F.col("wish") * F.col("size")) / F.sum("size")).alias("mean_wish"))
@@ -88,16 +88,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     limits = none.join(ends, "key", "left").select("key", F.coalesce("bucket", F.when(F.col("all_words") <= F.col("lacks2"), F.lit(BUCKETS + 1)).otherwise(F.lit(-1))).alias("limit"), F.coalesce("before", F.lit(0)).alias("before"), F.col("lacks2").alias("lacks"))
     judged = some.join(salted(limits), ["key", "salt"], "left")
     inner = judged.where(F.col("bucket") == F.col("limit"))
-    so_far = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = inner.withColumn("picked", F.col("before") + so_far + F.col("size") / F.lit(2.0) <= F.col("lacks"))
     outer = judged.where(F.col("bucket").isNull() | (F.col("bucket") != F.col("limit"))).withColumn("picked", F.coalesce(F.col("bucket") < F.col("limit"), F.lit(False)))
     out = outer.unionByName(inner).withColumn("copies", F.col("whole") + F.col("picked").cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as mixed (doc_id, copies) says; ids must be distinct or their rows alike."""
-    copies = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
+def repeated(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as mixed (key, copies) says; keys must be distinct or their rows alike."""
+    copies = mixed.groupBy(F.col(key).alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.alias("d").join(copies, F.col("d.doc_id").eqNullSafe(F.col("mixed_id"))).where("mixed_copies > 0")
+    joined = docs.alias("d").join(copies, F.col(f"d.{key}").eqNullSafe(F.col("mixed_id"))).where("mixed_copies > 0")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(columns)
