@@ -1,30 +1,36 @@
 """Personal data, and terms of the text around it that give it away.
 
 Base spans come from four patterns. The method then treats every distinct value found as a protected
-entity and asks of each term near it how much of the entity's information it discloses over the corpus:
-pointwise mutual information of term and entity, divided by the entity's own information. Counts are
-numbers of distinct texts, so exact copies are no evidence. Terms that at least ``support`` texts show
-beside the entity are generalised from one threshold on and removed from a higher one on.
+entity and asks of each term in its texts how much of the entity's information it discloses over the
+corpus: pointwise mutual information of term and entity, divided by the entity's own information. Counts
+are numbers of distinct whole texts, so exact copies are no evidence. Terms that at least ``support``
+texts hold together with the entity are generalised from one threshold on and removed from a higher one on.
 
 Everything is DataFrame expressions. A text is read once for the base spans and once for the document
-counts of candidate terms; only texts with a base span are kept in between.
+counts of candidate terms; only texts with a base span are kept in between. Entities of fewer than
+``support`` texts can't reach it with any term, so their texts make no pairs.
 
 Null text counts as empty; repeated rows are scanned each for itself; null ids and extra columns are
-harmless (doc_id and text are read); an empty table gives no rows.
+harmless (doc_id and text are read); an empty table gives no rows. Very long texts take time in proportion
+to their length: patterns start at the first character of a run only, and matches are placed in blocks.
+Ties don't matter: a term gets the stronger of the actions that the entities of its text ask for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import stash
+from tracewright.llm.common import sized, stash
 
 KINDS = ("email", "ip", "card", "phone")
-#: Possessive where no backtracking can help, so that long runs neither take long nor nest deep.
+#: Possessive where no backtracking can help, so that long runs neither take long nor nest deep. A match that fails from a
+#: run's first character fails from all others of the run, so it begins there or where the last match ended (\\G).
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -34,8 +40,13 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-
 MARK, OTHER = "\x01", "\x02"
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: Candidate terms beyond which they are joined by a shuffle instead of broadcast.
-BROADCAST_TERMS = 500_000
+#: Parts of a text, every other one a match, that are placed at once.
+PLACED = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def found(text: Column, pattern: str | Column) -> Column:
@@ -47,8 +58,18 @@ def found(text: Column, pattern: str | Column) -> Column:
         span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"))
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(F.split(marked, MARK), start, step, lambda acc: acc["spans"])
+    def placed(parts: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+
+    def begins(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part)))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    # arrays grow by copying, so many matches are placed a block at a time; blocks are even, and begin outside a match
+    cut = lambda parts: F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / F.lit(PLACED)).cast("int")), lambda b: F.slice(parts, b * PLACED + 1, F.lit(PLACED)))
+    many = lambda parts: let(cut(parts), lambda blocks: F.flatten(F.zip_with(blocks, F.slice(begins(blocks), F.lit(1), F.size(blocks)), placed)))
+    return let(F.split(marked, MARK), lambda parts: F.when(F.size(parts) <= PLACED, placed(parts, F.lit(0))).otherwise(many(parts)))
 
 
 def luhn(digits: Column) -> Column:
@@ -78,24 +99,15 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(hint, F.filter(found(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))).otherwise(none)
 
 
-def words_near(text: Column, span: Column, reach: int) -> Column:
-    """Distinct lower-cased terms that lie wholly within reach code points before or after the span."""
-    left = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    left = F.when(span["start"] > reach, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(reach))
-    right = F.when(F.length(text) > span["end"] + reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(f"({TERM})"), F.lit(1)))
+def terms_of(text: str) -> Column:
+    """Distinct lower-cased terms of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
 
 
-def disclosing(rows: DataFrame, docs: DataFrame, reach: int, support: int, generalise: float, remove: float) -> DataFrame:
-    """entity, term, action: terms that disclose an entity over the corpus."""
-    hits = rows.where("hits > 0").select(F.xxhash64("text").alias("of"), "text", "entities")
-    near = hits.select("of", "text", F.explode("entities").alias("e"))
-    # outer, as Spark would else evaluate the terms twice, the second time in a filter
-    near = near.select("of", F.col("e.entity").alias("entity"), F.explode_outer(words_near(F.col("text"), F.col("e.span"), reach)).alias("term")).where("term is not null").distinct()
-    near = stash(near, "near")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = hits.select("of", F.explode("entities.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("alone"))
+def disclosing(hits: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """of, term, action: for each of the distinct texts hits (of, text, entities), the terms that disclose one of its entities over the corpus."""
+    entities = hits.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("alone")).where(F.col("alone") >= support)
+    entities = stash(entities, "entities")
     n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("of")).distinct().agg(F.count("*").alias("n")).first()["n"])
 
     def score(texts: str) -> Column:
@@ -103,24 +115,30 @@ def disclosing(rows: DataFrame, docs: DataFrame, reach: int, support: int, gener
         # an entity of every text has no information to give away
         return F.when(F.col("alone") < F.lit(n), pmi).otherwise(F.lit(0.0))
 
-    # texts with the term near any entity are some of those with it, so this leaves out no term that discloses
-    at_least = near.select("term", "of").distinct().groupBy("term").agg(F.count("*").alias("near_texts"))
-    together = together.join(entities, "entity").join(at_least, "term").where(score("near_texts") >= generalise)
+    # texts are distinct, and so are entities and terms within one: no pair counts twice
+    named = hits.select("of", F.explode("entities").alias("entity")).join(sized(entities.select("entity")), "entity")
+    named = stash(named.select("of", "entity"), "named")
+    # outer, as Spark would else evaluate the terms twice, the second time in a filter
+    held = hits.join(named, "of", "left_semi").select("of", F.explode_outer(terms_of("text")).alias("term")).where("term is not null")
+    held = stash(held, "held")
+    together = held.join(named, "of").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    # texts of any entity with the term are some of those with it, so this leaves out no term that discloses
+    at_least = held.groupBy("term").agg(F.count("*").alias("near_texts"))
+    together = together.join(sized(entities), "entity").join(at_least, "term").where(score("near_texts") >= generalise)
     together = stash(together, "together")
-    terms = together.select("term").distinct()
-    count = terms.count()
-    if not count:
-        return together.select("entity", "term", F.lit("").alias("action")).where(F.lit(False))
-    # every document of the corpus counts for a term, wherever the term stands in it
+    terms = stash(together.select("term").distinct(), "terms")
+    # every document of the corpus counts for a term
     words = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    words = words.select(F.xxhash64("text").alias("of"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("word"))
-    meets = F.col("word") == F.col("term")
-    in_texts = words.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, meets).groupBy("term", "of").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts"))
-    scored = together.join(in_texts, "term").withColumn("score", score("texts"))
-    return scored.where(F.col("score") >= generalise).select("entity", "term", F.when(F.col("score") >= remove, "remove").otherwise("generalise").alias("action"))
+    words = words.select(F.xxhash64("text").alias("of"), F.explode_outer(terms_of("text")).alias("word"))
+    in_texts = words.join(sized(terms), F.col("word") == F.col("term")).groupBy("term", "of").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts"))
+    scored = together.join(in_texts, "term").withColumn("score", score("texts")).where(F.col("score") >= generalise)
+    told = stash(scored.select("entity", "term", F.when(F.col("score") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
+    met = held.join(sized(told), "term").join(named, ["of", "entity"])
+    # the strongest action that any entity of the text asks for
+    return met.groupBy("of", "term").agg(F.max("action").alias("action"))
 
 
-def scan(docs: DataFrame, reach: int = 60, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
     """doc_id, text, spans (kind, start, end, value) of each row of docs (doc_id, text), in the order of kinds, then start.
 
     Base kinds are those of PATTERNS. Kinds ``generalise`` and ``remove`` are terms within the same text as an
@@ -130,15 +148,13 @@ def scan(docs: DataFrame, reach: int = 60, support: int = 3, generalise: float =
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *[base_spans(text, k).alias(k) for k in KINDS])
     rows = rows.withColumn("hits", sum((F.size(k) for k in KINDS), F.lit(0)))
-    rows = rows.withColumn("text", F.when(F.col("hits") > 0, F.col("text"))).withColumn("uid", F.monotonically_increasing_id())
+    rows = rows.withColumn("of", F.when(F.col("hits") > 0, F.xxhash64("text"))).withColumn("text", F.when(F.col("hits") > 0, F.col("text")))
     rows = stash(rows, "pii")
-    entity = lambda k: F.transform(k, lambda s: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"), s.alias("span")))
-    rows = rows.withColumn("entities", F.concat(*[entity(k) for k in KINDS]))
-    told = stash(disclosing(rows, docs, reach, support, generalise, remove), "disclosing")
-    hit = rows.where("hits > 0").select("uid", F.explode("entities.entity").alias("entity")).distinct().join(told, "entity")
-    # the strongest action that any entity of the text asks for
-    hit = hit.groupBy("uid", "term").agg(F.max("action").alias("action")).groupBy("uid").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
-    rows = rows.join(hit, "uid", "left")
+    entity = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
+    hits = rows.where("hits > 0").select("of", "text", F.array_distinct(F.concat(*[entity(k) for k in KINDS])).alias("entities")).dropDuplicates(["of"])
+    told = disclosing(stash(hits, "hits"), docs, support, generalise, remove)
+    told = stash(told.groupBy(F.col("of").alias("told_of")).agg(F.collect_list(F.struct("term", "action")).alias("terms")), "told")
+    rows = rows.join(told, F.col("of") == F.col("told_of"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms.term", "|"), F.lit(r")(?!\p{L})"))
     acted = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["action"])))
     extra = F.transform(found(F.col("text"), pattern), lambda s: F.struct(F.coalesce(F.element_at(acted, F.lower(s["value"])), F.lit("generalise")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
