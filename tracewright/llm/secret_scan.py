@@ -3,14 +3,18 @@
 The field tags the words of a whole text as begin, inside or outside of a secret. A word's score adds
 weights of its shape, of the classes of its neighbours (two before, one after) and of two features of
 the file; the best tagging is found by Viterbi. It is trained here, by maximum likelihood, on a bounded
-sample of short windows: around secrets that the patterns find, and elsewhere (``SAMPLE`` windows each).
+sample of short windows: around the secrets that the patterns find, and elsewhere. All secrets and all
+texts are candidates; the ``SAMPLE`` windows of lowest hash of each sort are taken. A window's features
+come from its whole text, by the code that decoding uses.
 
 Decoding is exact, but words whose outside score leads by more than any change of transitions can make up
 for are outside in every best tagging, so Viterbi only runs over the stretches between them.
 
 Null text counts as empty; without any pattern match in the corpus nothing can be learned and nothing is
-added; repeated rows are scanned each for itself; null ids and extra columns are harmless (doc_id and text
-are read); an empty table gives no rows.
+added; repeated rows are scanned each for itself, and alike windows count once in the sample; windows of
+the same hash are taken in the order of their words; null ids and extra columns are harmless (doc_id and
+text are read); an empty table gives no rows. A very long text is held by one task, with about ten bytes
+for each word and what its distinct words take; time follows its length.
 """
 
 from __future__ import annotations
@@ -112,6 +116,12 @@ def file_feature(words: int, classes: np.ndarray) -> int:
     return (0 if odd < 0.02 else 1 if odd < 0.2 else 2) * 2 + has
 
 
+def is_plain(words: pa.Array) -> np.ndarray:
+    """Which words are plain: those have no shape but the one of all words."""
+    match = lambda pattern: pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    return match(PLAIN_WORD) & ~match(KEY_WORD)
+
+
 class Words:
     """The words of some texts as numbers of distinct words, with the classes of the latter."""
 
@@ -126,9 +136,7 @@ class Words:
             keep = ~empty[self.at]
             self.ends = np.concatenate([[0], np.cumsum(keep)])[self.ends]
             self.at = self.at[keep]
-        plain = pc.match_substring_regex(self.distinct, PLAIN_WORD).to_numpy(zero_copy_only=False)
-        key = pc.match_substring_regex(self.distinct, KEY_WORD).to_numpy(zero_copy_only=False)
-        self.odd = np.flatnonzero(~(plain & ~key) & ~empty)
+        self.odd = np.flatnonzero(~is_plain(self.distinct) & ~empty)
         self.odd_words = self.distinct.take(pa.array(self.odd)).to_pylist()
         self.classes = np.full(len(self.distinct), CLASS["plain"], np.int8)
         self.classes[self.odd] = [word_class(w) for w in self.odd_words]
@@ -167,41 +175,70 @@ def tags_of(text: str, spans: list[tuple[int, int, int, int]]) -> list[int]:
     return tags
 
 
-def windows(docs: DataFrame, sample: int) -> DataFrame:
-    """rank, positive, words, tags, file: the sample of windows, fixed by hashes of the texts."""
+def numbers(texts: pa.Array) -> np.ndarray:
+    """A 61-bit hash of each text."""
+    return np.array([int.from_bytes(hashlib.blake2b(x.as_buffer(), digest_size=8).digest(), "little") >> 3 for x in texts], np.int64)
+
+
+def rank_of(number: int, place: int) -> int:
+    """Place in the random order of windows of the one around a text's word."""
+    return (number ^ (place * 0x9E3779B97F4A7C15)) % (1 << 61)
+
+
+class Lowest:
+    """The limit below which an item is among the lowest so many of those seen."""
+
+    def __init__(self, most: int):
+        self.most, self.ranks = most, np.zeros(0, np.int64)
+
+    def limit(self) -> int:
+        return int(self.ranks[-1]) if len(self.ranks) == self.most else 1 << 62
+
+    def add(self, ranks: list[int]) -> None:
+        self.ranks = np.unique(np.concatenate([self.ranks, np.array(ranks, np.int64)]))[: self.most]
+
+
+def windows(docs: DataFrame, sample: int, share: float = 1.0) -> DataFrame:
+    """rank, positive, words, near, tags, file: the sample of windows, fixed by hashes of the texts.
+
+    ``near``: classes of the word two before, before and after each word. For windows elsewhere only
+    texts whose hash is in the lowest ``share`` of all are looked at.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = {True: Lowest(sample), False: Lowest(sample)}
         for b in batches_of(batches, 0, 8_000_000):
             texts = b.column(0).cast(pa.large_string()).fill_null("")
-            hint = hinted(texts)
+            hint, number = hinted(texts), numbers(texts)
+            # a rank differs from the text's number by what the place adds, so the share is of another hash
+            shared = number * 0x5851F42D4C957F2D % (1 << 61) <= share * (1 << 61)
+            looked = np.flatnonzero(hint | shared)
+            some = texts.take(pa.array(looked))
+            if not len(some):
+                continue
+            words = Words(some)
+            own, near, files = words.classes[words.at], np.stack(words.neighbours(), 1), words.files()
             rows = []
-            for i in range(len(texts)):
-                text = texts[i].as_py() if hint[i] else None
-                if text is None:
-                    some = texts[i].as_py()
-                    digest = int.from_bytes(hashlib.blake2b(some.encode(), digest_size=8).digest(), "little")
-                    if digest % 16:
-                        continue
-                    text = some
-                else:
-                    digest = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
-                words = WORD.findall(text)
-                if not words:
+            for i, k in enumerate(looked.tolist()):
+                a, z = int(words.ends[i]), int(words.ends[i + 1])
+                if a == z:
                     continue
-                tags = tags_of(text, base_spans(text)) if hint[i] else [OUT] * len(words)
-                begins = [k for k, t in enumerate(tags) if t == BEGIN]
-                kind = file_feature(len(words), np.array([CLASS["plain"] if re.fullmatch(r"[^\W\d_]+[.,;:!?]*", w) and not re.search(KEY_WORD, w) else word_class(w) for w in words[:4000]]))
-                odd = digest % len(words)
-                for k in [*begins[:3], odd]:
-                    a, z = max(0, k - REACH), min(len(words), k + REACH + 1)
-                    rank = (digest ^ (k * 0x9E3779B97F4A7C15)) % (1 << 62)
-                    rows.append((rank, any(tags[a:z]), [w[:200] for w in words[a:z]], tags[a:z], kind))
-            names = ["rank", "positive", "words", "tags", "file"]
-            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
-
-    found = stash(docs.select("text").mapInArrow(work, "rank long, positive boolean, words array<string>, tags array<int>, file int"), "windows")
-    least = lambda flag: found.where(f"positive = {flag}").orderBy("rank", "words").limit(sample)
+                tags = tags_of(some[i].as_py(), base_spans(some[i].as_py())) if hint[k] else [OUT] * (z - a)
+                for place in [j for j, t in enumerate(tags) if t == BEGIN] + [int(number[k]) % (z - a)] * bool(shared[k]):
+                    low, high = max(0, place - REACH), min(z - a, place + REACH + 1)
+                    rank, positive = rank_of(int(number[k]), place), any(tags[low:high])
+                    if rank <= lowest[positive].limit():
+                        rows.append((rank, positive, a + low, a + high, tags[low:high], int(files[i])))
+            for sort, kept in lowest.items():
+                kept.add([r[0] for r in rows if r[1] == sort])
+            rows = [r for r in rows if r[0] <= lowest[r[1]].limit()]
+            names = ["rank", "positive", "words", "near", "tags", "file"]
+            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
+            rows = [(rank, positive, words.distinct.take(pa.array(words.at[a:z])).to_pylist(), near[a:z].reshape(-1).tolist(), tags, file) for rank, positive, a, z, tags, file in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+
+    found = stash(docs.select("text").mapInArrow(work, "rank long, positive boolean, words array<string>, near array<int>, tags array<int>, file int"), "windows")
+    least = lambda flag: found.where(f"positive = {flag}").distinct().orderBy("rank", "words", "near", "tags", "file").limit(sample)
     return least("true").unionByName(least("false"))
 
 
@@ -216,21 +253,21 @@ class Field:
         self.start, self.end = np.zeros(3), np.zeros(3)
 
     def fit(self, rows: list, rounds: int = 120, rate: float = 0.3, l2: float = 1e-4) -> Field:
-        """Maximum likelihood over windows (words, tags, file), by Adam on full batches; forward-backward over all windows at once."""
+        """Maximum likelihood over windows (words, near, tags, file), by Adam on full batches; forward-backward over all windows at once."""
         length = max(len(r["words"]) for r in rows)
+        distinct = pa.array(sorted({w for r in rows for w in r["words"]}), pa.large_string())
+        plain = is_plain(distinct)
+        own = {w: [0] if p else shapes(w) for w, p in zip(distinct.to_pylist(), plain.tolist())}
         slots = 12 + 4
         x = np.full((len(rows), length, slots), self.at[-1], np.int32)
         y = np.zeros((len(rows), length), np.int64)
         mask = np.zeros((len(rows), length), bool)
         for i, r in enumerate(rows):
-            c = [CLASS["plain"] if re.search(r"^[^\W\d_]{1,24}[.,;:!?]*$", w) and not re.search(KEY_WORD, w) else word_class(w) for w in r["words"]]
             for k, w in enumerate(r["words"]):
-                own = [0] if c[k] == CLASS["plain"] else shapes(w)
-                near = [c[k - 2] if k > 1 else 0, c[k - 1] if k else 0, c[k + 1] if k + 1 < len(c) else 0]
-                f = own + [self.at[1 + j] + v for j, v in enumerate(near)] + [self.at[4] + r["file"]]
+                f = own[w] + [self.at[1 + j] + v for j, v in enumerate(r["near"][3 * k : 3 * k + 3])] + [self.at[4] + r["file"]]
                 x[i, k, : len(f)] = f
-            y[i, : len(c)] = r["tags"]
-            mask[i, : len(c)] = True
+            y[i, : len(r["words"])] = r["tags"]
+            mask[i, : len(r["words"])] = True
         n, steps = len(rows), np.arange(length)
         last = mask.sum(1) - 1
         padded = np.zeros((self.at[-1] + 1, 3))
@@ -277,7 +314,7 @@ class Field:
         """Scores of each word's tags."""
         own = np.tile(self.w[0], (len(words.distinct), 1))
         for i, w in zip(words.odd.tolist(), words.odd_words):
-            own[i] = self.w[shapes(w[:200])].sum(0)
+            own[i] = self.w[shapes(w)].sum(0)
         e = own[words.at]
         for j, c in enumerate(words.neighbours()):
             e += self.w[self.at[1 + j] : self.at[2 + j]][c]
@@ -335,7 +372,12 @@ def secrets_of(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """A field for the corpus; None if the patterns find nothing to learn from. At most 2 * sample short windows come to the driver."""
-    rows = sorted(windows(docs, sample).collect(), key=lambda r: (r["rank"], r["words"]))
+    # a share of the texts that is expected to have four times the windows needed; all of them where it has too few
+    share = min(1.0, 4 * sample / max(1, docs.count()))
+    rows = windows(docs, sample, share).collect()
+    if share < 1 and sum(not r["positive"] for r in rows) < sample:
+        rows = windows(docs, sample).collect()
+    rows.sort(key=lambda r: (r["rank"], r["words"]))
     return Field().fit(rows) if any(r["positive"] for r in rows) else None
 
 
