@@ -5,23 +5,32 @@ mark precedes directly, so chunks have two lines or more and boundaries depend o
 come back in step soon after an insertion. Chunks of several lines that occur more than once in the corpus
 are removed everywhere but at their first place (by doc_id, then place), after their bytes are compared.
 
-Everything is DataFrame expressions. Only chunk hashes are counted for all documents; chunk texts are
-gathered for hashes that repeat, and grouped as texts, which is the byte comparison. Hot chunks are
-aggregated before the shuffle. Small tables of decisions are broadcast, larger ones joined by a shuffle.
+A passage seldom begins and ends at boundaries, so repeats are followed beyond them line by line: pairs of
+neighbouring lines that the rolling window covers, and single lines of ``long_line`` words, are counted and
+compared in the same way. A stretch of lines that stand elsewhere before is removed if it holds a repeated
+chunk, or has ``long_line`` words; chunks themselves need no length, but a word.
+
+Everything is DataFrame expressions. Only hashes are counted for all documents; texts are gathered for
+hashes that repeat, and grouped as texts, which is the byte comparison. Hot chunks are aggregated before
+the shuffle. Tables of hashes and places are broadcast if they are small by their bytes, else joined by a
+shuffle; texts are never broadcast.
 
 Null text stays null; empty text stays empty; rows alike in doc_id and text are one document, of which all
-rows keep the same; null ids come first; extra columns pass through; an empty table gives no rows.
+rows keep the same; null ids come first; extra columns pass through, those named like a result (n_lines,
+n_removed_lines) under their own name beside it, which is then renamed with a trailing underscore; ties
+don't occur, as no two places are the same; an empty table gives no rows. A very long text is handled by
+one task, in memory of a few times its size and in time that follows its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import n_words, stash
+from tracewright.llm.common import WORD, n_words, sized, stash
 
-#: Rows beyond which a table of repeated hashes or decisions is joined by a shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
+#: Sorts of units: a content-defined chunk, two lines in a row, a long line.
+CHUNK, PAIR, LINE = 0, 1, 2
 
 
 def hashed_lines(text: Column) -> tuple[Column, Column]:
@@ -31,52 +40,80 @@ def hashed_lines(text: Column) -> tuple[Column, Column]:
     return lines, F.transform(lines, value)
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds __row (a number for the row's id and text) and __chunks."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+def with_units(docs: DataFrame, long_line: int, texts: bool) -> DataFrame:
+    """doc_id, row (a number for the row's id and text), sort, at, size, hash (of sort and text) and, if asked for, text of each unit."""
     lines, values = hashed_lines(F.col("text"))
-    rows = rows.withColumn("__lines", lines).withColumn("__values", values)
-    v = F.col("__values")
-    marked = F.transform("__values", lambda x, i: F.when(i > 0, F.pmod(F.get(v, i - 1) * 31 + x, F.lit(1021)) < 510).otherwise(F.lit(False)))
-    rows = rows.withColumn("__marks", F.when(F.size(v) >= 0, marked))
-    m = F.col("__marks")
-    n = F.size("__lines")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), lines.alias("lines"), values.alias("v"))
+    v, n = F.col("v"), F.size("lines")
+    marked = F.transform("v", lambda x, i: F.when(i > 0, F.pmod(F.get(v, i - 1) * 31 + x, F.lit(1021)) < 510).otherwise(F.lit(False)))
+    rows = rows.withColumn("m", F.when(n >= 0, marked))
+    m, all_lines = F.col("m"), F.col("lines")
     ends = F.filter(F.transform(m, lambda x, i: F.when((i == n - 1) | (x & ~F.coalesce(F.get(m, i - 1), F.lit(False))), i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("__ends", ends)
-    e, all_lines = F.col("__ends"), F.col("__lines")
-    rows = rows.withColumn("__starts", F.concat(F.array(F.lit(0)), F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0)))))
-    chunks = F.zip_with("__starts", e, lambda a, z: F.array_join(F.slice(all_lines, a + 1, z - a), "\n"))
-    return rows.withColumn("__chunks", F.when(n > 0, chunks)).drop("__values", "__marks", "__ends", "__starts", "__lines")
-
-
-def placed(rows: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, row, at, chunk, hash of chunks that count: several lines, and words enough."""
+    rows = rows.withColumn("ends", ends)
+    e = F.col("ends")
+    starts = F.concat(F.array(F.lit(0)), F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))))
+
+    def unit(sort: int, at: Column, size: Column, text: Column) -> Column:
+        out = [F.lit(sort).alias("sort"), at.alias("at"), size.alias("size"), F.xxhash64(F.lit(sort), text).alias("hash")]
+        return F.struct(*out, *([text.alias("text")] if texts else []))
+
+    chunks = F.zip_with(starts, e, lambda a, z: F.when(z - a > 1, unit(CHUNK, a, z - a, F.array_join(F.slice(all_lines, a + 1, z - a), "\n"))))
+    pairs = F.transform(all_lines, lambda x, i: F.when(i < n - 1, unit(PAIR, i, F.lit(2), F.concat(x, F.lit("\n"), F.get(all_lines, i + 1)))))
+    # a text of so many characters at least: counting words is for long lines only
+    enough = lambda x: (F.length(x) >= 2 * long_line - 1) & (n_words(x) >= long_line)
+    singles = F.transform(all_lines, lambda x, i: F.when(enough(x), unit(LINE, i, F.lit(1), x)))
+    units = F.filter(F.concat(chunks, pairs, singles), lambda u: u.isNotNull())
     # outer, as Spark would else repeat the whole chain of expressions in a filter before it
-    out = rows.select("doc_id", F.col("__row").alias("row"), F.posexplode_outer("__chunks").alias("at", "chunk"))
-    return out.where(F.contains("chunk", F.lit("\n"))).where(n_words("chunk") >= min_words).withColumn("hash", F.xxhash64("chunk"))
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is a stash of few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def dedup(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """docs with text shortened, and n_lines and n_removed_lines of each row."""
-    rows = with_chunks(docs)
-    narrow = placed(with_chunks(docs.select("doc_id", "text")), min_words)
-    repeated = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("again"))
-    repeated = stash(repeated, "repeated")
-    some = stash(narrow.join(sized(repeated), F.col("hash") == F.col("again"), "left_semi"), "candidates")
+    return rows.select("doc_id", "row", F.explode_outer(F.when(n > 0, units)).alias("u")).where("u is not null").select("doc_id", "row", "u.*")
+
+
+def first_places(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hash, first) of hashes that one repeated text has, and (hash, text, first) of repeated texts where several share a hash."""
+    place = F.struct("doc_id", "row", "at").alias("place")
+    texts = stash(some.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count("*").alias("n")), "texts")
+    single = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.min("n").alias("n"))
+    mixed = stash(single.where("texts > 1").select("hash"), "mixed")
+    plain = stash(single.where("texts = 1 and n > 1").select("hash", "first"), "firsts")
+    return plain, texts.where("n > 1").join(sized(mixed), "hash", "left_semi").select("hash", "text", "first")
+
+
+def gone_lines(docs: DataFrame, long_line: int) -> DataFrame:
+    """row, gone: sorted numbers of the lines of each document (doc_id, text) that go."""
+    counted = with_units(docs, long_line, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    repeated = stash(counted, "repeated")
+    some = with_units(docs, long_line, True).join(sized(repeated), "hash", "left_semi").where(F.col("text").rlike(WORD))
+    some = stash(some.withColumn("words", F.when(F.col("sort") != CHUNK, F.transform(F.split("text", "\n"), n_words))), "candidates")
+    plain, mixed = first_places(some)
     place = F.struct("doc_id", "row", "at")
-    firsts = some.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = stash(firsts.select(F.col("hash").alias("of"), F.col("chunk").alias("text_of"), "first"), "firsts")
-    gone = some.join(sized(firsts), (F.col("hash") == F.col("of")) & (F.col("chunk") == F.col("text_of"))).where(~place.eqNullSafe(F.col("first")))
-    gone = stash(gone.groupBy("row").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("row", "__of"), "gone")
-    rows = rows.join(sized(gone), F.col("__row") == F.col("__of"), "left")
-    gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
-    rows = rows.withColumn("__kept", F.filter("__chunks", lambda c, i: ~F.array_contains(gone_at, i)))
-    count = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(F.split(x, "\n"))), F.lit(0)).cast("long")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    rows = rows.withColumns({"n_lines": count("__chunks"), "n_removed_lines": count("__chunks") - count("__kept"), "text": text})
-    return rows.select(*docs.columns, "n_lines", "n_removed_lines")
+    units = some.select("hash", place.alias("place"), "row", "sort", "at", "size", "words")
+    later = units.join(sized(plain), "hash").where(~F.col("place").eqNullSafe(F.col("first"))).drop("place", "first", "hash")
+    if not mixed.isEmpty():
+        again = some.select("hash", "text", place.alias("place"), "row", "sort", "at", "size", "words").join(mixed, ["hash", "text"])
+        later = later.unionByName(again.where(~F.col("place").eqNullSafe(F.col("first"))).select(later.columns))
+    lines = later.select("row", (F.col("sort") == CHUNK).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"), "at", "words")
+    lines = lines.select("row", (F.col("at") + F.col("k")).alias("line"), "whole", F.get("words", F.col("k")).alias("words"))
+    lines = lines.groupBy("row", "line").agg(F.bool_or("whole").alias("whole"), F.max("words").alias("words"))
+    # lines in a row have the same difference from their rank; a window holds lines of one document
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("line"))
+    stretches = stash(lines.withColumn("stretch", F.col("line") - rank), "stretches")
+    goes = stretches.groupBy("row", "stretch").agg((F.bool_or("whole") | (F.sum("words") >= long_line)).alias("goes"), F.array_sort(F.collect_list("line")).alias("lines"))
+    return goes.where("goes").groupBy("row").agg(F.flatten(F.array_sort(F.collect_list("lines"))).alias("gone"))
+
+
+def dedup(docs: DataFrame, long_line: int = 50) -> DataFrame:
+    """docs with text shortened, and n_lines and n_removed_lines of each row."""
+    gone = stash(gone_lines(docs.select("doc_id", "text"), long_line), "gone")
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: name if name.lower() not in taken else free(f"{name}_")
+    of, lines_gone = free("gone_of"), free("gone_lines")
+    small = gone.select(F.col("row").alias(of), F.col("gone").alias(lines_gone))
+    rows = docs.join(sized(small), F.xxhash64("doc_id", "text") == F.col(of), "left")
+    lines, g = F.split("text", "\n"), F.col(lines_gone)
+    before = lambda k: F.when(k > 0, F.get(g, k - 1) + 1).otherwise(F.lit(0))
+    after = lambda k: F.coalesce(F.get(g, k), F.size(lines))
+    # what stands between one line that goes and the next
+    parts = F.transform(F.sequence(F.lit(0), F.size(g)), lambda k: F.slice(lines, before(k) + 1, after(k) - before(k)))
+    text = F.when(g.isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(F.lit(0)).cast("long").alias(free("n_lines"))
+    n_gone = F.when(g.isNotNull(), F.size(g)).otherwise(F.lit(0))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines, n_gone.cast("long").alias(free("n_removed_lines")))
