@@ -27,6 +27,14 @@ def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     return ChunkEncoder(path, dtype)
 
 
+@functools.cache
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizers JSON file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 class ChunkEncoder:
     """Encodes texts as the tokenizer does, but looks known chunks of them up.
 

@@ -2,15 +2,17 @@
 
 ``write`` range-partitions documents by id, encodes each partition in id order and writes one Arrow
 file per partition: record batches of equal numbers of sequences, each a fixed-size list of ``seq_len``
-ids beside a fixed-size list of mask bits (false: padding after the partition's last id). Batches are
-uncompressed, so a memory map gives any sequence without copying. The index, a Parquet table, has a
-row per document: file, place of its first id in that file, number of ids.
+ids beside a fixed-size list of mask bytes (0: padding after the partition's last id, else 1). Batches are
+uncompressed, so a memory map gives any sequence and its mask without copying. The index, a Parquet table,
+has a row per document: file, place of its first id in that file, number of ids.
 
 A file's name holds the task attempt, and the index names the files of committed attempts only; what
 lost or speculative attempts leave behind is never read.
 
 Null text is an empty document (its end id alone); null ids sort first; repeated rows are documents of
-their own; other columns of the input are ignored; an empty table gives an empty index.
+their own, and rows of one id stand in any order; other columns of the input are ignored, whatever their
+names; an empty table gives an empty index. A very long text is encoded by one task, in memory of a few
+times its size; it is written in record batches.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import scratch
-from tracewright.llm.encoding import encoder
+from tracewright.llm.encoding import encoder, largest_id
 from tracewright.llm.shingles import batches_of
 
 INDEX = "part int, file string, doc_id long, local_start long, n_tokens long"
@@ -34,7 +36,7 @@ BATCH_ROWS = 256
 
 
 def schema(seq_len: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 class SequenceWriter:
@@ -65,7 +67,7 @@ class SequenceWriter:
         rows = -(-self.used // self.seq_len)
         if rows:
             self.room[self.used : rows * self.seq_len] = 0
-            mask = np.arange(rows * self.seq_len) < self.used
+            mask = (np.arange(rows * self.seq_len) < self.used).astype(np.uint8)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.seq_len) for v in (self.room[: rows * self.seq_len], mask)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.used = 0
@@ -86,18 +88,18 @@ class SequenceFile:
         self.source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.seq_len = self.reader.schema.field("ids").type.list_size
-        self.at, self.flat, self.bits = -1, None, None
+        self.at, self.flat, self.mask = -1, None, None
 
     def batch(self, k: int) -> None:
         if k != self.at:
             b = self.reader.get_batch(k)
-            self.at, self.flat, self.bits = k, b.column(0).values.to_numpy(zero_copy_only=True), b.column(1)
+            self.at, (self.flat, self.mask) = k, (b.column(c).values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of sequence i."""
+        """Ids and mask of sequence i, both views of the file."""
         self.batch(i // BATCH_ROWS)
-        j = i % BATCH_ROWS
-        return self.flat[j * self.seq_len : (j + 1) * self.seq_len], np.array(self.bits[j].as_py())
+        here = slice(i % BATCH_ROWS * self.seq_len, (i % BATCH_ROWS + 1) * self.seq_len)
+        return self.flat[here], self.mask[here]
 
     def span(self, start: int, n: int) -> np.ndarray:
         """The n ids from place start on."""
@@ -113,14 +115,14 @@ class SequenceFile:
         self.source.close()
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 2048, vocab: int = 50_257, to: str | None = None, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 2048, to: str | None = None, parts: int | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) into Arrow files below ``to`` and returns the index.
 
-    Ids take two bytes where the vocabulary allows it. ``parts``: number of range partitions
+    Ids take two bytes where the tokenizer's largest one and the end id allow it. ``parts``: number of range partitions
     (default: spark.sql.shuffle.partitions).
     """
     to = to or scratch(docs.sparkSession, "token-files")
-    wide = vocab > 65_536
+    wide = max(largest_id(tokenizer), end_id) > 65_535
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, out = encoder(tokenizer, "<u4" if wide else "<u2"), None
