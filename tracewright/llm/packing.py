@@ -6,14 +6,17 @@ the best dual-feasible-function lower bound of its lengths. A partition that mee
 certified: no packing of its pieces needs fewer sequences. Partitions with a gap, and the emptiest
 sequence of every other one, exchange their documents: these are dealt anew and packed again, and the
 new packing counts if it needs fewer sequences. Rounds end when the bound of all lengths together is
-met or an exchange gains nothing.
+met or an exchange gains nothing; as each one before takes fewer sequences, they do end.
 
-Null text is an empty document (its end id alone); repeated rows are packed each for itself; null ids
-and extra columns are harmless (only doc_id and text are read); an empty table gives no rows.
+Null text is an empty document (its end id alone); repeated rows are packed each for itself; pieces alike
+in length go in the order of a number that each row gets; null ids and extra columns are harmless (only
+doc_id and text are read); an empty table gives no rows. A very long text is encoded by one task, in
+memory of a few times its size.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -120,7 +123,7 @@ def pack_parts(pieces: DataFrame, parts: int, salt: int, capacity: int) -> DataF
 PIECES_KEPT = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_part: int = 8192, rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_part: int = 8192) -> DataFrame:
     """Sequence and offset of each piece (doc_id, piece, start, length, ids_crc32; lengths 1 to capacity)."""
     pieces = stash(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.col("uid") - 1, "offset": F.lit(0).cast("long")})
@@ -135,12 +138,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows_per_part: int = 8192, rou
         shape = lambda n: max(1, -(-n // rows_per_part))
         now = stash(pack_parts(rest, shape(n), 0, capacity), "packed")
         settled = 0
-        for k in range(rounds):
+        for k in itertools.count():
             now = now.withColumn("sequence_id", (F.lit(k).cast("long") * (1 << 24) + F.col("part")) * (1 << 24) + F.col("bin"))
             per_bin = now.groupBy("part", "bin", "bins", "bound").agg(F.max("fill").alias("fill"))
             emptiest = per_bin.groupBy("part").agg(F.min_by(F.struct("bin", "fill"), F.struct("fill", "bin")).alias("least"), F.max("bins").alias("n"), (F.max("bins") > F.max("bound")).alias("gap"))
             used = emptiest.agg(F.sum("n"), F.count("*")).first()
-            if k == rounds - 1 or used[0] + settled <= bound or used[1] == 1:
+            if used[0] + settled <= bound or used[1] == 1:
                 break
             to = emptiest.select("part", "gap", F.col("least.bin").alias("least"))
             marked = now.join(to, "part").withColumn("moves", F.col("gap") | (F.col("bin") == F.col("least")))
