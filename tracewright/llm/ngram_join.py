@@ -1,30 +1,39 @@
 """Exact Jaccard self-join on word shingles by T-occurrence search, down to connected components.
 
-Documents with equal shingle sets form a class; from there on a class stands for its documents.
-
-1. *Prefix pass.* Under the order of hash values, two sets with Jaccard t or more share at least l of their
-   first n - ceil(t n) + l shingles. Those are indexed by shingle; a class that shares fewer of them with
-   any other class has no partner and leaves. This is what most documents do.
-2. *Full pass.* All shingles of the classes that remain are indexed. A class needs T = ceil(t n) shared
-   shingles at least, or it leaves. Its T - 1 longest lists are set aside, as DivideSkip does: any partner
-   must also be in one of the others. Lists that many documents share (licences, quoted passages) are so
-   set aside wherever that is exact, and never make pairs.
-3. *Links.* Each class is first compared with one class: the one that leads most of its lists,
-   which is likely the original that others copy. Those that
-   are linked share a component; then only pairs of different components that meet in a list, often enough
-   for the overlap they need, are left to compare. A group of alike documents costs one comparison each.
-   Overlaps are counted by DivideSkip on whole sets: short lists are merged, long ones probed.
+Documents with equal shingle sets form a class; from there on a class stands for its documents. A class
+of n shingles needs T = ceil(t n) in common with any partner, so it is a query that asks for the classes
+that occur T times in the inverted lists of its shingles, as DivideSkip answers it: the T - 1 longest lists
+are set aside, the short ones are merged, and a class that is found there often enough is looked for in
+the long ones by bisection. What differs from the algorithm on one machine is where its steps run:
+
+1. *Queries without an answer.* Under the order of hash values, two sets with Jaccard t or more share at
+   least l of their first n - ceil(t n) + l shingles. Those are indexed first; a class that shares fewer of
+   them with any other has no partner and asks nothing. This is what most documents do.
+2. *Lists.* All shingles of the classes that remain are indexed. A class with fewer than T shared ones
+   leaves; its T - 1 longest lists are set aside. Lists that many documents share (licences, quoted
+   passages) never make pairs so.
+3. *Merging and probing.* A list is spread over tasks, so the short lists of all queries are merged by a
+   join on shingle and a count for each pair, not by one heap. Before that, each class is compared with the
+   class that leads most of its lists, likely the original that others copy; linked ones share a component,
+   and pairs within one are not counted any more, so a group of alike documents costs one comparison each.
+   Candidates then meet in one group for each query (of at most about GROUP_ROWS), where DivideSkip runs as
+   published: a heap merges the short lists of the query, long ones are probed, on whole sets.
 
 Indexes travel as arrays (a row holds the postings of a batch for one bucket of shingles); buckets and
-groups are bounded by the number of buckets, which follows spark.sql.shuffle.partitions.
+groups are bounded by the number of buckets, which follows spark.sql.shuffle.partitions. Lists hold 31 bits
+of a shingle's hash beside its bucket, so that two shingles may share a list: this makes more candidates,
+never fewer (see ``apart``). Comparisons use whole sets of 64-bit hashes.
 
 Null text and texts without words have no shingles and link with nothing; equal rows are in one
-component; null ids take part, and a component's id is its smallest non-null one; other columns are
-ignored; an empty table gives no rows.
+component; null ids take part, and a component's id is its smallest non-null one; ties (lists of one
+length, leaders of as many lists) go by hash; other columns are ignored, whatever their names; an empty
+table gives no rows. A very long text is hashed in one task, in memory of about 50 times its size.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -35,13 +44,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import stash
+from tracewright.llm.common import sized, stash
 from tracewright.llm.shingles import U2, U4, U8, Sets, batches_of, shingle_sets
 
 #: Classes beyond which a list of them is no longer broadcast but joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Comparisons with one class that go to one group.
 GROUP_ROWS = 1000
+#: Copies from which on a class meets its documents by a broadcast.
+HOT = 500
 
 BLOBS = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 
@@ -91,18 +102,32 @@ def index(docs: DataFrame, width: int, buckets: int, prefix: Callable[[np.ndarra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, BLOBS)
 
 
+def apart(short: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Shortened shingles of sets (place tells which) with those that fall together in a set moved up to free numbers.
+
+    What a set then takes up only depends on what is in it, and a part of it never takes up anything else: two sets
+    have as many numbers in common as they have shingles in common, at least.
+    """
+    order = np.lexsort((short, place))
+    key = (place[order].astype(np.int64) << 33) + short[order].astype(np.int64)
+    step = np.arange(len(key))
+    out = np.empty(len(short), np.int64)
+    out[order] = (np.maximum.accumulate(key - step) + step) & ((1 << 33) - 1)
+    return out.astype(U4)
+
+
 def tiles(sets: Sets, sig: np.ndarray, keep: np.ndarray, buckets: int) -> list[tuple]:
-    """One row per bucket: 32 bits of each posting's shingle, its document's place, and the signatures and sizes by place."""
+    """One row per bucket: 31 bits of each posting's shingle, apart within a document, its document's place, and the signatures and sizes by place."""
     tokens, doc = sets.tokens[keep], sets.doc[keep]
     bucket = (tokens % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    short, doc = ((tokens >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(U4)[order], doc[order]
+    short, doc = ((tokens >> np.uint64(20)) & np.uint64(0x7FFFFFFF)).astype(U4)[order], doc[order]
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
     out, begin = [], 0
     for k, end in enumerate(ends.tolist()):
         if end > begin:
             places, place = np.unique(doc[begin:end], return_inverse=True)
-            out.append(row(k, 1, short[begin:end], place.astype(U4 if len(places) > 65_535 else U2), sig[places], sets.n[places].astype(U4)))
+            out.append(row(k, 1, apart(short[begin:end], place), place.astype(U4 if len(places) > 65_535 else U2), sig[places], sets.n[places].astype(U4)))
         begin = end
     return out
 
@@ -201,7 +226,7 @@ def overlaps(query: np.ndarray, others: list[np.ndarray], least: np.ndarray) ->
     """Which of the others (sorted arrays) share least[i] elements or more with query, by DivideSkip.
 
     The others' elements are inverted into lists by element of the query. The longest lists are set aside;
-    the short ones are merged to count each candidate, and a candidate that can still reach its overlap is
+    the short ones are merged by a heap to count each candidate, and a candidate that can still reach its overlap is
     searched for in the long ones by bisection.
     """
     elements = np.concatenate(others) if others else query[:0]
@@ -209,7 +234,8 @@ def overlaps(query: np.ndarray, others: list[np.ndarray], least: np.ndarray) ->
     at = np.searchsorted(query, elements)
     at[at == len(query)] = 0
     hit = query[at] == elements if len(query) else np.zeros(len(elements), bool)
-    at, owner = at[hit], owner[hit]
+    order = np.argsort(at[hit], kind="stable")
+    at, owner = at[hit][order], owner[hit][order]
     length = np.bincount(at, minlength=len(query))
     # as many long lists as DivideSkip's rule of thumb gives, and fewer than the least overlap asked for
     fewest, longest = int(least.min()) if len(least) else 0, int(length.max()) if len(length) else 0
@@ -217,7 +243,12 @@ def overlaps(query: np.ndarray, others: list[np.ndarray], least: np.ndarray) ->
     is_long = np.zeros(len(query), bool)
     if aside and longest > 1:
         is_long[np.argsort(-length, kind="stable")[:aside]] = True
-    count = np.bincount(owner[~is_long[at]], minlength=len(others))
+    ends = np.cumsum(length)
+    short = [owner[e - n : e].tolist() for e, n in zip(ends[~is_long].tolist(), length[~is_long].tolist()) if n]
+    count = np.zeros(len(others), np.int64)
+    # the heap gives owners in order, each as often as it occurs
+    for i, group in itertools.groupby(heapq.merge(*short)):
+        count[i] = sum(1 for _ in group)
     hopeful = (count > 0) & (count + int(is_long.sum()) >= least)
     probe = query[is_long]
     for i in np.flatnonzero(hopeful).tolist():
@@ -326,9 +357,9 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     prefix = lambda n: n - need(n, percent) + spare(n)
     first = stash(lists(index(docs, width, buckets, prefix), buckets), "prefix-lists")
     rows = stash(documents_of(first), "sets")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     hopeful = survivors(first, lambda n: spare(need(n, percent)), False)
-    left = stash(hopeful.join(classes.drop("n"), "sig").select("sig", "doc_id"), "hopeful")
+    left = stash(hopeful.join(classes.select("sig", "doc_id"), "sig").select("sig", "doc_id"), "hopeful")
     count = left.count()
     chosen = restricted(docs, left, count)
     second = lists(index(chosen, width, buckets, None), buckets)
@@ -361,6 +392,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     named = groups.join(degree, "sig").join(classes.select("sig", "doc_id"), "sig")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "comp").select("sig", "n_links", "component_id")
-    alone = classes.select("sig", F.col("doc_id").alias("own_id"))
-    out = rows.join(alone.join(named, "sig", "left").select("sig", F.coalesce("component_id", "own_id").alias("component_id"), "n_links"), "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = classes.select("sig", "doc_id", "copies").join(named, "sig", "left").select("sig", "copies", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    known = stash(known, "classes")
+    # classes of many copies are few: at most one for so many documents
+    hot = stash(known.where(F.col("copies") >= HOT), "hot-classes").select("sig", "component_id", "n_links", F.lit(True).alias("hot"))
+    full = rows.where("n > 0").join(sized(hot), "sig", "left")
+    cold = full.where("hot is null").drop("component_id", "n_links").join(known.where(F.col("copies") < HOT).select("sig", "component_id", "n_links"), "sig")
+    found = full.where("hot").select("doc_id", "n", "component_id", "n_links").union(cold.select("doc_id", "n", "component_id", "n_links"))
+    found = found.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
