@@ -63,16 +63,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-v AS (SELECT *, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) AS v FROM l),
+v AS (SELECT *, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) AS v, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
 m AS (SELECT *, i > 0 AND (lag(v, 1, 0) OVER w * 31 + v) % 1021 < 510 AS m FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT *, m AND NOT lag(m, 1, FALSE) OVER w AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM c GROUP BY doc_id, k),
-f AS (SELECT *, n > 1 AND len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 10
-        AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM g)
-SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text
-FROM documents d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id GROUP BY d.doc_id
+u AS (SELECT doc_id, 0 AS sort, min(i) AS place, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS unit FROM c GROUP BY doc_id, k HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 1, i, 2, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) FROM l UNION ALL SELECT doc_id, 2, i, 1, line FROM v WHERE words >= 50),
+f AS (SELECT *, row_number() OVER (PARTITION BY sort, unit ORDER BY doc_id, place) > 1 AS later FROM u WHERE regexp_matches(unit, '[^\x20\x09-\x0D]')),
+n AS (SELECT doc_id, i, bool_or(sort = 0) AS whole FROM (SELECT doc_id, sort, unnest(range(place, place + size)) AS i FROM f WHERE later) GROUP BY doc_id, i),
+s AS (SELECT n.doc_id, n.i, whole, words, n.i - row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i) AS stretch FROM n JOIN v ON v.doc_id = n.doc_id AND v.i = n.i),
+x AS (SELECT doc_id, i, bool_or(whole) OVER w OR sum(words) OVER w >= 50 AS gone FROM s WINDOW w AS (PARTITION BY doc_id, stretch)),
+y AS (SELECT l.*, coalesce(gone, FALSE) AS gone FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i)
+SELECT d.doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text
+FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id GROUP BY d.doc_id
 """
 
 
@@ -93,7 +97,7 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s0),
 s2 AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio FROM s1),
@@ -102,10 +106,15 @@ s3 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_s
        WINDOW b AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min(level, ratio) AS level FROM s3 WHERE ratio >= level),
 s4 AS (SELECT s3.source, source_size, CASE WHEN l.level IS NULL OR ratio <= l.level THEN source_size * 2.0::DOUBLE ELSE l.level * weight END AS target FROM s3, l),
+w AS (SELECT source, size, (length(to_base(size + 1, 2)) + 3) / 4.0::DOUBLE AS wish FROM d),
+w0 AS (SELECT source, wish, CAST(sum(size) AS BIGINT) AS words FROM w GROUP BY source, wish),
+w1 AS (SELECT w0.*, source_size, target, (target - coalesce(sum(words) OVER a, 0) * 2.0::DOUBLE) / nullif(sum(wish * words) OVER (PARTITION BY w0.source) - coalesce(sum(wish * words) OVER a, 0), 0) AS scale
+       FROM w0 JOIN s4 ON w0.source IS NOT DISTINCT FROM s4.source WINDOW a AS (PARTITION BY w0.source ORDER BY wish DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w2 AS (SELECT source, arg_max(scale, wish) AS scale, max(wish) AS top FROM w1 WHERE scale * wish < 2 GROUP BY source),
 r AS (SELECT d.doc_id, d.source, size, source_size, target,
-        CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0 END AS copies,
-        (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+        CASE WHEN source_size = 0 THEN 0 WHEN top IS NULL OR (length(to_base(size + 1, 2)) + 3) / 4.0::DOUBLE > top THEN 2.0::DOUBLE ELSE greatest(0, scale * ((length(to_base(size + 1, 2)) + 3) / 4.0::DOUBLE)) END AS copies,
+        (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source LEFT JOIN w2 ON d.source IS NOT DISTINCT FROM w2.source),
 q AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS p FROM r),
 k AS (SELECT *, CASE WHEN p > 0 THEN u / (1.0::DOUBLE - u) / (p / (1.0::DOUBLE - p)) END AS rnk FROM q),
 c AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size END) OVER (PARTITION BY source ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
