@@ -39,27 +39,36 @@ def corpus(spark, tmp_path_factory):
 
 
 def brute_lines(rows):
-    chunks, seen, out = {}, set(), {}
-    for k, text in rows.items():
-        lines = text.split("\n")
+    """Units (chunks, pairs of lines, long lines) that stand elsewhere before, then the stretches of lines that they make."""
+    seen, out = set(), {}
+    for k in sorted(rows):
+        lines = rows[k].split("\n")
+        n = len(lines)
         v = [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in lines]
-        marks = [i > 0 and (v[i - 1] * 31 + v[i]) % 1021 < 510 for i in range(len(v))]
-        chunks[k], start = [], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or marks[i] and not marks[i - 1]:
-                chunks[k].append(lines[start : i + 1])
+        marks = [i > 0 and (v[i - 1] * 31 + v[i]) % 1021 < 510 for i in range(n)]
+        units, start = [(1, i, i + 2) for i in range(n - 1)] + [(2, i, i + 1) for i in range(n) if len(WORD.findall(lines[i])) >= 50], 0
+        for i in range(n):
+            if i == n - 1 or marks[i] and not marks[i - 1]:
+                units += [(0, start, i + 1)] * (i > start)
                 start = i + 1
-    for k in sorted(chunks):
-        kept = []
-        for c in chunks[k]:
-            text = "\n".join(c)
-            counts = len(c) > 1 and len(WORD.findall(text)) >= 10
-            if not counts or text not in seen:
-                kept.append(text)
-            if counts:
-                seen.add(text)
-        if kept:
-            out[k] = "\n".join(kept)
+        later, whole = set(), set()
+        for sort, a, z in sorted(units, key=lambda u: u[1]):
+            text = "\n".join(lines[a:z])
+            if WORD.search(text):
+                if (sort, text) in seen:
+                    later.update(range(a, z))
+                    whole.update(range(a, z) if sort == 0 else ())
+                seen.add((sort, text))
+        gone, i = set(), 0
+        while i < n:
+            j = i
+            while j in later:
+                j += 1
+            if whole & set(range(i, j)) or sum(len(WORD.findall(x)) for x in lines[i:j]) >= 50:
+                gone.update(range(i, j))
+            i = max(j, i + 1)
+        if len(gone) < n:
+            out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -79,16 +88,27 @@ def brute_mix(rows):
         free -= over or free
     out = {}
     for s in order:
-        f = target[s] / size[s] if size[s] else 0.0
-        whole, p = int(f), f - int(f)
-        own = []
-        for k, source, n in rows:
-            if source == s:
-                u = (int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                own.append((u, k, n))
-        so_far, lacks = 0, target[s] - whole * size[s]
-        for _, k, n in sorted(own):
-            out[k] = whole + (p > 0 and so_far + n / 2 <= lacks)
+        own = [(k, n, (len(f"{n + 1:b}") + 3) / 4) for k, source, n in rows if source == s]
+        full, scale = set(), 0.0
+        while len(full) < len(own):
+            free = [(w, n) for k, n, w in own if k not in full]
+            scale = (target[s] - 2 * sum(n for k, n, _ in own if k in full)) / max(1e-9, sum(w * n for w, n in free))
+            over = {k for k, _, w in own if k not in full and scale * w >= 2}
+            full |= over
+            if not over:
+                break
+        ranked, lacks = [], target[s]
+        for k, n, w in own:
+            f = 0.0 if not size[s] else 2.0 if k in full else scale * w
+            whole, p = int(f), f - int(f)
+            out[k] = whole
+            lacks -= whole * n
+            u = (int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if p > 0:
+                ranked.append((u / (1 - u) / (p / (1 - p)), k, n))
+        so_far = 0
+        for _, k, n in sorted(ranked):
+            out[k] += so_far + n / 2 <= lacks
             so_far += n
     return out
 

@@ -61,7 +61,7 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    docs = docs.union(spark.createDataFrame([(14, "a<|endoftext|>b", None, None, None, 0)], DOCS))
     index = token_files.write(docs, queries.vocabulary("byte_bpe_50k.json"), seq_len=64, parts=3)
     rows = sorted(token_files.read(token_files.placed(index), with_ids=True).collect(), key=lambda r: r.start)
     assert len(rows) == docs.count() and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
@@ -71,9 +71,14 @@ def test_token_files(spark, docs):
         assert (r.start, r.n_tokens, r.ids) == (at, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
-    name = index.first().file
-    ids, mask = token_files.SequenceFile(name).sequence(0)
-    assert len(ids) == len(mask) == 64 and mask[0] and ids.base is not None
+    file = token_files.SequenceFile(index.first().file)
+    (ids, mask), (more, _) = file.sequence(0), file.sequence(1)
+    assert len(ids) == len(mask) == 64 and mask.all() and mask.dtype == np.uint8
+    # views of one buffer each, the file's own
+    assert not ids.flags.owndata and not mask.flags.owndata and more.__array_interface__["data"][0] == ids.__array_interface__["data"][0] + 128
+    assert np.shares_memory(mask, file.mask) and np.shares_memory(ids, file.flat) and not ids.flags.writeable
+    wide = token_files.write(docs.limit(3), queries.vocabulary("byte_bpe_50k.json"), end_id=70_000, seq_len=8)
+    assert {r.ids[-1] for r in token_files.read(token_files.placed(wide), with_ids=True).collect()} == {70_000}
     assert token_files.write(docs.limit(0), queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
@@ -93,9 +98,26 @@ def test_packing(spark, docs):
     assert len(room) <= packing.lower_bound(counts, 256) + 1 and len(room) >= -(-total // 256)
     cut = Counter((r.doc_id, r.piece) for r in rows)
     assert cut[(1, 0)] == 2 and cut[(2, 0)] == 1
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json")), texts_of(docs)
+    for r in rows:
+        ids = np.array([*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert r.start == 256 * r.piece and r.length == len(ids[r.start :][:256]) and r.ids_crc32 == zlib.crc32(ids[r.start :][:256].tobytes())
     assert packing.pack(packing.cut(docs.limit(0), queries.vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_packing_goes_on_while_it_gains(spark):
+    rng = np.random.default_rng(21)
+    pieces = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(30, 60, 900))]
+    table = spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    few = packing.pack(table, capacity=100, rows_per_part=12)
+    used = few.select("sequence_id").distinct().count()
+    first = packing.pack_parts(table.selectExpr("doc_id as uid", "*"), 75, 0, 100).groupBy("part").agg({"bins": "max"}).agg({"max(bins)": "sum"}).first()[0]
+    bound = packing.lower_bound(np.bincount([p[3] for p in pieces], minlength=101), 100)
+    assert bound <= used < first
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     for _ in range(40):
@@ -124,6 +146,37 @@ def test_mixing_comes_near_targets(spark):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] for r in got)
 
 
+def test_mixing_takes_longer_documents_more_often(spark):
+    table = spark.range(6000).selectExpr("id as doc_id", "'s' as source", "repeat('w ', case when id % 2 = 0 then 2 else 200 end) as text")
+    got = mixing.mix(table, share=0.5).groupBy("size").agg({"copies": "avg"}).collect()
+    share = {r["size"]: r["avg(copies)"] for r in got}
+    # wishes of 1.25 and 2.75 quarter steps, and words that come to half of all
+    want = {2: 0.5 * 202 * 1.25 / (2 * 1.25 + 200 * 2.75), 200: 0.5 * 202 * 2.75 / (2 * 1.25 + 200 * 2.75)}
+    assert all(abs(share[n] - want[n]) < 0.03 for n in want)
+    equal = {r["size"]: r["avg(copies)"] for r in mixing.mix(table, share=0.5, preference="equal").groupBy("size").agg({"copies": "avg"}).collect()}
+    assert all(abs(x - 0.5) < 0.03 for x in equal.values())
+
+
+def test_mixing_fills_what_a_limit_leaves(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(2000).selectExpr("id as doc_id", "'s' as source", "repeat('w ', 10) as text", "case when id % 10 = 0 then 1000.0 else 1.0 end as wish")
+    got = mixing.mix(table, share=1.2, preference=F.col("wish"), keep=("wish",)).groupBy("wish").agg({"copies": "avg"}).collect()
+    share = {r["wish"]: r["avg(copies)"] for r in got}
+    assert share[1000.0] == 2 and abs(share[1.0] - (1.2 - 0.2) / 0.9) < 0.03
+
+
+def test_mixing_of_rows_that_tie(spark):
+    rows = [(None, f"{'w ' * (k % 5)}x{k}", "s") for k in range(400)] + [(7, "a b c", "s")] * 3000 + [(8, "", "s")] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as rank", "2 as key", "3 as copies")
+    got, again = (mixing.mix(t, share=0.7).collect() for t in (table, table.repartition(9)))
+    size = Counter((r.doc_id, r.size, r.taken) for r in got)
+    assert size == Counter((r.doc_id, r.size, r.taken) for r in again) and len(got) == len(rows)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 3
+    # a random number for each text without an id
+    assert 0 < sum(r.copies for r in got if r.doc_id is None) < 400
+
+
 @pytest.mark.parametrize("sizes", [[10, 10], [10, 10, 0, 0, 10, 10], [7] * 40, [3, 3, 6] * 8, [0, 0]])
 def test_mixing_where_sums_meet_the_limit(spark, sizes):
     import duckdb
@@ -178,6 +231,27 @@ def test_ngram_join(spark, docs):
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
+def test_shortened_shingles_keep_overlaps():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (set(rng.integers(0, 4000, rng.integers(1, 60)).tolist()) for _ in range(2))
+        b |= set(list(a)[: len(a) // 2])
+        sets = [np.array(sorted(x)) for x in (a, b)]
+        short = np.concatenate([x // 40 for x in sets]).astype("<u4")
+        place = np.repeat([0, 1], [len(x) for x in sets])
+        order = rng.permutation(len(short))
+        moved = ngram_join.apart(short[order], place[order])
+        x, y = (set(moved[place[order] == k].tolist()) for k in (0, 1))
+        assert (len(x), len(y)) == (len(a), len(b)) and len(x & y) >= len(a & b)
+
+
+def test_ngram_join_of_many_copies(spark):
+    rows = [(i, "one two three four five six" if i % 3 else None) for i in range(1200)] + [(None, "seven eight nine ten eleven"), (5000, "seven eight nine ten eleven")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sig", "2 as n", "3 as copies")).collect()
+    want = {i: (2, 1) if i % 3 else (0, i) for i in range(1200)} | {None: (1, 5000), 5000: (1, 5000)}
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_overlaps_by_divide_skip():
     rng = np.random.default_rng(2)
     query = np.unique(rng.integers(0, 3000, 300)).astype("<u8")
@@ -201,6 +275,58 @@ def test_secrets(spark, docs):
     assert secret_scan.train(docs.where("doc_id = 1")) is None
 
 
+def brute_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return [(("assign", "access", "hex")[k], a, z) for a, k, z in sorted(found)]
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = np.random.default_rng(12)
+    parts = ["password", "TOKEN", "apiKey", "api_key", "secret", "ſecret", "=", ":", " ", '"', "'", "hunter2", "abc", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789", "\n", "é", ".", "x" * 30]
+    rows = [(i, "".join(rng.choice(parts, rng.integers(0, 40)))) for i in range(400)]
+    got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, text in rows:
+        assert [(s.kind, s.start, s.end) for s in got[k].spans if s.kind != "crf"] == brute_secrets(text)
+
+
+def test_windows_see_whole_texts(spark):
+    """All secrets of a text are windows, and features come from all its words, as in decoding."""
+    odd = " ".join(f"{i}x{i * 7}" for i in range(4000))
+    texts = ["plain words here " * 1400 + odd, " and then ".join(f"token = secret{i}value" for i in range(5)), "don't x-ray word) l'eau well's " * 3 + "password: hunter22"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.windows(table, 4000).collect()
+    assert sum(r.positive for r in rows) >= 6
+    words = secret_scan.Words(pa.array(texts, pa.large_string()))
+    assert {r.file for r in rows} <= set(words.files().tolist()) and words.files()[0] == 4
+    first = [r for r in rows if len(set(r.words) & {"plain", "here"}) or r.words[0] in odd]
+    assert first and all(r.file == 4 for r in first)
+    # neighbours' classes are those of the text
+    near = np.stack(words.neighbours(), 1)
+    own = [r for r in rows if "x-ray" in r.words]
+    begin = int(words.ends[2])
+    at = {tuple(near[begin + k : begin + k + len(own[0].words)].reshape(-1).tolist()) for k in range(len(near) - begin)}
+    assert own and all(tuple(r.near) in at for r in own)
+    # a word counts to its end
+    long = "a" * 300 + "0F9" * 200
+    assert secret_scan.shapes(long) != secret_scan.shapes(long[:200])
+    field = secret_scan.Field()
+    field.w[: secret_scan.N_SHAPES, 1] = np.arange(secret_scan.N_SHAPES)
+    got = field.emissions(secret_scan.Words(pa.array([long], pa.large_string())))
+    assert got[0, 1] == sum(secret_scan.shapes(long))
+
+
+def test_sample_of_windows_is_the_lowest(spark):
+    texts = [f"plain text number {i} of some" for i in range(500)] + ["the same text"] * 300
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = secret_scan.windows(table.repartition(5), 50).collect()
+    number = secret_scan.numbers(pa.array(sorted(set(texts)), pa.large_string())).tolist()
+    n = {t: len(t.split()) for t in texts}
+    want = sorted(secret_scan.rank_of(k, k % n[t]) for k, t in zip(number, sorted(set(texts))))[:50]
+    assert sorted(r["rank"] for r in rows) == want
+
+
 def test_field_learns_and_decodes_exactly(spark):
     rng = np.random.default_rng(4)
     texts = []
@@ -242,6 +368,34 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("lines", "words"), [(1, 55), (2, 28), (4, 14), (9, 6), (9, 30)])
+def test_line_dedup_finds_passages(spark, lines, words):
+    """A passage of more than fifty words that stands in several documents is kept once, whatever its lines; the rest stays."""
+    rng = np.random.default_rng(lines * words)
+    line = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    rows, passages = [], ["\n".join(line(words) for _ in range(lines)) for _ in range(40)]
+    for i in range(120):
+        around = [line(int(rng.integers(1, 12))) for _ in range(int(rng.integers(2, 9)))]
+        k = int(rng.integers(len(around) + 1))
+        rows.append((i, "\n".join([*around[:k], passages[i % 40], *around[k:]])))
+    got = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, text in rows:
+        assert got[i].text == (text if i < 40 else "\n".join(x for x in text.split("\n") if x not in passages[i % 40].split("\n")))
+
+
+def test_line_dedup_of_odd_tables(spark):
+    passage = "\n".join(f"row {i} of the passage that comes again and again" for i in range(12))
+    rows = [(i, f"own {i}\n{passage}\nend {i}", 7 + i, 8, 9, "g") for i in range(3)] + [(None, passage, 1, 1, 1, "g"), (5, "\n" * 2000, 2, 2, 2, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, gone long, row long, __gone string")
+    got = line_dedup.dedup(table)
+    assert got.columns == [*table.columns, "n_lines_", "n_removed_lines"]
+    kept = by_id(got)
+    assert [(kept[i].n_lines, kept[i].gone, kept[i].row) for i in range(3)] == [(7 + i, 8, 9) for i in range(3)]
+    # the null id comes first, and blank lines are no passage
+    assert kept[None].text == passage and kept[0].text == "own 0\nend 0" and kept[5].text == "\n" * 2000
+    assert [kept[i].n_removed_lines for i in range(3)] == [12] * 3
+
+
 def test_quality_rules(spark, docs):
     rows = by_id(quality_rules.judge(docs))
     for k, text in texts_of(docs).items():
@@ -256,6 +410,50 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def brute_distance(counts, reference):
+    total, d = sum(counts), 0.0
+    for c, q in zip(counts, reference):
+        p = c / total
+        m = (p + q) / 2
+        d += sum(x * np.log2(x / m) for x in (p, q) if x > 0) / 2
+    return np.sqrt(max(d, 0))
+
+
+def test_divergence_against_brute_force(spark):
+    import unicodedata
+
+    rng, rows = np.random.default_rng(13), []
+    for i in range(150):
+        lang = ("en", "de", "xx", None)[i % 4]
+        pool = quality_rules.COMMON.get(lang, ["la"])
+        words = [str(rng.choice(pool)) if rng.random() < 0.4 else "".join(rng.choice(list("abcdéÖ9#,."), rng.integers(1, 9))) for _ in range(int(rng.integers(1, 150)))]
+        words = [w.capitalize() + "," if rng.random() < 0.2 else w for w in words]
+        rows.append((i, " ".join(words) if i % 7 else "#% " * 90 + "\t", lang))
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as words", "2 as rest")))
+    tests = [lambda c: unicodedata.category(c) == "Ll", lambda c: unicodedata.category(c) == "Lu", lambda c: c in "0123456789", lambda c: c in " \t\n\v\f\r", lambda c: c in ".,;:!?", lambda c: c in "#*$%&|<>"]
+    classes, terms, good = {}, {}, []
+    for k, text, lang in rows:
+        own = [sum(map(t, text)) for t in tests]
+        classes[k] = [*own, len(text) - sum(own)]
+        words = WORD.findall(text)
+        bare = Counter(w.lower().rstrip(".,;:!?") for w in words)
+        if lang in quality_rules.COMMON:
+            hits = [bare[w] for w in quality_rules.COMMON[lang]]
+            terms[k] = [*hits, len(words) - sum(hits)]
+        if not got[k].base_failed and len(text) >= 200:
+            good.append(k)
+    mean = lambda hists: np.mean([np.array(h) / sum(h) for h in hists], 0)
+    langs = {k: lang for k, _, lang in rows}
+    for k, text, lang in rows:
+        known = lang in quality_rules.COMMON
+        char = brute_distance(classes[k], mean([classes[j] for j in good if not known or langs[j] == lang]))
+        word = brute_distance(terms[k], mean([terms[j] for j in good if langs[j] == lang])) if known else None
+        n = got[k].n_words
+        assert got[k].char_js == pytest.approx(char, abs=1e-9) and (got[k].word_js == pytest.approx(word, abs=1e-9) if known else got[k].word_js is None)
+        off = len(text) >= 200 and char > 0.115 + 0.8 / np.sqrt(n) or n >= 50 and known and word > 0.13 + 1.45 / np.sqrt(n)
+        assert got[k].kept == (not got[k].base_failed and not off)
+
+
 def brute_pii(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
@@ -277,6 +475,47 @@ def test_pii_spans(spark, docs):
     assert pii.scan(docs.limit(0)).count() == 0
 
 
+def test_pii_of_very_long_texts(spark):
+    import time
+
+    rows = [(1, "a" * 1_000_000 + " @"), (2, "1" * 1_000_000 + "."), (3, "x@y.z " * 20_000), (4, "a@b.c+d@e.f.g 1.2.3.4.5.6.7.8")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = by_id(pii.scan(table))
+    assert time.time() - began < 60
+    assert got[1].spans == [] and len(got[3].base) == 20_000 and [(s.start, s.end) for s in got[3].base[-2:]] == [(119_988, 119_993), (119_994, 119_999)]
+    assert [(s.kind, s.start, s.end) for s in got[4].base] == brute_pii(rows[3][1])
+
+
+def test_pii_terms_against_brute_force(spark):
+    rng, rows = np.random.default_rng(14), []
+    for i in range(160):
+        words = [f"t{''.join(rng.choice(list('abc'), 3))}" for _ in range(40)]
+        k = int(rng.integers(6)) if i < 60 else None
+        if k is not None:
+            words = [*(f"mark{chr(97 + k)}{chr(97 + j)}" for j in range(3) if rng.random() < 0.8), *words, "far" * 30, f"user{k}@corp.org"]
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[0][1]) for i in range(5)]
+    got = by_id(pii.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hits", "2 as term")))
+    texts = {t for _, t in rows}
+    terms = {t: set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts}
+    entities = {t: {f"{k}:{t[a:z].lower()}" for k, a, z in brute_pii(t)} for t in texts}
+    n, told = len(texts), {}
+    for e in set().union(*entities.values()):
+        own = [t for t in texts if e in entities[t]]
+        for w in set().union(*(terms[t] for t in own)):
+            both, alone, hits = sum(w in terms[t] for t in own), len(own), sum(w in terms[t] for t in texts)
+            score = np.log(n * both / (alone * hits)) / np.log(n / alone)
+            if both >= 3 and score >= 0.7:
+                told[e, w] = max(told.get((e, w), ""), "remove" if score >= 0.9 else "generalise")
+    assert len(told) > 6
+    for k, t in rows:
+        want = {w: max(told[e, w] for e in entities[t] if (e, w) in told) for w in terms[t] if any((e, w) in told for e in entities[t])}
+        base = brute_pii(t)
+        spans = [(want[m[0].lower()], m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in want and not any(a < m.end() and m.start() < z for _, a, z in base)]
+        assert [(s.kind, s.start, s.end) for s in got[k].spans] == base + sorted(spans)
+
+
 def test_pii_terms_that_disclose(spark):
     rows = [(i, f"contact zephyrine about it today at mail boss@corp.org number {i}") for i in range(8)] + [(100 + i, f"contact about it today at number the mail {i} words") for i in range(200)]
     got = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -285,6 +524,13 @@ def test_pii_terms_that_disclose(spark):
     assert clean[0] == "contact  about it today at mail [EMAIL] number 0" and clean[100] is None
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows alike count once; rows of a query's id are that query, each with its vector, and no candidates of it."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.25, 0.0]), (3, None), (None, [1.0, 0.0])]
+    got = topk_search.top_k(topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), pa_mod50(), 5).collect()
+    assert [tuple(r) for r in sorted(got)] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 2, 16384)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6)]
@@ -327,3 +573,50 @@ def test_classifier(spark, docs):
     assert classifier.train(table, labels.where("quality = 1")) is None
     assert all(r.kept for r in classifier.score(docs, None).collect())
 
+
+def test_co_training_against_a_plain_one(spark):
+    """The same views, exchanged over a list of all unlabelled documents in memory."""
+    from pyspark.sql import functions as F
+
+    rng, rows = np.random.default_rng(18), []
+    for i in range(500):
+        words = ["".join(rng.choice(list("etaoin" if i % 4 else "xyzq!"), 5)) for _ in range(30)]
+        rows.append((i if i < 480 else None, " ".join(words), "en", f"s{i % 2 if i % 4 else 2}", int(rng.integers(99)), 0))
+    rows += [rows[300]] * 40 + [(600, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, DOCS).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(120)], "doc_id long, quality int")
+    model = classifier.train(table, labels, handed=7, rounds=2)
+
+    found = table.select("doc_id", F.xxhash64("text").alias("of"), "text", "lang", "source", "n_chars").toArrow().to_batches()
+    batch = pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+    both = [classifier.text_view(batch.column("text")).astype(np.float16), classifier.meta_view(batch).astype(np.float16)]
+    ids, of = batch.column("doc_id").to_pylist(), batch.column("of").to_pylist()
+    known = sorted((k, i) for i, k in enumerate(ids) if k is not None and k < 120)
+    rest = [i for i, k in enumerate(ids) if k is None or k >= 120]
+    handed = [set(), set()]
+
+    def surest(views):
+        out = []
+        for v, view in enumerate(views):
+            odds, picks = view.odds(both[v][rest]), []
+            for c, s in ((0, -odds), (1, odds)):
+                best = {}
+                for i, x in zip(rest, s.tolist()):
+                    if x > 3 and of[i] not in handed[v] and (of[i] not in best or best[of[i]][0] < x):
+                        best[of[i]] = (x, i)
+                picks += [(c, i) for _, (x, i) in sorted(best.items(), key=lambda kv: (-kv[1][0], kv[0]))[:7]]
+            handed[v].update(of[i] for _, i in picks)
+            out.append(([b[[i for _, i in picks]] for b in both], np.array([c for c, _ in picks])))
+        return out
+
+    plain = classifier.co_train([b[[i for _, i in known]] for b in both], np.array([int(k % 4 > 0) for k, _ in known]), surest, rounds=2)
+    assert sum(map(len, handed)) > 20
+    for a, b in zip(model.views, plain.views):
+        assert np.allclose(a.w, b.w, atol=1e-5) and (a.a, a.c) == pytest.approx((b.a, b.c), abs=1e-4)
+
+
+def test_text_view_of_a_long_text():
+    long = "some words and more. " * 400_000
+    whole, piece = classifier.text_view(pa.array([long, None, long[:21_000]]))[[0, 2]]
+    assert np.allclose(whole, piece, atol=0.002)
+
