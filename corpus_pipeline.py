@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over documents.
 
 Each stage works on what the one before it kept, which lies in between as Parquet, and all but the last
-return the columns of documents.
+return the columns of documents, whatever further ones there are. Empty tables pass through all stages. Very
+long texts are handled as in the operators: by one task each, in memory that is a multiple of their size.
 """
 
 from __future__ import annotations
@@ -12,19 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing
-from tracewright.llm.common import WORD, stash, table
+from tracewright.llm.common import WORD, sized, stash, table
 from tracewright.llm.queries import vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject.
+
+    Null and empty texts are judged by their metadata; repeated rows stay or go together; a score at the limit stays.
+    """
     return classifier.kept(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand elsewhere before; those of which nothing is left are gone."""
-    out = line_dedup.dedup(docs).where("n_removed_lines = 0 or n_removed_lines < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without passages that stand elsewhere before; those of which nothing is left are gone.
+
+    Null and empty texts stay as they are; rows alike in id and text are one document, and all stay; null ids come
+    first. n_chars follows the text where that was shortened.
+    """
+    out = line_dedup.dedup(docs)
+    lines, removed = (F.col(f"`{c}`") for c in out.columns[len(docs.columns) :])
+    columns = {c: F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns}
+    return out.where((removed == 0) | (removed < lines)).select(*columns.values())
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -47,17 +57,20 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     members = stash(members.select("__row", *same, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "__row").alias("place")), "members")
     firsts = members.groupBy("group", "same_id", "blank", "alone").agg(F.min("place")["__row"].alias("first"))
     gone = stash(members.join(firsts, F.col("__row") == F.col("first"), "left_anti").select(F.col("__row").alias("__gone")), "gone")
-    return rows.join(line_dedup.sized(gone), F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
+    return rows.join(sized(gone), F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix's proportions, each as often as the mix takes it."""
+    """Documents in the mix's proportions, each as often as the mix takes it.
+
+    Texts without words have size 0 and are taken or left like others; null ids are drawn by their texts.
+    """
     rows = numbered(docs)
     return mixing.repeated(rows, mixing.mix(rows, keep=("__row",)), "__row").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; null and empty texts are an end id alone."""
     return packing.pack(packing.cut(docs, vocabulary("word_bpe_49k.json")))
 
 
