@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from tracewright import schema
 
 
-def field(line: Column, key: str) -> Column:
-    """Value of key in an audit line, quoted or bare, after a space or at the start; null if it is missing. A doubled = is one."""
-    pair = rf'(?:^|\s){key}==?(?:"([^"]*)"|(\S*))'
-    return F.when(line.rlike(rf"(?:^|\s){key}="), F.concat(F.regexp_extract(line, pair, 1), F.regexp_extract(line, pair, 2)))
+def fields(line: Column) -> tuple[Column, Column]:
+    """Keys of an audit line, and their values as they stand there: quoted or bare, after a space or at the start. A doubled = is one."""
+    pair = F.lit(r'(?:^|\s)([^\s="]+)==?("[^"]*"|\S*)')
+    return F.regexp_extract_all(line, pair, F.lit(1)), F.regexp_extract_all(line, pair, F.lit(2))
 
 
-def is_quoted(line: Column, key: str) -> Column:
-    return line.rlike(rf'(?:^|\s){key}==?"')
+def value_of(keys: Column, values: Column, key: str | Column) -> Column:
+    """The first value of a key, as it stands in the line; null if it is missing."""
+    at = F.array_position(keys, key)
+    return F.when(at > 0, F.get(values, (at - 1).cast("int")))
+
+
+def unquoted(x: Column) -> Column:
+    return F.when(is_quoted(x), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+
+def is_quoted(x: Column) -> Column:
+    return x.rlike('^"[^"]*"$')
 
 
 def raw_hex(x: Column) -> Column:
@@ -133,6 +143,11 @@ def glob_match(path: Column, pattern: Column) -> Column:
     return F.when(pattern == "*", True).when(F.startswith(pattern, F.lit("*")), F.endswith(path, rest)).when(F.endswith(pattern, F.lit("*")), F.startswith(path, head)).otherwise(F.startswith(path, pattern))
 
 
+def is_endpoint(addr: Column) -> Column:
+    """Addresses that name an endpoint: all but wildcards."""
+    return ~F.startswith(addr, F.lit("0.0.0.0:")) & ~F.startswith(addr, F.lit("[::]:"))
+
+
 def is_local_address(addr: Column) -> Column:
     return addr.rlike(r"^(127\.|0\.0\.0\.0|\[::1\]|\[::\]|unix:|netlink:|packet:)")
 
@@ -221,3 +236,9 @@ def blended(colour: Column, score: Column) -> Column:
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     part = lambda i: F.lpad(F.lower(F.hex((F.lit(232.0) + (F.conv(F.substring(colour, i, 2), 16, 10).cast("int") - 232) * s).cast("int"))), 2, "0")
     return F.concat(F.lit("#"), part(2), part(4), part(6))
+
+
+def edge_colour(score: Column) -> Column:
+    """Red, the paler the lower the source's score; grey below the limit of taint."""
+    pale = F.lpad(F.lower(F.hex(F.lit(255) - F.least(F.lit(255), F.floor(score * 255)).cast("int"))), 2, "0")
+    return F.when(score >= schema.TAINTED, F.concat(F.lit("#cc"), pale, pale)).otherwise("#cccccc")

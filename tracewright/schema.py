@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # x86-64 numbers of the system calls that operators handle. A full table is a parameter
-# (``syscall_names(spark, path)`` reads the kernel's header); other numbers are "unknown".
+# (``enrich.syscall_names(spark, path)`` reads the kernel's header); other numbers are "unknown".
 SYSCALLS = {
     0: "read", 1: "write", 2: "open", 17: "pread64", 18: "pwrite64", 19: "readv", 20: "writev", 22: "pipe", 29: "shmget", 30: "shmat",
     32: "dup", 33: "dup2", 40: "sendfile", 41: "socket", 42: "connect", 43: "accept", 44: "sendto", 45: "recvfrom", 46: "sendmsg", 47: "recvmsg",

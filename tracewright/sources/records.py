@@ -19,20 +19,21 @@ def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 def parse(records: DataFrame) -> DataFrame:
     """Typed fields of each record; those that its type doesn't have are null, so unused ones are pruned."""
     line = F.col("line")
-    get = lambda key: X.field(line, key)
+    # one scan for all keys, and one for all values
+    keys, values = X.fields(line)
+    records = records.select("rec_type", "line", keys.alias("keys"), values.alias("values"))
+    raw = lambda key: X.value_of(F.col("keys"), F.col("values"), key)
+    get = lambda key: X.unquoted(raw(key))
     number = lambda key: F.coalesce(get(key).try_cast("long"), F.lit(0).cast("long"))
     hexed = lambda key: F.coalesce(X.raw_hex(get(key)), F.lit("0"))
-    text = lambda key: X.hex_text(get(key), X.is_quoted(line, key))
+    text = lambda key: X.hex_text(get(key), X.is_quoted(raw(key)))
     group = lambda i: F.regexp_extract(line, HEADER, i)
     millis = F.coalesce(group(2).try_cast("long"), F.lit(0).cast("long"))
     argc = F.coalesce(get("argc").try_cast("int"), F.lit(0))
-    pairs = F.regexp_extract_all(line, F.lit(r'(?:^|\s)a(\d+)==?(?:"[^"]*"|\S*)'), F.lit(0))
 
     def argument(i):
-        found = F.filter(pairs, lambda p: F.regexp_extract(p, r"^\s?a(\d+)=", 1) == i.cast("string"))
-        one = F.try_element_at(found, F.lit(1))
-        value = F.regexp_replace(one, r'^\s?a\d+==?', "")
-        return X.hex_text(F.regexp_replace(value, '^"(.*)"$', "$1"), F.startswith(value, F.lit('"')))
+        value = raw(F.concat(F.lit("a"), i.cast("string")))
+        return X.hex_text(X.unquoted(value), X.is_quoted(value))
 
     argv = F.when((F.col("rec_type") == "EXECVE") & (argc > 0), F.transform(F.sequence(F.lit(0), F.greatest(argc - 1, F.lit(0))), argument))
     is_call, is_path = F.col("rec_type") == "SYSCALL", F.col("rec_type") == "PATH"
