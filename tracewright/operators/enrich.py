@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
@@ -20,6 +20,15 @@ def syscall_table(spark: SparkSession, names: dict[int, str] | None = None) -> D
     return spark.createDataFrame(rows, "syscall int, syscall_name string, class string, op string, audited boolean")
 
 
+def syscall_names(spark: SparkSession, path: str) -> dict[int, str]:
+    """Numbers and names of all calls out of a C header in text (lines "#define __NR_name number")."""
+    line = F.col("value")
+    part = lambda i: F.regexp_extract(line, r"^\s*#\s*define\s+__NR_(\w+)\s+(\d+)\s*$", i)
+    rows = spark.read.text(path).select(part(2).try_cast("int").alias("number"), part(1).alias("name")).where("number is not null")
+    # a few hundred rows by nature
+    return {r["number"]: r["name"] for r in rows.collect()}
+
+
 def named(events: DataFrame) -> DataFrame:
     """Events with the name, class and op of their call; numbers that aren't known are called unknown."""
     dim = F.broadcast(syscall_table(events.sparkSession))
@@ -32,12 +41,19 @@ def audited(events: DataFrame) -> DataFrame:
 
 
 def processes(events: DataFrame) -> DataFrame:
-    """One row per (container_id, pid): parent and first sight, latest non-empty comm, cmdline and exe, whether it has exited."""
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("serial"))).alias(c)
-    exe = [latest("exe")] if "exe" in events.columns else [F.lit(None).cast("string").alias("exe")]
+    """One row per (container_id, pid): parent and first sight, latest non-empty comm, cmdline and exe, whether it has exited.
+
+    What an exec resolved its file to goes before the program that a record names; records of other calls count
+    only without an exec.
+    """
+    last = lambda x, when: F.max_by(x, F.when(when & x.isNotNull() & (x != ""), F.col("serial")))
+    latest = lambda c: last(F.col(c), F.lit(True)).alias(c)
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    execs = F.col("syscall").isin([k for k, v in schema.SYSCALLS.items() if v in ("execve", "execveat")])
+    exe = F.coalesce(last(F.coalesce(F.nullif(has("path"), F.lit("")), has("exe")), execs), last(has("exe"), F.lit(True)))
     return events.groupBy("container_id", "pid").agg(
         F.min("serial").alias("first_seq"), F.min_by("ts_ms", "serial").alias("first_ts"), F.min_by("ppid", "serial").alias("ppid"),
-        latest("comm"), latest("cmdline"), *exe, F.bool_or(F.col("syscall") == 231).alias("exited"), F.count("*").alias("n_events"),
+        latest("comm"), latest("cmdline"), exe.alias("exe"), F.bool_or(F.col("syscall") == 231).alias("exited"), F.count("*").alias("n_events"),
     )
 
 
@@ -93,18 +109,62 @@ def attributed(procs: DataFrame, actions: DataFrame, gap_ms: int = 2000) -> Data
     return tree.join(at, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "action_id")
 
 
+def routed(events: DataFrame, at: DataFrame, actions: DataFrame | None = None, gap_ms: int = 2000) -> DataFrame:
+    """Events with action_id, that of their process (at: container_id, pid, action_id), whenever they happen.
+
+    Events of processes that ``at`` doesn't know go by time where ``actions`` are given, else to 0.
+    """
+    rows = events.join(at.select("container_id", "pid", F.col("action_id").alias("own_action")), ["container_id", "pid"], "left")
+    if actions is None:
+        return rows.withColumn("action_id", F.coalesce("own_action", F.lit(0).cast("long"))).drop("own_action")
+    lost = action_at_time(rows.where("own_action is null").drop("own_action"), actions, gap_ms)
+    return rows.where("own_action is not null").withColumnRenamed("own_action", "action_id").unionByName(lost)
+
+
+def descriptor_sets(calls: DataFrame) -> Column:
+    """What a call makes of its descriptor: opens that succeeded, connects and binds, and queues opened."""
+    name = F.col("syscall_name")
+    sets = F.when(name.isin("open", "openat", "openat2", "creat") & (F.col("fd") >= 0), F.col("path"))
+    return sets.when(name.isin("connect", "bind"), F.concat(F.lit("net:"), "addr")).when(name.isin("mq_open", "msgget") & (F.col("fd") >= 0), F.concat(F.lit("mq:"), "channel"))
+
+
+def epochs(calls: DataFrame) -> DataFrame:
+    """calls with epoch: how often their process has exited before."""
+    life = Window.partitionBy("container_id", "pid").orderBy("ts_ms", "serial").rowsBetween(Window.unboundedPreceding, -1)
+    return calls.withColumn("epoch", F.coalesce(F.sum((F.col("syscall_name") == "exit_group").cast("int")).over(life), F.lit(0)))
+
+
+def descriptors(events: DataFrame, asks: dict[str, Column]) -> DataFrame:
+    """container_id, serial and, for each ask (name: a column with the descriptor, null where none is asked for), what it meant before the event.
+
+    Only calls that give a descriptor its meaning and those that ask take part.
+    """
+    calls = epochs(named(events))
+    keys = ["container_id", "pid", "epoch", "ts_ms", "serial"]
+    sets = calls.withColumn("sets", descriptor_sets(calls)).where("sets is not null").select(*keys, F.col("fd").cast("long").alias("of"), "sets", F.lit("~").alias("ask"))
+    wanted = F.filter(F.array(*[F.struct(fd.cast("long").alias("of"), F.lit(name).alias("ask")) for name, fd in asks.items()]), lambda a: a["of"].isNotNull())
+    asking = calls.select(*keys, F.inline(wanted)).select(*keys, "of", F.lit(None).cast("string").alias("sets"), "ask")
+    # a call asks before it sets
+    before = Window.partitionBy("container_id", "pid", "epoch", "of").orderBy("ts_ms", "serial", F.col("sets").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = sets.unionByName(asking).withColumn("target", F.last("sets", True).over(before)).where("ask <> '~'")
+    return found.groupBy("container_id", "serial").agg(*[F.max(F.when(F.col("ask") == name, F.col("target"))).alias(name) for name in asks])
+
+
+def with_channels(events: DataFrame) -> DataFrame:
+    """Events with their channel; sends and receives that name none have that of their descriptor, or null."""
+    asks = F.when(F.col("syscall_name").isin("mq_timedsend", "mq_timedreceive", "msgsnd", "msgrcv") & (F.coalesce("channel", F.lit("")) == ""), F.col("fd"))
+    found = descriptors(events, {"meant": asks}).where(F.startswith("meant", F.lit("mq:"))).select("container_id", "serial", F.substring("meant", 4, 4096).alias("meant"))
+    return events.join(found, ["container_id", "serial"], "left").withColumn("channel", F.coalesce(F.nullif("channel", F.lit("")), "meant")).drop("meant")
+
+
 def fd_targets(events: DataFrame) -> DataFrame:
     """Events with fd_target: what their descriptor last meant before them, since their process last exited.
 
     Opens that succeeded and connects or binds give a descriptor its meaning.
     """
-    calls = named(events)
-    sets = F.when(F.col("syscall_name").isin("open", "openat", "openat2", "creat") & (F.col("fd") >= 0), F.col("path"))
-    sets = sets.when(F.col("syscall_name").isin("connect", "bind"), F.concat(F.lit("net:"), "addr")).when(F.col("syscall_name") == "mq_open", F.concat(F.lit("mq:"), "channel"))
-    life = Window.partitionBy("container_id", "pid").orderBy("ts_ms", "serial")
+    calls = epochs(named(events))
     before = Window.partitionBy("container_id", "pid", "epoch", "fd").orderBy("ts_ms", "serial").rowsBetween(Window.unboundedPreceding, -1)
-    out = calls.withColumn("epoch", F.coalesce(F.sum((F.col("syscall_name") == "exit_group").cast("int")).over(life.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return out.withColumn("sets", sets).withColumn("fd_target", F.last("sets", True).over(before)).drop("sets")
+    return calls.withColumn("sets", descriptor_sets(calls)).withColumn("fd_target", F.last("sets", True).over(before)).drop("sets")
 
 
 def container_of(proc_cgroup: DataFrame, hops: int = 10) -> DataFrame:

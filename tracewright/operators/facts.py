@@ -6,44 +6,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
-from tracewright.operators.enrich import fd_targets, named
+from tracewright.operators.enrich import descriptors, named
 
 
-def op_events(events: DataFrame) -> DataFrame:
-    """class, op, path, label of each fact; an exec makes two (process and file). Calls without a meaning make none."""
-    rows = named(events).where("class is not null")
+QUEUE_CALLS = ("msgsnd", "mq_timedsend", "msgrcv", "mq_timedreceive")
+
+
+def op_events(events: DataFrame, *keep: str) -> DataFrame:
+    """class, op, path of each fact, and the columns ``keep``; an exec makes two (process and file).
+
+    Calls without a meaning make none, nor do sends and receives on a queue that isn't known.
+    """
+    rows = named(events).where("class is not null").where(~F.col("syscall_name").isin(*QUEUE_CALLS) | (F.coalesce("channel", F.lit("")) != ""))
     op = F.when((F.col("class") == "file") & (F.col("op") == "Open") & X.is_write(F.coalesce("flags", F.lit(0))), "OpenWrite").otherwise(F.col("op"))
     fact = lambda kind, o, path: F.struct(kind.alias("class"), o.alias("op"), path.alias("path"))
     own = fact(F.when(F.col("class") == "transfer", "file").otherwise(F.col("class")), op, F.when(F.col("class") == "file", F.col("path")))
     facts = F.when(F.col("op") == "Exec", F.array(own, fact(F.lit("file"), F.lit("Exec"), F.col("path")))).otherwise(F.array(own))
-    return rows.select("container_id", "serial", "ts_ms", "pid", "syscall_name", "comm", "addr", "channel", F.inline(facts))
+    return rows.select("container_id", "serial", "ts_ms", "pid", "syscall_name", "comm", "addr", "channel", *keep, F.inline(facts))
+
 
+def kernel_transfers(events: DataFrame, *keep: str) -> DataFrame:
+    """container_id, serial, pid, label, source, target of transfers between descriptors inside the kernel: what these meant, null if unknown.
 
-def kernel_transfers(events: DataFrame) -> DataFrame:
-    """Transfers between descriptors inside the kernel, with what the source meant."""
-    rows = fd_targets(events).where(F.col("class") == "transfer")
-    source = F.coalesce("fd_target", F.concat(F.lit("fd:"), "fd"))
-    return rows.select("container_id", "serial", "pid", F.concat(F.lit("(kernel:"), "syscall_name", F.lit(" "), source, F.lit(")")).alias("label"), F.col("fd_target").alias("source"))
+    The source descriptor is src_fd, or fd where events have no src_fd.
+    """
+    has = lambda c: F.col(c).cast("long") if c in events.columns else F.lit(None).cast("long")
+    moved = F.col("class") == "transfer"
+    source, target = F.coalesce(has("src_fd"), has("fd")), has("dst_fd")
+    found = descriptors(events, {"source": F.when(moved, source), "target": F.when(moved, target)})
+    rows = named(events).where(moved).select("container_id", "serial", "pid", "syscall_name", source.alias("from_fd"), target.alias("to_fd"), *keep).join(found, ["container_id", "serial"], "left")
+    said = lambda meant, fd: F.coalesce(meant, F.concat(F.lit("fd:"), fd))
+    a, b = said("source", "from_fd"), said("target", "to_fd")
+    label = F.when(a.isNotNull() & b.isNotNull(), F.concat(F.lit("(kernel:"), "syscall_name", F.lit(" "), a, F.lit(" → "), b, F.lit(")"))).otherwise(F.concat(F.lit("(kernel:"), "syscall_name", F.lit(")")))
+    return rows.select("container_id", "serial", "pid", label.alias("label"), "source", "target", *keep)
 
 
 def file_access(events: DataFrame) -> DataFrame:
     """container_id, path, role, pid, action_id, first_seq: distinct accesses; events need action_id.
 
-    Roles: writer, reader, executor, deleter (unlink), modifier (rename, chmod, chown). Reading a file counts
-    only if the process hadn't written it before.
+    Roles: writer, reader, executor, deleter (unlink), modifier (rename, chmod, chown). A transfer reads the file
+    of its source. Reading a file counts only if the process hadn't written it before.
     """
     ops = named(events).where(F.col("path").isNotNull() & (F.col("path") != ""))
     role = F.when(F.col("op") == "Open", F.when(X.is_write(F.coalesce("flags", F.lit(0))), "writer").otherwise("reader")).when(F.col("op") == "Exec", "executor")
     role = role.when(F.col("op") == "Unlink", "deleter").when(F.col("op").isin("Rename", "Chmod", "Chown"), "modifier")
-    rows = ops.withColumn("role", role).where("role is not null").groupBy("container_id", "path", "pid", "role", "action_id").agg(F.min("serial").alias("first_seq"))
+    moved = kernel_transfers(events, "action_id").where("source is not null and not startswith(source, 'net:') and not startswith(source, 'mq:')")
+    rows = ops.select("container_id", "path", "pid", role.alias("role"), "action_id", "serial").where("role is not null")
+    rows = rows.unionByName(moved.select("container_id", F.col("source").alias("path"), "pid", F.lit("reader").alias("role"), "action_id", "serial"))
+    rows = rows.groupBy("container_id", "path", "pid", "role", "action_id").agg(F.min("serial").alias("first_seq"))
     written = F.min(F.when(F.col("role") == "writer", F.col("first_seq"))).over(Window.partitionBy("container_id", "path", "pid"))
     rows = rows.withColumn("written", written)
     return rows.where((F.col("role") != "reader") | F.col("written").isNull() | (F.col("first_seq") < F.col("written"))).select("container_id", "path", "role", "pid", "action_id", "first_seq")
 
 
 def ipc_access(events: DataFrame) -> DataFrame:
-    """container_id, channel, role, pid, action_id: distinct senders and receivers; a channel may come from the descriptor."""
-    rows = named(events).where(F.col("syscall_name").isin("msgsnd", "mq_timedsend", "msgrcv", "mq_timedreceive"))
+    """container_id, channel, role, pid, action_id: distinct senders and receivers; events come from with_channels."""
+    rows = named(events).where(F.col("syscall_name").isin(*QUEUE_CALLS))
     role = F.when(F.col("syscall_name").isin("msgsnd", "mq_timedsend"), "sender").otherwise("receiver")
     return rows.where("channel is not null and channel <> ''").select("container_id", "channel", role.alias("role"), "pid", "action_id").distinct()
 
