@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
@@ -72,6 +72,8 @@ def propagate(scores: DataFrame, graph: DataFrame, rounds: int = 30) -> DataFram
     Only scores of 0.1 or more spread, so with decays of 0.9 at most 22 rounds change anything. Each round
     spreads from the processes that the last one raised alone, and is stashed.
     """
+    if max(schema.DECAY.values()) ** rounds >= schema.TAINTED:
+        raise ValueError("scores would still spread after so many rounds")
     decay = F.create_map(*[x for k, v in schema.DECAY.items() for x in (F.lit(k), F.lit(v))])
     links = stash(graph.select("container_id", F.col("src").alias("pid"), "dst", decay[F.col("channel_type")].alias("decay")).groupBy("container_id", "pid", "dst").agg(F.max("decay").alias("decay")), "links")
     now = stash(scores.select("container_id", "pid", "score", F.col("score").alias("initial")), "scores")
@@ -117,3 +119,24 @@ def communities(procs: DataFrame, graph: DataFrame, scores: DataFrame, least_eve
         F.count("*").alias("size"), F.max_by("pid", F.struct(length, -F.col("pid"))).alias("representative_pid"), F.avg("score").alias("avg_score"),
         F.array_join(F.array_sort(F.collect_set("comm")), ",").alias("label"), F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("members"),
     )
+
+
+def label_of(names: Column) -> Column:
+    """a, a+b, or a+n others."""
+    return F.when(F.size(names) <= 2, F.array_join(names, "+")).otherwise(F.concat(names[0], F.lit("+"), F.size(names) - 1, F.lit(" others")))
+
+
+def action_communities(procs: DataFrame, graph: DataFrame, scores: DataFrame, pids: DataFrame, least_events: int = 10) -> DataFrame:
+    """container_id, action_id, community_id, community, size, label, representative_pid, avg_score: communities among an action's processes alone, numbered from the largest.
+
+    community is the smallest pid of it.
+    """
+    inside = lambda df, c: df.join(pids.select("container_id", "action_id", F.col("pid").alias(c)), ["container_id", c] if "action_id" not in df.columns else ["container_id", "action_id", c])
+    within = lambda df: df.select(F.concat_ws("#", "container_id", "action_id").alias("container_id"), *[c for c in df.columns if c not in ("container_id", "action_id")])
+    members = inside(procs.select("container_id", "pid", "comm", "cmdline"), "pid")
+    links = within(inside(inside(graph.select("container_id", "src", "dst", "channel_type", "event_count"), "src"), "dst"))
+    both = communities(within(members), links, within(inside(scores.select("container_id", "pid", "score"), "pid")), least_events)
+    split = lambda i: F.substring_index("container_id", "#", i)
+    rows = both.select(split(1).alias("container_id"), split(-1).cast("long").alias("action_id"), "community", "size", label_of(F.split("label", ",")).alias("label"), "representative_pid", "avg_score")
+    order = Window.partitionBy("container_id", "action_id").orderBy(F.col("size").desc(), "community")
+    return rows.withColumn("community_id", F.row_number().over(order) - 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
@@ -66,11 +68,19 @@ def compressed(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def process_summary(ops: DataFrame, procs: DataFrame) -> DataFrame:
-    """container_id, action_id, command, n, first_seq: execs by their process's command line, alike up to generated names and addresses."""
-    execs = ops.where("class = 'process' and op = 'Exec'").join(procs.select("container_id", "pid", "cmdline", F.col("comm").alias("name")), ["container_id", "pid"])
-    execs = execs.where(~X.is_runtime(F.lit(None).cast("string"), F.coalesce("name", F.lit(""))))
+    """container_id, action_id, command, n, first_seq, pid, name, cmdline: execs by their process's command line, alike up to generated names and addresses, with the first of them."""
+    execs = ops.where("class = 'process' and op = 'Exec'").join(procs.select("container_id", "pid", "exe", "cmdline", F.col("comm").alias("name")), ["container_id", "pid"])
+    execs = execs.where(~X.is_runtime(F.col("exe"), F.coalesce("name", F.lit(""))))
     command = X.normal_command(F.coalesce(F.nullif("cmdline", F.lit("")), F.col("name"), F.lit("?")))
-    return execs.withColumn("command", command).groupBy("container_id", "action_id", "command").agg(F.count("*").alias("n"), F.min("serial").alias("first_seq"))
+    first = lambda c: F.min_by(c, "serial").alias(c)
+    return execs.withColumn("command", command).groupBy("container_id", "action_id", "command").agg(F.count("*").alias("n"), F.min("serial").alias("first_seq"), first("pid"), first("name"), first("cmdline"))
+
+
+def process_counts(ops: DataFrame, summary: DataFrame) -> DataFrame:
+    """container_id, action_id, n_unique, n_forked, n_exited: how many different commands an action has, and its forks and exits."""
+    n = ops.where("class = 'process'").groupBy("container_id", "action_id").agg(F.count_if(F.col("op") == "Fork").alias("n_forked"), F.count_if(F.col("op") == "Exit").alias("n_exited"))
+    unique = summary.groupBy("container_id", "action_id").agg(F.count("*").alias("n_unique"))
+    return n.join(unique, ["container_id", "action_id"], "left").select("container_id", "action_id", F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "n_forked", "n_exited")
 
 
 def network_flows(conns: DataFrame, pids: DataFrame, owners: DataFrame) -> DataFrame:
@@ -120,10 +130,12 @@ def preexisting_influence(graph: DataFrame, pids: DataFrame, scores: DataFrame)
 def data_flow_diff(flows: DataFrame, reads: DataFrame, writes: DataFrame, graph: DataFrame, pids: DataFrame, network: DataFrame, influence: DataFrame) -> DataFrame:
     """container_id, action_id, rank, verb, subject, detail: the action's flows of all kinds, distinct, to be sorted by rank, detail, subject."""
     row = lambda df, rank, verb, subject, detail: df.select("container_id", "action_id", F.lit(rank).alias("rank"), verb.alias("verb"), subject.cast("string").alias("subject"), detail.alias("detail"))
-    own = graph.where("channel_type = 'fork'").join(pids.select("container_id", "action_id", F.col("pid").alias("dst")), ["container_id", "dst"])
+    # files show as reads and writes; all else between two processes, of which either is the action's
+    ends = graph.where("channel_type <> 'file'").select("container_id", "src", "dst", "channel_type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("pid"))
+    own = ends.join(pids.select("container_id", "action_id", "pid"), ["container_id", "pid"]).select("container_id", "action_id", "src", "dst", "channel_type").distinct()
     parts = [
         row(flows, 0, F.lit("flow"), F.col("pid"), F.concat("path", F.lit(" from action "), "writer_action")), row(reads, 1, F.lit("read"), F.col("pid"), F.col("path")), row(writes, 2, F.lit("write"), F.col("pid"), F.col("path")),
-        row(own, 3, F.lit("fork"), F.col("src"), F.col("dst").cast("string")), row(network.where("direction = 'connect'"), 4, F.lit("connect"), F.col("pid"), F.concat("addr", F.coalesce(F.concat(F.lit(" ("), "owner", F.lit(")")), F.lit("")))),
+        row(own, 3, F.col("channel_type"), F.col("src"), F.col("dst").cast("string")), row(network.where("direction = 'connect'"), 4, F.lit("connect"), F.col("pid"), F.concat("addr", F.coalesce(F.concat(F.lit(" ("), "owner", F.lit(")")), F.lit("")))),
         row(network.where("direction = 'listen'"), 5, F.lit("listen"), F.col("pid"), F.col("addr")), row(influence, 6, F.lit("influence"), F.col("src"), F.concat(F.col("dst").cast("string"), F.lit(" by "), "channel_type")),
     ]
     out = parts[0]
@@ -133,9 +145,44 @@ def data_flow_diff(flows: DataFrame, reads: DataFrame, writes: DataFrame, graph:
 
 
 def merged(diff: DataFrame, procs: DataFrame) -> DataFrame:
-    """Lines of data_flow_diff that differ in the process alone, merged by its command: pids joined."""
-    rows = diff.join(procs.select("container_id", F.col("pid").cast("string").alias("subject"), "comm"), ["container_id", "subject"], "left")
-    return rows.groupBy("container_id", "action_id", "rank", "verb", "detail", F.coalesce("comm", F.lit("?")).alias("comm")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("subject").cast("long"))), ",").alias("pids"))
+    """Lines of data_flow_diff that differ in processes alone, merged by their commands: pids joined. Lines between two processes name the other one's command."""
+    names = procs.select("container_id", F.col("pid").cast("string").alias("subject"), "comm")
+    others = names.select("container_id", F.col("subject").alias("detail"), F.col("comm").alias("other"), F.lit(3).alias("rank"))
+    rows = diff.join(names, ["container_id", "subject"], "left").join(others, ["container_id", "rank", "detail"], "left")
+    detail = F.when(F.col("rank") == 3, F.coalesce("other", F.lit("?"))).otherwise(F.col("detail"))
+    rows = rows.groupBy("container_id", "action_id", "rank", "verb", detail.alias("detail"), F.coalesce("comm", F.lit("?")).alias("comm"))
+    return rows.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("subject").cast("long"))), ",").alias("pids"))
+
+
+def receipts(actions: DataFrame, ops: DataFrame, summary: DataFrame, groups: DataFrame, diff: DataFrame, found: DataFrame) -> DataFrame:
+    """container_id, action_id, section, nth, line: each action's whole receipt, a row for a line.
+
+    Sections: 0 header, 1 processes, 2 communities of more than three, 3 flows, 4 detections by severity. Lines of
+    a section are numbered in its order, for each action by itself; no receipt is gathered into one row.
+    """
+    key = ["container_id", "action_id"]
+    n = ops.groupBy(*key).agg(F.count("*").alias("n"))
+    head = actions.join(n, key, "left").select(*key, F.concat(F.lit("Command: "), F.coalesce("command", F.lit(""))).alias("a"), F.concat(F.lit("Duration: "), F.coalesce(F.round((F.col("end_ms") - F.col("start_ms")) / 1000, 1).cast("decimal(18,1)").cast("string"), F.lit("open")), F.lit("s | "), F.coalesce("n", F.lit(0)), F.lit(" events")).alias("b"))
+    part = lambda df, section, line, *order: df.select(*key, F.lit(section).alias("section"), F.struct(*order).alias("order"), line.alias("line"))
+    counts = process_counts(ops, summary)
+    times = F.when(F.col("n") > 1, F.concat(F.lit(" (x"), "n", F.lit(")"))).otherwise(F.lit(""))
+    said = F.concat(F.lit("["), "name", F.lit(":"), "pid", F.lit("]"), F.when(F.coalesce("cmdline", F.lit("")) != "", F.concat(F.lit(" $ "), "cmdline")).otherwise(F.lit("")), times)
+    shown = groups.where("size > 3")
+    small = groups.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("size") <= 3, F.col("size"))), F.lit(0)).alias("small"), F.count_if(F.col("size") > 3).alias("large")).where("small > 0 and large > 0")
+    text = lambda *xs: F.concat(*xs)
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    rows = [
+        part(head, 0, F.col("a"), zero, none), part(head, 0, F.col("b"), F.lit(1).cast("long"), none),
+        part(counts.where("n_unique > 0 or n_forked > 0"), 1, text("n_unique", F.lit(" unique, "), "n_forked", F.lit(" forked, "), "n_exited", F.lit(" exited")), F.lit(-1).cast("long"), none),
+        part(summary, 1, said, F.col("first_seq"), F.col("command")),
+        part(shown, 2, text("label", F.lit(" ("), "size", F.lit(" processes)")), F.col("community_id").cast("long"), none),
+        part(small, 2, text(F.lit("+ "), "small", F.lit(" individual processes")), F.lit(1 << 40).cast("long"), none),
+        part(diff, 3, F.concat_ws(" ", "verb", "subject", "detail"), F.col("rank").cast("long"), F.concat_ws(" ", "detail", "subject", "verb")),
+        part(found, 4, text(X.severity_mark(F.col("severity")), F.lit(" "), "technique", F.lit(" "), "pid", F.lit(" "), "description"), (-F.col("severity")).cast("long"), F.concat_ws(" ", "technique", "description", F.lpad(F.col("pid").cast("string"), 12, "0"))),
+    ]
+    rows = [r.select(*key, "section", F.col("order").cast("struct<a:bigint,b:string>").alias("order"), "line") for r in rows]
+    all_rows = reduce(DataFrame.unionByName, rows)
+    return all_rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "section").orderBy("order", "line"))).select(*key, "section", "nth", "line")
 
 
 def receipt_text(diff: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.functions import exprs as X
 from tracewright.operators.enrich import named
+from tracewright.shared import stash
 
 
 def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
@@ -16,21 +19,29 @@ def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFra
     return spark.createDataFrame(rows, "rule int, name string, syscalls array<string>, files array<string>, processes array<string>, excluded array<string>, technique string, severity int")
 
 
-def matches(subjects: DataFrame, rules: DataFrame) -> DataFrame:
-    """subjects (key columns, syscall_name, exe, comm, files array) with each rule that fits them.
+def touching(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path, rule: rules with a file pattern that each distinct path fits. Rules are few, and tested in place."""
+    listed = [(r["rule"], r["files"]) for r in rules.where(F.size("files") > 0).select("rule", "files").collect()]
+    fits = [F.when(reduce(lambda a, b: a | b, [X.glob_match(F.col("path"), F.lit(g)) for g in globs]), F.lit(rule)) for rule, globs in listed]
+    found = F.filter(F.array(*fits) if fits else F.array().cast("array<int>"), lambda x: x.isNotNull())
+    return paths.select("path").distinct().select("path", F.explode(found).alias("rule"))
+
+
+def matches(subjects: DataFrame, rules: DataFrame, touched: DataFrame | None, *key: str) -> DataFrame:
+    """subjects (key columns, syscall_name, exe, comm) with each rule that fits them.
 
-    Rules meet subjects by call, an equality; the rule table is small by nature and broadcast. Processes and
-    patterns are then tested in place, so no pair of a subject and a pattern becomes a row.
+    Rules meet subjects by call, an equality; the rule table is small by nature and broadcast. touched: (key, rule) of
+    the rules whose file patterns a subject's files fit; those without patterns need none.
     """
     by_call = rules.withColumn("syscall_name", F.explode("syscalls"))
     rows = subjects.join(F.broadcast(by_call), "syscall_name").where(~X.is_runtime(F.col("exe"), F.coalesce("comm", F.lit(""))))
     base = F.element_at(F.split(F.coalesce("exe", F.lit("")), "/"), -1)
     names = F.array(base, F.coalesce("comm", F.lit("")))
-    patterns, paths = F.col("rules_files"), F.coalesce("files_seen", F.array().cast("array<string>"))
-    rows = rows.withColumnRenamed("files", "rules_files")
-    touched = F.exists(paths, lambda p: F.exists(patterns, lambda g: X.glob_match(p, g)))
-    fits = ~F.arrays_overlap("excluded", names) & ((F.size("processes") == 0) | F.arrays_overlap("processes", names)) & ((F.size(patterns) == 0) | touched)
-    return rows.where(fits).drop("syscalls", "rules_files", "processes", "excluded", "files_seen")
+    rows = rows.where(~F.arrays_overlap("excluded", names) & ((F.size("processes") == 0) | F.arrays_overlap("processes", names)))
+    free = rows.where(F.size("files") == 0)
+    if touched is not None:
+        free = free.unionByName(rows.where(F.size("files") > 0).join(touched.select(*key, "rule").distinct(), [*key, "rule"], "left_semi").select(rows.columns))
+    return free.drop("syscalls", "files", "processes", "excluded")
 
 
 def detections(ops: DataFrame, access: DataFrame, procs: DataFrame, conns: DataFrame, opened: DataFrame, scores: DataFrame, rules: DataFrame) -> DataFrame:
@@ -40,21 +51,22 @@ def detections(ops: DataFrame, access: DataFrame, procs: DataFrame, conns: DataF
     this order; the first that fits counts. Plain outbound connections need a remote address.
     """
     who = procs.select("container_id", "pid", "exe", "comm", "cmdline")
-    files = opened.groupBy("container_id", "pid").agg(F.array_sort(F.collect_set("path")).alias("files_seen"))
+    by_path = stash(touching(opened.select("path").union(access.where("role = 'writer'").select("path")), rules), "touching")
+    touched = stash(opened.join(by_path, "path").select("container_id", "pid", "rule").distinct(), "touched")
     remotes = conns.where((F.col("direction") == "connect") & ~X.is_local_address(F.col("addr"))).groupBy("container_id", "pid").agg(F.array_sort(F.collect_set("addr")).alias("remotes"))
     key = ["container_id", "pid"]
     execs = ops.where("class = 'process' and op = 'Exec'").groupBy("container_id", "action_id", "pid").agg(F.min("serial").alias("seq"))
-    execs = execs.join(who, key).join(files, key, "left").withColumn("syscall_name", F.lit("execve"))
+    execs = execs.join(who, key).withColumn("syscall_name", F.lit("execve"))
     told = F.when(F.coalesce(F.col("cmdline"), F.lit("")) != "", F.concat("name", F.lit(": "), X.truncated(F.col("cmdline"), 80))).otherwise(F.col("name"))
-    first = matches(execs, rules).select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(1).alias("pass"), "seq", told.alias("description"))
-    wrote = access.where("role = 'writer'").select("container_id", "action_id", "pid", F.col("first_seq").alias("seq"), "path", F.array("path").alias("files_seen"))
+    first = matches(execs, rules, touched, *key).select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(1).alias("pass"), "seq", told.alias("description"))
+    wrote = access.where("role = 'writer'").select("container_id", "action_id", "pid", F.col("first_seq").alias("seq"), "path")
     wrote = wrote.join(who, key).withColumn("syscall_name", F.lit("openat"))
-    second = matches(wrote, rules).select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(2).alias("pass"), "seq", F.concat("name", F.lit(": "), "path").alias("description"))
+    second = matches(wrote, rules, by_path, "path").select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(2).alias("pass"), "seq", F.concat("name", F.lit(": "), "path").alias("description"))
     used = ops.where("class = 'net'").groupBy("container_id", "action_id", "pid").agg(F.min("serial").alias("seq")).join(scores.where(F.col("score") >= schema.TAINTED).select(key), key, "left_semi")
-    used = used.join(who, key).join(files, key, "left").join(remotes, key, "left").withColumn("syscall_name", F.lit("connect"))
+    used = used.join(who, key).join(remotes, key, "left").withColumn("syscall_name", F.lit("connect"))
     n = F.size(F.coalesce("remotes", F.array().cast("array<string>")))
     said = F.when(n == 0, F.col("name")).when(n <= 3, F.concat("name", F.lit(": "), F.array_join("remotes", ", "))).otherwise(F.concat("name", F.lit(": "), F.array_join(F.slice("remotes", 1, 2), ", "), F.lit(" +"), n - 2, F.lit(" more")))
-    third = matches(used, rules).where((n > 0) | (F.col("technique") != "T1071")).select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(3).alias("pass"), "seq", said.alias("description"))
+    third = matches(used, rules, touched, *key).where((n > 0) | (F.col("technique") != "T1071")).select("container_id", "action_id", "pid", "rule", "name", "technique", "severity", F.lit(3).alias("pass"), "seq", said.alias("description"))
     once = Window.partitionBy("container_id", "action_id", "technique", "pid").orderBy("pass", "seq", "rule", "description")
     rows = first.unionByName(second).unionByName(third).where("action_id > 0").withColumn("nth", F.row_number().over(once))
     return rows.where("nth = 1").select("container_id", "action_id", "technique", "pid", "severity", "description")
@@ -63,8 +75,14 @@ def detections(ops: DataFrame, access: DataFrame, procs: DataFrame, conns: DataF
 def event_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Every event against the rules by its own call and path, whatever the call is: container_id, serial, pid, technique, severity."""
     exe = F.col("exe") if "exe" in events.columns else F.lit(None).cast("string")
-    subjects = named(events).select("container_id", "serial", "pid", "syscall_name", exe.alias("exe"), "comm", F.when(F.col("path").isNotNull(), F.array("path")).alias("files_seen"))
-    return matches(subjects, rules).select("container_id", "serial", "pid", "technique", "severity").distinct()
+    subjects = named(events).select("container_id", "serial", "pid", "syscall_name", exe.alias("exe"), "comm", "path")
+    return matches(subjects, rules, touching(events.where("path is not null"), rules), "path").select("container_id", "serial", "pid", "technique", "severity").distinct()
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """Detections with their place in each container's list: the most severe first, then by action."""
+    order = Window.partitionBy("container_id").orderBy(F.col("severity").desc(), "action_id", "technique", "pid")
+    return found.withColumn("nth", F.row_number().over(order))
 
 
 def technique_rollup(found: DataFrame) -> DataFrame:

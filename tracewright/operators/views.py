@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright import schema
 from tracewright.functions import exprs as X
 
 
@@ -32,10 +33,12 @@ def shown_files(access: DataFrame) -> DataFrame:
     """container_id, path, class: files with a flow between processes, sensitive, deleted, modified, or written and used."""
     rows = access.where(~X.is_graph_noise(F.col("path")))
     has = lambda role: F.bool_or(F.col("role") == role)
-    pids = lambda *roles: F.collect_set(F.when(F.col("role").isin(*roles), F.col("pid")))
-    out = rows.groupBy("container_id", "path").agg(has("writer").alias("w"), has("deleter").alias("d"), has("modifier").alias("m"), has("executor").alias("x"), has("reader").alias("r"), pids("writer").alias("wp"), pids("reader", "executor").alias("up"))
+    # by process first: a hot file is aggregated before its processes meet
+    by_pid = rows.groupBy("container_id", "path", "pid").agg(has("writer").alias("w"), has("deleter").alias("d"), has("modifier").alias("m"), has("executor").alias("x"), has("reader").alias("r"))
+    any_ = lambda c: F.bool_or(c).alias(c)
+    out = by_pid.groupBy("container_id", "path").agg(any_("w"), any_("d"), any_("m"), any_("x"), any_("r"), F.bool_or((F.col("r") | F.col("x")) & ~F.col("w")).alias("others"))
     sensitive = X.is_graph_sensitive(F.col("path"))
-    crosses = (F.size("wp") > 0) & (F.size(F.array_except("up", "wp")) > 0)
+    crosses = F.col("w") & F.col("others")
     only_run = F.col("x") & ~F.col("w") & ~F.col("r") & ~F.col("d") & ~F.col("m")
     keep = ~only_run & (crosses | sensitive | F.col("d") | F.col("m") | F.col("w") & (F.col("r") | F.col("x")))
     kind = F.when(sensitive, "sensitive").when(F.col("x"), "executed").when(F.col("d"), "deleted").otherwise("data")
@@ -52,9 +55,44 @@ def graph_nodes(procs: DataFrame, scores: DataFrame, at: DataFrame, most: int =
 
 
 def graph_edges(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between shown processes, labelled by their type and coloured by their source's score."""
     ends = nodes.select("container_id", "pid")
-    rows = graph.join(ends.withColumnRenamed("pid", "src"), ["container_id", "src"], "left_semi").join(ends.withColumnRenamed("pid", "dst"), ["container_id", "dst"], "left_semi")
-    return rows.select("container_id", "src", "dst", "channel_type", "channel", "event_count")
+    rows = graph.join(nodes.select("container_id", F.col("pid").alias("src"), "score"), ["container_id", "src"]).join(ends.withColumnRenamed("pid", "dst"), ["container_id", "dst"], "left_semi")
+    return rows.select("container_id", "src", "dst", "channel_type", "channel", "event_count", F.col("channel_type").alias("label"), X.edge_colour(F.col("score")).alias("colour"))
+
+
+def experiment_graph(experiments: DataFrame, nodes: DataFrame, edges: DataFrame, data: DataFrame, conns: DataFrame, owners: DataFrame, scores: DataFrame) -> DataFrame:
+    """experiment_id, kind, container_id, source, target, label: the graphs of an experiment's containers, and the connections of tainted processes between them.
+
+    Kinds: process, file, network and cross; sources and targets are pids, paths and addresses, in the direction of the flow.
+    """
+    members = experiments.select("experiment_id", F.explode("container_ids").alias("container_id")).distinct()
+    shown = nodes.select("container_id", "pid")
+    row = lambda df, kind, source, target, label: df.select("container_id", F.lit(kind).alias("kind"), source.cast("string").alias("source"), target.cast("string").alias("target"), label.alias("label"))
+    files = data.where("verb in ('write', 'read', 'exec')").join(shown, ["container_id", "pid"], "left_semi")
+    out = F.col("verb") == "write"
+    nets = conns.where(X.is_endpoint(F.col("addr"))).join(shown, ["container_id", "pid"], "left_semi")
+    to = F.col("direction") == "connect"
+    rows = row(edges, "process", F.col("src"), F.col("dst"), F.col("channel_type"))
+    rows = rows.union(row(files, "file", F.when(out, F.col("pid").cast("string")).otherwise(F.col("path")), F.when(out, F.col("path")).otherwise(F.col("pid").cast("string")), F.col("verb")))
+    rows = rows.union(row(nets, "network", F.when(to, F.col("pid").cast("string")).otherwise(F.col("addr")), F.when(to, F.col("addr")).otherwise(F.col("pid").cast("string")), F.col("direction")))
+    inner = rows.join(members, "container_id").select("experiment_id", "kind", "container_id", "source", "target", "label")
+    tainted = conns.where("direction = 'connect'").join(scores.where(F.col("score") >= schema.TAINTED).select("container_id", "pid"), ["container_id", "pid"], "left_semi").withColumn("ip", X.address_ip(F.col("addr")))
+    far = tainted.join(owners.select("ip", F.col("container_id").alias("owner")), "ip").where("container_id <> owner").join(members, "container_id")
+    far = far.join(members.select("experiment_id", F.col("container_id").alias("owner")), ["experiment_id", "owner"], "left_semi")
+    listens = F.concat("owner", F.lit(":"), F.substring_index("addr", ":", -1))
+    cross = far.select("experiment_id", F.lit("cross").alias("kind"), "container_id", F.col("pid").cast("string").alias("source"), listens.alias("target"), F.col("addr").alias("label"))
+    return inner.union(cross).distinct()
+
+
+def legend(actions: DataFrame) -> DataFrame:
+    """action_id, command (shortened), colour of each container's actions, in order of their numbers."""
+    return actions.where("action_id > 0").select("container_id", "action_id", F.left("command", F.lit(30)).alias("command"), X.action_colour(F.col("action_id")).alias("colour"))
+
+
+def without_containers(tables: dict[str, DataFrame], gone: list[str]) -> dict[str, DataFrame]:
+    """The tables without all rows of some containers."""
+    return {name: df.where(~F.col("container_id").isin(gone)) if gone else df for name, df in tables.items()}
 
 
 def data_edges(access: DataFrame, shown: DataFrame) -> DataFrame:
@@ -65,7 +103,7 @@ def data_edges(access: DataFrame, shown: DataFrame) -> DataFrame:
 
 def endpoints(conns: DataFrame) -> DataFrame:
     """Remote and local endpoints with their users; wildcard addresses are left out."""
-    rows = conns.where(~F.startswith("addr", F.lit("0.0.0.0:")) & ~F.startswith("addr", F.lit("[::]:")))
+    rows = conns.where(X.is_endpoint(F.col("addr")))
     return rows.groupBy("container_id", "addr", "direction").agg(F.count_distinct("pid").alias("n_pids"), F.array_join(F.array_sort(F.collect_set("pid")), ",").alias("pids"))
 
 
@@ -75,9 +113,10 @@ def entry_points(procs: DataFrame) -> DataFrame:
     return procs.where("ppid <> 0").join(parent, ["container_id", "ppid"], "left_anti").select("container_id", "pid", "ppid", "comm")
 
 
-def first_actions(ops: DataFrame) -> DataFrame:
-    """The first action in which each process has a process fact."""
-    return ops.where("class = 'process' and action_id > 0").groupBy("container_id", "pid").agg(F.min("action_id").alias("first_action"))
+def first_actions(procs: DataFrame, ops: DataFrame) -> DataFrame:
+    """The first action in which each process has a process fact, or 0."""
+    first = ops.where("class = 'process' and action_id > 0").groupBy("container_id", "pid").agg(F.min("action_id").alias("first_action"))
+    return procs.select("container_id", "pid").join(first, ["container_id", "pid"], "left").select("container_id", "pid", F.coalesce("first_action", F.lit(0).cast("long")).alias("first_action"))
 
 
 def experiment_totals(experiments: DataFrame, status: DataFrame, actions: DataFrame) -> DataFrame:
