@@ -16,15 +16,19 @@ def raw_records(events: DataFrame) -> DataFrame:
     """rec_type, line: a SYSCALL, an end record and, where they apply, PATH, SOCKADDR and EXECVE records of each event."""
     head = F.concat(F.lit("msg=audit("), F.expr("ts_ms div 1000"), F.lit("."), F.lpad((F.col("ts_ms") % 1000).cast("string"), 3, "0"), F.lit(":"), "serial", F.lit("): "))
     rec = lambda kind, body: F.struct(F.lit(kind).alias("rec_type"), F.concat(F.lit(f"type={kind} "), head, body).alias("line"))
-    a0 = F.when(F.col("syscall") == 42, F.col("fd")).when(F.col("syscall").isin(69, 70), F.substring_index("channel", ":", -1).cast("long")).otherwise(F.lit(0))
+    a0 = F.when(F.col("syscall").isin(42, 49, 242, 243), F.col("fd")).when(F.col("syscall") == 40, F.col("dst_fd")).when(F.col("syscall").isin(69, 70), F.substring_index("channel", ":", -1).cast("long")).otherwise(F.lit(0))
+    exit_value = F.when(F.col("syscall") == 68, F.substring_index("channel", ":", -1).cast("long")).otherwise(F.col("fd"))
+    a1 = F.when(F.col("syscall") == 40, F.col("src_fd")).otherwise(F.lit(0))
     ok = F.when(F.col("k") == 99, "no").otherwise("yes")
     subject = F.when(F.col("serial") % 10 == 0, "unconfined").otherwise("docker-default")
-    call = F.concat(F.lit("arch=c000003e syscall="), "syscall", F.lit(" success="), ok, F.lit(" exit="), "fd", F.lit(" a0="), F.lower(F.hex(a0)), F.lit(" a1=0 a2="), F.lower(F.hex("flags")), F.lit(' a3=0 ppid='), "ppid", F.lit(" pid="), "pid", F.lit(' comm="'), "comm", F.lit('" exe="/usr/bin/'), "comm", F.lit('" subj='), subject, F.lit(' key="k"'))
-    octet = F.substring_index(F.substring_index("addr", ":", 1), ".", -1).cast("int")
-    address = F.concat(F.lit("saddr=020000500A0000"), F.lpad(F.hex(octet), 2, "0"), F.lit("0000000000000000SADDR={saddr_fam=inet}"))
+    call = F.concat(F.lit("arch=c000003e syscall="), "syscall", F.lit(" success="), ok, F.lit(" exit="), exit_value, F.lit(" a0="), F.lower(F.hex(a0)), F.lit(" a1="), F.lower(F.hex(a1)), F.lit(" a2="), F.lower(F.hex("flags")), F.lit(' a3=0 ppid='), "ppid", F.lit(" pid="), "pid", F.lit(' comm="'), "comm", F.lit('" exe="/usr/bin/'), "comm", F.lit('" subj='), subject, F.lit(' key="k"'))
+    octets = F.transform(F.split(F.substring_index("addr", ":", 1), r"\."), lambda x: F.lpad(F.hex(x.cast("int")), 2, "0"))
+    port = F.lpad(F.hex(F.substring_index("addr", ":", -1).cast("int")), 4, "0")
+    address = F.concat(F.lit("saddr=0200"), port, F.array_join(octets, ""), F.lit("0000000000000000SADDR={saddr_fam=inet}"))
+    named = F.coalesce("path", F.when(F.col("syscall") == 240, F.substring_index("channel", ":", -1)))
     words = F.split("cmdline", " ")
     args = F.concat(F.lit('argc=3 a0="'), words[0], F.lit('" a1="'), words[1], F.lit('" a2='), F.hex(F.encode(words[2], "UTF-8")))
-    parts = F.array(rec("SYSCALL", call), F.when(F.col("path").isNotNull(), rec("PATH", F.concat(F.lit('item=0 name="'), "path", F.lit('" inode=1 nametype=NORMAL')))), F.when(F.col("addr").isNotNull(), rec("SOCKADDR", address)), F.when(F.col("cmdline").isNotNull(), rec("EXECVE", args)), rec("EOE", F.lit("")))
+    parts = F.array(rec("SYSCALL", call), F.when(named.isNotNull(), rec("PATH", F.concat(F.lit('item=0 name="'), named, F.lit('" inode=1 nametype=NORMAL')))), F.when(F.col("addr").isNotNull(), rec("SOCKADDR", address)), F.when(F.col("cmdline").isNotNull(), rec("EXECVE", args)), rec("EOE", F.lit("")))
     return events.select(F.inline(F.filter(parts, lambda p: p.isNotNull())))
 
 
@@ -34,21 +38,21 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 def audit_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(records.assemble(records.parse(raw_records(derived.events(spark, sf_dir)))))
+    return classified(records.assemble(records.parse(raw_records(derived.stashed(spark, sf_dir)))))
 
 
-ROUNDTRIP = """SELECT serial, ts_ms, pid, ppid, syscall, comm, CASE WHEN syscall = 59 OR path LIKE '/proc/%' THEN '' ELSE path END AS path, addr, channel, cmdline
+ROUNDTRIP = """SELECT serial, ts_ms, pid, ppid, syscall, comm, CASE WHEN syscall = 59 AND path IS NULL OR path LIKE '/proc/%' THEN '' ELSE path END AS path, addr, channel, cmdline
 FROM ev WHERE serial % 10 <> 0 AND (k <> 99 OR addr IS NOT NULL)"""
 
 
 def assemble_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.assemble(records.parse(raw_records(derived.events(spark, sf_dir))), None)
+    rows = records.assemble(records.parse(raw_records(derived.stashed(spark, sf_dir))), None)
     return rows.select("serial", F.size("paths").alias("n_paths"), F.coalesce(F.size("argv"), F.lit(0)).alias("n_args"), "saddr", "success", "subj", F.col("a2").cast("long").alias("a2"))
 
 
-ASSEMBLED = """SELECT serial, CASE WHEN path IS NULL OR path LIKE '/proc/%' THEN 0 ELSE 1 END AS n_paths, CASE WHEN cmdline IS NULL THEN 0 ELSE 3 END AS n_args,
-CASE WHEN addr IS NOT NULL THEN '020000500A0000' || printf('%02X', k % 12) || '0000000000000000' END AS saddr, k <> 99 AS success,
-CASE WHEN serial % 10 = 0 THEN 'unconfined' ELSE 'docker-default' END AS subj, CAST(flags AS BIGINT) AS a2 FROM ev WHERE k <> 99 OR addr IS NOT NULL"""
+ASSEMBLED = """SELECT serial, CASE WHEN path IS NULL AND syscall <> 240 OR path LIKE '/proc/%' THEN 0 ELSE 1 END AS n_paths, CASE WHEN cmdline IS NULL THEN 0 ELSE 3 END AS n_args,
+CASE WHEN addr IS NOT NULL THEN '0200' || CASE WHEN addr LIKE '%:8080' THEN '1F90' ELSE '0050' END || CASE WHEN addr LIKE '127.%' THEN '7F000001' WHEN addr LIKE '0.%' THEN '00000000' ELSE '0A0000' || printf('%02X', CAST(regexp_extract(addr, '10.0.0.([0-9]+):', 1) AS INT)) END || '0000000000000000' END AS saddr,
+k <> 99 AS success, CASE WHEN serial % 10 = 0 THEN 'unconfined' ELSE 'docker-default' END AS subj, CAST(flags AS BIGINT) AS a2 FROM ev WHERE k <> 99 OR addr IS NOT NULL"""
 
 
 def sockaddr_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ def sockaddr_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("0A0000500000000020010DB80000000000000000000000"), byte))
         .otherwise(F.concat(byte, F.lit("00")))
     )
-    return derived.events(spark, sf_dir).select("serial", X.decode_sockaddr(saddr)["display"].alias("display"))
+    return derived.stashed(spark, sf_dir).select("serial", X.decode_sockaddr(saddr)["display"].alias("display"))
 
 
 SOCKADDR = """SELECT serial, CASE k % 6 WHEN 0 THEN concat('10.0.0.', CAST(k AS VARCHAR), ':443') WHEN 1 THEN concat('10.0.0.', CAST(k AS VARCHAR), ':80') WHEN 2 THEN 'unix:/tmp/' || lpad(CAST(k AS VARCHAR), 2, '0')
@@ -72,7 +76,7 @@ WHEN 4 THEN concat('[2001:db8::', printf('%x', k), ']:80') ELSE CASE WHEN k = 17
 
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    rows = derived.events(spark, sf_dir).where("path is not null")
+    rows = derived.stashed(spark, sf_dir).where("path is not null")
     return rows.select(
         "serial", X.canonical_path(F.concat(F.lit("/a/.//b/../.."), path, F.lit("/x/.."))).alias("canonical"), X.strip_overlay(F.concat(F.lit("/var/lib/docker/overlay2/abc/merged"), path)).alias("merged"),
         X.strip_overlay(F.concat(F.lit("/run/rootfs/overlayfs/77"), path)).alias("overlayfs"), X.is_receipt_noise(path).alias("receipt_noise"), X.is_flow_noise(path).alias("flow_noise"), X.is_graph_noise(path).alias("graph_noise"),
@@ -80,12 +84,12 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PATHS = """SELECT serial, path AS canonical, path AS merged, path AS overlayfs, path LIKE '/proc/%' OR path LIKE '/usr/lib/%' AS receipt_noise, path LIKE '/proc/%' OR path LIKE '/usr/lib/%' AS flow_noise,
+PATHS = """SELECT serial, path AS canonical, path AS merged, path AS overlayfs, path LIKE '/proc/%' OR path LIKE '/usr/lib/%' OR path LIKE '/usr/bin/%' AS receipt_noise, path LIKE '/proc/%' OR path LIKE '/usr/lib/%' AS flow_noise,
 path LIKE '/proc/%' AS graph_noise, path IN ('/etc/passwd', '/etc/crontab') AS sensitive, path AS short, path LIKE '/data/%' AS under_data, path LIKE '%.json' AS is_json FROM ev WHERE path IS NOT NULL"""
 
 
 def command_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.events(spark, sf_dir).where("cmdline is not null")
+    rows = derived.stashed(spark, sf_dir).where("cmdline is not null")
     k = F.col("k")
     command = F.concat("cmdline", F.lit(" -o /tmp/Xy9Abc"), k, F.lit(".o 10.0.0."), k, F.lit(":80"))
     return rows.select("serial", X.normal_command(command).alias("normal"), X.truncated(command, 30).alias("short"), X.decode_comm(F.hex(F.encode(F.concat("comm", F.lit("-worker")), "UTF-8"))).alias("comm"), X.process_label(F.col("comm"), F.col("pid")).alias("label"), X.raw_hex(F.concat(F.hex("pid"), F.lit("zz"))).alias("pid_back"))
@@ -96,18 +100,27 @@ FROM (SELECT *, concat(cmdline, ' -o /tmp/Xy9Abc', CAST(k AS VARCHAR), '.o 10.0.
 
 
 def kernel_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.kernel_transfers(derived.events(spark, sf_dir))
+    return facts.kernel_transfers(derived.stashed(spark, sf_dir))
 
 
-TRANSFERS = """SELECT container_id, serial, pid, concat('(kernel:sendfile ', coalesce(fd_target, concat('fd:', CAST(fd AS VARCHAR))), ')') AS label, fd_target AS source FROM (
-SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY container_id, pid, epoch, fd ORDER BY ts_ms, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fd_target FROM (
-  SELECT *, CASE WHEN syscall = 257 THEN path WHEN syscall = 42 THEN 'net:' || addr END AS x,
-    coalesce(sum(CASE WHEN syscall = 231 THEN 1 ELSE 0 END) OVER (PARTITION BY container_id, pid ORDER BY ts_ms, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM ev)) WHERE syscall = 40"""
+TRANSFERS = """SELECT e.container_id, e.serial, e.pid, concat('(kernel:sendfile ', coalesce(a.target, concat('fd:', CAST(src_fd AS VARCHAR))), ' → ', coalesce(b.target, concat('fd:', CAST(dst_fd AS VARCHAR))), ')') AS label, a.target AS source, b.target AS target
+FROM ev e LEFT JOIN meant a ON a.serial = e.serial AND a.ask = 'source' LEFT JOIN meant b ON b.serial = e.serial AND b.ask = 'target' WHERE syscall = 40"""
+
+
+def parsed_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers out of audit text: parsed, assembled, classified, and their descriptors looked up."""
+    raw = raw_records(derived.stashed(spark, sf_dir))
+    rows = records.classify(records.assemble(records.parse(raw), None), enrich.syscall_table(spark)).withColumn("container_id", F.lit("one")).drop("syscall_name")
+    return facts.kernel_transfers(rows).select("serial", "pid", "label", "source", "target")
+
+
+# what text loses: failed calls without an address, and which of the paths of an open is a process's memory
+PARSED_TRANSFERS = """SELECT serial, pid, concat('(kernel:sendfile ', coalesce(source, concat('fd:', CAST(src_fd AS VARCHAR))), ' → ', coalesce(target, concat('fd:', CAST(dst_fd AS VARCHAR))), ')') AS label, source, target FROM met"""
 
 
 def container_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each root's cgroup text names its container; the others get it from their ancestors."""
-    procs = enrich.processes(derived.events(spark, sf_dir))
+    procs = enrich.processes(derived.stashed(spark, sf_dir))
     name = F.concat(F.lit("0::/system.slice/docker-"), F.lpad(F.substring("container_id", 2, 9), 12, "0"), F.lit("abcdef.scope"))
     return enrich.container_of(procs.select("pid", "ppid", F.when(F.col("ppid") == 1, name).otherwise("0::/").alias("line")))
 
@@ -126,7 +139,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.running_counts(stream_of(spark, sf_dir))
 
 
-COUNTS = "SELECT container_id, CASE WHEN syscall IN (59, 231, 69, 70) THEN 'process' WHEN syscall = 42 THEN 'net' WHEN syscall = 40 THEN 'transfer' ELSE 'file' END AS class, CASE syscall WHEN 59 THEN 'Exec' WHEN 231 THEN 'Exit' WHEN 69 THEN 'Signal' WHEN 70 THEN 'Signal' WHEN 257 THEN 'Open' WHEN 87 THEN 'Unlink' WHEN 40 THEN 'Read' ELSE 'Connect' END AS op, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM ev GROUP BY 1, 2, 3"
+COUNTS = "SELECT container_id, class, op, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM ev JOIN calls ON calls.syscall = ev.syscall GROUP BY 1, 2, 3"
 
 
 def stream_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +153,11 @@ def stream_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finite stream assembled: what the watermark has passed as a stream, and the records that still wait at its end as a batch."""
     rows = stream.drained(stream.assemble(records.parse(raw_records(stream_of(spark, sf_dir)))))
-    return classified(rows)
+    last = records.assemble(records.parse(raw_records(derived.stashed(spark, sf_dir).where(F.col("ts_ms") >= stream.waiting_from(rows)))))
+    last = last.join(rows.select("serial"), "serial", "left_anti")
+    return classified(rows.unionByName(last.select(rows.columns)))
 
 
 #: (query, SQL's body) by name; bodies name the expressions of the query registry.
@@ -150,5 +166,5 @@ TEXT_QUERIES = {
     "command_functions": (command_functions, COMMANDS), "kernel_transfers": (kernel_transfers, TRANSFERS), "container_resolution": (container_resolution, RESOLUTION), "stream_counts": (stream_counts, COUNTS),
     "stream_processes": (stream_processes, "SELECT container_id, pid, first_seq, n_events, exited FROM procs"),
     "stream_attribution": (stream_attribution, "SELECT serial, container_id, action_id FROM timed"),
-    "stream_assemble": (stream_assemble, ROUNDTRIP + " AND ts_ms <= (SELECT max(ts_ms) FROM ev) - 600000"),
+    "stream_assemble": (stream_assemble, ROUNDTRIP), "parsed_transfers": (parsed_transfers, PARSED_TRANSFERS),
 }
