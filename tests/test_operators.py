@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import enrich, facts, graph, receipts, rules
+from tracewright.functions import exprs as X
+from tracewright.operators import enrich, facts, graph, receipts, rules, views
 from tracewright.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -36,13 +37,17 @@ def test_actions_by_time(spark, staged):
 def test_descriptors_forget_at_exit(staged):
     got = {r.serial: r.fd_target for r in enrich.fd_targets(staged[0]).collect()}
     assert got[7] == "/tmp/data.txt" and got[9] is None
-    assert {r.serial: r.label for r in facts.kernel_transfers(staged[0]).collect()} == {7: "(kernel:sendfile /tmp/data.txt)", 9: "(kernel:sendfile fd:3)"}
+    moved = staged[0].withColumns({"src_fd": F.when(F.col("syscall") == 40, F.col("fd")), "dst_fd": F.when(F.col("syscall") == 40, F.lit(5)), "fd": F.when(F.col("syscall") != 40, F.col("fd"))})
+    rows = {r.serial: r for r in facts.kernel_transfers(moved).collect()}
+    assert {k: r.label for k, r in rows.items()} == {7: "(kernel:sendfile /tmp/data.txt → net:10.0.0.9:80)", 9: "(kernel:sendfile fd:3 → fd:5)"}
+    assert (rows[7].source, rows[7].target, rows[9].source) == ("/tmp/data.txt", "net:10.0.0.9:80", None)
+    assert {r.label for r in facts.kernel_transfers(staged[0]).collect()} == {"(kernel:sendfile)"}
 
 
 def test_cross_action_flow_and_detections(spark, staged):
     events, actions = staged
     timed = enrich.action_at_time(events, actions)
-    ops = facts.op_events(timed).join(timed.select("serial", "action_id"), "serial")
+    ops = facts.op_events(timed, "action_id")
     access, procs, pids = facts.file_access(timed), enrich.processes(events), receipts.action_pids(ops)
     flows = [tuple(r) for r in receipts.cross_action_flows(access, pids).collect()]
     assert flows == [("a", 2, "/tmp/data.txt", 1, 10, 11)]
@@ -52,6 +57,87 @@ def test_cross_action_flow_and_detections(spark, staged):
     assert {(r.action_id, r.technique, r.pid) for r in found.collect()} == {(2, "T1105", 11), (2, "T1071", 11)}
 
 
+def event(serial, ts, pid, ppid, syscall, comm, path=None, flags=0, fd=None, addr=None, channel=None, cmdline=None):
+    return (serial, ts, "a", pid, ppid, syscall, flags, fd, comm, path, addr, channel, cmdline)
+
+
+def test_facts_go_to_the_action_of_their_process(spark):
+    """A process that an action left behind writes on during the next one: what it writes is the first one's, and the next one's readers get it from there."""
+    rows = [
+        event(1, 1000, 20, 1, 59, "sh", cmdline="sh job.sh"), event(2, 1100, 21, 20, 59, "tar", "/usr/bin/tar", cmdline="tar x"), event(3, 5100, 21, 20, 257, "tar", "/srv/late.out", 577, 4),
+        event(4, 5200, 30, 1, 59, "cat", cmdline="cat"), event(5, 5300, 30, 1, 257, "cat", "/srv/late.out", 0, 3), event(6, 9000, 21, 20, 231, "tar"), event(7, 9100, 40, 1, 59, "ls", cmdline="ls"),
+    ]
+    events = spark.createDataFrame(rows, EVENT)
+    actions = spark.createDataFrame([("a", 1, "one", 900, 2000), ("a", 2, "two", 5000, 6000)], ACTION)
+    procs = enrich.processes(events)
+    assert {r.pid: r.exe for r in procs.collect()} == {20: None, 21: "/usr/bin/tar", 30: None, 40: None}
+    at = enrich.attributed(procs, actions)
+    routed = enrich.routed(events, at)
+    assert {r.serial: r.action_id for r in routed.collect()} == {1: 1, 2: 1, 3: 1, 6: 1, 4: 2, 5: 2, 7: 0}
+    # processes that aren't known go by time
+    lost = enrich.routed(events, at.where("pid <> 21"), actions)
+    assert {r.serial: r.action_id for r in lost.collect()} == {1: 1, 2: 1, 3: 2, 6: 0, 4: 2, 5: 2, 7: 0}
+    ops, access = facts.op_events(routed, "action_id"), facts.file_access(routed)
+    pids = receipts.action_pids(ops)
+    flows = [tuple(r) for r in receipts.cross_action_flows(access, pids).collect()]
+    assert flows == [("a", 2, "/srv/late.out", 1, 21, 30)]
+    assert {(r.pid, r.first_action) for r in views.first_actions(procs, ops).collect()} == {(20, 1), (21, 1), (30, 2), (40, 0)}
+    counts = receipts.process_counts(ops, receipts.process_summary(ops, procs))
+    assert {(r.action_id, r.n_unique, r.n_forked, r.n_exited) for r in counts.collect()} == {(0, 1, 0, 0), (1, 2, 0, 1), (2, 1, 0, 0)}
+    # a fork shows in the receipt of either process's action
+    scores = procs.select("container_id", "pid", F.lit(1.0).alias("score"), F.lit(1.0).alias("initial"))
+    edges = graph.edges(procs, access, facts.ipc_access(routed))
+    opened, conns = facts.open_files(events), facts.connections(events)
+    none = spark.createDataFrame([], "ip string, container_id string")
+    diff = receipts.data_flow_diff(flows_df := receipts.cross_action_flows(access, pids), receipts.reads_by_process(access, opened, pids, flows_df), receipts.writes_by_process(access, pids), edges, pids, receipts.network_flows(conns, pids, none), receipts.preexisting_influence(edges, pids, scores))
+    assert {(r.action_id, r.verb, r.subject, r.detail) for r in diff.collect()} == {(1, "fork", "20", "21"), (1, "read", "21", "/srv/late.out"), (1, "write", "21", "/srv/late.out"), (2, "flow", "30", "/srv/late.out from action 1")}
+    merged = {(r.action_id, r.verb, r.detail, r.comm, r.pids) for r in receipts.merged(diff, procs).collect()}
+    assert (1, "fork", "tar", "sh", "20") in merged
+    found = rules.detections(ops, access, procs, conns, opened, scores, rules.rule_table(spark))
+    groups = graph.action_communities(procs, edges, scores, pids)
+    whole = receipts.receipts(actions, ops, receipts.process_summary(ops, procs), groups, diff, found).orderBy("action_id", "section", "nth").collect()
+    one = [r.line for r in whole if r.action_id == 1]
+    assert one == ["Command: one", "Duration: 1.1s | 6 events", "2 unique, 0 forked, 1 exited", "[sh:20] $ sh job.sh", "[tar:21] $ tar x", "read 21 /srv/late.out", "write 21 /srv/late.out", "fork 20 21", ". T1560 21 Archive creation (staging data): tar x"]
+
+
+def test_queues_by_descriptor(spark):
+    """A send names no queue but a descriptor: the queue is the one opened under it since the process's last exit."""
+    rows = [
+        event(1, 10, 5, 1, 240, "a", fd=7, channel="posix_mq:/jobs"), event(2, 20, 5, 1, 242, "a", fd=7), event(3, 30, 6, 1, 240, "b", fd=3, channel="posix_mq:/jobs"), event(4, 40, 6, 1, 243, "b", fd=3), event(5, 50, 6, 1, 243, "b", fd=4),
+        event(6, 60, 6, 1, 231, "b"), event(7, 70, 6, 1, 243, "b", fd=3), event(8, 80, 8, 1, 69, "c", channel="sysv_mq:4"), event(9, 90, 5, 1, 257, "a", "/tmp/f", 0, 7), event(10, 99, 5, 1, 242, "a", fd=7),
+    ]
+    events = enrich.with_channels(spark.createDataFrame(rows, EVENT).withColumn("action_id", F.lit(1).cast("long")))
+    assert {r.serial: r.channel for r in events.collect()} == {1: "posix_mq:/jobs", 2: "posix_mq:/jobs", 3: "posix_mq:/jobs", 4: "posix_mq:/jobs", 5: None, 6: None, 7: None, 8: "sysv_mq:4", 9: None, 10: None}
+    access = facts.ipc_access(events)
+    assert {(r.channel, r.role, r.pid) for r in access.collect()} == {("posix_mq:/jobs", "sender", 5), ("posix_mq:/jobs", "receiver", 6), ("sysv_mq:4", "sender", 8)}
+    assert [(r.src, r.dst, r.channel) for r in graph.ipc_flow_edges(access).collect()] == [(5, 6, "posix_mq:/jobs")]
+    # a send on an unknown queue is no fact
+    assert {r.serial for r in facts.op_events(events).collect()} == {1, 2, 3, 4, 6, 8, 9}
+
+
+def test_labels_colours_and_order(spark):
+    names = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],)], "n array<string>")
+    assert [r[0] for r in names.select(graph.label_of(F.col("n"))).collect()] == ["a", "a+b", "a+2 others"]
+    scores = spark.createDataFrame([(1.0,), (0.5,), (0.1,), (0.09,)], "s double")
+    assert [r[0] for r in scores.select(X.edge_colour(F.col("s"))).collect()] == ["#cc0000", "#cc8080", "#cce6e6", "#cccccc"]
+    found = spark.createDataFrame([("a", 2, "T2", 1, 1), ("a", 1, "T1", 1, 1), ("a", 9, "T3", 1, 3)], "container_id string, action_id long, technique string, pid long, severity int")
+    assert [r.technique for r in rules.by_severity(found).orderBy("nth").collect()] == ["T3", "T1", "T2"]
+
+
+def test_names_of_calls(spark, tmp_path):
+    (tmp_path / "unistd.h").write_text("#ifndef X\n#define __NR_read 0\n# define __NR_statx\t332\n#define OTHER 5\n#endif\n")
+    names = enrich.syscall_names(spark, str(tmp_path / "unistd.h"))
+    assert names == {0: "read", 332: "statx"}
+    assert {r.syscall_name for r in enrich.syscall_table(spark, names).collect()} == {"read", "statx"}
+
+
+def test_receipt_sink_and_removal(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "container_id string, n int")
+    views.write_receipts({"lines": table}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/lines").where("container_id = 'b'").count() == 2
+    assert [tuple(r) for r in views.without_containers({"t": table}, ["b"])["t"].collect()] == [("a", 1)]
+
+
 def test_scores_spread_and_stop(spark):
     edges = spark.createDataFrame([("a", 1, 2, "fork"), ("a", 2, 3, "file"), ("a", 3, 1, "mqueue"), ("a", 3, 4, "file")], "container_id string, src long, dst long, channel_type string")
     start = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 0.0), ("a", 3, 0.0), ("a", 4, 0.0)], "container_id string, pid long, score double")
@@ -81,7 +167,10 @@ def test_boundaries_and_owners(spark):
     assert {tuple(r) for r in enrich.ip_owner(claims).collect()} == {("1.1.1.1", "a"), ("2.2.2.2", "c")}
 
 
-ORACLES = ["derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "file_flow_edges", "ipc_flow_edges", "taint_scores", "cross_action_flows", "network_flows", "preexisting_influence", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_assemble"]
+ORACLES = [
+    "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
+    "receipts", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_assemble", "experiment_graph",
+]
 
 
 @pytest.mark.parametrize("name", ORACLES)
