@@ -7,25 +7,33 @@ each term's best contribution over the block's extremes: no document of the bloc
 visited by falling bound, scored whole through their forward index, until the bound falls below the query's
 k-th score so far; blocks at that score are still scored, as ties go to the smaller id.
 
-Queries travel in chunks, so a task holds one shard and one chunk. A first pass over one shard gives every
-query a k-th score that the other shards start from; the shards' lists then meet in a ranking per query.
+Shards are indexed once, a row each, and stay where they are: queries are packed into chunks of bounded size,
+and a few chunks at a time are broadcast past all shards. A first pass over one shard gives every query a
+k-th score that the other shards start from; the shards' lists then meet in a ranking per query.
 
 Vectors that are null, or hold a null or non-finite component, take no part, and neither do null ids. Rows
-alike in id and vector count once; rows with the query's own id are never its candidates; fewer candidates
-than k are all returned; an empty table gives no rows; extra columns are ignored.
+alike in id and vector count once; rows with the query's own id are never its candidates; ties in score go to
+the smaller id; fewer candidates than k are all returned; vectors of different lengths don't meet; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import stash
 
-#: Vectors in a block, vectors in a shard and queries in a chunk (about).
-BLOCK, SHARD, CHUNK = 64, 8192, 512
+#: Vectors in a block, vectors in a shard and queries in a chunk (about, and at most), and chunks that are broadcast at once.
+BLOCK, SHARD, CHUNK, AT_ONCE = 64, 8192, 2048, 8
+#: Bytes of a shard and of a chunk at most (about): longer vectors make smaller ones.
+SHARD_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 
 
 def quantised(vectors: DataFrame, id_column: str, vector: str, scale: int = 256) -> DataFrame:
@@ -40,13 +48,16 @@ class Shard:
     """The blocks of one shard: bounds and forward indexes."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
-        # order by the signs of the terms that vary most, the most varied first
+        """ids and weights in the order of the blocks."""
+        self.ids, self.weights = ids, weights
+        self.starts = np.arange(0, len(ids), BLOCK)
+        self.high, self.low = np.maximum.reduceat(weights, self.starts), np.minimum.reduceat(weights, self.starts)
+
+    @staticmethod
+    def order(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Vectors by the signs of the terms that vary most, the most varied first."""
         by_spread = np.argsort(-weights.var(0), kind="stable")[:24]
-        order = np.lexsort((ids, *[(weights[:, d] > 0) for d in by_spread[::-1]]))
-        self.ids, self.weights = ids[order], weights[order]
-        starts = np.arange(0, len(ids), BLOCK)
-        self.starts = starts
-        self.high, self.low = np.maximum.reduceat(self.weights, starts), np.minimum.reduceat(self.weights, starts)
+        return np.lexsort((ids, *[(weights[:, d] > 0) for d in by_spread[::-1]]))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query, id, score) of each query's best k here that score at least its floor."""
@@ -71,27 +82,48 @@ class Shard:
         return out
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """Python gets so many rows of a task at a time while this lasts: a pair is as large as a shard and a chunk."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 FOUND = "query_id long, vec_id long, score long"
+PACKED = "part int, size int, ids binary, weights binary, floors binary"
 
 
-def search_shards(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best k of each shard for each query of the chunks it is paired with.
+def packed(rows: DataFrame, ordered: bool) -> DataFrame:
+    """A row for each part and vector length of rows (part, size, id, weights, floor): their ids, weights and floors end to end."""
 
-    index: shard, chunk, id, weights; queries: shard, chunk, id, weights, floor. One task holds one pair.
-    """
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id", ignore_index=True)
+        ids, weights = df["id"].to_numpy(np.int64), np.stack(df["weights"].to_list()).astype(np.int64)
+        order = Shard.order(ids, weights) if ordered else np.arange(len(ids))
+        blobs = (ids[order], weights[order], df["floor"].to_numpy(np.int64)[order])
+        return pd.DataFrame([(df["part"].iloc[0], df["size"].iloc[0], *[x.tobytes() for x in blobs])], columns=["part", "size", "ids", "weights", "floors"])
+
+    return rows.groupBy("part", "size").applyInPandas(one, PACKED)
+
+
+def search_shards(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best k of each shard for each query; both sides are packed, and few chunks of queries are given at once, to be broadcast."""
+    asked = queries.select("size", F.col("ids").alias("query_ids"), F.col("weights").alias("query_weights"), "floors")
+    pairs = index.select("size", "ids", "weights").join(F.broadcast(asked), "size")
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        # vectors of other lengths have no inner product with a query
-        for size in set(right["weights"].map(len)):
-            q, d = right[right["weights"].map(len) == size], left[left["weights"].map(len) == size]
-            if len(d) and size:
-                shard = Shard(d["id"].to_numpy(), np.stack(d["weights"].to_list()).astype(np.int64))
-                rows += shard.search(q["id"].to_numpy(), np.stack(q["weights"].to_list()).astype(np.int64), q["floor"].to_numpy(), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples(index=False):
+                shard = Shard(np.frombuffer(r.ids, np.int64), np.frombuffer(r.weights, np.int64).reshape(-1, r.size))
+                found = shard.search(np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.query_weights, np.int64).reshape(-1, r.size), np.frombuffer(r.floors, np.int64), k)
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    keys = ["shard", "chunk"]
-    return index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(one, FOUND)
+    return pairs.mapInPandas(work, FOUND)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -101,22 +133,28 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row (id, weights) that is_query picks, the k best of all rows of other ids."""
-    rows = stash(rows, "vectors")
-    # a table of its own, as Spark takes columns of one table on both sides of a cogroup for ambiguous
+    rows = stash(rows.where(F.size("weights") > 0), "vectors")
     queries = stash(rows.where(is_query), "queries")
-    n, m = rows.count(), queries.count()
-    shards, chunks = max(1, -(-n // SHARD)), max(1, -(-m // CHUNK))
-    spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("id", "weights"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("weights", "id"), F.lit(chunks)).cast("int"))
-    low = F.lit(-(1 << 62)).cast("long")
-    pilot = search_shards(index.where("shard = 0").withColumn("chunk", spread(chunks)), asked.withColumn("shard", F.lit(0)).withColumn("floor", low), k)
-    pilot = stash(pilot, "pilot")
-    if shards == 1:
-        return best(pilot, k).select("query_id", "rank", "vec_id", "score")
-    floors = pilot.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
-    asked = stash(asked.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id"), "floors")
-    rest = index.where("shard > 0").withColumn("chunk", spread(chunks))
-    others = asked.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-    found = pilot.unionByName(search_shards(rest, others, k))
-    return best(found, k).select("query_id", "rank", "vec_id", "score")
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("weights")), F.lit(1))).first()
+    m = queries.count()
+    many = lambda n, most, room: max(1, -(-n // max(1, min(most, room // (8 * longest)))))
+    shards, chunks = many(n, SHARD, SHARD_BYTES), many(m, CHUNK, CHUNK_BYTES)
+    size, low = F.size("weights").alias("size"), F.lit(-(1 << 62)).cast("long")
+    part = lambda seed, many: F.pmod(F.xxhash64("id", "weights", F.lit(seed)), F.lit(many)).cast("int").alias("part")
+    index = stash(packed(rows.select(part(1, shards), size, "id", "weights", F.lit(0).cast("long").alias("floor")), True), "index")
+
+    def asked(floors: DataFrame | None) -> DataFrame:
+        own = queries.withColumn("floor", low) if floors is None else queries.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", low))
+        return stash(packed(own.select(part(2, chunks), size, "id", "weights", "floor"), False), "chunks")
+
+    def found(index: DataFrame, asked: DataFrame) -> DataFrame:
+        some = [search_shards(index, asked.where(F.col("part").between(c, c + AT_ONCE - 1)), k) for c in range(0, chunks, AT_ONCE)]
+        with rows_at_once(rows.sparkSession, AT_ONCE):
+            return reduce(DataFrame.unionByName, [stash(x, "found") for x in some])
+
+    pilot = found(index.where("part = 0"), asked(None))
+    if shards > 1:
+        # the k-th score of one shard alone: a query may meet it in rows of several lengths, or twice, never too high
+        floors = pilot.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
+        pilot = pilot.unionByName(found(index.where("part > 0"), asked(floors)))
+    return best(pilot, k).select("query_id", "rank", "vec_id", "score")
