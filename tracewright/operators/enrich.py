@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import schema
-from tracewright.shared import stash
+from tracewright.shared import discard, stash
 
 HOUR = 3_600_000
 
@@ -93,12 +93,16 @@ def roots(procs: DataFrame) -> DataFrame:
     parent = procs.select("container_id", F.col("pid").alias("ppid"), F.col("first_seq").alias("parent_seq"))
     known = procs.select("container_id", "pid", "ppid", "first_seq").join(parent, ["container_id", "ppid"], "left")
     at = stash(known.select("container_id", "pid", F.when(F.col("parent_seq") < F.col("first_seq"), F.col("ppid")).otherwise(F.col("pid")).cast("long").alias("root_pid")), "roots")
+    last = at
     while True:
         up = at.select("container_id", F.col("pid").alias("root_pid"), F.col("root_pid").alias("next"))
         moved = stash(at.join(up, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "next"), "roots")
         if moved.where("next <> root_pid").isEmpty():
+            discard(moved)
             return at
         at = moved.select("container_id", "pid", F.col("next").alias("root_pid"))
+        discard(last)
+        last = moved
 
 
 def attributed(procs: DataFrame, actions: DataFrame, gap_ms: int = 2000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.functions import exprs as X
-from tracewright.shared import stash
+from tracewright.shared import discard, stash
 
 EDGE = ["container_id", "src", "dst", "channel_type", "channel", "event_count"]
 
@@ -77,7 +77,7 @@ def propagate(scores: DataFrame, graph: DataFrame, rounds: int = 30) -> DataFram
     decay = F.create_map(*[x for k, v in schema.DECAY.items() for x in (F.lit(k), F.lit(v))])
     links = stash(graph.select("container_id", F.col("src").alias("pid"), "dst", decay[F.col("channel_type")].alias("decay")).groupBy("container_id", "pid", "dst").agg(F.max("decay").alias("decay")), "links")
     now = stash(scores.select("container_id", "pid", "score", F.col("score").alias("initial")), "scores")
-    raised = now.select("container_id", "pid", "score")
+    raised, last = now.select("container_id", "pid", "score"), now
     for _ in range(rounds):
         sent = raised.where(F.col("score") >= schema.TAINTED).join(links, ["container_id", "pid"])
         got = sent.groupBy("container_id", F.col("dst").alias("pid")).agg(F.max(F.col("score") * F.col("decay")).alias("got"))
@@ -85,8 +85,11 @@ def propagate(scores: DataFrame, graph: DataFrame, rounds: int = 30) -> DataFram
         new = stash(new.select("container_id", "pid", F.when(F.col("up"), F.col("got")).otherwise(F.col("score")).alias("score"), "initial", "up"), "scores")
         raised = new.where("up").select("container_id", "pid", "score")
         now = new.drop("up")
+        discard(last)
+        last = new
         if raised.isEmpty():
-            return now
+            break
+    discard(links)
     return now
 
 
@@ -95,13 +98,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = links.select("container_id", "src", "dst").union(links.select("container_id", "dst", "src")).distinct()
     both = stash(both.select("container_id", F.col("src").alias("via"), F.col("dst").alias("pid")), "both")
     now = stash(nodes.select("container_id", "pid", F.col("pid").alias("community")), "labels")
+    last = now
     while True:
         near = both.join(now.select("container_id", F.col("pid").alias("via"), "community"), ["container_id", "via"]).groupBy("container_id", "pid").agg(F.min("community").alias("near"))
         spread = now.join(near, ["container_id", "pid"], "left").withColumn("low", F.least("community", "near"))
         up = now.select("container_id", F.col("pid").alias("low"), F.col("community").alias("lower"))
         new = stash(spread.join(up, ["container_id", "low"]).select("container_id", "pid", F.col("community").alias("old"), F.least("low", "lower").alias("community")), "labels")
         now = new.drop("old")
+        discard(last)
+        last = new
         if new.where("old <> community").isEmpty():
+            discard(both)
             return now
 
 

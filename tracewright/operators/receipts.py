@@ -16,15 +16,18 @@ def action_pids(ops: DataFrame) -> DataFrame:
     return ops.where("class = 'process'").select("container_id", "action_id", "pid").distinct()
 
 
-def cross_action_flows(access: DataFrame, pids: DataFrame) -> DataFrame:
+def cross_action_flows(access: DataFrame, pids: DataFrame, by_writer: bool = True) -> DataFrame:
     """container_id, action_id, path, writer_action, writer, pid: files that an action's processes read or run, never having
-    written them, and that were written in another action. Hot paths are joined by path and container, pairs of writer and user only."""
+    written them, and that were written in another action. Hot files are joined by path and container, pairs of writer and user only;
+    without ``by_writer`` a file's writers are one for each action, and so there are no pairs of processes."""
     rows = access.where((F.col("action_id") >= 0) & ~X.is_receipt_noise(F.col("path")))
     wrote = rows.where("role = 'writer'").select("container_id", "path", F.col("pid").alias("writer"), F.col("action_id").alias("writer_action")).distinct()
     users = rows.where("role in ('reader', 'executor')").select("container_id", "path", "pid").distinct()
-    users = users.join(wrote.select("container_id", "path", F.col("writer").alias("pid")).distinct(), ["container_id", "path", "pid"], "left_anti")
-    out = wrote.where("writer_action <> 0").join(users, ["container_id", "path"]).join(pids, ["container_id", "pid"])
-    return out.where("writer_action <> action_id").select("container_id", "action_id", "path", "writer_action", "writer", "pid").distinct()
+    users = users.join(wrote.select("container_id", "path", F.col("writer").alias("pid")).distinct(), ["container_id", "path", "pid"], "left_anti").join(pids, ["container_id", "pid"])
+    who = ["writer"] if by_writer else []
+    wrote = wrote.where("writer_action <> 0").select("container_id", "path", "writer_action", *who).distinct()
+    out = wrote.join(users, ["container_id", "path"]).where("writer_action <> action_id")
+    return out.select("container_id", "action_id", "path", "writer_action", *who, "pid").distinct()
 
 
 def reads_by_process(access: DataFrame, opened: DataFrame, pids: DataFrame, flows: DataFrame) -> DataFrame:

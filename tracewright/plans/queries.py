@@ -36,7 +36,7 @@ def events_of(t: Tables) -> DataFrame:
     return rows if t.until is None else rows.where(F.col("ts_ms") <= t.until)
 
 
-SHARED = {"events", "procs", "attributed", "routed", "ops", "files", "queues", "edges", "pids", "conns", "flows", "found", "diff", "groups_of_actions"}
+SHARED = {"events", "procs", "attributed", "routed", "ops", "files", "queues", "edges", "pids", "conns", "opened", "scores", "action_flows", "found", "diff", "groups_of_actions"}
 
 MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "events": events_of,
@@ -59,7 +59,8 @@ MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "initial": lambda t: graph.initial_scores(t.procs, t.forks, t.attributed),
     "scores": lambda t: graph.propagate(t.initial, t.edges),
     "flows": lambda t: receipts.cross_action_flows(t.files, t.pids),
-    "reads": lambda t: receipts.reads_by_process(t.files, t.opened, t.pids, t.flows),
+    "action_flows": lambda t: receipts.cross_action_flows(t.files, t.pids, False),
+    "reads": lambda t: receipts.reads_by_process(t.files, t.opened, t.pids, t.action_flows),
     "writes": lambda t: receipts.writes_by_process(t.files, t.pids),
     "network": lambda t: receipts.network_flows(t.conns, t.pids, t.owners),
     "influence": lambda t: receipts.preexisting_influence(t.edges, t.pids, t.scores),
@@ -67,7 +68,7 @@ MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "status": lambda t: views.container_status(t.procs, t.edges, t.actions),
     "nodes": lambda t: views.graph_nodes(t.procs, t.scores, t.attributed),
     "shown": lambda t: views.shown_files(t.files),
-    "diff": lambda t: receipts.data_flow_diff(t.flows, t.reads, t.writes, t.edges, t.pids, t.network, t.influence),
+    "diff": lambda t: receipts.data_flow_diff(t.action_flows, t.reads, t.writes, t.edges, t.pids, t.network, t.influence),
     "summary": lambda t: receipts.process_summary(t.ops, t.procs),
     "groups_of_actions": lambda t: graph.action_communities(t.procs, t.edges, t.scores, t.pids),
     "receipt": lambda t: receipts.receipts(t.actions, t.ops, t.summary, t.groups_of_actions, t.diff, t.found),

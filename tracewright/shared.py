@@ -27,4 +27,12 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/tracewright/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stash() wrote for df, which nothing may read any more: a loop's last round once the next one is written."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
