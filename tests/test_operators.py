@@ -131,6 +131,29 @@ def test_names_of_calls(spark, tmp_path):
     assert {r.syscall_name for r in enrich.syscall_table(spark, names).collect()} == {"read", "statx"}
 
 
+def test_containers_of_processes(spark):
+    rows = [(5, 1, "0::/system.slice/docker-0123456789abcdef.scope"), (6, 5, "0::/"), (7, 6, "0::/"), (8, 99, "0::/"), (9, 1, "1:name=x:/docker/fedcba9876543210"), (10, 9, "0::/buildkit/docker-aaaaaaaaaaaa.scope")]
+    table = spark.createDataFrame(rows, "pid int, ppid int, line string")
+    assert {r.pid: r.container_id for r in enrich.container_of(table).collect()} == {5: "0123456789ab", 6: "0123456789ab", 7: "0123456789ab", 8: None, 9: "fedcba987654", 10: "fedcba987654"}
+    # with a single container, all others are its own
+    assert {r.pid: r.container_id for r in enrich.container_of(table.where("pid in (5, 8)")).collect()} == dict.fromkeys((5, 8), "0123456789ab")
+
+
+def test_policy_and_paths(spark):
+    rows = [(1, 257, 3, True), (2, 257, -2, False), (3, 59, None, False), (4, 0, 3, True)]
+    table = spark.createDataFrame(rows, "serial int, syscall int, fd long, success boolean")
+    assert {r.serial for r in enrich.audited(table).collect()} == {r.serial for r in enrich.audited(table.drop("success")).collect()} == {1, 3}
+    paths = spark.createDataFrame([("/a",), ("/b",), ("/a",)], "p string").select(X.path_id(F.col("p"))).collect()
+    assert paths[0] == paths[2] != paths[1]
+
+
+def test_export(spark, tmp_path):
+    status = spark.createDataFrame([("a", 5, 1), ("b", 5000, 1), ("c", 5, 0)], "container_id string, n_processes long, n_actions long")
+    lines = spark.createDataFrame([("a", "x"), ("b", "y")], "container_id string, line string")
+    views.export(status, {"lines": lines}, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/lines").collect()[0].line == "x" and spark.read.json(f"{tmp_path}/containers").count() == 1
+
+
 def test_receipt_sink_and_removal(spark, tmp_path):
     table = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "container_id string, n int")
     views.write_receipts({"lines": table}, str(tmp_path))

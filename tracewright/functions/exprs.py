@@ -242,3 +242,14 @@ def edge_colour(score: Column) -> Column:
     """Red, the paler the lower the source's score; grey below the limit of taint."""
     pale = F.lpad(F.lower(F.hex(F.lit(255) - F.least(F.lit(255), F.floor(score * 255)).cast("int"))), 2, "0")
     return F.when(score >= schema.TAINTED, F.concat(F.lit("#cc"), pale, pale)).otherwise("#cccccc")
+
+
+def path_id(path: Column) -> Column:
+    """A number that stands for a path in a graph; equal paths have equal ones."""
+    return F.xxhash64(path)
+
+
+def escaped(x: Column, form: str = "dot") -> Column:
+    """Text inside a quoted string of a DOT file, or inside HTML."""
+    pairs = {"dot": [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")], "html": [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]}[form]
+    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), pairs, x)

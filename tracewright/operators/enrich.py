@@ -36,8 +36,10 @@ def named(events: DataFrame) -> DataFrame:
 
 
 def audited(events: DataFrame) -> DataFrame:
-    """Events whose call the audit policy records."""
-    return events.join(F.broadcast(syscall_table(events.sparkSession).where("audited").select("syscall")), "syscall", "left_semi")
+    """Events whose call the audit policy records; opens only where they succeeded (by success, or else a descriptor that isn't negative)."""
+    rows = events.join(F.broadcast(syscall_table(events.sparkSession).where("audited").select("syscall", F.col("op").alias("audited_op"))), "syscall")
+    opened = F.col("success") if "success" in events.columns else F.coalesce(F.col("fd") >= 0, F.lit(True))
+    return rows.where((F.coalesce("audited_op", F.lit("")) != "Open") | opened).drop("audited_op")
 
 
 def processes(events: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def fd_targets(events: DataFrame) -> DataFrame:
 
 
 def container_of(proc_cgroup: DataFrame, hops: int = 10) -> DataFrame:
-    """pid, container_id out of (pid, ppid, line) of cgroup texts: a process's own, or else its nearest ancestor's."""
+    """pid, container_id out of (pid, ppid, line) of cgroup texts: a process's own, or else its nearest ancestor's, or else the only one there is."""
     line = F.col("line")
     patterns = [r"docker-([0-9a-f]{12,})\.scope", r"/docker/([0-9a-f]{12,})", r"cri-containerd-([0-9a-f]{12,})\.scope"]
     own = reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in patterns])
@@ -182,7 +184,9 @@ def container_of(proc_cgroup: DataFrame, hops: int = 10) -> DataFrame:
     out = now.withColumn("up", F.col("ppid"))
     for _ in range(hops):
         out = out.join(base, out["up"] == base["a_pid"], "left").select("pid", "ppid", F.coalesce("container_id", "a_id").alias("container_id"), F.col("a_ppid").alias("up"))
-    return out.select("pid", "container_id")
+    known = out.agg(F.count_distinct("container_id"), F.min("container_id")).first()
+    only = F.lit(known[1] if known[0] == 1 else None).cast("string")
+    return out.select("pid", F.coalesce("container_id", only).alias("container_id"))
 
 
 def ip_owner(claims: DataFrame) -> DataFrame:

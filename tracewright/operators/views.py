@@ -29,6 +29,12 @@ def listed_containers(status: DataFrame, most: int = 1500) -> DataFrame:
     return status.where((F.col("n_actions") >= 1) & (F.col("n_processes") <= most))
 
 
+def hidden_containers(status: DataFrame, most: int = 1500) -> DataFrame:
+    """listed, hidden: how many containers are worth listing, and how many are not."""
+    worth = (F.col("n_actions") >= 1) & (F.col("n_processes") <= most)
+    return status.agg(F.count_if(worth).alias("listed"), F.count_if(~worth).alias("hidden"))
+
+
 def shown_files(access: DataFrame) -> DataFrame:
     """container_id, path, class: files with a flow between processes, sensitive, deleted, modified, or written and used."""
     rows = access.where(~X.is_graph_noise(F.col("path")))
@@ -128,3 +134,9 @@ def write_receipts(tables: dict[str, DataFrame], path: str, form: str = "parquet
     """Each table in a folder of its own, partitioned by container."""
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy("container_id").format(form).save(f"{path}/{name}")
+
+
+def export(status: DataFrame, tables: dict[str, DataFrame], path: str, most: int = 1500) -> None:
+    """Everything about the containers worth listing, as JSON lines: each table (with container_id) in a folder of its own."""
+    worth = listed_containers(status, most).select("container_id")
+    write_receipts({name: df.join(worth, "container_id", "left_semi") for name, df in {"containers": status, **tables}.items()}, path, "json")

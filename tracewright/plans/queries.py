@@ -307,6 +307,7 @@ register("action_list", "container_id action_id command start_ms end_ms total_ev
   "SELECT a.container_id, a.action_id, command, start_ms, end_ms, count(o.serial) AS total_events, count(o.serial) FILTER (class = 'process') AS process_events FROM actions a LEFT JOIN ops o ON o.container_id = a.container_id AND o.action_id = a.action_id GROUP BY 1, 2, 3, 4, 5")
 register("container_status", "container_id n_processes n_exited n_edges n_actions active_action", lambda t: t.status, "SELECT * FROM status")
 register("listed_containers", "container_id n_processes", lambda t: views.listed_containers(t.status), "SELECT container_id, n_processes FROM status WHERE n_processes <= 1500")
+register("hidden_containers", "listed hidden", lambda t: views.hidden_containers(t.status, 150), "SELECT count(*) FILTER (n_processes <= 150) AS listed, count(*) FILTER (n_processes > 150) AS hidden FROM status")
 register("shown_files", "container_id path class label", lambda t: t.shown, "SELECT * FROM shown")
 register("graph_nodes", "container_id pid label cmd action_id score", lambda t: t.nodes,
   "SELECT container_id, pid, concat(comm, ':', CAST(pid AS VARCHAR)) AS label, cmdline AS cmd, action_id, round(score, 9) AS score FROM procs JOIN scores USING (container_id, pid) JOIN attributed USING (container_id, pid) QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY score DESC, pid) <= 50")

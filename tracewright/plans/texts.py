@@ -91,12 +91,13 @@ path LIKE '/proc/%' AS graph_noise, path IN ('/etc/passwd', '/etc/crontab') AS s
 def command_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.stashed(spark, sf_dir).where("cmdline is not null")
     k = F.col("k")
+    quoted = F.concat(F.lit("<\"a\\\n&"), "cmdline", F.lit("\">"))
     command = F.concat("cmdline", F.lit(" -o /tmp/Xy9Abc"), k, F.lit(".o 10.0.0."), k, F.lit(":80"))
-    return rows.select("serial", X.normal_command(command).alias("normal"), X.truncated(command, 30).alias("short"), X.decode_comm(F.hex(F.encode(F.concat("comm", F.lit("-worker")), "UTF-8"))).alias("comm"), X.process_label(F.col("comm"), F.col("pid")).alias("label"), X.raw_hex(F.concat(F.hex("pid"), F.lit("zz"))).alias("pid_back"))
+    return rows.select("serial", X.normal_command(command).alias("normal"), X.truncated(command, 30).alias("short"), X.decode_comm(F.hex(F.encode(F.concat("comm", F.lit("-worker")), "UTF-8"))).alias("comm"), X.process_label(F.col("comm"), F.col("pid")).alias("label"), X.raw_hex(F.concat(F.hex("pid"), F.lit("zz"))).alias("pid_back"), X.escaped(quoted).alias("dot"), X.escaped(quoted, "html").alias("html"))
 
 
-COMMANDS = """SELECT serial, concat(comm, ' /tmp/job', CAST(k AS VARCHAR), ' <ADDR> -o <TMP> <ADDR>') AS normal, left(c, 27) || '...' AS short, comm || '-worker' AS comm, concat(comm, ':', CAST(pid AS VARCHAR)) AS label, CAST(pid AS VARCHAR) AS pid_back
-FROM (SELECT *, concat(cmdline, ' -o /tmp/Xy9Abc', CAST(k AS VARCHAR), '.o 10.0.0.', CAST(k AS VARCHAR), ':80') AS c FROM ev WHERE cmdline IS NOT NULL)"""
+COMMANDS = """SELECT serial, concat(comm, ' /tmp/job', CAST(k AS VARCHAR), ' <ADDR> -o <TMP> <ADDR>') AS normal, left(c, 27) || '...' AS short, comm || '-worker' AS comm, concat(comm, ':', CAST(pid AS VARCHAR)) AS label, CAST(pid AS VARCHAR) AS pid_back,
+'<\\"a\\\\\\n&' || cmdline || '\\">' AS dot, '&lt;&quot;a\\' || chr(10) || '&amp;' || cmdline || '&quot;&gt;' AS html FROM (SELECT *, concat(cmdline, ' -o /tmp/Xy9Abc', CAST(k AS VARCHAR), '.o 10.0.0.', CAST(k AS VARCHAR), ':80') AS c FROM ev WHERE cmdline IS NOT NULL)"""
 
 
 def kernel_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
