@@ -171,3 +171,16 @@ def test_mixing_copies_each_row_by_its_own_share(spark):
         want[(r.doc_id, r.source, r["size"])] += r.copies
     got = Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.source_mixing(spark, docs, "").collect())
     assert got == +want
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(k, f"{'w ' * k}x", "en", "s", None, 10 * k, 20 * k, 30 * k) for k in range(1, 9)]
+    docs = spark.createDataFrame(rows, DOCS + ", copy int, copies int, nth int")
+    got = corpus_pipeline.source_mixing(spark, docs, "")
+    assert got.columns == docs.columns and all((r.copy, r.copies, r.nth) == (10 * r.doc_id, 20 * r.doc_id, 30 * r.doc_id) for r in got.collect())
+
+
+def test_stages_of_empty_tables(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, corpus).count() == 0

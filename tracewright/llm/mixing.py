@@ -169,7 +169,8 @@ def limits_of(inside: DataFrame, lacks: DataFrame) -> tuple[DataFrame, int]:
 
 def repeated(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs, each as often as mixed (key, copies) says; keys must be distinct or their rows alike."""
-    copies = mixed.groupBy(F.col(key).alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
+    of, n, nth = (f"{name}__{uuid.uuid4().hex[:6]}" for name in ("of", "n", "nth"))
+    copies = mixed.groupBy(F.col(key).alias(of)).agg(F.max("copies").cast("int").alias(n))
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.alias("d").join(copies, F.col(f"d.{key}").eqNullSafe(F.col("mixed_id"))).where("mixed_copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(columns)
+    joined = docs.alias("d").join(copies, F.col(f"d.`{key}`").eqNullSafe(F.col(of))).where(F.col(n) > 0)
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(nth)).drop(nth)
