@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import exprs as X
 from tracewright.operators import enrich, facts, graph, receipts, rules, views
 from tracewright.plans import queries
+from tracewright.streaming import stream
 
 SF = "/root/testdata/sf0.001"
 EVENT = "serial long, ts_ms long, container_id string, pid long, ppid long, syscall int, flags int, fd long, comm string, path string, addr string, channel string, cmdline string"
@@ -154,6 +155,21 @@ def test_export(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/lines").collect()[0].line == "x" and spark.read.json(f"{tmp_path}/containers").count() == 1
 
 
+def test_stream_that_goes_on(spark, tmp_path):
+    """A query on a trigger picks up what comes; its partial rows merge to the counts of all of it."""
+    source, at = str(tmp_path / "in"), str(tmp_path / "state")
+    spark.range(5).write.parquet(source)
+    rows = spark.readStream.schema("id long").parquet(source)
+    query = stream.follow(rows, lambda b: b.groupBy().agg(F.count("*").alias("n")), at, processingTime="100 milliseconds")
+    try:
+        query.processAllAvailable()
+        spark.range(7).write.mode("append").parquet(source)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{at}/rows").agg(F.sum("n")).first()[0] == 12
+
+
 def test_receipt_sink_and_removal(spark, tmp_path):
     table = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "container_id string, n int")
     views.write_receipts({"lines": table}, str(tmp_path))
