@@ -39,7 +39,7 @@ TEXT_DIMS = BYTE_DIMS + CLASS_DIMS + STEP_DIMS
 #: Letters and digits by class; other ASCII characters are classes of their own.
 CLASS_OF = np.arange(256, dtype=np.uint32)
 CLASS_OF[97:123], CLASS_OF[65:91], CLASS_OF[48:58], CLASS_OF[128:] = 1, 2, 3, 4
-DOCS_AT_ONCE, BLOCK = 256, 4_000_000
+DOCS_AT_ONCE, BLOCK = 256, 1_000_000
 
 
 def trigram_counts(b: np.ndarray, doc: np.ndarray, docs: int, bits: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, text_x, meta_x: both views of each row, as float16 bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 1):
+        for b in batches_of(batches, 1, 4_000_000):
             pair = [[row.tobytes() for row in x.astype(np.float16)] for x in (text_view(b.column("text")), meta_view(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.binary()) for x in pair]], ["doc_id", "text_x", "meta_x"])
 
@@ -212,7 +212,7 @@ class Exchange:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # of each view and class, the lowest so many (-sureness, hash) with their features
             best: dict[tuple[int, int], dict[int, tuple]] = {(i, c): {} for i in (0, 1) for c in (0, 1)}
-            for b in batches_of(batches, 1, 8_000_000):
+            for b in batches_of(batches, 1, 4_000_000):
                 of, xs = b.column(0).to_pylist(), [text_view(b.column("text")).astype(np.float16), meta_view(b).astype(np.float16)]
                 for i, view in enumerate(views):
                     odds = view.odds(xs[i])
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: CoTrained | None, limit: float = 0.5) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 1, 8_000_000):
+        for b in batches_of(batches, 1, 4_000_000):
             if model is None:
                 cols = [pa.nulls(b.num_rows, pa.float64())] * 3 + [pa.array(np.ones(b.num_rows, bool))]
             else:
@@ -288,7 +288,7 @@ def kept(docs: DataFrame, model: CoTrained | None, limit: float = 0.5) -> DataFr
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, at, 8_000_000):
+        for b in batches_of(batches, at, 4_000_000):
             good = model.odds([text_view(b.column("text")), meta_view(b)])[2] >= np.log(limit / (1 - limit))
             yield b.filter(pa.array(good))
 

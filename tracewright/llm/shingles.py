@@ -132,9 +132,10 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Sets:
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, bytes_most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that none holds much more text than bytes_most, unless one row does."""
+    """Cuts batches so that none holds much more text than bytes_most, unless one row does; gives back what Arrow holds at the end."""
     for b in batches:
         n = max(1, -(-b.column(column).nbytes // bytes_most))
         step = max(1, -(-b.num_rows // n))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
+    pa.default_memory_pool().release_unused()
