@@ -7,7 +7,7 @@ are numbers of distinct whole texts, so exact copies are no evidence. Terms that
 texts hold together with the entity are generalised from one threshold on and removed from a higher one on.
 
 Everything is DataFrame expressions. A text is read once for the base spans and once for the document
-counts of candidate terms; only texts with a base span are kept in between. Entities of fewer than
+counts of all terms; only texts with a base span are kept in between. Entities of fewer than
 ``support`` texts can't reach it with any term, so their texts make no pairs.
 
 Null text counts as empty; repeated rows are scanned each for itself; null ids and extra columns are
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import sized, stash
+from tracewright.llm.common import BROADCAST_BYTES, sized, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive where no backtracking can help, so that long runs neither take long nor nest deep. A match that fails from a
@@ -108,7 +108,9 @@ def disclosing(hits: DataFrame, docs: DataFrame, support: int, generalise: float
     """of, term, action: for each of the distinct texts hits (of, text, entities), the terms that disclose one of its entities over the corpus."""
     entities = hits.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("alone")).where(F.col("alone") >= support)
     entities = stash(entities, "entities")
-    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("of")).distinct().agg(F.count("*").alias("n")).first()["n"])
+    of = F.xxhash64(F.coalesce("text", F.lit(""))).alias("of")
+    copies = stash(docs.select(of).groupBy("of").agg(F.count("*").alias("copies")), "copies")
+    n = float(copies.count())
 
     def score(texts: str) -> Column:
         pmi = F.log(F.lit(n) * F.col("both") / (F.col("alone") * F.col(texts))) / F.log(F.lit(n) / F.col("alone"))
@@ -123,14 +125,15 @@ def disclosing(hits: DataFrame, docs: DataFrame, support: int, generalise: float
     held = stash(held, "held")
     together = held.join(named, "of").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     # texts of any entity with the term are some of those with it, so this leaves out no term that discloses
-    at_least = held.groupBy("term").agg(F.count("*").alias("near_texts"))
+    at_least = hits.select(F.explode_outer(terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("near_texts"))
     together = together.join(sized(entities), "entity").join(at_least, "term").where(score("near_texts") >= generalise)
     together = stash(together, "together")
-    terms = stash(together.select("term").distinct(), "terms")
-    # every document of the corpus counts for a term
-    words = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    words = words.select(F.xxhash64("text").alias("of"), F.explode_outer(terms_of("text")).alias("word"))
-    in_texts = words.join(sized(terms), F.col("word") == F.col("term")).groupBy("term", "of").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts"))
+    # every document of the corpus counts for a term; those that have copies once each, all others without telling them apart
+    again = stash(copies.where("copies > 1").select("of", F.lit(True).alias("again")), "again")
+    words = docs.select(F.coalesce("text", F.lit("")).alias("text"), of).join(sized(again, 4 * BROADCAST_BYTES), "of", "left")
+    words = words.select(F.when(F.col("again"), F.col("of")).alias("of"), F.explode_outer(terms_of("text")).alias("term")).where("term is not null")
+    in_texts = words.groupBy("term", "of").agg(F.count("*").alias("texts"))
+    in_texts = in_texts.groupBy("term").agg(F.sum(F.when(F.col("of").isNull(), F.col("texts")).otherwise(F.lit(1))).alias("texts"))
     scored = together.join(in_texts, "term").withColumn("score", score("texts")).where(F.col("score") >= generalise)
     told = stash(scored.select("entity", "term", F.when(F.col("score") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
     met = held.join(sized(told), "term").join(named, ["of", "entity"])
