@@ -42,7 +42,7 @@ class ChunkEncoder:
     at most ``limit`` chunks of at most ``longest`` characters, so it doesn't grow with the corpus.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
