@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.shared import shared_dir, stash
+from tracewright.shared import discard, shared_dir, stash
 
-__all__ = ["GAP", "WORD", "n_words", "scratch", "shared_dir", "sized", "stash", "table"]
+__all__ = ["GAP", "WORD", "discard", "n_words", "scratch", "shared_dir", "sized", "stash", "table"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files, topk_search
+from tracewright.llm import classifier, embedding_dedup, hard_negatives, line_dedup, mixing, ngram_join, packing, pii, quality_rules, secret_scan, spelling, token_files, topk_search
 from tracewright.llm.common import table
 
 
@@ -96,6 +96,42 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = topk_search.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label=noisy)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH e AS (SELECT row_number() OVER () AS nth, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.nth, q.vec_id AS anchor_id, d.vec_id, d.nth AS other, q.label = d.label AS same, CAST(list_sum(list_transform(list_zip(q.w, d.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.w) = len(d.w)),
+p AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.nth, p.place ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.nth = p.nth AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+OP12_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS nth, vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+l AS (SELECT a.nth AS a, b.nth AS b FROM e a JOIN e b ON a.nth <> b.nth AND len(a.v) = len(b.v) AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 END),
+r AS (SELECT nth, nth AS node FROM e UNION SELECT r.nth, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT r.nth, min(e.vec_id) AS component_id FROM r JOIN e ON e.nth = r.node GROUP BY 1),
+n AS (SELECT a AS nth, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN c ON c.nth = e.nth LEFT JOIN n ON n.nth = e.nth
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=199, least_length=6, least_count=5), ratio=5)
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -125,8 +161,8 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op8_quality_classifier, op9_ngram_jaccard_join, op10_pii_sanitisation)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_token_files, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_line_dedup, op8_quality_classifier, op9_ngram_jaccard_join, op10_pii_sanitisation, op11_hard_negatives, op12_embedding_dedup, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op5_source_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op5_source_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_embedding_dedup": OP12_SQL}
