@@ -39,34 +39,27 @@ def corpus(spark, tmp_path_factory):
 
 
 def brute_lines(rows):
-    """Units (chunks, pairs of lines, long lines) that stand elsewhere before, then the stretches of lines that they make."""
-    seen, out = set(), {}
+    """Units (chunks, windows of fifty words, long lines) that stand elsewhere before."""
+    first, out = {}, {}
     for k in sorted(rows):
         lines = rows[k].split("\n")
         n = len(lines)
         v = [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in lines]
+        words = [len(WORD.findall(x)) for x in lines]
         marks = [i > 0 and (v[i - 1] * 31 + v[i]) % 1021 < 510 for i in range(n)]
-        units, start = [(1, i, i + 2) for i in range(n - 1)] + [(2, i, i + 1) for i in range(n) if len(WORD.findall(lines[i])) >= 50], 0
+        units, start = {(2, i, i + 1) for i in range(n) if words[i] >= 50}, 0
         for i in range(n):
             if i == n - 1 or marks[i] and not marks[i - 1]:
-                units += [(0, start, i + 1)] * (i > start)
+                units |= {(0, start, i + 1)} if i > start else set()
                 start = i + 1
-        later, whole = set(), set()
+            units |= {(3, i, z) for z in [next((z for z in range(i + 1, n + 1) if sum(words[i:z]) >= 50), 0)] if z > i + 1}
+            units |= {(3, a, i + 1) for a in [next((a for a in range(i, -1, -1) if sum(words[a : i + 1]) >= 50), i)] if a < i}
+        gone = set()
         for sort, a, z in sorted(units, key=lambda u: u[1]):
             text = "\n".join(lines[a:z])
             if WORD.search(text):
-                if (sort, text) in seen:
-                    later.update(range(a, z))
-                    whole.update(range(a, z) if sort == 0 else ())
-                seen.add((sort, text))
-        gone, i = set(), 0
-        while i < n:
-            j = i
-            while j in later:
-                j += 1
-            if whole & set(range(i, j)) or sum(len(WORD.findall(x)) for x in lines[i:j]) >= 50:
-                gone.update(range(i, j))
-            i = max(j, i + 1)
+                of, at = first.setdefault((sort, text), (k, a))
+                gone.update(range(a, z) if of != k or a >= at + z - a else ())
         if len(gone) < n:
             out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out

@@ -383,6 +383,25 @@ def test_line_dedup_finds_passages(spark, lines, words):
         assert got[i].text == (text if i < 40 else "\n".join(x for x in text.split("\n") if x not in passages[i % 40].split("\n")))
 
 
+def test_line_dedup_keeps_what_stands_nowhere_in_a_row(spark):
+    """Lines that others have pair by pair stay: no document has more than two of them in a row."""
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    a, b, c, d = (line(20) for _ in range(4))
+    around = lambda *x: "\n".join([line(7), *x, line(7)])
+    rows = [(1, around(a, b)), (2, around(b, c)), (3, around(c, d)), (4, around(a, b, c, d)), (5, around(line(9), b, c, d)), (6, around(d, a, b, c))]
+    got = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i].text == rows[i - 1][1] for i in range(1, 5))
+    assert got[5].text == "\n".join(x for x in rows[4][1].split("\n") if x not in (b, c, d))
+    assert got[6].text == "\n".join(x for x in rows[5][1].split("\n") if x not in (a, b, c))
+
+
+def test_line_dedup_of_a_text_that_repeats_itself(spark):
+    rows = [(1, "\n".join(["ten words " * 5] * 40)), (2, "\n".join(["ten words " * 5] * 12 + ["end"]))]
+    got = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1].text == "\n".join(["ten words " * 5] * 5) and got[2].text == "end"
+
+
 def test_line_dedup_of_odd_tables(spark):
     passage = "\n".join(f"row {i} of the passage that comes again and again" for i in range(12))
     rows = [(i, f"own {i}\n{passage}\nend {i}", 7 + i, 8, 9, "g") for i in range(3)] + [(None, passage, 1, 1, 1, "g"), (5, "\n" * 2000, 2, 2, 2, "g")]

@@ -5,10 +5,12 @@ mark precedes directly, so chunks have two lines or more and boundaries depend o
 come back in step soon after an insertion. Chunks of several lines that occur more than once in the corpus
 are removed everywhere but at their first place (by doc_id, then place), after their bytes are compared.
 
-A passage seldom begins and ends at boundaries, so repeats are followed beyond them line by line: pairs of
-neighbouring lines that the rolling window covers, and single lines of ``long_line`` words, are counted and
-compared in the same way. A stretch of lines that stand elsewhere before is removed if it holds a repeated
-chunk, or has ``long_line`` words; chunks themselves need no length, but a word.
+A passage seldom begins and ends at boundaries, so windows are units beside the chunks: from each line on, and up
+to each line, the fewest lines in a row (two at least) that have ``long_line`` words, and single lines of so many words. A unit that
+stands elsewhere before is removed: all its lines stand there in a row, in one document. A passage of that many words is
+covered by the windows within it. Chunks themselves need no length, but a word. Only runs of lines can hold a repeated
+window of which each pair of neighbours occurs more than once, so windows are made within such runs alone. A place
+that overlaps the first one, in a text that repeats itself, isn't another place.
 
 Everything is DataFrame expressions. Only hashes are counted for all documents; texts are gathered for
 hashes that repeat, and grouped as texts, which is the byte comparison. Hot chunks are aggregated before
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import WORD, n_words, sized, stash
 
-#: Sorts of units: a content-defined chunk, two lines in a row, a long line.
-CHUNK, PAIR, LINE = 0, 1, 2
+#: Sorts of units: a content-defined chunk, two lines in a row (to find runs of lines), a long line, a window of long_line words.
+CHUNK, PAIR, LINE, WINDOW = 0, 1, 2, 3
 
 
 def hashed_lines(text: Column) -> tuple[Column, Column]:
@@ -77,27 +79,48 @@ def first_places(some: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain, texts.where("n > 1").join(sized(mixed), "hash", "left_semi").select("hash", "text", "first")
 
 
+def windows(pairs: DataFrame, long_line: int) -> DataFrame:
+    """Units of windows within the runs of lines that pairs (doc_id, row, at, text) make."""
+    key = ["doc_id", "row", "run"]
+    rank = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("at"))
+    runs = pairs.select("doc_id", "row", "at", "text").distinct().withColumn("run", F.col("at") - rank)
+    runs = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("pairs"))
+    both = F.transform("pairs", lambda p: F.split(p["text"], "\n"))
+    lines = F.concat(F.array(F.get(F.get(both, 0), 0)), F.transform(both, lambda x: F.get(x, 1)))
+    runs = stash(runs.select(*key, F.col("pairs")[0]["at"].alias("first_line"), lines.alias("lines")), "runs")
+    # words before a line and up to it; one line counts as long_line words at most, which changes no window
+    counted = runs.select(*key, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "lines")).alias("nth", "line"))
+    so_far = F.sum(F.least(n_words("line"), F.lit(long_line))).over(Window.partitionBy(*key).orderBy("nth")).alias("so_far")
+    counted = counted.select(*key, "nth", so_far)
+    order = Window.partitionBy(*key).orderBy("so_far")
+    counted = counted.withColumns({"to": F.min("nth").over(order.rangeBetween(long_line, 2 * long_line - 1)), "since": F.max("nth").over(order.rangeBetween(1 - 2 * long_line, -long_line))})
+    ends = F.array(F.struct((F.col("nth") + 1).alias("a"), F.col("to").alias("z")), F.struct((F.col("since") + 1).alias("a"), F.col("nth").alias("z")))
+    ends = counted.select(*key, F.inline(ends)).where("z > a").distinct()
+    own = runs.select(*[F.col(c).alias(f"own_{c}") for c in key], "first_line", "lines")
+    ends = ends.join(own, (F.col("row") == F.col("own_row")) & (F.col("run") == F.col("own_run")) & F.col("doc_id").eqNullSafe(F.col("own_doc_id")))
+    text = F.array_join(F.slice("lines", F.col("a"), F.col("z") - F.col("a") + 1), "\n")
+    size = (F.col("z") - F.col("a") + 1).cast("int")
+    units = ends.select("doc_id", "row", F.lit(WINDOW).alias("sort"), (F.col("first_line") + F.col("a") - 1).cast("int").alias("at"), size.alias("size"), text.alias("text"))
+    return units.select("doc_id", "row", "sort", "at", "size", F.xxhash64("sort", "text").alias("hash"), "text")
+
+
 def gone_lines(docs: DataFrame, long_line: int) -> DataFrame:
-    """row, gone: sorted numbers of the lines of each document (doc_id, text) that go."""
+    """doc_id, row, gone: sorted numbers of the lines of each document (doc_id, text) that go."""
     counted = with_units(docs, long_line, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     repeated = stash(counted, "repeated")
-    some = with_units(docs, long_line, True).join(sized(repeated), "hash", "left_semi").where(F.col("text").rlike(WORD))
-    some = stash(some.withColumn("words", F.when(F.col("sort") != CHUNK, F.transform(F.split("text", "\n"), n_words))), "candidates")
+    found = stash(with_units(docs, long_line, True).join(sized(repeated), "hash", "left_semi").where(F.col("text").rlike(WORD) | (F.col("sort") == PAIR)), "repeats")
+    some = found.where(F.col("sort") != PAIR)
+    some = stash(some.unionByName(windows(found.where(F.col("sort") == PAIR), long_line).select(some.columns)), "candidates")
     plain, mixed = first_places(some)
-    place = F.struct("doc_id", "row", "at")
-    units = some.select("hash", place.alias("place"), "row", "sort", "at", "size", "words")
-    later = units.join(sized(plain), "hash").where(~F.col("place").eqNullSafe(F.col("first"))).drop("place", "first", "hash")
+    place = F.struct("doc_id", "row", "at").alias("place")
+    units = some.select("hash", place, "size")
+    p, first = F.col("place"), F.col("first")
+    elsewhere = ~(p["doc_id"].eqNullSafe(first["doc_id"]) & (p["row"] == first["row"]) & (p["at"] < first["at"] + F.col("size")))
+    later = units.join(sized(plain), "hash").where(elsewhere).select("place", "size")
     if not mixed.isEmpty():
-        again = some.select("hash", "text", place.alias("place"), "row", "sort", "at", "size", "words").join(mixed, ["hash", "text"])
-        later = later.unionByName(again.where(~F.col("place").eqNullSafe(F.col("first"))).select(later.columns))
-    lines = later.select("row", (F.col("sort") == CHUNK).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"), "at", "words")
-    lines = lines.select("row", (F.col("at") + F.col("k")).alias("line"), "whole", F.get("words", F.col("k")).alias("words"))
-    lines = lines.groupBy("row", "line").agg(F.bool_or("whole").alias("whole"), F.max("words").alias("words"))
-    # lines in a row have the same difference from their rank; a window holds lines of one document
-    rank = F.row_number().over(Window.partitionBy("row").orderBy("line"))
-    stretches = stash(lines.withColumn("stretch", F.col("line") - rank), "stretches")
-    goes = stretches.groupBy("row", "stretch").agg((F.bool_or("whole") | (F.sum("words") >= long_line)).alias("goes"), F.array_sort(F.collect_list("line")).alias("lines"))
-    return goes.where("goes").groupBy("row").agg(F.flatten(F.array_sort(F.collect_list("lines"))).alias("gone"))
+        later = later.unionByName(some.select("hash", "text", place, "size").join(mixed, ["hash", "text"]).where(elsewhere).select("place", "size"))
+    lines = later.select("place.doc_id", "place.row", F.explode(F.sequence(F.col("place.at"), F.col("place.at") + F.col("size") - 1)).alias("line")).distinct()
+    return lines.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 def dedup(docs: DataFrame, long_line: int = 50) -> DataFrame:
@@ -105,9 +128,9 @@ def dedup(docs: DataFrame, long_line: int = 50) -> DataFrame:
     gone = stash(gone_lines(docs.select("doc_id", "text"), long_line), "gone")
     taken = {c.lower() for c in docs.columns}
     free = lambda name: name if name.lower() not in taken else free(f"{name}_")
-    of, lines_gone = free("gone_of"), free("gone_lines")
-    small = gone.select(F.col("row").alias(of), F.col("gone").alias(lines_gone))
-    rows = docs.join(sized(small), F.xxhash64("doc_id", "text") == F.col(of), "left")
+    of, of_id, lines_gone = free("gone_of"), free("gone_of_id"), free("gone_lines")
+    small = gone.select(F.col("row").alias(of), F.col("doc_id").alias(of_id), F.col("gone").alias(lines_gone))
+    rows = docs.join(sized(small), (F.xxhash64("doc_id", "text") == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left")
     lines, g = F.split("text", "\n"), F.col(lines_gone)
     before = lambda k: F.when(k > 0, F.get(g, k - 1) + 1).otherwise(F.lit(0))
     after = lambda k: F.coalesce(F.get(g, k), F.size(lines))

@@ -67,12 +67,13 @@ v AS (SELECT *, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) AS v, len(regex
 m AS (SELECT *, i > 0 AND (lag(v, 1, 0) OVER w * 31 + v) % 1021 < 510 AS m FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT *, m AND NOT lag(m, 1, FALSE) OVER w AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+t AS (SELECT doc_id, i, words, sum(least(words, 50)) OVER (PARTITION BY doc_id ORDER BY i) AS so_far FROM v),
+w AS (SELECT a.doc_id, a.i AS a, min(b.i) AS z FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.so_far - a.so_far + least(a.words, 50) >= 50 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.so_far - a.so_far + least(a.words, 50) >= 50 GROUP BY b.doc_id, b.i),
 u AS (SELECT doc_id, 0 AS sort, min(i) AS place, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS unit FROM c GROUP BY doc_id, k HAVING count(*) > 1
-  UNION ALL SELECT doc_id, 1, i, 2, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) FROM l UNION ALL SELECT doc_id, 2, i, 1, line FROM v WHERE words >= 50),
-f AS (SELECT *, row_number() OVER (PARTITION BY sort, unit ORDER BY doc_id, place) > 1 AS later FROM u WHERE regexp_matches(unit, '[^\x20\x09-\x0D]')),
-n AS (SELECT doc_id, i, bool_or(sort = 0) AS whole FROM (SELECT doc_id, sort, unnest(range(place, place + size)) AS i FROM f WHERE later) GROUP BY doc_id, i),
-s AS (SELECT n.doc_id, n.i, whole, words, n.i - row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i) AS stretch FROM n JOIN v ON v.doc_id = n.doc_id AND v.i = n.i),
-x AS (SELECT doc_id, i, bool_or(whole) OVER w OR sum(words) OVER w >= 50 AS gone FROM s WINDOW w AS (PARTITION BY doc_id, stretch)),
+  UNION ALL SELECT w.doc_id, 3, a, z - a + 1, string_agg(line, chr(10) ORDER BY i) FROM w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN a AND z WHERE z > a GROUP BY w.doc_id, a, z UNION ALL SELECT doc_id, 2, i, 1, line FROM v WHERE words >= 50),
+f AS (SELECT *, doc_id <> first_value(doc_id) OVER o OR place >= first_value(place) OVER o + size AS later FROM u WHERE regexp_matches(unit, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY sort, unit ORDER BY doc_id, place)),
+x AS (SELECT DISTINCT doc_id, unnest(range(place, place + size)) AS i, TRUE AS gone FROM f WHERE later),
 y AS (SELECT l.*, coalesce(gone, FALSE) AS gone FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i)
 SELECT d.doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
   CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text
