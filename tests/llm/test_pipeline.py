@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_texts import brute_join
@@ -175,5 +176,17 @@ def test_mixing_keeps_columns_of_any_name(spark):
 
 def test_stages_of_empty_tables(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    """Columns that stages might use inside come out as they went in, and next to the text they belong to."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names = ["__row", "__gone", "row_number", "row", "group", "of", "place", "gone", "copies"]
+    docs = docs.select("*", *[F.concat("doc_id", F.lit(f" {n}")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{r.doc_id} {n}" for r in rows for n in names), name

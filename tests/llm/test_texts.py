@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import classifier, line_dedup, mixing, ngram_join, packing, pii, quality_rules, queries, secret_scan, token_files, topk_search
 from tracewright.llm.encoding import ChunkEncoder
@@ -544,10 +545,28 @@ def test_pii_terms_that_disclose(spark):
 
 
 def test_top_k_of_repeated_ids(spark):
-    """Rows alike count once; rows of a query's id are that query, each with its vector, and no candidates of it."""
-    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.25, 0.0]), (3, None), (None, [1.0, 0.0])]
-    got = topk_search.top_k(topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), pa_mod50(), 5).collect()
-    assert [tuple(r) for r in sorted(got)] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 2, 16384)]
+    """Rows count as often as they occur, be they candidates or queries."""
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0]), (1, [0.5, 2.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0])] + [(7, [0.25, 0.25])] * 9
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(topk_search.quantised(docs, "vec_id", "embedding"), F.col("id") % 50 == 0, 5).collect()
+    want = []
+    for q in (0, 50):
+        scores = [(-int(256 * 256 * sum(x * y for x, y in zip(a, b))), i) for j, a in rows if j == q for i, b in rows if i != q]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_top_k_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk_search.top_k(topk_search.quantised(docs, "vec_id", "embedding"), F.col("id") % 50 == 0, 5).count() == 0
+
+
+def test_token_files_without_a_scheme_go_to_sparks_file_system(spark, docs, tmp_path):
+    """A path means what Spark means by it, on the driver and in each task."""
+    index = token_files.write(docs, queries.vocabulary("byte_bpe_50k.json"), to=str(tmp_path / "out"))
+    files = {r.file for r in index.select("file").distinct().collect()}
+    assert files and all(f.startswith(f"file://{tmp_path}/out/files/") for f in files)
+    assert token_files.read(token_files.placed(index)).count() == docs.count()
 
 
 def test_top_k(spark):
@@ -563,9 +582,11 @@ def test_top_k(spark):
     w = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i < 1000}
     want = set()
     for q in (i for i in w if i % 50 == 0):
-        best = sorted((-int(w[q] @ w[d]), d) for d in w if d != q)[:5]
+        # a query that occurs twice asks for its rows together, and row 0 is a candidate twice
+        times = {0: 2}
+        best = sorted((-int(w[q] @ w[d]), d) for d in w if d != q for _ in range(times.get(d, 1) * times.get(q, 1)))[:5]
         want |= {(q, k + 1, d, -s) for k, (s, d) in enumerate(best)}
-    assert {tuple(r) for r in got} == want
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def pa_mod50():

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import scratch
@@ -39,6 +39,14 @@ def schema(seq_len: int, wide: bool) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI of the file system that Spark would write it to, so that all executors mean the same place."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(jvm_path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class SequenceWriter:
     """Appends ids to one Arrow file; memory holds one record batch."""
 
@@ -121,7 +129,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 2048,
     Ids take two bytes where the tokenizer's largest one and the end id allow it. ``parts``: number of range partitions
     (default: spark.sql.shuffle.partitions).
     """
-    to = to or scratch(docs.sparkSession, "token-files")
+    to = qualified(docs.sparkSession, to or scratch(docs.sparkSession, "token-files"))
     wide = max(largest_id(tokenizer), end_id) > 65_535
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +155,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 2048,
         if out:
             out.close()
 
-    rows = docs.select("doc_id", "text")
-    dealt = rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")
-    dealt.sortWithinPartitions("doc_id").mapInArrow(encode, INDEX).write.parquet(f"{to}/index")
+    # rows of one id, or of none, go to several files by their texts
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "hash") if parts else rows.repartitionByRange("doc_id", "hash")
+    dealt.sortWithinPartitions("doc_id", "hash").select("doc_id", "text").mapInArrow(encode, INDEX).write.parquet(f"{to}/index")
     return docs.sparkSession.read.schema(INDEX).parquet(f"{to}/index")
 
 
