@@ -60,8 +60,8 @@ def word_counts(docs: DataFrame, typo_every: int | None = None, least_length: in
     return counts.where(F.col("n") >= least_count)
 
 
-def first_depth(length: int, side: int) -> int:
-    """Where the walks of a word begin, in the trie of words (side 0) or of words reversed (side 1)."""
+def first_depth(length: np.ndarray, side: int) -> np.ndarray:
+    """Where the walks of words begin, in the trie of words (side 0) or of words reversed (side 1)."""
     return length // 2 if side == 0 else length - length // 2
 
 
@@ -70,21 +70,23 @@ def nodes(words: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            parts = []
-            for wid, word in zip(df["wid"].tolist(), df["word"]):
-                letters = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64)
-                n = len(letters)
-                powers = np.multiply.accumulate(np.full(n, BASE))
-                for side in (0, 1):
-                    own = letters if side == 0 else letters[::-1]
-                    # a neighbour may be a letter longer, and then begins a letter later
-                    low = max(0, first_depth(n, side) - 1)
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum((own + np.uint64(1)) * powers)])
-                    depth = np.arange(low, n + 1)
-                    after = np.append(own.astype(np.int64), -1)[low:]
-                    parts.append(pd.DataFrame({"side": side, "wid": wid, "depth": depth, "node": sums[low:].view(np.int64), "next": after, "start": depth >= first_depth(n, side)}))
-            if parts:
-                yield pd.concat(parts)
+            letters = np.frombuffer("".join(df["word"]).encode("utf-32-le"), "<u4").astype(np.int64)
+            length = df["word"].str.len().to_numpy(np.int64)
+            begin = np.cumsum(length) - length
+            powers = np.multiply.accumulate(np.full(max(length, default=1), BASE))
+            for side in (0, 1):
+                first = first_depth(length, side)
+                # a neighbour may be a letter longer, and then begins a letter later
+                low = np.maximum(first - 1, 0)
+                place = np.arange(len(letters)) - np.repeat(begin, length)
+                own = letters if side == 0 else letters[np.repeat(begin + length - 1, length) - place]
+                sums = np.concatenate([[np.uint64(0)], np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers[place])])
+                n = length - low + 1
+                which = np.repeat(np.arange(len(length)), n)
+                depth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+                at = begin[which] + depth
+                after = np.where(depth < length[which], np.append(own, -1)[at], -1)
+                yield pd.DataFrame({"side": np.int32(side), "wid": df["wid"].to_numpy()[which], "depth": depth, "node": (sums[at] - sums[begin[which]]).view(np.int64), "next": after, "start": depth >= first[which]})
 
     return words.select("wid", "word").mapInPandas(work, NODES)
 
