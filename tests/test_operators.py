@@ -1,6 +1,9 @@
 """Operators on small tables, and registered queries against DuckDB."""
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,15 +90,15 @@ def test_facts_go_to_the_action_of_their_process(spark):
     assert {(r.action_id, r.n_unique, r.n_forked, r.n_exited) for r in counts.collect()} == {(0, 1, 0, 0), (1, 2, 0, 1), (2, 1, 0, 0)}
     # a fork shows in the receipt of either process's action
     scores = procs.select("container_id", "pid", F.lit(1.0).alias("score"), F.lit(1.0).alias("initial"))
-    edges = graph.edges(procs, access, facts.ipc_access(routed))
+    forks, hubs = graph.fork_edges(procs), graph.hub_links(access, facts.ipc_access(routed))
     opened, conns = facts.open_files(events), facts.connections(events)
     none = spark.createDataFrame([], "ip string, container_id string")
-    diff = receipts.data_flow_diff(flows_df := receipts.cross_action_flows(access, pids), receipts.reads_by_process(access, opened, pids, flows_df), receipts.writes_by_process(access, pids), edges, pids, receipts.network_flows(conns, pids, none), receipts.preexisting_influence(edges, pids, scores))
+    diff = receipts.data_flow_diff(flows_df := receipts.cross_action_flows(access, pids), receipts.reads_by_process(access, opened, pids, flows_df), receipts.writes_by_process(access, pids), forks, hubs, pids, receipts.network_flows(conns, pids, none), receipts.preexisting_influence(forks, hubs, pids, scores))
     assert {(r.action_id, r.verb, r.subject, r.detail) for r in diff.collect()} == {(1, "fork", "20", "21"), (1, "read", "21", "/srv/late.out"), (1, "write", "21", "/srv/late.out"), (2, "flow", "30", "/srv/late.out from action 1")}
-    merged = {(r.action_id, r.verb, r.detail, r.comm, r.pids) for r in receipts.merged(diff, procs).collect()}
+    merged = {(r.action_id, r.verb, r.detail, r.comm, r.pids) for r in receipts.merged(diff, procs, pids=True).collect()}
     assert (1, "fork", "tar", "sh", "20") in merged
     found = rules.detections(ops, access, procs, conns, opened, scores, rules.rule_table(spark))
-    groups = graph.action_communities(procs, edges, scores, pids)
+    groups = graph.action_communities(procs, forks, hubs, scores, pids)
     whole = receipts.receipts(actions, ops, receipts.process_summary(ops, procs), groups, diff, found).orderBy("action_id", "section", "nth").collect()
     one = [r.line for r in whole if r.action_id == 1]
     assert one == ["Command: one", "Duration: 1.1s | 6 events", "2 unique, 0 forked, 1 exited", "[sh:20] $ sh job.sh", "[tar:21] $ tar x", "read 21 /srv/late.out", "write 21 /srv/late.out", "fork 20 21", ". T1560 21 Archive creation (staging data): tar x"]
@@ -117,8 +120,8 @@ def test_queues_by_descriptor(spark):
 
 
 def test_labels_colours_and_order(spark):
-    names = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],)], "n array<string>")
-    assert [r[0] for r in names.select(graph.label_of(F.col("n"))).collect()] == ["a", "a+b", "a+2 others"]
+    names = spark.createDataFrame([("a", "a", 1), ("a", "b", 2), ("a", "c", 3)], "a string, z string, n int")
+    assert [r[0] for r in names.select(graph.label_of(F.col("a"), F.col("z"), F.col("n"))).collect()] == ["a", "a+b", "a+2 others"]
     scores = spark.createDataFrame([(1.0,), (0.5,), (0.1,), (0.09,)], "s double")
     assert [r[0] for r in scores.select(X.edge_colour(F.col("s"))).collect()] == ["#cc0000", "#cc8080", "#cce6e6", "#cccccc"]
     found = spark.createDataFrame([("a", 2, "T2", 1, 1), ("a", 1, "T1", 1, 1), ("a", 9, "T3", 1, 3)], "container_id string, action_id long, technique string, pid long, severity int")
@@ -186,10 +189,89 @@ def test_scores_spread_and_stop(spark):
     assert again.where("score > initial").isEmpty() and again.where("score < 0 or score > 1").isEmpty()
 
 
+FILES = "container_id string, path string, role string, pid long, action_id long, first_seq long, first_ms long"
+QUEUES = "container_id string, channel string, role string, pid long, action_id long, first_ms long"
+PROCS = "container_id string, pid long, ppid long, first_seq long, first_ts long, comm string, cmdline string, exe string, exited boolean"
+
+
+def random_flows(spark, seed):
+    """Files and queues of two containers: hot ones, shared sets, processes on both sides."""
+    rng = np.random.default_rng(seed)
+    files, queues = set(), set()
+    for c in "ab":
+        for pid in range(60):
+            kin = pid % 7
+            for k in rng.choice(40, rng.integers(0, 25), replace=False):
+                files.add((c, f"/d/{k if pid % 3 else kin * 5 + k % 5}", str(rng.choice(["writer", "reader", "executor", "deleter"])), pid, 1))
+            for k in rng.choice(16, rng.integers(0, 16), replace=False) if pid % 4 else range(kin, kin + 11):
+                queues.add((c, f"q{k}", "sender" if (pid + k) % 3 else "receiver", pid, 1))
+    files = spark.createDataFrame([(*r, i, 10 * i) for i, r in enumerate(sorted(files))], FILES)
+    queues = spark.createDataFrame([(*r, 7 * i) for i, r in enumerate(sorted(queues))], QUEUES)
+    procs = spark.createDataFrame([(c, pid, pid // 2 if pid else None, pid + 1, pid, "x" if pid % 5 else "y", f"x {pid}", "/bin/x", False) for c in "ab" for pid in range(60)], PROCS)
+    return procs, files, queues
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_factorised_graph_does_what_pairs_do(spark, seed):
+    """Scores, communities and counts over hubs are those over all pairs of processes."""
+    procs, files, queues = random_flows(spark, seed)
+    forks, hubs = graph.fork_edges(procs), graph.hub_links(files, queues)
+    pairs = graph.edges(forks, hubs)
+    rows = [r.asDict() for r in pairs.collect()]
+    access = [tuple(r) for r in files.collect()]
+    wrote = {(c, f, p) for c, f, role, p, *_ in access if role == "writer"}
+    used = {(c, f, p) for c, f, role, p, *_ in access if role in ("reader", "executor")} - wrote
+    want = Counter((c, p, q) for c, f, p in wrote for d, g, q in used if (c, f) == (d, g))
+    assert {(r["container_id"], r["src"], r["dst"]): r["event_count"] for r in rows if r["channel_type"] == "file"} == want
+    assert {r.container_id: r.n_edges for r in graph.edge_counts(forks, hubs).collect()} == Counter(r["container_id"] for r in rows)
+    start = procs.select("container_id", "pid", F.when(F.col("pid") % 11 == 3, 1.0).otherwise(0.0).alias("score"))
+    score = lambda df: {(r.container_id, r.pid): round(r.score, 9) for r in df.collect()}
+    assert score(graph.propagate(start, forks, hubs)) == score(graph.propagate(start, pairs))
+    strong = [(r["container_id"], r["src"], r["dst"]) for r in rows if r["channel_type"] != "fork" and r["event_count"] >= 10]
+    names = {(r.container_id, r.pid): r.comm for r in procs.collect()}
+    strong += [(r["container_id"], r["src"], r["dst"]) for r in rows if r["channel_type"] == "fork" and names[r["container_id"], r["src"]] == names[r["container_id"], r["dst"]]]
+    links = spark.createDataFrame(strong, "container_id string, src long, dst long")
+    member = lambda df: {(r.container_id, r.pid): r.community for r in df.collect()}
+    assert strong and member(graph.community_members(procs, forks, hubs)) == member(graph.components(procs, links))
+    some = procs.where("pid % 4 = 1").select("container_id", "pid")
+    few = {(r.container_id, r.src, r.dst, r.channel_type) for r in graph.edges(forks, hubs, among=some).collect()}
+    assert few == {(r["container_id"], r["src"], r["dst"], r["channel_type"]) for r in rows if r["src"] % 4 == 1 and r["dst"] % 4 == 1}
+    times = {(r.container_id, r.channel_type, r.hub, r.side, r.pid): r.seen_ms for r in hubs.collect()}
+    for r in rows[:: max(1, len(rows) // 40)]:
+        if r["channel_type"] != "fork":
+            of = {h for c, kind, h, side, p in times if (c, kind, side, p) == (r["container_id"], r["channel_type"], "in", r["src"])}
+            met = [max(times[r["container_id"], r["channel_type"], h, "in", r["src"]], times[k]) for h in of if (k := (r["container_id"], r["channel_type"], h, "out", r["dst"])) in times]
+            assert (r["event_count"], r["first_seen"], r["last_seen"]) == (len(met), min(met), max(met))
+
+
+def test_a_hot_file_makes_no_pairs(spark):
+    """Ten thousand writers and as many readers of one file: a hundred million pairs, which nobody makes."""
+    n = 10_000
+    ids = spark.range(2 * n).select(F.lit("a").alias("container_id"), F.lit("/d/hot").alias("path"), F.when(F.col("id") < n, "writer").otherwise("reader").alias("role"), F.col("id").alias("pid"), F.lit(1).cast("long").alias("action_id"), F.col("id").alias("first_ms"))
+    queues = ids.select("container_id", F.lit("q").alias("channel"), F.when(F.col("pid") % 2 == 0, "sender").otherwise("receiver").alias("role"), "pid", "action_id", "first_ms")
+    procs = ids.select("container_id", "pid", F.lit(None).cast("long").alias("ppid"), F.col("pid").alias("first_seq"), F.col("pid").alias("first_ts"), F.lit("x").alias("comm"))
+    forks, hubs = graph.fork_edges(procs), graph.hub_links(ids, queues)
+    start = procs.select("container_id", "pid", F.when(F.col("pid") == 4, 1.0).otherwise(0.0).alias("score"))
+    got = graph.propagate(start, forks, hubs)
+    # an even writer's score goes to all readers by the file, and to all odd ones by the queue, from where odd writers pass it on
+    assert {(r.kind, r.score): r["count"] for r in got.groupBy((F.col("pid") % 2 + 2 * (F.col("pid") >= n).cast("int")).alias("kind"), F.round("score", 6).alias("score")).count().collect()} == {(0, 1.0): 1, (0, 0.0): n // 2 - 1, (1, 0.7): n // 2, (2, 0.5): n // 2, (3, 0.7): n // 2}
+    assert graph.edge_counts(forks, hubs).first().n_edges == n * n + n * n
+    assert graph.community_members(procs, forks, hubs).where("community <> pid").isEmpty()
+
+
 def test_roots_of_a_long_chain(spark):
-    rows = [(i, i, "a", i, i - 1, 59, 0, 0, "x", None, None, None, None) for i in range(1, 160)]
-    got = enrich.roots(enrich.processes(spark.createDataFrame(rows, EVENT)))
-    assert {r.root_pid for r in got.collect()} == {1}
+    """A chain of ten thousand is done in a logarithmic number of rounds; its scores are powers of the decay."""
+    n, rounds = 10_000, []
+    procs = spark.range(1, n + 1).select(F.lit("a").alias("container_id"), F.col("id").alias("pid"), (F.col("id") - 1).alias("ppid"), F.col("id").alias("first_seq"), F.col("id").alias("first_ts"))
+    kept = enrich.stash
+    enrich.stash = lambda df, tag: (rounds.append(tag), kept(df, tag))[1]
+    try:
+        got = enrich.roots(procs)
+    finally:
+        enrich.stash = kept
+    assert len(rounds) <= 16 and got.where("root_pid <> 1 or depth <> pid - 1").isEmpty() and got.count() == n
+    scores = {r.pid: r.score for r in graph.initial_scores(procs, got.withColumn("action_id", F.lit(1).cast("long"))).where("pid < 5").collect()}
+    assert {k: round(v, 9) for k, v in scores.items()} == {1: 0.0, 2: 1.0, 3: 0.9, 4: 0.81}
 
 
 def test_compressed_lists(spark):
@@ -208,7 +290,7 @@ def test_boundaries_and_owners(spark):
 
 ORACLES = [
     "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
-    "receipts", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_assemble", "experiment_graph",
+    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble", "experiment_graph",
 ]
 
 

@@ -60,7 +60,12 @@ def processes(events: DataFrame) -> DataFrame:
 
 
 def children(procs: DataFrame) -> DataFrame:
-    """Children of each process, in order of pid."""
+    """container_id, pid, child: the children of each process, a row each."""
+    return procs.select("container_id", F.col("ppid").alias("pid"), F.col("pid").alias("child"))
+
+
+def children_text(procs: DataFrame) -> DataFrame:
+    """Children of each process as one text, in order of pid; it gathers a parent's children into a row."""
     return procs.groupBy("container_id", F.col("ppid").alias("pid")).agg(F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("children"), F.count("*").alias("n_children"))
 
 
@@ -88,31 +93,32 @@ def action_at_time(events: DataFrame, actions: DataFrame, gap_ms: int = 2000, wi
 
 
 def roots(procs: DataFrame) -> DataFrame:
-    """root_pid of each process: its oldest ancestor along parents that were seen before their child.
+    """root_pid and depth of each process: its oldest ancestor along parents that were seen before their child, and how far up that is.
 
-    Each round halves what is left of every chain; rounds end when no pointer moves.
+    Each round halves what is left of every chain, and adds up how far it went; rounds end when no pointer moves.
     """
     parent = procs.select("container_id", F.col("pid").alias("ppid"), F.col("first_seq").alias("parent_seq"))
     known = procs.select("container_id", "pid", "ppid", "first_seq").join(parent, ["container_id", "ppid"], "left")
-    at = stash(known.select("container_id", "pid", F.when(F.col("parent_seq") < F.col("first_seq"), F.col("ppid")).otherwise(F.col("pid")).cast("long").alias("root_pid")), "roots")
+    below = F.coalesce(F.col("parent_seq") < F.col("first_seq"), F.lit(False))
+    at = stash(known.select("container_id", "pid", F.when(below, F.col("ppid")).otherwise(F.col("pid")).cast("long").alias("root_pid"), below.cast("int").alias("depth")), "roots")
     last = at
     while True:
-        up = at.select("container_id", F.col("pid").alias("root_pid"), F.col("root_pid").alias("next"))
-        moved = stash(at.join(up, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "next"), "roots")
+        up = at.select("container_id", F.col("pid").alias("root_pid"), F.col("root_pid").alias("next"), F.col("depth").alias("more"))
+        moved = stash(at.join(up, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "next", (F.col("depth") + F.col("more")).alias("depth")), "roots")
         if moved.where("next <> root_pid").isEmpty():
             discard(moved)
             return at
-        at = moved.select("container_id", "pid", F.col("next").alias("root_pid"))
+        at = moved.select("container_id", "pid", F.col("next").alias("root_pid"), "depth")
         discard(last)
         last = moved
 
 
 def attributed(procs: DataFrame, actions: DataFrame, gap_ms: int = 2000) -> DataFrame:
-    """container_id, pid, root_pid, action_id: processes inherit the action of their root's first event."""
+    """container_id, pid, root_pid, depth, action_id: processes inherit the action of their root's first event."""
     tree = roots(procs)
     first = procs.select("container_id", F.col("pid").alias("root_pid"), F.col("first_ts").alias("ts_ms"))
     at = action_at_time(first, actions, gap_ms).select("container_id", "root_pid", "action_id")
-    return tree.join(at, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "action_id")
+    return tree.join(at, ["container_id", "root_pid"]).select("container_id", "pid", "root_pid", "depth", "action_id")
 
 
 def routed(events: DataFrame, at: DataFrame, actions: DataFrame | None = None, gap_ms: int = 2000) -> DataFrame:
@@ -159,7 +165,7 @@ def descriptors(events: DataFrame, asks: dict[str, Column]) -> DataFrame:
 def with_channels(events: DataFrame) -> DataFrame:
     """Events with their channel; sends and receives that name none have that of their descriptor, or null."""
     asks = F.when(F.col("syscall_name").isin("mq_timedsend", "mq_timedreceive", "msgsnd", "msgrcv") & (F.coalesce("channel", F.lit("")) == ""), F.col("fd"))
-    found = descriptors(events, {"meant": asks}).where(F.startswith("meant", F.lit("mq:"))).select("container_id", "serial", F.substring("meant", 4, 4096).alias("meant"))
+    found = descriptors(events, {"meant": asks}).where(F.startswith("meant", F.lit("mq:"))).select("container_id", "serial", F.expr("substring(meant, 4)").alias("meant"))
     return events.join(found, ["container_id", "serial"], "left").withColumn("channel", F.coalesce(F.nullif("channel", F.lit("")), "meant")).drop("meant")
 
 

@@ -1,7 +1,16 @@
-"""The graph between processes: edges, scores that spread along them, communities."""
+"""The graph between processes: edges, scores that spread along them, communities.
+
+Flows over files and queues are kept as a factorised graph: processes link to hubs (a file or a queue), and hubs to
+processes. It has one row for an access, where pairs of processes would be as many as a hub's writers times its
+readers. Scores and communities work on hubs; rows for pairs are made for the pairs that are asked for.
+
+Functions with ``key`` work within each value of these columns, a container as a rule, or an action in it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,100 +19,208 @@ from tracewright.functions import exprs as X
 from tracewright.shared import discard, stash
 
 EDGE = ["container_id", "src", "dst", "channel_type", "channel", "event_count"]
+CONTAINER = ("container_id",)
+#: Event count from which an edge joins communities.
+LEAST_EVENTS = 10
 
 
 def fork_edges(procs: DataFrame) -> DataFrame:
     """Parent to child, where the parent was seen before."""
     parent = procs.select(F.col("container_id").alias("c"), F.col("pid").alias("src"), F.col("first_seq").alias("parent_seq"))
     rows = procs.join(parent, (F.col("container_id") == F.col("c")) & (F.col("ppid") == F.col("src")) & (F.col("parent_seq") < F.col("first_seq")))
-    return rows.select("container_id", "src", F.col("pid").alias("dst"), F.lit("fork").alias("channel_type"), F.concat(F.lit("fork (child of pid "), "src", F.lit(")")).alias("channel"), F.lit(1).cast("long").alias("event_count"))
+    return rows.select("container_id", "src", F.col("pid").alias("dst"), F.lit("fork").alias("channel_type"), F.concat(F.lit("fork (child of pid "), "src", F.lit(")")).alias("channel"), F.lit(1).cast("long").alias("event_count"), F.col("first_ts").alias("seen_ms"))
 
 
-def flow_pairs(access: DataFrame) -> DataFrame:
-    """container_id, path, src, dst: a file's writers and those others that read or run it without ever writing it."""
-    rows = access.where(~X.is_flow_noise(F.col("path")))
-    writers = rows.where("role = 'writer'").select("container_id", "path", F.col("pid").alias("src")).distinct()
-    users = rows.where("role in ('reader', 'executor')").select("container_id", "path", F.col("pid").alias("dst")).distinct()
-    own = writers.withColumnRenamed("src", "dst")
-    return writers.join(users.join(own, ["container_id", "path", "dst"], "left_anti"), ["container_id", "path"])
+def hub_links(files: DataFrame, queues: DataFrame) -> DataFrame:
+    """container_id, channel_type, hub, side, pid, seen_ms: the factorised graph of flows over files and queues.
+
+    Side "in": writers of a file, senders of a queue. Side "out": those that read or run a file without ever writing it, and a
+    queue's receivers. A process gives nothing to itself: in a queue that it both sends to and receives from, it is on both sides.
+    seen_ms is the first time of that access.
+    """
+    seen = lambda df: F.min("first_ms" if "first_ms" in df.columns else F.lit(None).cast("long")).alias("seen_ms")
+    rows = files.where(~X.is_flow_noise(F.col("path")) & F.col("role").isin("writer", "reader", "executor"))
+    side = F.when(F.col("role") == "writer", "in").otherwise("out")
+    rows = rows.groupBy("container_id", F.col("path").alias("hub"), "pid", side.alias("side")).agg(seen(files))
+    wrote = rows.where("side = 'in'").select("container_id", "hub", "pid")
+    used = rows.where("side = 'out'").join(wrote, ["container_id", "hub", "pid"], "left_anti")
+    flows = rows.where("side = 'in'").unionByName(used).withColumn("channel_type", F.lit("file"))
+    sent = queues.groupBy("container_id", F.col("channel").alias("hub"), "pid", F.when(F.col("role") == "sender", "in").otherwise("out").alias("side")).agg(seen(queues))
+    return flows.unionByName(sent.withColumn("channel_type", F.lit("mqueue"))).select("container_id", "channel_type", "hub", "side", "pid", "seen_ms")
+
+
+def pairs_of(hubs: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Edges over hubs between the processes asked for (container_id, pid), as rows like those of fork_edges, with first_seen and last_seen.
+
+    Without sources or targets all of them count, and a hub makes as many rows as it has writers times readers. One edge for
+    each (src, dst, type): its channel is the first of the hubs by name, its event_count their number. Over a hub, two processes have
+    met when the later of them had come to it.
+    """
+    some = lambda side, who, name: hubs.where(F.col("side") == side).select("container_id", "channel_type", "hub", F.col("pid").alias(name), F.col("seen_ms").alias(f"{name}_ms")).join(who.select("container_id", F.col("pid").alias(name)).distinct(), ["container_id", name], "left_semi") if who is not None else hubs.where(F.col("side") == side).select("container_id", "channel_type", "hub", F.col("pid").alias(name), F.col("seen_ms").alias(f"{name}_ms"))
+    rows = some("in", sources, "src").join(some("out", targets, "dst"), ["container_id", "channel_type", "hub"]).where("src <> dst")
+    met = F.greatest("src_ms", "dst_ms")
+    rows = rows.groupBy("container_id", "src", "dst", "channel_type").agg(F.min("hub").alias("hub"), F.count("*").alias("event_count"), F.min(met).alias("first_seen"), F.max(met).alias("last_seen"))
+    channel = F.when(F.col("channel_type") == "file", F.concat(F.lit("file:"), "hub")).otherwise(F.col("hub"))
+    return rows.select("container_id", "src", "dst", "channel_type", channel.alias("channel"), "event_count", "first_seen", "last_seen")
 
 
 def file_flow_edges(access: DataFrame) -> DataFrame:
-    pairs = flow_pairs(access).groupBy("container_id", "src", "dst").agg(F.min("path").alias("path"), F.count("*").alias("event_count"))
-    return pairs.select("container_id", "src", "dst", F.lit("file").alias("channel_type"), F.concat(F.lit("file:"), "path").alias("channel"), "event_count")
+    queues = access.limit(0).select("container_id", F.lit("").alias("channel"), "role", "pid", "action_id")
+    return pairs_of(hub_links(access, queues).where("channel_type = 'file'")).select(EDGE)
 
 
 def ipc_flow_edges(access: DataFrame) -> DataFrame:
-    side = lambda role, name: access.where(F.col("role") == role).select("container_id", "channel", F.col("pid").alias(name)).distinct()
-    pairs = side("sender", "src").join(side("receiver", "dst"), ["container_id", "channel"]).where("src <> dst")
-    rows = pairs.groupBy("container_id", "src", "dst").agg(F.min("channel").alias("channel"), F.count("*").alias("event_count"))
-    return rows.select("container_id", "src", "dst", F.lit("mqueue").alias("channel_type"), "channel", "event_count")
+    files = access.limit(0).select("container_id", F.lit("").alias("path"), "role", "pid", "action_id")
+    return pairs_of(hub_links(files, access).where("channel_type = 'mqueue'")).select(EDGE)
 
 
-def edges(procs: DataFrame, files: DataFrame, queues: DataFrame) -> DataFrame:
-    """All edges, one per (src, dst, type)."""
-    return fork_edges(procs).unionByName(file_flow_edges(files)).unionByName(ipc_flow_edges(queues)).select(EDGE)
+def edges(forks: DataFrame, hubs: DataFrame, extra: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Edges as pairs, one per (src, dst, type), with the first and last time seen: all of them, or those among some processes (container_id, pid).
+
+    extra: more edges between two processes (pipes, say), like those of fork_edges.
+    """
+    direct = forks if extra is None else forks.unionByName(extra)
+    for end in ("src", "dst"):
+        direct = direct if among is None else direct.join(among.select("container_id", F.col("pid").alias(end)).distinct(), ["container_id", end], "left_semi")
+    return direct.select(*EDGE, F.col("seen_ms").alias("first_seen"), F.col("seen_ms").alias("last_seen")).unionByName(pairs_of(hubs, among, among))
+
+
+def edge_counts(forks: DataFrame, hubs: DataFrame) -> DataFrame:
+    """container_id, n_edges: how many edges there are, one per (src, dst, type).
+
+    Processes with equal sets of hubs are one class: pairs of classes are made, and counted as often as their sizes' product.
+    """
+    members, hubs_of = classes(hubs)
+    sizes = members.groupBy("container_id", "channel_type", "side", "class").agg(F.count("*").alias("n"))
+    end = lambda side, name: hubs_of.where(F.col("side") == side).select("container_id", "channel_type", "hub", F.col("class").alias(name))
+    met = stash(end("in", "a").join(end("out", "b"), ["container_id", "channel_type", "hub"]).select("container_id", "channel_type", "a", "b").distinct(), "met")
+    size = lambda side, name: sizes.where(F.col("side") == side).select("container_id", "channel_type", F.col("class").alias(name), F.col("n").alias(f"n_{name}"))
+    key = ["container_id", "channel_type"]
+    counted = met.join(size("in", "a"), [*key, "a"]).join(size("out", "b"), [*key, "b"]).select("container_id", (F.col("n_a") * F.col("n_b")).alias("n"))
+    # a process in both classes makes no edge with itself
+    own = lambda side, name: members.where(F.col("side") == side).select(*key, "pid", F.col("class").alias(name))
+    selves = own("in", "a").join(own("out", "b"), [*key, "pid"]).join(met, [*key, "a", "b"], "left_semi").select("container_id", F.lit(-1).cast("long").alias("n"))
+    both = counted.union(selves).union(forks.select("container_id", F.lit(1).cast("long").alias("n")))
+    return both.groupBy("container_id").agg(F.sum("n").alias("n_edges"))
 
 
-def initial_scores(procs: DataFrame, forks: DataFrame, roots: DataFrame) -> DataFrame:
+def classes(hubs: DataFrame, key: Sequence[str] = CONTAINER) -> tuple[DataFrame, DataFrame]:
+    """(key, channel_type, side, pid, class) and (key, channel_type, side, class, hub): processes with equal sets of hubs on a side are one class.
+
+    Sets are told apart by their size and two sums of 64-bit hashes, so no set is gathered; a class is its smallest pid.
+    """
+    of = [*key, "channel_type", "side"]
+    total = lambda seed: F.sum(F.xxhash64("hub", F.lit(seed)).cast("decimal(38,0)"))
+    marks = hubs.groupBy(*of, "pid").agg(F.count("*").alias("n"), total(1).alias("m1"), total(2).alias("m2"))
+    marks = stash(marks, "marks")
+    leaders = marks.groupBy(*of, "n", "m1", "m2").agg(F.min("pid").alias("class"))
+    members = stash(marks.join(leaders, [*of, "n", "m1", "m2"]).select(*of, "pid", "class", "n"), "members")
+    leads = members.where("pid = class").select(*of, "pid", "class")
+    return members, hubs.join(leads, [*of, "pid"]).select(*of, "class", "hub")
+
+
+def strong_links(hubs: DataFrame, least_events: int = LEAST_EVENTS, key: Sequence[str] = CONTAINER) -> DataFrame:
+    """key, src, dst: links that join the same processes as edges over least_events hubs or more do.
+
+    Classes of processes stand for their members. Two classes can only share so many hubs if they share one beside the
+    least_events - 1 most frequent of each: only those are joined, rare hubs first, and candidates are then counted. Members link
+    to the first of their class, and to one of the class it meets.
+    """
+    of = [*key, "channel_type"]
+    members, hubs_of = classes(hubs, key)
+    large = members.where(F.col("n") >= least_events)
+    hubs_of = hubs_of.join(large.where("pid = class").select(*of, "side", "class"), [*of, "side", "class"], "left_semi")
+    often = hubs_of.groupBy(*of, "hub").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy(*of, "side", "class").orderBy(F.col("often").desc(), "hub"))
+    listed = stash(hubs_of.join(often, [*of, "hub"]).withColumn("rank", rank), "hubs-of-classes")
+    end = lambda df, side, name: df.where(F.col("side") == side).select(*of, "hub", F.col("class").alias(name))
+    rare = listed.where(F.col("rank") >= least_events)
+    tried = stash(end(rare, "in", "a").join(end(rare, "out", "b"), [*of, "hub"]).select(*of, "a", "b").distinct(), "tried")
+    common = tried.join(end(listed, "in", "a"), [*of, "a"]).join(end(listed, "out", "b"), [*of, "b", "hub"])
+    strong = stash(common.groupBy(*of, "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_events).select(*of, "a", "b"), "strong")
+    # all members of both classes are joined, as each of one has an edge with each other of the other
+    lead = lambda side, name: large.where(F.col("side") == side).select(*of, F.col("class").alias(name), "pid")
+    inner = lead("in", "a").join(strong.select(*of, "a", "b"), [*of, "a"]).select(*key, F.col("pid").alias("src"), F.col("b").alias("dst"))
+    outer = lead("out", "b").join(strong.select(*of, "b").distinct(), [*of, "b"]).select(*key, F.col("pid").alias("src"), F.col("b").alias("dst"))
+    return inner.union(outer).where("src <> dst").distinct()
+
+
+def initial_scores(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """score of each process at first sight: a container's first has none; one without a scored parent has 1; others have their parent's, decayed.
 
-    roots: (container_id, pid, root_pid, action_id); processes outside any action start with 0. Depths below the
-    root come level by level, a join each, over levels that shrink.
+    roots: (container_id, pid, root_pid, depth, action_id). Processes share their root's action, so a score is that of the root,
+    decayed as often as the process is below it; processes outside any action have none.
     """
     first = procs.groupBy("container_id").agg(F.min_by("pid", "first_seq").alias("first_pid"))
-    rows = procs.join(first, "container_id").join(roots.select("container_id", "pid", "root_pid", "action_id"), ["container_id", "pid"])
-    top = F.when(F.col("pid") == F.col("first_pid"), F.lit(0.0)).when(F.col("action_id") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    rows = stash(rows.select("container_id", "pid", "root_pid", "action_id", top.alias("top")), "initial")
-    level = rows.where("pid = root_pid").select("container_id", "pid", F.col("top").alias("score"))
-    done = level
-    while not level.isEmpty():
-        below = forks.select("container_id", "src", "dst").join(level.select("container_id", F.col("pid").alias("src"), "score"), ["container_id", "src"])
-        below = below.join(rows.select("container_id", F.col("pid").alias("dst"), "action_id"), ["container_id", "dst"])
-        score = F.when((F.col("score") == 0) & (F.col("action_id") > 0), F.lit(1.0)).otherwise(F.col("score") * schema.DECAY["fork"])
-        level = stash(below.select("container_id", F.col("dst").alias("pid"), score.alias("score")), "level")
-        done = done.unionByName(level)
-    return stash(done, "initial-scores")
-
-
-def propagate(scores: DataFrame, graph: DataFrame, rounds: int = 30) -> DataFrame:
+    rows = roots.select("container_id", "pid", "root_pid", "depth", "action_id").join(first, "container_id")
+    unscored = F.col("root_pid") == F.col("first_pid")
+    below = F.when(unscored, F.when(F.col("depth") > 0, F.pow(F.lit(schema.DECAY["fork"]), F.col("depth") - 1)).otherwise(F.lit(0.0))).otherwise(F.pow(F.lit(schema.DECAY["fork"]), "depth"))
+    return rows.select("container_id", "pid", F.when(F.col("action_id") > 0, below).otherwise(F.lit(0.0)).alias("score"))
+
+
+def decays(kind: Column) -> Column:
+    return F.create_map(*[x for k, v in schema.DECAY.items() for x in (F.lit(k), F.lit(v))])[kind]
+
+
+def propagate(scores: DataFrame, direct: DataFrame, hubs: DataFrame | None = None, rounds: int = 30) -> DataFrame:
     """container_id, pid, score, initial: the largest score that reaches each process, decayed along every edge on the way.
 
-    Only scores of 0.1 or more spread, so with decays of 0.9 at most 22 rounds change anything. Each round
-    spreads from the processes that the last one raised alone, and is stashed.
+    direct: edges between two processes (container_id, src, dst, channel_type); hubs: those over files and queues, as of hub_links.
+    A hub keeps the two largest scores that come in, of two processes: each process on its other side gets the first that isn't its
+    own. Only scores of 0.1 or more spread, so with decays of 0.9 at most 22 rounds change anything. Each round spreads from the
+    processes that the last one raised alone, through the hubs that they reach, and is stashed.
     """
     if max(schema.DECAY.values()) ** rounds >= schema.TAINTED:
         raise ValueError("scores would still spread after so many rounds")
-    decay = F.create_map(*[x for k, v in schema.DECAY.items() for x in (F.lit(k), F.lit(v))])
-    links = stash(graph.select("container_id", F.col("src").alias("pid"), "dst", decay[F.col("channel_type")].alias("decay")).groupBy("container_id", "pid", "dst").agg(F.max("decay").alias("decay")), "links")
+    links = stash(direct.groupBy("container_id", F.col("src").alias("pid"), "dst").agg(F.max(decays(F.col("channel_type"))).alias("decay")), "links")
+    made = [links]
+    if hubs is not None:
+        sides = [stash(hubs.where(F.col("side") == s).select("container_id", "channel_type", "hub", "pid"), f"hubs-{s}") for s in ("in", "out")]
+        made += sides
+    hub = ["container_id", "channel_type", "hub"]
     now = stash(scores.select("container_id", "pid", "score", F.col("score").alias("initial")), "scores")
-    raised, last = now.select("container_id", "pid", "score"), now
+    raised, last, top = now.select("container_id", "pid", "score"), [now], None
     for _ in range(rounds):
-        sent = raised.where(F.col("score") >= schema.TAINTED).join(links, ["container_id", "pid"])
-        got = sent.groupBy("container_id", F.col("dst").alias("pid")).agg(F.max(F.col("score") * F.col("decay")).alias("got"))
+        sent = raised.where(F.col("score") >= schema.TAINTED)
+        got = sent.join(links, ["container_id", "pid"]).select("container_id", F.col("dst").alias("pid"), (F.col("score") * F.col("decay")).alias("got"))
+        gone = []
+        if hubs is not None:
+            came = stash(sent.join(sides[0], ["container_id", "pid"]).select(*hub, "pid", "score"), "came")
+            both = came if top is None else came.unionByName(top.select(*hub, "pid", "score"))
+            best = both.groupBy(*hub, "pid").agg(F.max("score").alias("score"))
+            nth = F.row_number().over(Window.partitionBy(*hub).orderBy(F.col("score").desc(), "pid"))
+            new_top = stash(best.withColumn("nth", nth).where("nth <= 2"), "top")
+            touched = new_top.join(came.select(*hub).distinct(), hub, "left_semi").select(*hub, F.col("pid").alias("by"), "score")
+            over = touched.join(sides[1], hub).where("pid <> by").select("container_id", "pid", (F.col("score") * decays(F.col("channel_type"))).alias("got"))
+            got = got.unionByName(over)
+            gone = [came] + ([top] if top is not None else [])
+            top = new_top
+        got = got.groupBy("container_id", "pid").agg(F.max("got").alias("got"))
         new = now.join(got, ["container_id", "pid"], "left").withColumn("up", F.coalesce(F.col("got") > F.col("score") + 1e-9, F.lit(False)))
         new = stash(new.select("container_id", "pid", F.when(F.col("up"), F.col("got")).otherwise(F.col("score")).alias("score"), "initial", "up"), "scores")
         raised = new.where("up").select("container_id", "pid", "score")
         now = new.drop("up")
-        discard(last)
-        last = new
+        for old in [*last, *gone]:
+            discard(old)
+        last = [new]
         if raised.isEmpty():
             break
-    discard(links)
+    for old in [*made, *([top] if top is not None else [])]:
+        discard(old)
     return now
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """container_id, pid, community: the smallest pid that can be reached over links (container_id, src, dst). Labels spread and jump."""
-    both = links.select("container_id", "src", "dst").union(links.select("container_id", "dst", "src")).distinct()
-    both = stash(both.select("container_id", F.col("src").alias("via"), F.col("dst").alias("pid")), "both")
-    now = stash(nodes.select("container_id", "pid", F.col("pid").alias("community")), "labels")
+def components(nodes: DataFrame, links: DataFrame, key: Sequence[str] = CONTAINER) -> DataFrame:
+    """key, pid, community: the smallest pid that can be reached over links (key, src, dst). Labels spread and jump."""
+    both = links.select(*key, "src", "dst").union(links.select(*key, "dst", "src")).distinct()
+    both = stash(both.select(*key, F.col("src").alias("via"), F.col("dst").alias("pid")), "both")
+    now = stash(nodes.select(*key, "pid", F.col("pid").alias("community")), "labels")
     last = now
     while True:
-        near = both.join(now.select("container_id", F.col("pid").alias("via"), "community"), ["container_id", "via"]).groupBy("container_id", "pid").agg(F.min("community").alias("near"))
-        spread = now.join(near, ["container_id", "pid"], "left").withColumn("low", F.least("community", "near"))
-        up = now.select("container_id", F.col("pid").alias("low"), F.col("community").alias("lower"))
-        new = stash(spread.join(up, ["container_id", "low"]).select("container_id", "pid", F.col("community").alias("old"), F.least("low", "lower").alias("community")), "labels")
+        near = both.join(now.select(*key, F.col("pid").alias("via"), "community"), [*key, "via"]).groupBy(*key, "pid").agg(F.min("community").alias("near"))
+        spread = now.join(near, [*key, "pid"], "left").withColumn("low", F.least("community", "near"))
+        up = now.select(*key, F.col("pid").alias("low"), F.col("community").alias("lower"))
+        new = stash(spread.join(up, [*key, "low"]).select(*key, "pid", F.col("community").alias("old"), F.least("low", "lower").alias("community")), "labels")
         now = new.drop("old")
         discard(last)
         last = new
@@ -112,38 +229,47 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return now
 
 
-def communities(procs: DataFrame, graph: DataFrame, scores: DataFrame, least_events: int = 10) -> DataFrame:
-    """Groups of processes: forks of the same command first, then groups that other edges of enough events join."""
-    names = procs.select("container_id", "pid", "comm")
-    a, b = names.select("container_id", F.col("pid").alias("src"), F.col("comm").alias("ca")), names.select("container_id", F.col("pid").alias("dst"), F.col("comm").alias("cb"))
-    forks = graph.where("channel_type = 'fork'").join(a, ["container_id", "src"]).join(b, ["container_id", "dst"]).where("ca = cb").select("container_id", "src", "dst")
-    strong = graph.where((F.col("channel_type") != "fork") & (F.col("event_count") >= least_events)).select("container_id", "src", "dst")
-    strong = strong.join(names.select("container_id", F.col("pid").alias("src")), ["container_id", "src"], "left_semi").join(names.select("container_id", F.col("pid").alias("dst")), ["container_id", "dst"], "left_semi")
-    member = components(procs, forks.unionByName(strong))
-    rows = member.join(procs.select("container_id", "pid", "cmdline", "comm"), ["container_id", "pid"]).join(scores.select("container_id", "pid", "score"), ["container_id", "pid"])
+def community_members(procs: DataFrame, forks: DataFrame, hubs: DataFrame, least_events: int = LEAST_EVENTS, key: Sequence[str] = CONTAINER) -> DataFrame:
+    """key, pid, community: forks of the same command first, then groups that edges over enough hubs join; a community is its smallest pid."""
+    names = procs.select(*key, "pid", "comm")
+    a, b = names.select(*key, F.col("pid").alias("src"), F.col("comm").alias("ca")), names.select(*key, F.col("pid").alias("dst"), F.col("comm").alias("cb"))
+    alike = forks.join(a, [*key, "src"]).join(b, [*key, "dst"]).where("ca = cb").select(*key, "src", "dst")
+    known = hubs.join(names.select(*key, "pid"), [*key, "pid"], "left_semi")
+    return components(procs, alike.unionByName(strong_links(known, least_events, key)), key)
+
+
+def label_of(first: Column, second: Column, n: Column) -> Column:
+    """a, a+b, or a+n others, out of the first and last of n names."""
+    return F.when(n == 0, F.lit("")).when(n == 1, first).when(n == 2, F.concat(first, F.lit("+"), second)).otherwise(F.concat(first, F.lit("+"), n - 1, F.lit(" others")))
+
+
+def communities(procs: DataFrame, members: DataFrame, scores: DataFrame, key: Sequence[str] = CONTAINER) -> DataFrame:
+    """key, community, size, representative_pid (of the longest command line), avg_score, label. members: as of community_members."""
+    rows = members.join(procs.select(*key, "pid", "cmdline", "comm"), [*key, "pid"]).join(scores.select(*key, "pid", "score"), [*key, "pid"])
     length = F.length(F.coalesce("cmdline", F.lit("")))
-    return rows.groupBy("container_id", "community").agg(
-        F.count("*").alias("size"), F.max_by("pid", F.struct(length, -F.col("pid"))).alias("representative_pid"), F.avg("score").alias("avg_score"),
-        F.array_join(F.array_sort(F.collect_set("comm")), ",").alias("label"), F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("members"),
-    )
+    by_name = rows.groupBy(*key, "community", "comm").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max(F.struct(length.alias("length"), (-F.col("pid")).alias("minus"))).alias("longest"))
+    label = label_of(F.min("comm"), F.max("comm"), F.count("comm"))
+    return by_name.groupBy(*key, "community").agg(F.sum("n").alias("size"), (-F.max("longest")["minus"]).alias("representative_pid"), (F.sum("total") / F.sum("n")).alias("avg_score"), label.alias("label"))
 
 
-def label_of(names: Column) -> Column:
-    """a, a+b, or a+n others."""
-    return F.when(F.size(names) <= 2, F.array_join(names, "+")).otherwise(F.concat(names[0], F.lit("+"), F.size(names) - 1, F.lit(" others")))
+def community_texts(procs: DataFrame, members: DataFrame) -> DataFrame:
+    """container_id, community, label, members: a community's commands and pids, each as one text, which gathers a community into a row."""
+    rows = members.join(procs.select("container_id", "pid", "comm"), ["container_id", "pid"])
+    text = lambda x: F.array_join(F.array_sort(x), ",")
+    return rows.groupBy("container_id", "community").agg(text(F.collect_set("comm")).alias("label"), text(F.collect_list("pid")).alias("members"))
 
 
-def action_communities(procs: DataFrame, graph: DataFrame, scores: DataFrame, pids: DataFrame, least_events: int = 10) -> DataFrame:
+def action_communities(procs: DataFrame, forks: DataFrame, hubs: DataFrame, scores: DataFrame, pids: DataFrame, least_events: int = LEAST_EVENTS) -> DataFrame:
     """container_id, action_id, community_id, community, size, label, representative_pid, avg_score: communities among an action's processes alone, numbered from the largest.
 
     community is the smallest pid of it.
     """
-    inside = lambda df, c: df.join(pids.select("container_id", "action_id", F.col("pid").alias(c)), ["container_id", c] if "action_id" not in df.columns else ["container_id", "action_id", c])
-    within = lambda df: df.select(F.concat_ws("#", "container_id", "action_id").alias("container_id"), *[c for c in df.columns if c not in ("container_id", "action_id")])
-    members = inside(procs.select("container_id", "pid", "comm", "cmdline"), "pid")
-    links = within(inside(inside(graph.select("container_id", "src", "dst", "channel_type", "event_count"), "src"), "dst"))
-    both = communities(within(members), links, within(inside(scores.select("container_id", "pid", "score"), "pid")), least_events)
-    split = lambda i: F.substring_index("container_id", "#", i)
-    rows = both.select(split(1).alias("container_id"), split(-1).cast("long").alias("action_id"), "community", "size", label_of(F.split("label", ",")).alias("label"), "representative_pid", "avg_score")
-    order = Window.partitionBy("container_id", "action_id").orderBy(F.col("size").desc(), "community")
+    key = ("container_id", "action_id")
+    own = pids.select(*key, "pid")
+    inside = stash(procs.select("container_id", "pid", "comm", "cmdline").join(own, ["container_id", "pid"]), "inside")
+    end = lambda name: own.select(*key, F.col("pid").alias(name))
+    links = forks.select("container_id", "src", "dst").join(end("src"), ["container_id", "src"]).join(end("dst"), [*key, "dst"])
+    members = stash(community_members(inside, links, hubs.join(own, ["container_id", "pid"]), least_events, key), "action-communities")
+    rows = communities(inside, members, scores.select("container_id", "pid", "score").join(own, ["container_id", "pid"]), key)
+    order = Window.partitionBy(*key).orderBy(F.col("size").desc(), "community")
     return rows.withColumn("community_id", F.row_number().over(order) - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.functions import exprs as X
+from tracewright.operators.graph import pairs_of
 
 
 def action_pids(ops: DataFrame) -> DataFrame:
@@ -121,20 +122,27 @@ def shown_communities(groups: DataFrame, most: int = 3) -> DataFrame:
     return groups.groupBy("container_id").agg(F.count_if(F.col("size") > most).alias("shown"), F.coalesce(F.sum(F.when(F.col("size") <= most, F.col("size"))), F.lit(0)).alias("hidden_processes"))
 
 
-def preexisting_influence(graph: DataFrame, pids: DataFrame, scores: DataFrame) -> DataFrame:
-    """container_id, action_id, src, dst, channel_type: edges from tainted processes of an action to processes outside it that were raised by others."""
+def preexisting_influence(forks: DataFrame, hubs: DataFrame, pids: DataFrame, scores: DataFrame) -> DataFrame:
+    """container_id, action_id, src, dst, channel_type: edges from tainted processes of an action to processes outside it that were raised by others.
+
+    forks: edges between two processes; hubs: those over files and queues, of which pairs are made for such processes alone.
+    """
     tainted = scores.where(F.col("score") >= schema.TAINTED).select("container_id", F.col("pid").alias("src"))
     raised = scores.where(F.col("score") > F.col("initial")).select("container_id", F.col("pid").alias("dst"))
-    rows = graph.join(tainted, ["container_id", "src"], "left_semi").join(raised, ["container_id", "dst"], "left_semi")
+    sources = tainted.join(pids.select("container_id", F.col("pid").alias("src")).distinct(), ["container_id", "src"], "left_semi")
+    rows = forks.join(sources, ["container_id", "src"], "left_semi").join(raised, ["container_id", "dst"], "left_semi").select("container_id", "src", "dst", "channel_type")
+    rows = rows.unionByName(pairs_of(hubs, sources.withColumnRenamed("src", "pid"), raised.withColumnRenamed("dst", "pid")).select(rows.columns))
     rows = rows.join(pids.select("container_id", "action_id", F.col("pid").alias("src")), ["container_id", "src"])
     return rows.join(pids.select("container_id", "action_id", F.col("pid").alias("dst")), ["container_id", "action_id", "dst"], "left_anti").select("container_id", "action_id", "src", "dst", "channel_type")
 
 
-def data_flow_diff(flows: DataFrame, reads: DataFrame, writes: DataFrame, graph: DataFrame, pids: DataFrame, network: DataFrame, influence: DataFrame) -> DataFrame:
+def data_flow_diff(flows: DataFrame, reads: DataFrame, writes: DataFrame, forks: DataFrame, hubs: DataFrame, pids: DataFrame, network: DataFrame, influence: DataFrame) -> DataFrame:
     """container_id, action_id, rank, verb, subject, detail: the action's flows of all kinds, distinct, to be sorted by rank, detail, subject."""
     row = lambda df, rank, verb, subject, detail: df.select("container_id", "action_id", F.lit(rank).alias("rank"), verb.alias("verb"), subject.cast("string").alias("subject"), detail.alias("detail"))
     # files show as reads and writes; all else between two processes, of which either is the action's
-    ends = graph.where("channel_type <> 'file'").select("container_id", "src", "dst", "channel_type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("pid"))
+    queues, who = hubs.where("channel_type <> 'file'"), pids.select("container_id", "pid").distinct()
+    between = [df.select("container_id", "src", "dst", "channel_type") for df in (forks, pairs_of(queues, sources=who), pairs_of(queues, targets=who))]
+    ends = reduce(DataFrame.unionByName, between).select("container_id", "src", "dst", "channel_type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("pid"))
     own = ends.join(pids.select("container_id", "action_id", "pid"), ["container_id", "pid"]).select("container_id", "action_id", "src", "dst", "channel_type").distinct()
     parts = [
         row(flows, 0, F.lit("flow"), F.col("pid"), F.concat("path", F.lit(" from action "), "writer_action")), row(reads, 1, F.lit("read"), F.col("pid"), F.col("path")), row(writes, 2, F.lit("write"), F.col("pid"), F.col("path")),
@@ -147,14 +155,20 @@ def data_flow_diff(flows: DataFrame, reads: DataFrame, writes: DataFrame, graph:
     return out.distinct()
 
 
-def merged(diff: DataFrame, procs: DataFrame) -> DataFrame:
-    """Lines of data_flow_diff that differ in processes alone, merged by their commands: pids joined. Lines between two processes name the other one's command."""
+def merged(diff: DataFrame, procs: DataFrame, pids: bool = False) -> DataFrame:
+    """Lines of data_flow_diff that differ in processes alone, merged by their commands, with their number and the first and last pid.
+
+    Lines between two processes name the other one's command. pids: all pids as one text as well, which gathers a line's
+    processes into a row.
+    """
     names = procs.select("container_id", F.col("pid").cast("string").alias("subject"), "comm")
     others = names.select("container_id", F.col("subject").alias("detail"), F.col("comm").alias("other"), F.lit(3).alias("rank"))
     rows = diff.join(names, ["container_id", "subject"], "left").join(others, ["container_id", "rank", "detail"], "left")
     detail = F.when(F.col("rank") == 3, F.coalesce("other", F.lit("?"))).otherwise(F.col("detail"))
     rows = rows.groupBy("container_id", "action_id", "rank", "verb", detail.alias("detail"), F.coalesce("comm", F.lit("?")).alias("comm"))
-    return rows.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("subject").cast("long"))), ",").alias("pids"))
+    pid = F.col("subject").cast("long")
+    texts = [F.array_join(F.array_sort(F.collect_set(pid)), ",").alias("pids")] if pids else []
+    return rows.agg(F.count("*").alias("n"), F.min(pid).alias("first_pid"), F.max(pid).alias("last_pid"), *texts)
 
 
 def receipts(actions: DataFrame, ops: DataFrame, summary: DataFrame, groups: DataFrame, diff: DataFrame, found: DataFrame) -> DataFrame:
@@ -189,7 +203,7 @@ def receipts(actions: DataFrame, ops: DataFrame, summary: DataFrame, groups: Dat
 
 
 def receipt_text(diff: DataFrame) -> DataFrame:
-    """One text per action: its lines in order."""
+    """One text per action: its lines in order of rank, detail, subject; lines that tie in these (a fork and a queue between the same two) go by verb."""
     line = F.concat_ws(" ", "verb", "subject", "detail")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "detail", "subject", line.alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "detail", "subject", "verb", line.alias("line"))))
     return diff.groupBy("container_id", "action_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("receipt"))

@@ -81,8 +81,12 @@ def event_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def by_severity(found: DataFrame) -> DataFrame:
     """Detections with their place in each container's list: the most severe first, then by action."""
-    order = Window.partitionBy("container_id").orderBy(F.col("severity").desc(), "action_id", "technique", "pid")
-    return found.withColumn("nth", F.row_number().over(order))
+    key = ["container_id", "severity", "action_id"]
+    # places within an action's detections of one severity, after those of the groups before: no container is sorted as a whole
+    before = Window.partitionBy("container_id").orderBy(F.col("severity").desc(), "action_id").rowsBetween(Window.unboundedPreceding, -1)
+    groups = found.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("technique", "pid"))
+    return found.withColumn("within", within).join(groups, key).withColumn("nth", (F.col("before") + F.col("within")).cast("int")).drop("before", "within")
 
 
 def technique_rollup(found: DataFrame) -> DataFrame:

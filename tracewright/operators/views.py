@@ -15,13 +15,12 @@ def action_list(actions: DataFrame, ops: DataFrame) -> DataFrame:
     return actions.join(n, ["container_id", "action_id"], "left").select("container_id", "action_id", "command", "start_ms", "end_ms", zero("total_events"), zero("process_events"))
 
 
-def container_status(procs: DataFrame, graph: DataFrame, actions: DataFrame) -> DataFrame:
-    """container_id, n_processes, n_exited, n_edges, n_actions, active_action."""
+def container_status(procs: DataFrame, edge_counts: DataFrame, actions: DataFrame) -> DataFrame:
+    """container_id, n_processes, n_exited, n_edges, n_actions, active_action. edge_counts: (container_id, n_edges)."""
     p = procs.groupBy("container_id").agg(F.count("*").alias("n_processes"), F.count_if("exited").alias("n_exited"))
-    e = graph.groupBy("container_id").agg(F.count("*").alias("n_edges"))
     a = actions.groupBy("container_id").agg(F.count_if(F.col("end_ms").isNotNull()).alias("n_actions"), F.max(F.when(F.col("end_ms").isNull(), F.col("action_id"))).alias("active_action"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return p.join(e, "container_id", "left").join(a, "container_id", "left").select("container_id", "n_processes", "n_exited", zero("n_edges"), zero("n_actions"), "active_action")
+    return p.join(edge_counts.select("container_id", "n_edges"), "container_id", "left").join(a, "container_id", "left").select("container_id", "n_processes", "n_exited", zero("n_edges"), zero("n_actions"), "active_action")
 
 
 def listed_containers(status: DataFrame, most: int = 1500) -> DataFrame:
@@ -107,10 +106,15 @@ def data_edges(access: DataFrame, shown: DataFrame) -> DataFrame:
     return rows.select("container_id", "path", "pid", verb[F.col("role")].alias("verb")).distinct()
 
 
-def endpoints(conns: DataFrame) -> DataFrame:
-    """Remote and local endpoints with their users; wildcard addresses are left out."""
-    rows = conns.where(X.is_endpoint(F.col("addr")))
-    return rows.groupBy("container_id", "addr", "direction").agg(F.count_distinct("pid").alias("n_pids"), F.array_join(F.array_sort(F.collect_set("pid")), ",").alias("pids"))
+def endpoint_users(conns: DataFrame) -> DataFrame:
+    """container_id, addr, direction, pid: who uses an endpoint, a row each; wildcard addresses are left out."""
+    return conns.where(X.is_endpoint(F.col("addr"))).select("container_id", "addr", "direction", "pid").distinct()
+
+
+def endpoints(conns: DataFrame, pids: bool = False) -> DataFrame:
+    """Remote and local endpoints with the number of their users; pids: these as one text as well, which gathers them into a row."""
+    texts = [F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("pids")] if pids else []
+    return endpoint_users(conns).groupBy("container_id", "addr", "direction").agg(F.count("*").alias("n_pids"), *texts)
 
 
 def entry_points(procs: DataFrame) -> DataFrame:

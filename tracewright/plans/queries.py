@@ -36,7 +36,7 @@ def events_of(t: Tables) -> DataFrame:
     return rows if t.until is None else rows.where(F.col("ts_ms") <= t.until)
 
 
-SHARED = {"events", "procs", "attributed", "routed", "ops", "files", "queues", "edges", "pids", "conns", "opened", "scores", "action_flows", "found", "diff", "groups_of_actions"}
+SHARED = {"events", "procs", "attributed", "routed", "ops", "files", "queues", "hubs", "forks", "pids", "conns", "opened", "scores", "action_flows", "found", "diff", "groups_of_actions"}
 
 MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "events": events_of,
@@ -55,22 +55,26 @@ MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "opened": lambda t: facts.open_files(t.events),
     "pids": lambda t: receipts.action_pids(t.ops),
     "forks": lambda t: graph.fork_edges(t.procs),
-    "edges": lambda t: graph.edges(t.procs, t.files, t.queues),
-    "initial": lambda t: graph.initial_scores(t.procs, t.forks, t.attributed),
-    "scores": lambda t: graph.propagate(t.initial, t.edges),
+    "hubs": lambda t: graph.hub_links(t.files, t.queues),
+    "edges": lambda t: graph.edges(t.forks, t.hubs),
+    "initial": lambda t: graph.initial_scores(t.procs, t.attributed),
+    "scores": lambda t: graph.propagate(t.initial, t.forks, t.hubs),
+    "members": lambda t: graph.community_members(t.procs, t.forks, t.hubs),
+    "groups": lambda t: graph.communities(t.procs, t.members, t.scores),
     "flows": lambda t: receipts.cross_action_flows(t.files, t.pids),
     "action_flows": lambda t: receipts.cross_action_flows(t.files, t.pids, False),
     "reads": lambda t: receipts.reads_by_process(t.files, t.opened, t.pids, t.action_flows),
     "writes": lambda t: receipts.writes_by_process(t.files, t.pids),
     "network": lambda t: receipts.network_flows(t.conns, t.pids, t.owners),
-    "influence": lambda t: receipts.preexisting_influence(t.edges, t.pids, t.scores),
+    "influence": lambda t: receipts.preexisting_influence(t.forks, t.hubs, t.pids, t.scores),
     "found": lambda t: rules.detections(t.ops, t.files, t.procs, t.conns, t.opened, t.scores, rules.rule_table(t.spark)),
-    "status": lambda t: views.container_status(t.procs, t.edges, t.actions),
+    "status": lambda t: views.container_status(t.procs, graph.edge_counts(t.forks, t.hubs), t.actions),
     "nodes": lambda t: views.graph_nodes(t.procs, t.scores, t.attributed),
+    "drawn": lambda t: views.graph_edges(graph.edges(t.forks, t.hubs, among=t.nodes), t.nodes),
     "shown": lambda t: views.shown_files(t.files),
-    "diff": lambda t: receipts.data_flow_diff(t.action_flows, t.reads, t.writes, t.edges, t.pids, t.network, t.influence),
+    "diff": lambda t: receipts.data_flow_diff(t.action_flows, t.reads, t.writes, t.forks, t.hubs, t.pids, t.network, t.influence),
     "summary": lambda t: receipts.process_summary(t.ops, t.procs),
-    "groups_of_actions": lambda t: graph.action_communities(t.procs, t.edges, t.scores, t.pids),
+    "groups_of_actions": lambda t: graph.action_communities(t.procs, t.forks, t.hubs, t.scores, t.pids),
     "receipt": lambda t: receipts.receipts(t.actions, t.ops, t.summary, t.groups_of_actions, t.diff, t.found),
 }
 
@@ -114,12 +118,12 @@ CTE = {
   SELECT r.* EXCLUDE (path), CASE class WHEN 'transfer' THEN 'file' ELSE class END AS class, CASE WHEN op = 'Open' AND flags & 579 <> 0 THEN 'OpenWrite' ELSE op END AS op, CASE WHEN class = 'file' THEN path END AS path
     FROM routed r JOIN calls c ON c.syscall = r.syscall WHERE r.syscall NOT IN (69, 70, 242, 243) OR channel IS NOT NULL
   UNION ALL SELECT r.* EXCLUDE (path), 'file', 'Exec', path FROM routed r WHERE syscall = 59)""",
-    "files": """SELECT container_id, path, role, pid, action_id, first_seq FROM (
+    "files": """SELECT container_id, path, role, pid, action_id, first_seq, first_ms FROM (
   SELECT *, min(first_seq) FILTER (role = 'writer') OVER (PARTITION BY container_id, path, pid) AS written FROM (
-    SELECT container_id, path, pid, action_id, CASE WHEN syscall = 87 THEN 'deleter' WHEN syscall IN (82, 90) THEN 'modifier' WHEN syscall = 59 THEN 'executor' WHEN flags & 579 <> 0 THEN 'writer' ELSE 'reader' END AS role, min(serial) AS first_seq
-    FROM (SELECT container_id, path, pid, action_id, syscall, flags, serial FROM routed WHERE path IS NOT NULL
-      UNION ALL SELECT container_id, target, pid, action_id, 257, 0, r.serial FROM routed r JOIN meant m ON m.serial = r.serial AND m.ask = 'source' WHERE target LIKE '/%') GROUP BY ALL)) WHERE role <> 'reader' OR written IS NULL OR first_seq < written""",
-    "queues": "SELECT DISTINCT container_id, channel, CASE WHEN syscall IN (69, 242) THEN 'sender' ELSE 'receiver' END AS role, pid, action_id FROM routed WHERE channel IS NOT NULL AND syscall IN (69, 70, 242, 243)",
+    SELECT container_id, path, pid, action_id, CASE WHEN syscall = 87 THEN 'deleter' WHEN syscall IN (82, 90) THEN 'modifier' WHEN syscall = 59 THEN 'executor' WHEN flags & 579 <> 0 THEN 'writer' ELSE 'reader' END AS role, min(serial) AS first_seq, min(ts_ms) AS first_ms
+    FROM (SELECT container_id, path, pid, action_id, syscall, flags, serial, ts_ms FROM routed WHERE path IS NOT NULL
+      UNION ALL SELECT container_id, target, pid, action_id, 257, 0, r.serial, r.ts_ms FROM routed r JOIN meant m ON m.serial = r.serial AND m.ask = 'source' WHERE target LIKE '/%') GROUP BY ALL)) WHERE role <> 'reader' OR written IS NULL OR first_seq < written""",
+    "queues": "SELECT container_id, channel, CASE WHEN syscall IN (69, 242) THEN 'sender' ELSE 'receiver' END AS role, pid, action_id, min(ts_ms) AS first_ms FROM routed WHERE channel IS NOT NULL AND syscall IN (69, 70, 242, 243) GROUP BY ALL",
     "conns": "SELECT DISTINCT container_id, pid, CASE syscall WHEN 42 THEN 'connect' ELSE 'listen' END AS direction, addr FROM ev WHERE syscall IN (42, 49)",
     "opened": "SELECT DISTINCT container_id, pid, path FROM ev WHERE syscall = 257",
     "pids": "SELECT DISTINCT container_id, action_id, pid FROM ops WHERE class = 'process'",
@@ -133,6 +137,10 @@ CTE = {
     "ipcflow": """SELECT s.container_id, s.pid AS src, r.pid AS dst, 'mqueue' AS channel_type, min(s.channel) AS channel, count(*) AS event_count
   FROM (SELECT DISTINCT container_id, channel, pid FROM queues WHERE role = 'sender') s JOIN (SELECT DISTINCT container_id, channel, pid FROM queues WHERE role = 'receiver') r
     ON s.container_id = r.container_id AND s.channel = r.channel AND s.pid <> r.pid GROUP BY 1, 2, 3""",
+    "hubs": """SELECT container_id, 'file' AS channel_type, path AS hub, CASE role WHEN 'writer' THEN 'in' ELSE 'out' END AS side, pid, min(first_ms) AS seen_ms FROM files f
+  WHERE role IN ('writer', 'reader', 'executor') AND NOT (path LIKE '/proc/%' OR path LIKE '/usr/lib/%' OR contains(path, '.so'))
+    AND (role = 'writer' OR NOT EXISTS (SELECT 1 FROM files x WHERE x.role = 'writer' AND x.container_id = f.container_id AND x.path = f.path AND x.pid = f.pid)) GROUP BY ALL
+  UNION ALL SELECT container_id, 'mqueue', channel, CASE role WHEN 'sender' THEN 'in' ELSE 'out' END, pid, min(first_ms) FROM queues GROUP BY ALL""",
     "edges": "SELECT * FROM forks UNION ALL SELECT * FROM fileflow UNION ALL SELECT * FROM ipcflow",
     "attributed": """WITH RECURSIVE up AS (SELECT container_id, pid, pid AS root_pid, 0 AS d FROM procs
     UNION ALL SELECT up.container_id, up.pid, f.src, d + 1 FROM up JOIN forks f ON f.container_id = up.container_id AND f.dst = up.root_pid),
@@ -261,23 +269,29 @@ register("derived_events", "serial ts_ms container_id pid ppid syscall flags fd
 register("op_events", "container_id serial action_id pid class op path addr", lambda t: t.ops, "SELECT container_id, serial, action_id, pid, class, op, path, addr FROM ops")
 register("routed_events", "serial container_id pid action_id channel", lambda t: t.routed, "SELECT serial, container_id, pid, action_id, channel FROM routed")
 register("process_table", "container_id pid first_seq first_ts ppid comm cmdline exe exited n_events", lambda t: t.procs, "SELECT * FROM procs")
-register("process_children", "container_id pid children n_children", lambda t: enrich.children(t.procs), "SELECT container_id, ppid AS pid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS children, count(*) AS n_children FROM procs GROUP BY 1, 2")
+register("process_children", "container_id pid children n_children", lambda t: enrich.children_text(t.procs), "SELECT container_id, ppid AS pid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS children, count(*) AS n_children FROM procs GROUP BY 1, 2")
 register("action_at_time", "serial container_id ts_ms action_id", lambda t: t.timed, "SELECT serial, container_id, ts_ms, action_id FROM timed")
 register("attributed_action", "container_id pid root_pid action_id", lambda t: t.attributed, "SELECT container_id, pid, root_pid, action_id FROM attributed")
 register("fd_resolution", "serial container_id pid fd fd_target", lambda t: enrich.fd_targets(t.events),
   "SELECT serial, container_id, pid, fd, last_value(sets IGNORE NULLS) OVER (PARTITION BY container_id, pid, epoch, fd ORDER BY ts_ms, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fd_target FROM fds")
-register("file_access", "container_id path role pid action_id first_seq", lambda t: t.files, "SELECT * FROM files")
-register("ipc_access", "container_id channel role pid action_id", lambda t: t.queues, "SELECT * FROM queues")
+register("file_access", "container_id path role pid action_id first_seq", lambda t: t.files, "SELECT container_id, path, role, pid, action_id, first_seq FROM files")
+register("ipc_access", "container_id channel role pid action_id", lambda t: t.queues, "SELECT container_id, channel, role, pid, action_id FROM queues")
 register("action_event_counts", "container_id action_id pid class op n first_seq", lambda t: facts.op_counts(t.ops), "SELECT container_id, action_id, pid, class, op, count(*) AS n, min(serial) AS first_seq FROM ops GROUP BY ALL")
 register("first_file_events", "container_id action_id pid op first_path", lambda t: facts.op_counts(t.ops).where("class = 'file'"), "SELECT container_id, action_id, pid, op, arg_min_null(path, serial) AS first_path FROM ops WHERE class = 'file' GROUP BY ALL")
 register("connections", "container_id pid direction addr", lambda t: t.conns, "SELECT * FROM conns")
 register("fork_edges", "container_id src dst channel_type channel event_count", lambda t: t.forks, "SELECT * FROM forks")
 register("file_flow_edges", "container_id src dst channel_type channel event_count", lambda t: graph.file_flow_edges(t.files), "SELECT * FROM fileflow")
 register("ipc_flow_edges", "container_id src dst channel_type channel event_count", lambda t: graph.ipc_flow_edges(t.queues), "SELECT * FROM ipcflow")
+register("hub_links", "container_id channel_type hub side pid seen_ms", lambda t: t.hubs, "SELECT * FROM hubs")
+register("edge_times", "container_id src dst channel_type event_count first_seen last_seen", lambda t: t.edges,
+  """SELECT a.container_id, a.pid AS src, b.pid AS dst, a.channel_type, count(*) AS event_count, min(greatest(a.seen_ms, b.seen_ms)) AS first_seen, max(greatest(a.seen_ms, b.seen_ms)) AS last_seen
+  FROM hubs a JOIN hubs b ON a.side = 'in' AND b.side = 'out' AND a.channel_type = b.channel_type AND a.container_id = b.container_id AND a.hub = b.hub AND a.pid <> b.pid GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT f.container_id, src, dst, channel_type, event_count, first_ts, first_ts FROM forks f JOIN procs p ON p.container_id = f.container_id AND p.pid = f.dst""")
 register("taint_init", "container_id pid score", lambda t: t.initial.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM initial")
 register("taint_scores", "container_id pid score", lambda t: t.scores.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores")
 register("newly_tainted", "container_id pid score", lambda t: t.scores.where("score >= 0.1 and initial < 0.1").withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores WHERE score >= 0.1 AND initial < 0.1")
-register("communities", "container_id community size representative_pid avg_score label members", lambda t: graph.communities(t.procs, t.edges, t.scores).withColumn("avg_score", F.round("avg_score", 6)), "SELECT * FROM groups")
+register("communities", "container_id community size representative_pid avg_score label members", lambda t: t.groups.drop("label").join(graph.community_texts(t.procs, t.members), ["container_id", "community"]).withColumn("avg_score", F.round("avg_score", 6)), "SELECT * FROM groups")
+register("community_members", "container_id pid community", lambda t: t.members, "SELECT container_id, pid, min(node) AS community FROM reach GROUP BY 1, 2")
 register("cross_action_flows", "container_id action_id path writer_action writer pid", lambda t: t.flows, "SELECT * FROM flows")
 register("reads_by_process", "container_id action_id pid path", lambda t: t.reads, "SELECT * FROM reads")
 register("writes_by_process", "container_id action_id pid path", lambda t: t.writes, "SELECT * FROM writes")
@@ -299,10 +313,10 @@ register("detections_by_severity", "container_id nth action_id technique pid sev
 register("technique_rollup", "container_id action_id technique severity mark n n_descriptions example", lambda t: rules.technique_rollup(t.found),
   "SELECT container_id, action_id, technique, max(severity) AS severity, [' ', '.', '!', '!!'][max(severity) + 1] AS mark, count(*) AS n, count(DISTINCT description) AS n_descriptions, min(description) AS example FROM found GROUP BY 1, 2, 3")
 register("data_flow_diff", "container_id action_id rank verb subject detail", lambda t: t.diff, "SELECT * FROM diff")
-register("merged_flows", "container_id action_id rank verb detail comm n pids", lambda t: receipts.merged(t.diff, t.procs),
+register("merged_flows", "container_id action_id rank verb detail comm n pids", lambda t: receipts.merged(t.diff, t.procs, pids=True),
   """SELECT d.container_id, action_id, rank, verb, CASE rank WHEN 3 THEN coalesce(q.comm, '?') ELSE detail END AS detail, coalesce(p.comm, '?') AS comm, count(*) AS n, array_to_string(list_sort(list(DISTINCT CAST(subject AS BIGINT))), ',') AS pids
   FROM diff d LEFT JOIN procs p ON p.container_id = d.container_id AND CAST(p.pid AS VARCHAR) = d.subject LEFT JOIN procs q ON rank = 3 AND q.container_id = d.container_id AND CAST(q.pid AS VARCHAR) = d.detail GROUP BY 1, 2, 3, 4, 5, 6""")
-register("receipt_text", "container_id action_id receipt", lambda t: receipts.receipt_text(t.diff), "SELECT container_id, action_id, string_agg(verb || ' ' || subject || ' ' || detail, chr(10) ORDER BY rank, detail, subject) AS receipt FROM diff GROUP BY 1, 2")
+register("receipt_text", "container_id action_id receipt", lambda t: receipts.receipt_text(t.diff), "SELECT container_id, action_id, string_agg(verb || ' ' || subject || ' ' || detail, chr(10) ORDER BY rank, detail, subject, verb) AS receipt FROM diff GROUP BY 1, 2")
 register("action_list", "container_id action_id command start_ms end_ms total_events process_events", lambda t: views.action_list(t.actions, t.ops),
   "SELECT a.container_id, a.action_id, command, start_ms, end_ms, count(o.serial) AS total_events, count(o.serial) FILTER (class = 'process') AS process_events FROM actions a LEFT JOIN ops o ON o.container_id = a.container_id AND o.action_id = a.action_id GROUP BY 1, 2, 3, 4, 5")
 register("container_status", "container_id n_processes n_exited n_edges n_actions active_action", lambda t: t.status, "SELECT * FROM status")
@@ -311,10 +325,10 @@ register("hidden_containers", "listed hidden", lambda t: views.hidden_containers
 register("shown_files", "container_id path class label", lambda t: t.shown, "SELECT * FROM shown")
 register("graph_nodes", "container_id pid label cmd action_id score", lambda t: t.nodes,
   "SELECT container_id, pid, concat(comm, ':', CAST(pid AS VARCHAR)) AS label, cmdline AS cmd, action_id, round(score, 9) AS score FROM procs JOIN scores USING (container_id, pid) JOIN attributed USING (container_id, pid) QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY score DESC, pid) <= 50")
-register("graph_edges", "container_id src dst channel_type channel event_count label colour", lambda t: views.graph_edges(t.edges, t.nodes),
+register("graph_edges", "container_id src dst channel_type channel event_count label colour", lambda t: t.drawn,
   "SELECT e.*, e.channel_type AS label, CASE WHEN a.score >= 0.1 THEN printf('#cc%02x%02x', 255 - CAST(floor(a.score * 255) AS INT), 255 - CAST(floor(a.score * 255) AS INT)) ELSE '#cccccc' END AS colour FROM edges e JOIN nodes a ON a.container_id = e.container_id AND a.pid = e.src JOIN nodes b ON b.container_id = e.container_id AND b.pid = e.dst")
 register("data_edges", "container_id path pid verb", lambda t: views.data_edges(t.files, t.shown), "SELECT DISTINCT f.container_id, f.path, pid, CASE role WHEN 'writer' THEN 'write' WHEN 'reader' THEN 'read' WHEN 'executor' THEN 'exec' WHEN 'modifier' THEN 'chmod' ELSE 'delete' END AS verb FROM files f JOIN shown s USING (container_id, path)")
-register("endpoints", "container_id addr direction n_pids pids", lambda t: views.endpoints(t.conns), "SELECT container_id, addr, direction, count(*) AS n_pids, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS pids FROM conns WHERE addr NOT LIKE '0.0.0.0:%' GROUP BY 1, 2, 3")
+register("endpoints", "container_id addr direction n_pids pids", lambda t: views.endpoints(t.conns, pids=True), "SELECT container_id, addr, direction, count(*) AS n_pids, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS pids FROM conns WHERE addr NOT LIKE '0.0.0.0:%' GROUP BY 1, 2, 3")
 register("entry_points", "container_id pid ppid comm", lambda t: views.entry_points(t.procs), "SELECT container_id, pid, ppid, comm FROM procs p WHERE ppid <> 0 AND NOT EXISTS (SELECT 1 FROM procs q WHERE q.container_id = p.container_id AND q.pid = p.ppid)")
 register("first_actions", "container_id pid first_action", lambda t: views.first_actions(t.procs, t.ops),
   "SELECT p.container_id, p.pid, coalesce(min(o.action_id), 0) AS first_action FROM procs p LEFT JOIN ops o ON o.container_id = p.container_id AND o.pid = p.pid AND class = 'process' AND o.action_id > 0 GROUP BY 1, 2")
@@ -332,7 +346,7 @@ register("cross_container_edges", "experiment_id source target n_pids", lambda t
   JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id JOIN scores s ON s.container_id = c.container_id AND s.pid = c.pid AND s.score >= 0.1 WHERE c.container_id <> o.container_id GROUP BY 1, 2, 3""")
 register("experiment_action_receipt", "experiment_id action_id verb n_containers n", lambda t: receipts.experiment_action(t.diff, t.experiments),
   "SELECT experiment_id, action_id, verb, count(DISTINCT d.container_id) AS n_containers, count(*) AS n FROM diff d JOIN members m ON m.container_id = d.container_id GROUP BY 1, 2, 3")
-register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(graph.communities(t.procs, t.edges, t.scores)), "SELECT container_id, count(*) FILTER (size > 3) AS shown, CAST(coalesce(sum(size) FILTER (size <= 3), 0) AS BIGINT) AS hidden_processes FROM groups GROUP BY 1")
+register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(t.groups), "SELECT container_id, count(*) FILTER (size > 3) AS shown, CAST(coalesce(sum(size) FILTER (size <= 3), 0) AS BIGINT) AS hidden_processes FROM groups GROUP BY 1")
 register("ip_ownership", "ip container_id", lambda t: enrich.ip_owner(t.events.where("addr is not null").select(F.substring_index("addr", ":", 1).alias("ip"), "container_id", (F.col("serial") % 7 == 0).alias("explicit"), "ts_ms")),
   "SELECT ip, container_id FROM (SELECT split_part(addr, ':', 1) AS ip, container_id, row_number() OVER (PARTITION BY split_part(addr, ':', 1) ORDER BY CASE WHEN serial % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN serial % 7 = 0 THEN -ts_ms ELSE ts_ms END, container_id) AS nth FROM ev WHERE addr IS NOT NULL) WHERE nth = 1")
 register("turn_boundaries", "container_id action_id start_ms end_ms", lambda t: enrich.pair_boundaries(t.spark.read.parquet(f"{t.sf_dir}/conversations.parquet").selectExpr("cast(conv_id as string) as container_id", "turn as ts_ms", "case when role = 'user' then 'start' else 'end' end as kind", "text as command")),
@@ -353,14 +367,14 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def removed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    left = views.without_containers({"procs": t.procs, "edges": t.edges, "actions": t.actions}, ["c3", "c5"])
-    return views.container_status(left["procs"], left["edges"], left["actions"])
+    left = views.without_containers({"procs": t.procs, "forks": t.forks, "hubs": t.hubs, "actions": t.actions}, ["c3", "c5"])
+    return views.container_status(left["procs"], graph.edge_counts(left["forks"], left["hubs"]), left["actions"])
 
 
 register("legend", "container_id action_id command colour", lambda t: views.legend(t.actions),
   f"SELECT container_id, action_id, command, {[fill for fill, _ in schema.ACTION_COLOURS]}[(action_id - 1) % 20 + 1] AS colour FROM actions")
 register("experiment_graph", "experiment_id kind container_id source target label",
-  lambda t: views.experiment_graph(t.experiments, t.nodes, views.graph_edges(t.edges, t.nodes), views.data_edges(t.files, t.shown), t.conns, t.owners, t.scores),
+  lambda t: views.experiment_graph(t.experiments, t.nodes, t.drawn, views.data_edges(t.files, t.shown), t.conns, t.owners, t.scores),
   """SELECT DISTINCT m.experiment_id, kind, m.container_id, source, target, label FROM (
   SELECT e.container_id, 'process' AS kind, CAST(src AS VARCHAR) AS source, CAST(dst AS VARCHAR) AS target, channel_type AS label FROM edges e JOIN nodes a ON a.container_id = e.container_id AND a.pid = e.src JOIN nodes b ON b.container_id = e.container_id AND b.pid = e.dst
   UNION ALL SELECT f.container_id, 'file', CASE role WHEN 'writer' THEN CAST(f.pid AS VARCHAR) ELSE f.path END, CASE role WHEN 'writer' THEN f.path ELSE CAST(f.pid AS VARCHAR) END, CASE role WHEN 'writer' THEN 'write' WHEN 'reader' THEN 'read' ELSE 'exec' END
