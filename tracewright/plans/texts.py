@@ -9,7 +9,7 @@ from tracewright.functions import exprs as X
 from tracewright.operators import enrich, facts
 from tracewright.plans import derived
 from tracewright.sources import records
-from tracewright.streaming import stream
+from tracewright.streaming import stateful, stream
 
 
 def raw_records(events: DataFrame) -> DataFrame:
@@ -161,11 +161,24 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(rows.unionByName(last.select(rows.columns)))
 
 
+def stream_assemble_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a stream as they are given out at their end records."""
+    return classified(stream.drained(stateful.assemble(records.parse(raw_records(stream_of(spark, sf_dir))))))
+
+
+def stream_fd_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.drained(stateful.fd_targets(stream_of(spark, sf_dir))).select("serial", "container_id", "pid", "fd", "fd_target")
+
+
+RESOLVED = "SELECT serial, container_id, pid, fd, last_value(sets IGNORE NULLS) OVER (PARTITION BY container_id, pid, epoch, fd ORDER BY ts_ms, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fd_target FROM fds"
+
+
 #: (query, SQL's body) by name; bodies name the expressions of the query registry.
 TEXT_QUERIES = {
     "audit_parse_roundtrip": (audit_parse_roundtrip, ROUNDTRIP), "assemble_groups": (assemble_groups, ASSEMBLED), "sockaddr_decode": (sockaddr_decode, SOCKADDR), "path_functions": (path_functions, PATHS),
     "command_functions": (command_functions, COMMANDS), "kernel_transfers": (kernel_transfers, TRANSFERS), "container_resolution": (container_resolution, RESOLUTION), "stream_counts": (stream_counts, COUNTS),
     "stream_processes": (stream_processes, "SELECT container_id, pid, first_seq, n_events, exited FROM procs"),
     "stream_attribution": (stream_attribution, "SELECT serial, container_id, action_id FROM timed"),
+    "stream_assemble_at_end": (stream_assemble_at_end, ROUNDTRIP), "stream_fd_resolution": (stream_fd_resolution, RESOLVED),
     "stream_assemble": (stream_assemble, ROUNDTRIP), "parsed_transfers": (parsed_transfers, PARSED_TRANSFERS),
 }
