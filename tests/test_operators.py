@@ -163,14 +163,15 @@ def test_stream_that_goes_on(spark, tmp_path):
     source, at = str(tmp_path / "in"), str(tmp_path / "state")
     spark.range(5).write.parquet(source)
     rows = spark.readStream.schema("id long").parquet(source)
-    query = stream.follow(rows, lambda b: b.groupBy().agg(F.count("*").alias("n")), at, processingTime="100 milliseconds")
+    count = lambda c, name: lambda df: df.groupBy().agg(F.sum(c).alias(name))
+    query, store = stream.follow(rows, lambda b: b.groupBy().agg(F.count("*").alias("n")), count("n", "n"), at, processingTime="100 milliseconds")
     try:
         query.processAllAvailable()
         spark.range(7).write.mode("append").parquet(source)
         query.processAllAvailable()
     finally:
         query.stop()
-    assert spark.read.parquet(f"{at}/rows").agg(F.sum("n")).first()[0] == 12
+    assert store.read().first().n == 12
 
 
 def test_receipt_sink_and_removal(spark, tmp_path):
@@ -290,7 +291,7 @@ def test_boundaries_and_owners(spark):
 
 ORACLES = [
     "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
-    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble", "experiment_graph",
+    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
 ]
 
 

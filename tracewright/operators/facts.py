@@ -47,16 +47,21 @@ def file_access(events: DataFrame) -> DataFrame:
     Roles: writer, reader, executor, deleter (unlink), modifier (rename, chmod, chown). A transfer reads the file
     of its source. Reading a file counts only if the process hadn't written it before.
     """
+    moved = kernel_transfers(events, "action_id", "ts_ms").where("source is not null and not startswith(source, 'net:') and not startswith(source, 'mq:')")
+    rows = accesses(events, moved)
+    written = F.min(F.when(F.col("role") == "writer", F.col("first_seq"))).over(Window.partitionBy("container_id", "path", "pid"))
+    rows = rows.withColumn("written", written)
+    return rows.where((F.col("role") != "reader") | F.col("written").isNull() | (F.col("first_seq") < F.col("written"))).select("container_id", "path", "role", "pid", "action_id", "first_seq", "first_ms")
+
+
+def accesses(events: DataFrame, moved: DataFrame) -> DataFrame:
+    """As file_access, with all reads; moved: (container_id, pid, action_id, serial, ts_ms, source) of transfers that read a file."""
     ops = named(events).where(F.col("path").isNotNull() & (F.col("path") != ""))
     role = F.when(F.col("op") == "Open", F.when(X.is_write(F.coalesce("flags", F.lit(0))), "writer").otherwise("reader")).when(F.col("op") == "Exec", "executor")
     role = role.when(F.col("op") == "Unlink", "deleter").when(F.col("op").isin("Rename", "Chmod", "Chown"), "modifier")
-    moved = kernel_transfers(events, "action_id", "ts_ms").where("source is not null and not startswith(source, 'net:') and not startswith(source, 'mq:')")
     rows = ops.select("container_id", "path", "pid", role.alias("role"), "action_id", "serial", "ts_ms").where("role is not null")
     rows = rows.unionByName(moved.select("container_id", F.col("source").alias("path"), "pid", F.lit("reader").alias("role"), "action_id", "serial", "ts_ms"))
-    rows = rows.groupBy("container_id", "path", "pid", "role", "action_id").agg(F.min("serial").alias("first_seq"), F.min("ts_ms").alias("first_ms"))
-    written = F.min(F.when(F.col("role") == "writer", F.col("first_seq"))).over(Window.partitionBy("container_id", "path", "pid"))
-    rows = rows.withColumn("written", written)
-    return rows.where((F.col("role") != "reader") | F.col("written").isNull() | (F.col("first_seq") < F.col("written"))).select("container_id", "path", "role", "pid", "action_id", "first_seq", "first_ms")
+    return rows.groupBy("container_id", "path", "pid", "role", "action_id").agg(F.min("serial").alias("first_seq"), F.min("ts_ms").alias("first_ms"))
 
 
 def ipc_access(events: DataFrame) -> DataFrame:

@@ -284,9 +284,7 @@ register("file_flow_edges", "container_id src dst channel_type channel event_cou
 register("ipc_flow_edges", "container_id src dst channel_type channel event_count", lambda t: graph.ipc_flow_edges(t.queues), "SELECT * FROM ipcflow")
 register("hub_links", "container_id channel_type hub side pid seen_ms", lambda t: t.hubs, "SELECT * FROM hubs")
 register("edge_times", "container_id src dst channel_type event_count first_seen last_seen", lambda t: t.edges,
-  """SELECT a.container_id, a.pid AS src, b.pid AS dst, a.channel_type, count(*) AS event_count, min(greatest(a.seen_ms, b.seen_ms)) AS first_seen, max(greatest(a.seen_ms, b.seen_ms)) AS last_seen
-  FROM hubs a JOIN hubs b ON a.side = 'in' AND b.side = 'out' AND a.channel_type = b.channel_type AND a.container_id = b.container_id AND a.hub = b.hub AND a.pid <> b.pid GROUP BY 1, 2, 3, 4
-  UNION ALL SELECT f.container_id, src, dst, channel_type, event_count, first_ts, first_ts FROM forks f JOIN procs p ON p.container_id = f.container_id AND p.pid = f.dst""")
+  texts.EDGE_TIMES)
 register("taint_init", "container_id pid score", lambda t: t.initial.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM initial")
 register("taint_scores", "container_id pid score", lambda t: t.scores.withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores")
 register("newly_tainted", "container_id pid score", lambda t: t.scores.where("score >= 0.1 and initial < 0.1").withColumn("score", F.round("score", 9)), "SELECT container_id, pid, round(score, 9) AS score FROM scores WHERE score >= 0.1 AND initial < 0.1")

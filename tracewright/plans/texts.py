@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
-from tracewright.operators import enrich, facts
+from tracewright.operators import enrich, facts, graph
 from tracewright.plans import derived
 from tracewright.sources import records
 from tracewright.streaming import stateful, stream
@@ -170,6 +170,17 @@ def stream_fd_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drained(stateful.fd_targets(stream_of(spark, sf_dir))).select("serial", "container_id", "pid", "fd", "fd_target")
 
 
+def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges out of the running state of a stream: they are those of the whole table."""
+    forks, hubs = stream.running_graph(stream_of(spark, sf_dir))
+    return graph.edges(forks, hubs).select("container_id", "src", "dst", "channel_type", "event_count", "first_seen", "last_seen")
+
+
+EDGE_TIMES = """SELECT a.container_id, a.pid AS src, b.pid AS dst, a.channel_type, count(*) AS event_count, min(greatest(a.seen_ms, b.seen_ms)) AS first_seen, max(greatest(a.seen_ms, b.seen_ms)) AS last_seen
+  FROM hubs a JOIN hubs b ON a.side = 'in' AND b.side = 'out' AND a.channel_type = b.channel_type AND a.container_id = b.container_id AND a.hub = b.hub AND a.pid <> b.pid GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT f.container_id, src, dst, channel_type, event_count, first_ts, first_ts FROM forks f JOIN procs p ON p.container_id = f.container_id AND p.pid = f.dst"""
+
+
 RESOLVED = "SELECT serial, container_id, pid, fd, last_value(sets IGNORE NULLS) OVER (PARTITION BY container_id, pid, epoch, fd ORDER BY ts_ms, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fd_target FROM fds"
 
 
@@ -179,6 +190,6 @@ TEXT_QUERIES = {
     "command_functions": (command_functions, COMMANDS), "kernel_transfers": (kernel_transfers, TRANSFERS), "container_resolution": (container_resolution, RESOLUTION), "stream_counts": (stream_counts, COUNTS),
     "stream_processes": (stream_processes, "SELECT container_id, pid, first_seq, n_events, exited FROM procs"),
     "stream_attribution": (stream_attribution, "SELECT serial, container_id, action_id FROM timed"),
-    "stream_assemble_at_end": (stream_assemble_at_end, ROUNDTRIP), "stream_fd_resolution": (stream_fd_resolution, RESOLVED),
+    "stream_assemble_at_end": (stream_assemble_at_end, ROUNDTRIP), "stream_fd_resolution": (stream_fd_resolution, RESOLVED), "stream_edges": (stream_edges, EDGE_TIMES),
     "stream_assemble": (stream_assemble, ROUNDTRIP), "parsed_transfers": (parsed_transfers, PARSED_TRANSFERS),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tracewright import schema
 from tracewright.functions import exprs as X
 from tracewright.operators.enrich import descriptor_sets, named
 
@@ -112,7 +113,10 @@ def assemble(parsed: DataFrame, delay_ms: int = 600_000, subject: str | None = "
 
 
 class Descriptors(StatefulProcessor):
-    """What each descriptor of a process means, forgotten when the process exits."""
+    """What each descriptor of a process means, forgotten when the process exits; asks: columns with descriptors, by the name of the answer."""
+
+    def __init__(self, columns: list[str], asks: dict[str, str]):
+        self.columns, self.asks = columns, asks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.meant = handle.getMapState("meant", "fd bigint", "target string")
@@ -121,7 +125,7 @@ class Descriptors(StatefulProcessor):
         before = {k[0]: v[0] for k, v in self.meant.iterator()}
         now = dict(before)
         for r in sorted(rows, key=lambda r: (r.ts_ms, r.serial)):
-            yield Row(container_id=key[0], pid=key[1], serial=r.serial, fd=r.fd, fd_target=now.get(r.fd))
+            yield Row(**{c: r[c] for c in self.columns}, **{name: now.get(r[c]) for name, c in self.asks.items()})
             if r.exits:
                 now.clear()
             elif r.sets is not None and r.fd is not None:
@@ -139,12 +143,28 @@ class Descriptors(StatefulProcessor):
         pass
 
 
+def with_meanings(events: DataFrame, keep: list[str], asks: dict[str, str]) -> DataFrame:
+    calls = named(events)
+    number = lambda c: F.col(c).cast("long").alias(c)
+    fds = [number(c) for c in dict.fromkeys(["fd", *asks.values()]) if c not in keep]
+    rows = calls.select(*[number(c) if c in ("fd", *asks.values(), "pid") else F.col(c) for c in keep], *fds, descriptor_sets(calls).alias("sets"), (F.col("syscall_name") == "exit_group").alias("exits"))
+    out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{name} string" for name in asks])
+    return rows.groupBy("container_id", "pid").transformWithState(Descriptors(keep, asks), out, "Append", "None")
+
+
 def fd_targets(events: DataFrame) -> DataFrame:
     """container_id, pid, serial, fd, fd_target over a stream of events: what their descriptor last meant before them, since their process last exited.
 
     Events of a process are taken in order of time within a micro-batch, and micro-batches as they come. Nothing is kept of
     processes that have exited.
     """
-    calls = named(events)
-    rows = calls.select("container_id", F.col("pid").cast("long").alias("pid"), "serial", "ts_ms", F.col("fd").cast("long").alias("fd"), descriptor_sets(calls).alias("sets"), (F.col("syscall_name") == "exit_group").alias("exits"))
-    return rows.groupBy("container_id", "pid").transformWithState(Descriptors(), "container_id string, pid bigint, serial bigint, fd bigint, fd_target string", "Append", "None")
+    return with_meanings(events, ["container_id", "pid", "serial", "ts_ms", "fd"], {"fd_target": "fd"}).drop("ts_ms")
+
+
+def looked_up(events: DataFrame) -> DataFrame:
+    """A stream of events with what their descriptors mean: fd_target, and of kernel transfers that read a file, source (its path)."""
+    keep = ["container_id", "pid", "serial", "ts_ms", "ppid", "syscall", "flags", "fd", "path", "channel"]
+    rows = with_meanings(events, keep, {"fd_target": "fd", "source": "src_fd"})
+    is_file = ~F.startswith("source", F.lit("net:")) & ~F.startswith("source", F.lit("mq:"))
+    moved = F.col("syscall").isin([k for k, v in schema.SYSCALLS.items() if v in schema.OPS["transfer", "Read"].split()])
+    return rows.withColumn("source", F.when(moved & is_file, F.col("source")))
