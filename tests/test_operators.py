@@ -1,5 +1,6 @@
 """Operators on small tables, and registered queries against DuckDB."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -128,6 +129,33 @@ def test_labels_colours_and_order(spark):
     assert [r.technique for r in rules.by_severity(found).orderBy("nth").collect()] == ["T3", "T1", "T2"]
 
 
+@pytest.mark.parametrize("globs", [True, False])
+def test_patterns_of_a_large_rule_table(spark, globs):
+    """Ten thousand rules meet paths by equality, whatever stars they have, and find what a test of each pattern finds."""
+    rng = np.random.default_rng(4)
+    parts = ["etc", ".ssh", "id_rsa", "a", "b_c", "100%", "log", "x.y", "logins.json", "tmp"]
+    name = lambda: "".join(f"/{rng.choice(parts)}" for _ in range(rng.integers(1, 5)))
+    paths = sorted({name() for _ in range(400)} | {"/home/a/.ssh/authorized_keys", "/root/.ssh/id_rsa", "ab"})
+    patterns = ["*/.ssh/authorized_keys*", "*/.ssh/id_*", "*", "*a*", "/etc/*/log", "*b_c*", "a?", "/etc", "*.y", "/tmp*", "*/100%*", "/etc/*.json", "???"]
+    while len(patterns) < 10_000:
+        x = list(name())
+        for _ in range(rng.integers(0, 3)):
+            x[rng.integers(len(x))] = str(rng.choice(["*", "?"])) if globs else "*"
+        patterns.append("".join(x) + ("*" if rng.random() < 0.3 else ""))
+    table = rules.rule_table(spark, [("r", "open", p, "", "", f"T{i}", 1) for i, p in enumerate(patterns)])
+    got = rules.touching(spark.createDataFrame([(p,) for p in paths], "path string"), table, globs)
+
+    def fits(path, pattern):
+        if globs:
+            return re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), path) is not None or ("*" not in pattern and "?" not in pattern and path.startswith(pattern + "/"))
+        return pattern == "*" or (path.endswith(pattern[1:]) if pattern[0] == "*" else path.startswith(pattern.removesuffix("*")))
+
+    few = set(range(13)) | {int(i) for i in rng.choice(len(patterns), 400)}
+    assert {(r.path, r.rule) for r in got.collect() if r.rule in few} == {(p, i) for p in paths for i in few if fits(p, patterns[i])}
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_names_of_calls(spark, tmp_path):
     (tmp_path / "unistd.h").write_text("#ifndef X\n#define __NR_read 0\n# define __NR_statx\t332\n#define OTHER 5\n#endif\n")
     names = enrich.syscall_names(spark, str(tmp_path / "unistd.h"))
@@ -291,7 +319,7 @@ def test_boundaries_and_owners(spark):
 
 ORACLES = [
     "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
-    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
+    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "event_rule_matches", "event_rule_globs", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
 ]
 
 

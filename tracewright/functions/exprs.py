@@ -143,6 +143,49 @@ def glob_match(path: Column, pattern: Column) -> Column:
     return F.when(pattern == "*", True).when(F.startswith(pattern, F.lit("*")), F.endswith(path, rest)).when(F.endswith(pattern, F.lit("*")), F.startswith(path, head)).otherwise(F.startswith(path, pattern))
 
 
+def full_glob_match(path: Column, pattern: Column) -> Column:
+    """Whether the whole path fits a glob: * is any run of letters, ? any one; a pattern without them fits what is below it as well."""
+    like = F.regexp_replace(pattern, r"([\\%_])", r"\\$1")
+    like = F.translate(like, "*?", "%_")
+    return F.when(pattern.rlike(r"[*?]"), F.like(path, like)).otherwise((path == pattern) | F.startswith(path, F.concat(pattern, F.lit("/"))))
+
+
+def pattern_key(kind: str, n: Column, key: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n"), key.alias("key"))
+
+
+def ends_key(pattern: Column) -> Column:
+    """What a path that fits a pattern of glob_match begins or ends with: (kind, n, key)."""
+    n = F.length(pattern)
+    first, last = pattern_key("prefix", n - 1, F.left(pattern, n - 1)), pattern_key("suffix", n - 1, F.right(pattern, n - 1))
+    return F.when(pattern == "*", pattern_key("any", F.lit(0), F.lit(""))).when(F.startswith(pattern, F.lit("*")), last).when(F.endswith(pattern, F.lit("*")), first).otherwise(pattern_key("prefix", n, pattern))
+
+
+def glob_key(pattern: Column) -> Column:
+    """What a path that fits a glob must have: (kind, n, key); its first or last letters, a whole folder, or three letters in a row."""
+    pieces = F.split(pattern, r"[*?]")
+    first, last = F.get(pieces, 0), F.element_at(pieces, -1)
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("piece"))))["piece"]
+    folder = F.regexp_extract(longest, "/([^/]+)/", 1)
+    ends = F.when(F.size(pieces) == 1, pattern_key("prefix", F.length(pattern), pattern)).when((first != "") & (F.length(first) >= F.length(last)), pattern_key("prefix", F.length(first), first))
+    ends = ends.when(last != "", pattern_key("suffix", F.length(last), last)).when(folder != "", pattern_key("folder", F.lit(0), folder))
+    return ends.when(F.length(longest) >= 3, pattern_key("gram", F.lit(3), F.left(longest, F.lit(3)))).otherwise(pattern_key("any", F.lit(0), F.lit("")))
+
+
+def path_keys(path: Column, lengths: set[tuple[str, int]]) -> Column:
+    """All that patterns of such kinds and lengths can ask of a path: an array of (kind, n, key)."""
+    out = []
+    for kind, n in sorted(lengths):
+        key = {"prefix": F.left(path, F.lit(n)), "suffix": F.right(path, F.lit(n)), "any": F.lit("")}.get(kind)
+        if key is not None:
+            out.append(F.array(pattern_key(kind, F.lit(n), key)))
+        elif kind == "folder":
+            out.append(F.transform(F.split(path, "/"), lambda x: pattern_key("folder", F.lit(0), x)))
+        else:
+            out.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(path) - 2, F.lit(1))), lambda i: pattern_key("gram", F.lit(3), F.substring(path, i, F.lit(3)))))
+    return F.concat(*out) if out else F.array().cast("array<struct<kind:string,n:int,key:string>>")
+
+
 def is_endpoint(addr: Column) -> Column:
     """Addresses that name an endpoint: all but wildcards."""
     return ~F.startswith(addr, F.lit("0.0.0.0:")) & ~F.startswith(addr, F.lit("[::]:"))

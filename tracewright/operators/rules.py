@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +17,40 @@ def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFra
     return spark.createDataFrame(rows, "rule int, name string, syscalls array<string>, files array<string>, processes array<string>, excluded array<string>, technique string, severity int")
 
 
-def touching(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, rule: rules with a file pattern that each distinct path fits. Rules are few, and tested in place."""
-    listed = [(r["rule"], r["files"]) for r in rules.where(F.size("files") > 0).select("rule", "files").collect()]
-    fits = [F.when(reduce(lambda a, b: a | b, [X.glob_match(F.col("path"), F.lit(g)) for g in globs]), F.lit(rule)) for rule, globs in listed]
-    found = F.filter(F.array(*fits) if fits else F.array().cast("array<int>"), lambda x: x.isNotNull())
-    return paths.select("path").distinct().select("path", F.explode(found).alias("rule"))
+#: Rows of a rule table, by pattern or by call, up to which it is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a stash, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def touching(paths: DataFrame, rules: DataFrame, globs: bool = False) -> DataFrame:
+    """path, rule: rules with a file pattern that each distinct path fits.
+
+    Patterns are those of exprs.glob_match, with stars at an end only, or real globs. They are listed under what a path that fits must
+    have, its first or last letters, a folder or name in it, or three letters in a row, so that paths meet them by equality, and
+    are then tested in full. Only patterns without three letters in a row are tested on each path.
+    """
+    patterns = rules.select("rule", F.explode("files").alias("pattern")).distinct()
+    index = stash(patterns.select("rule", "pattern", X.glob_key(F.col("pattern")).alias("at") if globs else X.ends_key(F.col("pattern")).alias("at")), "patterns")
+    # as many as there are lengths of patterns
+    lengths = {(r["kind"], r["n"]) for r in index.select("at.kind", "at.n").distinct().collect()}
+    keys = X.path_keys(F.col("path"), lengths)
+    rows = paths.select("path").where("path is not null").distinct().select("path", F.explode(F.array_distinct(keys)).alias("at"))
+    fits = X.full_glob_match(F.col("path"), F.col("pattern")) if globs else X.glob_match(F.col("path"), F.col("pattern"))
+    return rows.join(few(index), "at").where(fits).select("path", "rule").distinct()
 
 
 def matches(subjects: DataFrame, rules: DataFrame, touched: DataFrame | None, *key: str) -> DataFrame:
     """subjects (key columns, syscall_name, exe, comm) with each rule that fits them.
 
-    Rules meet subjects by call, an equality; the rule table is small by nature and broadcast. touched: (key, rule) of
+    Rules meet subjects by call, an equality; a rule table of few rows is broadcast. touched: (key, rule) of
     the rules whose file patterns a subject's files fit; those without patterns need none.
     """
-    by_call = rules.withColumn("syscall_name", F.explode("syscalls"))
-    rows = subjects.join(F.broadcast(by_call), "syscall_name").where(~X.is_runtime(F.col("exe"), F.coalesce("comm", F.lit(""))))
+    by_call = stash(rules.withColumn("syscall_name", F.explode("syscalls")), "rules")
+    rows = subjects.join(few(by_call), "syscall_name").where(~X.is_runtime(F.col("exe"), F.coalesce("comm", F.lit(""))))
     base = F.element_at(F.split(F.coalesce("exe", F.lit("")), "/"), -1)
     names = F.array(base, F.coalesce("comm", F.lit("")))
     rows = rows.where(~F.arrays_overlap("excluded", names) & ((F.size("processes") == 0) | F.arrays_overlap("processes", names)))
@@ -72,11 +88,14 @@ def detections(ops: DataFrame, access: DataFrame, procs: DataFrame, conns: DataF
     return rows.where("nth = 1").select("container_id", "action_id", "technique", "pid", "severity", "description")
 
 
-def event_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every event against the rules by its own call and path, whatever the call is: container_id, serial, pid, technique, severity."""
+def event_matches(events: DataFrame, rules: DataFrame, globs: bool = False) -> DataFrame:
+    """Every event against the rules by its own call and path, whatever the call is: container_id, serial, pid, technique, severity.
+
+    globs: file patterns are real globs, of which the whole path must fit, instead of those that detections() knows.
+    """
     exe = F.col("exe") if "exe" in events.columns else F.lit(None).cast("string")
     subjects = named(events).select("container_id", "serial", "pid", "syscall_name", exe.alias("exe"), "comm", "path")
-    return matches(subjects, rules, touching(events.where("path is not null"), rules), "path").select("container_id", "serial", "pid", "technique", "severity").distinct()
+    return matches(subjects, rules, touching(events, rules, globs), "path").select("container_id", "serial", "pid", "technique", "severity").distinct()
 
 
 def by_severity(found: DataFrame) -> DataFrame:

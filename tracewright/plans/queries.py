@@ -339,6 +339,24 @@ register("event_rule_matches", "container_id serial pid technique severity", lam
   UNION ALL SELECT container_id, serial, pid, 'T1048', 2 FROM ev WHERE syscall = 40 UNION ALL SELECT container_id, serial, pid, 'T1053.003', 3 FROM ev WHERE syscall IN (257, 82) AND path = '/etc/crontab'
   UNION ALL SELECT container_id, serial, pid, 'T1098', 3 FROM ev WHERE syscall = 257 AND path = '/etc/passwd' UNION ALL SELECT container_id, serial, pid, 'T1620', 3 FROM ev WHERE syscall = 319
   UNION ALL SELECT container_id, serial, pid, 'T1222.002', 2 FROM ev WHERE syscall = 90 AND path LIKE '/etc/%'""")
+GLOB_PATHS = {4: "/home/a/.ssh/authorized_keys", 5: "/root/.ssh/id_rsa", 6: "/home/b/.mozilla/f1/logins.json", 7: "/srv/.ssh/known_hosts", 8: "/etc/shadow.d/x", 9: "/etc/shadowed"}
+
+
+def with_glob_paths(events: DataFrame) -> DataFrame:
+    """Events whose files of some numbers are such that only real globs tell what they are."""
+    path = F.col("path")
+    for k, name in GLOB_PATHS.items():
+        path = F.when(F.startswith(F.col("path"), F.lit("/data/")) & (F.col("k") == k), F.lit(name)).otherwise(path)
+    return events.withColumn("path", path)
+
+
+register("event_rule_globs", "container_id serial pid technique severity", lambda t: rules.event_matches(with_glob_paths(t.events), rules.rule_table(t.spark), globs=True),
+  """SELECT container_id, serial, pid, technique, severity FROM ev JOIN tools ON tool = comm WHERE syscall = 59 UNION ALL SELECT container_id, serial, pid, 'T1071', 1 FROM ev WHERE syscall = 42
+  UNION ALL SELECT container_id, serial, pid, 'T1048', 2 FROM ev WHERE syscall = 40 UNION ALL SELECT container_id, serial, pid, 'T1053.003', 3 FROM ev WHERE syscall IN (257, 82) AND path = '/etc/crontab'
+  UNION ALL SELECT container_id, serial, pid, 'T1098', 3 FROM ev WHERE syscall = 257 AND path = '/etc/passwd' UNION ALL SELECT container_id, serial, pid, 'T1620', 3 FROM ev WHERE syscall = 319
+  UNION ALL SELECT container_id, serial, pid, 'T1222.002', 2 FROM ev WHERE syscall = 90 AND (path LIKE '/etc/%' OR path LIKE '/data/%' AND k IN (8, 9))
+  UNION ALL SELECT container_id, serial, pid, 'T1098.004', 3 FROM ev WHERE syscall = 257 AND path LIKE '/data/%' AND k = 4 UNION ALL SELECT container_id, serial, pid, 'T1552.001', 3 FROM ev WHERE syscall = 257 AND path LIKE '/data/%' AND k IN (5, 7)
+  UNION ALL SELECT container_id, serial, pid, 'T1555', 3 FROM ev WHERE syscall = 257 AND path LIKE '/data/%' AND k = 6""")
 register("cross_container_edges", "experiment_id source target n_pids", lambda t: receipts.cross_container_edges(t.conns, t.owners, t.experiments, t.scores),
   """SELECT m.experiment_id, c.container_id AS source, o.container_id AS target, count(DISTINCT c.pid) AS n_pids FROM conns c JOIN owners o ON direction = 'connect' AND c.addr = o.ip || ':80' JOIN members m ON m.container_id = c.container_id
   JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id JOIN scores s ON s.container_id = c.container_id AND s.pid = c.pid AND s.score >= 0.1 WHERE c.container_id <> o.container_id GROUP BY 1, 2, 3""")
