@@ -195,6 +195,23 @@ def container_of(proc_cgroup: DataFrame, hops: int = 10) -> DataFrame:
     return out.select("pid", F.coalesce("container_id", only).alias("container_id"))
 
 
+def session_actions(events: DataFrame, gap_ms: int, width_ms: int = HOUR) -> DataFrame:
+    """container_id, action_id, command, start_ms, end_ms, n_events: actions by gaps, where nobody declares any.
+
+    An action goes on as long as its container's events follow each other within the gap; its command is that of its first event with one.
+    Sessions are made within time slots first, so that a busy container is spread over tasks; what meets over the slots' borders is then
+    joined, of which there is a row for each slot at least.
+    """
+    time, slot = F.timestamp_millis("ts_ms"), F.floor(F.col("ts_ms") / F.lit(width_ms))
+    first = F.min_by("cmdline", F.when(F.coalesce("cmdline", F.lit("")) != "", F.struct("ts_ms", "serial")))
+    told = F.min(F.when(F.coalesce("cmdline", F.lit("")) != "", F.struct("ts_ms", "serial")))
+    pieces = events.groupBy("container_id", slot.alias("slot"), F.session_window(time, f"{gap_ms} milliseconds")).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), first.alias("command"), told.alias("told"))
+    order = Window.partitionBy("container_id").orderBy("start_ms")
+    new = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) >= gap_ms, F.lit(True))
+    pieces = pieces.withColumn("new", new.cast("long")).withColumn("action_id", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy("container_id", "action_id").agg(F.min_by("command", "told").alias("command"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n_events"))
+
+
 def ip_owner(claims: DataFrame) -> DataFrame:
     """ip, container_id: an explicit claim wins, the latest of them; else the first seen."""
     order = F.struct(F.when(F.col("explicit"), 0).otherwise(1), F.when(F.col("explicit"), -F.col("ts_ms")).otherwise(F.col("ts_ms")), "container_id")

@@ -210,6 +210,42 @@ def propagate(scores: DataFrame, direct: DataFrame, hubs: DataFrame | None = Non
     return now
 
 
+def reached_by(scores: DataFrame, at: DataFrame, direct: DataFrame, hubs: DataFrame, rounds: int = 30) -> DataFrame:
+    """container_id, pid, action_id, score: every action whose taint reaches a process with a score that counts, and the largest that does.
+
+    An action's taint starts from the scores (container_id, pid, score) of its own processes (at: container_id, pid, action_id) and is
+    decayed along every edge on the way. Actions spread side by side, each with a best pair of its own in a hub, so a process may
+    be reached by many. A round takes up what the last one has raised, and is stashed; only rows that count are kept.
+    """
+    if max(schema.DECAY.values()) ** rounds >= schema.TAINTED:
+        raise ValueError("scores would still spread after so many rounds")
+    key, hub = ["container_id", "action_id"], ["container_id", "channel_type", "hub"]
+    links = stash(direct.groupBy("container_id", F.col("src").alias("pid"), "dst").agg(F.max(decays(F.col("channel_type"))).alias("decay")), "links")
+    sides = [stash(hubs.where(F.col("side") == s).select(*hub, "pid"), f"hubs-{s}") for s in ("in", "out")]
+    start = scores.join(at.where("action_id > 0").select(*key, "pid"), ["container_id", "pid"]).where(F.col("score") >= schema.TAINTED)
+    now = stash(start.select(*key, "pid", "score", F.lit(True).alias("up")), "reached")
+    for _ in range(rounds):
+        raised = now.where("up").drop("up")
+        got = raised.join(links, ["container_id", "pid"]).select(*key, F.col("dst").alias("pid"), (F.col("score") * F.col("decay")).alias("score"))
+        # hubs that the raised ones reach, with all that comes into them
+        came = raised.join(sides[0], ["container_id", "pid"]).select("action_id", *hub).distinct()
+        both = came.join(sides[0], hub).join(now.drop("up"), [*key, "pid"])
+        nth = F.row_number().over(Window.partitionBy("action_id", *hub).orderBy(F.col("score").desc(), "pid"))
+        top = both.withColumn("nth", nth).where("nth <= 2").select("action_id", *hub, F.col("pid").alias("by"), "score")
+        got = got.unionByName(top.join(sides[1], hub).where("pid <> by").select(*key, "pid", (F.col("score") * decays(F.col("channel_type"))).alias("score")))
+        got = got.where(F.col("score") >= schema.TAINTED).withColumn("old", F.lit(None).cast("double"))
+        rows = now.select(*key, "pid", "score", F.col("score").alias("old")).unionByName(got).groupBy(*key, "pid").agg(F.max("score").alias("score"), F.max("old").alias("old"))
+        up = F.coalesce(F.col("score") > F.col("old") + 1e-9, F.lit(True))
+        new = stash(rows.select(*key, "pid", F.when(up, F.col("score")).otherwise(F.col("old")).alias("score"), up.alias("up")), "reached")
+        discard(now)
+        now = new
+        if now.where("up").isEmpty():
+            break
+    for old in (links, *sides):
+        discard(old)
+    return now.select("container_id", "pid", "action_id", "score")
+
+
 def components(nodes: DataFrame, links: DataFrame, key: Sequence[str] = CONTAINER) -> DataFrame:
     """key, pid, community: the smallest pid that can be reached over links (key, src, dst). Labels spread and jump."""
     both = links.select(*key, "src", "dst").union(links.select(*key, "dst", "src")).distinct()

@@ -117,6 +117,39 @@ def experiment_action(diff: DataFrame, experiments: DataFrame) -> DataFrame:
     return diff.join(members, "container_id").groupBy("experiment_id", "action_id", "verb").agg(F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n"))
 
 
+def experiment_receipt(experiments: DataFrame, actions: DataFrame, ops: DataFrame, procs: DataFrame, conns: DataFrame, pids: DataFrame, owners: DataFrame) -> DataFrame:
+    """experiment_id, section, container_id, nth, line: the whole receipt of each experiment, a row for a line.
+
+    Sections: 0 header, 1 containers with their actions that have events, 2 connections between containers of the experiment, 3 network of
+    each container's processes in actions. Lines are numbered within a section and container; container_id is empty in the header.
+    """
+    members = experiments.select("experiment_id", F.explode("container_ids").alias("container_id")).distinct()
+    short, one = F.left("container_id", F.lit(12)), F.lit(1)
+    part = lambda df, section, at, line: df.select("experiment_id", F.lit(section).alias("section"), "container_id", at.cast("long").alias("at"), line.alias("line"))
+    head = experiments.withColumn("container_id", F.lit(""))
+    n_ops = ops.groupBy("container_id", "action_id").agg(F.count("*").alias("n"))
+    listed = actions.where("end_ms is not null").join(n_ops, ["container_id", "action_id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    totals = listed.groupBy("container_id").agg(F.count("*").alias("n_actions"), F.sum("n").alias("n_events"))
+    known = members.join(procs.groupBy("container_id").agg(F.count("*").alias("n_processes")), "container_id").join(totals, "container_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    told = members.join(listed.where("action_id > 0 and n > 0"), "container_id")
+    labels = procs.select("container_id", "pid", X.process_label(F.col("comm"), F.col("pid")).alias("label"))
+    named = conns.where("direction = 'connect'").join(labels, ["container_id", "pid"]).withColumn("ip", X.address_ip(F.col("addr"))).join(owners.select("ip", F.col("container_id").alias("owner")), "ip", "left")
+    named = members.join(named, "container_id")
+    over = named.where("owner <> container_id").join(members.select("experiment_id", F.col("container_id").alias("owner")), ["experiment_id", "owner"], "left_semi")
+    own = named.join(pids.select("container_id", "pid").distinct(), ["container_id", "pid"], "left_semi")
+    text = F.concat
+    rows = [
+        part(head, 0, F.lit(0), text(F.lit("=== Experiment Receipt: "), "name", F.lit(" ==="))), part(head, 0, one, text(F.lit("Containers: "), F.size("container_ids"))),
+        part(known, 1, F.lit(-2), text(F.lit("Container "), short)), part(known, 1, F.lit(-1), text(zero("n_actions"), F.lit(" actions, "), "n_processes", F.lit(" processes, "), zero("n_events"), F.lit(" events"))),
+        part(told, 1, F.col("action_id"), text(F.lit("Action #"), "action_id", F.lit(": "), F.coalesce("command", F.lit("")), F.lit(" ("), "n", F.lit(" events)"))),
+        part(over, 2, one, text("label", F.lit(" ["), short, F.lit("] -> "), "addr", F.lit(" ["), F.left("owner", F.lit(12)), F.lit("]"))).distinct(),
+        part(own, 3, one, text("label", F.lit(" ["), short, F.lit("] connects "), "addr", F.coalesce(text(F.lit(" ("), "owner", F.lit(")")), F.lit("")))),
+    ]
+    nth = F.row_number().over(Window.partitionBy("experiment_id", "section", "container_id").orderBy("at", "line"))
+    return reduce(DataFrame.unionByName, rows).withColumn("nth", nth).select("experiment_id", "section", "container_id", "nth", "line")
+
+
 def shown_communities(groups: DataFrame, most: int = 3) -> DataFrame:
     """container_id, shown, hidden_processes: how many groups of more than so many members there are, and the processes of the rest."""
     return groups.groupBy("container_id").agg(F.count_if(F.col("size") > most).alias("shown"), F.coalesce(F.sum(F.when(F.col("size") <= most, F.col("size"))), F.lit(0)).alias("hidden_processes"))

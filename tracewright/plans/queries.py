@@ -36,6 +36,9 @@ def events_of(t: Tables) -> DataFrame:
     return rows if t.until is None else rows.where(F.col("ts_ms") <= t.until)
 
 
+#: Silence after which a container's next event begins an action of its own.
+SESSION_GAP_MS = 1_800_000
+
 SHARED = {"events", "procs", "attributed", "routed", "ops", "files", "queues", "hubs", "forks", "pids", "conns", "opened", "scores", "action_flows", "found", "diff", "groups_of_actions"}
 
 MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -59,6 +62,7 @@ MAKERS: dict[str, Callable[[Tables], DataFrame]] = {
     "edges": lambda t: graph.edges(t.forks, t.hubs),
     "initial": lambda t: graph.initial_scores(t.procs, t.attributed),
     "scores": lambda t: graph.propagate(t.initial, t.forks, t.hubs),
+    "sessions": lambda t: enrich.session_actions(t.events, SESSION_GAP_MS),
     "members": lambda t: graph.community_members(t.procs, t.forks, t.hubs),
     "groups": lambda t: graph.communities(t.procs, t.members, t.scores),
     "flows": lambda t: receipts.cross_action_flows(t.files, t.pids),
@@ -137,6 +141,9 @@ CTE = {
     "ipcflow": """SELECT s.container_id, s.pid AS src, r.pid AS dst, 'mqueue' AS channel_type, min(s.channel) AS channel, count(*) AS event_count
   FROM (SELECT DISTINCT container_id, channel, pid FROM queues WHERE role = 'sender') s JOIN (SELECT DISTINCT container_id, channel, pid FROM queues WHERE role = 'receiver') r
     ON s.container_id = r.container_id AND s.channel = r.channel AND s.pid <> r.pid GROUP BY 1, 2, 3""",
+    "gaps": f"SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY container_id ORDER BY ts_ms, serial) < {SESSION_GAP_MS} AS goes_on FROM ev",
+    "numbers": "SELECT *, CAST(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY container_id ORDER BY ts_ms, serial ROWS UNBOUNDED PRECEDING) AS BIGINT) AS action_id FROM gaps",
+    "sessions": "SELECT container_id, action_id, arg_min(cmdline, (ts_ms, serial)) FILTER (cmdline <> '') AS command, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n_events FROM numbers GROUP BY 1, 2",
     "hubs": """SELECT container_id, 'file' AS channel_type, path AS hub, CASE role WHEN 'writer' THEN 'in' ELSE 'out' END AS side, pid, min(first_ms) AS seen_ms FROM files f
   WHERE role IN ('writer', 'reader', 'executor') AND NOT (path LIKE '/proc/%' OR path LIKE '/usr/lib/%' OR contains(path, '.so'))
     AND (role = 'writer' OR NOT EXISTS (SELECT 1 FROM files x WHERE x.role = 'writer' AND x.container_id = f.container_id AND x.path = f.path AND x.pid = f.pid)) GROUP BY ALL
@@ -154,6 +161,9 @@ CTE = {
     FROM s JOIN forks k ON k.container_id = s.container_id AND k.src = s.pid JOIN attributed a ON a.container_id = k.container_id AND a.pid = k.dst)
   SELECT * FROM s""",
     "links": "SELECT container_id, src, dst, max(CASE channel_type WHEN 'fork' THEN 0.9::DOUBLE WHEN 'file' THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END) AS decay FROM edges GROUP BY 1, 2, 3",
+    "reached": """WITH RECURSIVE s AS (SELECT i.container_id, action_id, i.pid, score, 0 AS d FROM initial i JOIN attributed a ON a.container_id = i.container_id AND a.pid = i.pid AND action_id > 0
+    UNION SELECT l.container_id, action_id, l.dst, max(s.score * l.decay), s.d + 1 FROM s JOIN links l ON l.container_id = s.container_id AND l.src = s.pid WHERE s.score >= 0.1 AND s.d < 24 GROUP BY 1, 2, 3, 5)
+  SELECT * FROM s""",
     "scores": """WITH RECURSIVE s AS (SELECT container_id, pid, score, 0 AS d FROM initial
     UNION SELECT l.container_id, l.dst, max(s.score * l.decay), s.d + 1 FROM s JOIN links l ON l.container_id = s.container_id AND l.src = s.pid WHERE s.score >= 0.1 AND s.d < 24 GROUP BY 1, 2, 4)
   SELECT i.container_id, i.pid, max(s.score) AS score, any_value(i.score) AS initial FROM initial i JOIN s ON s.container_id = i.container_id AND s.pid = i.pid GROUP BY 1, 2""",
@@ -365,6 +375,18 @@ register("experiment_action_receipt", "experiment_id action_id verb n_containers
 register("community_display", "container_id shown hidden_processes", lambda t: receipts.shown_communities(t.groups), "SELECT container_id, count(*) FILTER (size > 3) AS shown, CAST(coalesce(sum(size) FILTER (size <= 3), 0) AS BIGINT) AS hidden_processes FROM groups GROUP BY 1")
 register("ip_ownership", "ip container_id", lambda t: enrich.ip_owner(t.events.where("addr is not null").select(F.substring_index("addr", ":", 1).alias("ip"), "container_id", (F.col("serial") % 7 == 0).alias("explicit"), "ts_ms")),
   "SELECT ip, container_id FROM (SELECT split_part(addr, ':', 1) AS ip, container_id, row_number() OVER (PARTITION BY split_part(addr, ':', 1) ORDER BY CASE WHEN serial % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN serial % 7 = 0 THEN -ts_ms ELSE ts_ms END, container_id) AS nth FROM ev WHERE addr IS NOT NULL) WHERE nth = 1")
+register("session_actions", "container_id action_id command start_ms end_ms n_events", lambda t: t.sessions, "SELECT container_id, action_id, command, start_ms, end_ms, n_events FROM sessions")
+register("reached_by_actions", "container_id pid action_id score", lambda t: graph.reached_by(t.initial, t.attributed, t.forks, t.hubs).withColumn("score", F.round("score", 9)), "SELECT container_id, pid, action_id, round(max(score), 9) AS score FROM reached WHERE score >= 0.1 GROUP BY 1, 2, 3")
+register("experiment_receipt", "experiment_id section container_id nth line", lambda t: receipts.experiment_receipt(t.experiments, t.actions, t.ops, t.procs, t.conns, t.pids, t.owners),
+  """SELECT experiment_id, section, container_id, CAST(row_number() OVER (PARTITION BY experiment_id, section, container_id ORDER BY a, line) AS INT) AS nth, line FROM (
+  SELECT DISTINCT experiment_id, 0 AS section, '' AS container_id, 0 AS a, '=== Experiment Receipt: ' || name || ' ===' AS line FROM members UNION ALL SELECT experiment_id, 0, '', 1, 'Containers: ' || count(*) FROM members GROUP BY 1
+  UNION ALL SELECT experiment_id, 1, container_id, -2, 'Container ' || container_id FROM members WHERE container_id IN (SELECT container_id FROM procs)
+  UNION ALL SELECT experiment_id, 1, m.container_id, -1, '30 actions, ' || (SELECT count(*) FROM procs p WHERE p.container_id = m.container_id) || ' processes, ' || (SELECT count(*) FROM ops o WHERE o.container_id = m.container_id AND action_id > 0) || ' events' FROM members m WHERE container_id IN (SELECT container_id FROM procs)
+  UNION ALL SELECT experiment_id, 1, m.container_id, action_id, 'Action #' || action_id || ': day ' || action_id || ' (' || count(*) || ' events)' FROM members m JOIN ops o ON o.container_id = m.container_id AND action_id > 0 GROUP BY 1, 3, 4
+  UNION ALL SELECT DISTINCT m.experiment_id, 2, c.container_id, 1, p.comm || ':' || p.pid || ' [' || c.container_id || '] -> ' || addr || ' [' || o.container_id || ']' FROM conns c JOIN procs p ON p.container_id = c.container_id AND p.pid = c.pid
+    JOIN owners o ON direction = 'connect' AND c.addr = o.ip || ':80' JOIN members m ON m.container_id = c.container_id JOIN members n ON n.container_id = o.container_id AND n.experiment_id = m.experiment_id WHERE c.container_id <> o.container_id
+  UNION ALL SELECT m.experiment_id, 3, c.container_id, 1, p.comm || ':' || p.pid || ' [' || c.container_id || '] connects ' || addr || coalesce(' (' || o.container_id || ')', '') FROM conns c JOIN procs p ON p.container_id = c.container_id AND p.pid = c.pid
+    LEFT JOIN owners o ON split_part(c.addr, ':', 1) = o.ip JOIN members m ON m.container_id = c.container_id WHERE direction = 'connect' AND EXISTS (SELECT 1 FROM pids q WHERE q.container_id = c.container_id AND q.pid = c.pid))""")
 register("turn_boundaries", "container_id action_id start_ms end_ms", lambda t: enrich.pair_boundaries(t.spark.read.parquet(f"{t.sf_dir}/conversations.parquet").selectExpr("cast(conv_id as string) as container_id", "turn as ts_ms", "case when role = 'user' then 'start' else 'end' end as kind", "text as command")),
   """SELECT container_id, CAST(row_number() OVER (PARTITION BY container_id ORDER BY start_ms) AS BIGINT) AS action_id, start_ms, end_ms FROM (SELECT CAST(conv_id AS VARCHAR) AS container_id, turn AS start_ms, role,
   CASE WHEN lead(role) OVER w <> 'user' THEN lead(turn) OVER w END AS end_ms FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, CASE WHEN role = 'user' THEN 'start' ELSE 'end' END)) WHERE role = 'user'""")
@@ -387,8 +409,8 @@ def removed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.container_status(left["procs"], graph.edge_counts(left["forks"], left["hubs"]), left["actions"])
 
 
-register("legend", "container_id action_id command colour", lambda t: views.legend(t.actions),
-  f"SELECT container_id, action_id, command, {[fill for fill, _ in schema.ACTION_COLOURS]}[(action_id - 1) % 20 + 1] AS colour FROM actions")
+register("legend", "container_id action_id command colour", lambda t: views.legend(t.sessions),
+  f"SELECT container_id, action_id, left(command, 30) AS command, {[fill for fill, _ in schema.ACTION_COLOURS]}[(action_id - 1) % 20 + 1] AS colour FROM sessions")
 register("experiment_graph", "experiment_id kind container_id source target label",
   lambda t: views.experiment_graph(t.experiments, t.nodes, t.drawn, views.data_edges(t.files, t.shown), t.conns, t.owners, t.scores),
   """SELECT DISTINCT m.experiment_id, kind, m.container_id, source, target, label FROM (
