@@ -49,6 +49,25 @@ def test_descriptors_forget_at_exit(staged):
     assert {r.label for r in facts.kernel_transfers(staged[0]).collect()} == {"(kernel:sendfile)"}
 
 
+def test_descriptors_of_one_long_session(spark):
+    """A process of many calls is cut into slices, and each slice knows what the ones before meant."""
+    rng = np.random.default_rng(6)
+    calls = [(int(rng.choice([257, 42, 0, 1, 40, 231], p=[0.2, 0.1, 0.3, 0.2, 0.17, 0.03])), int(rng.integers(3, 8)), int(rng.integers(3, 8)), int(t)) for t in np.sort(rng.integers(0, 50 * 3_600_000, 3000))]
+    rows = [(i, t, "a", 5 + (i % 9 == 0), 1, c, 0, fd, "x", f"/f{i}" if c == 257 else None, f"1.1.1.1:{i}" if c == 42 else None, None, None, other) for i, (c, fd, other, t) in enumerate(calls)]
+    events = spark.createDataFrame(rows, EVENT + ", dst_fd long").repartition(5)
+    meant, want, moved = {}, {}, {}
+    for i, t, _, pid, _, c, _, fd, _, path, addr, _, _, dst in rows:
+        want[i] = meant.get((pid, fd))
+        if c == 40:
+            moved[i] = (want[i], meant.get((pid, dst)))
+        if c == 231:
+            meant = {k: v for k, v in meant.items() if k[0] != pid}
+        elif c in (257, 42):
+            meant[pid, fd] = path or f"net:{addr}"
+    assert {r.serial: r.fd_target for r in enrich.fd_targets(events).collect()} == want
+    assert {r.serial: (r.source, r.target) for r in facts.kernel_transfers(events).collect()} == moved
+
+
 def test_cross_action_flow_and_detections(spark, staged):
     events, actions = staged
     timed = enrich.action_at_time(events, actions)
@@ -169,6 +188,10 @@ def test_containers_of_processes(spark):
     assert {r.pid: r.container_id for r in enrich.container_of(table).collect()} == {5: "0123456789ab", 6: "0123456789ab", 7: "0123456789ab", 8: None, 9: "fedcba987654", 10: "fedcba987654"}
     # with a single container, all others are its own
     assert {r.pid: r.container_id for r in enrich.container_of(table.where("pid in (5, 8)")).collect()} == dict.fromkeys((5, 8), "0123456789ab")
+    # ten hops and no more; pids of another host are others
+    chain = spark.createDataFrame([(h, i, i - 1, f"0::/docker/{h * 12}" if i == 1 else "0::/") for h in "ab" for i in range(1, 14)] + [("b", 50, 1, "0::/docker/cccccccccccc"), ("a", 50, 1, "0::/docker/dddddddddddd")], "host string, pid int, ppid int, line string")
+    got = {(r.host, r.pid): r.container_id for r in enrich.container_of(chain).collect()}
+    assert [got["a", i] for i in (1, 2, 11, 12, 13)] == ["a" * 12] * 3 + [None] * 2 and [got["b", i] for i in (7, 12, 50)] == ["b" * 12, None, "c" * 12]
 
 
 def test_policy_and_paths(spark):
@@ -319,7 +342,7 @@ def test_boundaries_and_owners(spark):
 
 ORACLES = [
     "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
-    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "event_rule_matches", "event_rule_globs", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
+    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "event_rule_matches", "event_rule_globs", "session_actions", "legend", "experiment_receipt", "reached_by_actions", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
 ]
 
 

@@ -140,26 +140,42 @@ def descriptor_sets(calls: DataFrame) -> Column:
     return sets.when(name.isin("connect", "bind"), F.concat(F.lit("net:"), "addr")).when(name.isin("mq_open", "msgget") & (F.col("fd") >= 0), F.concat(F.lit("mq:"), "channel"))
 
 
-def epochs(calls: DataFrame) -> DataFrame:
-    """calls with epoch: how often their process has exited before."""
-    life = Window.partitionBy("container_id", "pid").orderBy("ts_ms", "serial").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("epoch", F.coalesce(F.sum((F.col("syscall_name") == "exit_group").cast("int")).over(life), F.lit(0)))
+def last_before(rows: DataFrame, keys: list[str], order: list[str], width_ms: int = HOUR, **values: Column) -> DataFrame:
+    """rows with, under each name, the last of its non-null values among the key's rows before, in order of ts_ms and then of order.
 
-
-def descriptors(events: DataFrame, asks: dict[str, Column]) -> DataFrame:
+    Keys are cut into time slices: a slice is looked through by itself, and gets the last value of the slices before it, of which
+    there is a row each. So one key of many rows is spread over tasks.
+    """
+    cut, place = [*keys, "slice"], F.struct("ts_ms", *order)
+    rows = rows.withColumns({"slice": F.floor(F.col("ts_ms") / F.lit(width_ms)), **{f"{n}_value": v for n, v in values.items()}})
+    lasts = rows.groupBy(*cut).agg(*[F.max_by(f"{n}_value", F.when(F.col(f"{n}_value").isNotNull(), place)).alias(n) for n in values])
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*cut, *[F.last(n, True).over(earlier).alias(f"{n}_carried") for n in values])
+    here = Window.partitionBy(*cut).orderBy("ts_ms", *order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"{n}_here": F.last(f"{n}_value", True).over(here) for n in values})
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in cut]
+    out = out.alias("a").join(carried.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", *[F.col(f"b.{n}_carried") for n in values])
+    return out.withColumns({n: F.coalesce(f"{n}_here", f"{n}_carried") for n in values}).drop("slice", *[f"{n}_{x}" for n in values for x in ("value", "here", "carried")])
+
+
+def descriptors(events: DataFrame, asks: dict[str, Column], width_ms: int = HOUR) -> DataFrame:
     """container_id, serial and, for each ask (name: a column with the descriptor, null where none is asked for), what it meant before the event.
 
-    Only calls that give a descriptor its meaning and those that ask take part.
+    Only calls that give a descriptor its meaning, those that ask, and exits take part. A meaning counts if its process hasn't exited since.
     """
-    calls = epochs(named(events))
-    keys = ["container_id", "pid", "epoch", "ts_ms", "serial"]
+    calls = named(events)
+    keys = ["container_id", "pid", "ts_ms", "serial"]
+    at = F.struct("ts_ms", "serial")
+    exits = calls.where("syscall_name = 'exit_group'").select(*keys, F.lit(None).cast("long").alias("of"), F.lit(None).cast("string").alias("sets"), F.lit(None).cast("string").alias("ask"))
     sets = calls.withColumn("sets", descriptor_sets(calls)).where("sets is not null").select(*keys, F.col("fd").cast("long").alias("of"), "sets", F.lit("~").alias("ask"))
     wanted = F.filter(F.array(*[F.struct(fd.cast("long").alias("of"), F.lit(name).alias("ask")) for name, fd in asks.items()]), lambda a: a["of"].isNotNull())
     asking = calls.select(*keys, F.inline(wanted)).select(*keys, "of", F.lit(None).cast("string").alias("sets"), "ask")
     # a call asks before it sets
-    before = Window.partitionBy("container_id", "pid", "epoch", "of").orderBy("ts_ms", "serial", F.col("sets").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = sets.unionByName(asking).withColumn("target", F.last("sets", True).over(before)).where("ask <> '~'")
-    return found.groupBy("container_id", "serial").agg(*[F.max(F.when(F.col("ask") == name, F.col("target"))).alias(name) for name in asks])
+    rows = sets.unionByName(asking).withColumn("asked", F.col("sets").isNull())
+    told = last_before(rows.withColumn("later", ~F.col("asked")), ["container_id", "pid", "of"], ["serial", "later"], width_ms, meant=F.when(F.col("sets").isNotNull(), F.struct(at.alias("at"), "sets"))).where("asked").drop("asked", "later")
+    ended = last_before(told.unionByName(exits.withColumn("meant", F.lit(None).cast(told.schema["meant"].dataType))), ["container_id", "pid"], ["serial"], width_ms, gone=F.when(F.col("ask").isNull(), at)).where("ask is not null")
+    target = F.when(F.col("gone").isNull() | (F.col("meant.at") > F.col("gone")), F.col("meant.sets"))
+    return ended.groupBy("container_id", "serial").agg(*[F.max(F.when(F.col("ask") == name, target)).alias(name) for name in asks])
 
 
 def with_channels(events: DataFrame) -> DataFrame:
@@ -169,30 +185,44 @@ def with_channels(events: DataFrame) -> DataFrame:
     return events.join(found, ["container_id", "serial"], "left").withColumn("channel", F.coalesce(F.nullif("channel", F.lit("")), "meant")).drop("meant")
 
 
-def fd_targets(events: DataFrame) -> DataFrame:
+def fd_targets(events: DataFrame, width_ms: int = HOUR) -> DataFrame:
     """Events with fd_target: what their descriptor last meant before them, since their process last exited.
 
     Opens that succeeded and connects or binds give a descriptor its meaning.
     """
-    calls = epochs(named(events))
-    before = Window.partitionBy("container_id", "pid", "epoch", "fd").orderBy("ts_ms", "serial").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("sets", descriptor_sets(calls)).withColumn("fd_target", F.last("sets", True).over(before)).drop("sets")
+    calls = named(events)
+    at = F.struct("ts_ms", "serial")
+    sets = descriptor_sets(calls)
+    rows = last_before(calls, ["container_id", "pid", "fd"], ["serial"], width_ms, meant=F.when(sets.isNotNull(), F.struct(at.alias("at"), sets.alias("sets"))))
+    rows = last_before(rows, ["container_id", "pid"], ["serial"], width_ms, gone=F.when(F.col("syscall_name") == "exit_group", at))
+    return rows.withColumn("fd_target", F.when(F.col("gone").isNull() | (F.col("meant.at") > F.col("gone")), F.col("meant.sets"))).drop("meant", "gone")
 
 
 def container_of(proc_cgroup: DataFrame, hops: int = 10) -> DataFrame:
-    """pid, container_id out of (pid, ppid, line) of cgroup texts: a process's own, or else its nearest ancestor's, or else the only one there is."""
+    """pid, container_id out of (pid, ppid, line) of cgroup texts, and host where there is one: a process's own, or else its nearest
+    ancestor's within so many hops, or else the only one that its host has.
+
+    Ancestors are found by doubling: each round looks as far up as all rounds before together. Processes of different hosts don't meet.
+    """
     line = F.col("line")
     patterns = [r"docker-([0-9a-f]{12,})\.scope", r"/docker/([0-9a-f]{12,})", r"cri-containerd-([0-9a-f]{12,})\.scope"]
     own = reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in patterns])
     own = F.when(~F.lower(line).rlike("buildkit|buildx"), F.left(own, F.lit(12)))
-    now = proc_cgroup.groupBy("pid", "ppid").agg(F.min(own).alias("container_id"))
-    base = now.select(F.col("pid").alias("a_pid"), F.col("ppid").alias("a_ppid"), F.col("container_id").alias("a_id"))
-    out = now.withColumn("up", F.col("ppid"))
-    for _ in range(hops):
-        out = out.join(base, out["up"] == base["a_pid"], "left").select("pid", "ppid", F.coalesce("container_id", "a_id").alias("container_id"), F.col("a_ppid").alias("up"))
-    known = out.agg(F.count_distinct("container_id"), F.min("container_id")).first()
-    only = F.lit(known[1] if known[0] == 1 else None).cast("string")
-    return out.select("pid", F.coalesce("container_id", only).alias("container_id"))
+    host = F.col("host") if "host" in proc_cgroup.columns else F.lit("")
+    now = proc_cgroup.groupBy(host.alias("host"), "pid").agg(F.min("ppid").alias("up"), F.min(own).alias("id"))
+    now = stash(now.select("host", "pid", "up", F.lit(1).alias("far"), "id", F.when(F.col("id").isNotNull(), 0).alias("found")), "ancestors")
+    reach = 1
+    while reach <= hops:
+        above = now.select("host", F.col("pid").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("id").alias("theirs"), (F.col("found")).alias("beyond"))
+        rows = now.join(above, ["host", "up"], "left")
+        id_, found = F.coalesce("id", "theirs"), F.coalesce("found", F.col("far") + F.col("beyond"))
+        new = stash(rows.select("host", "pid", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), id_.alias("id"), found.alias("found")), "ancestors")
+        discard(now)
+        now, reach = new, reach * 2
+    rows = now.select("host", "pid", F.when(F.col("found") <= hops, F.col("id")).alias("id"))
+    only = rows.groupBy("host").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"))
+    out = rows.join(only, "host").select("host", "pid", F.coalesce("id", F.when(F.col("n") == 1, F.col("only"))).alias("container_id"))
+    return out if "host" in proc_cgroup.columns else out.drop("host")
 
 
 def session_actions(events: DataFrame, gap_ms: int, width_ms: int = HOUR) -> DataFrame:
