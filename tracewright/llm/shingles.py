@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,11 +132,21 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Sets:
     return Sets(np.concatenate(tokens or [np.zeros(0, U8)]), np.concatenate(n or [np.zeros(0, np.int64)]))
 
 
+def give_back() -> None:
+    """Returns free memory to the system: workers live on, and what one stage took would else be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    # where the C library has it
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, bytes_most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that none holds much more text than bytes_most, unless one row does; gives back what Arrow holds at the end."""
+    """Cuts batches so that none holds much more text than bytes_most, unless one row does; gives free memory back before and after."""
+    give_back()
     for b in batches:
         n = max(1, -(-b.column(column).nbytes // bytes_most))
         step = max(1, -(-b.num_rows // n))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
-    pa.default_memory_pool().release_unused()
+    give_back()
