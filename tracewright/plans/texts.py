@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import exprs as X
 from tracewright.operators import enrich, facts, graph
 from tracewright.plans import derived
+from tracewright.shared import stash
 from tracewright.sources import records
 from tracewright.streaming import stateful, stream
 
@@ -170,6 +171,21 @@ def stream_fd_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drained(stateful.fd_targets(stream_of(spark, sf_dir))).select("serial", "container_id", "pid", "fd", "fd_target")
 
 
+def marker_stream(spark: SparkSession) -> DataFrame:
+    """Starts and ends of the actions, as a stream of their own."""
+    ends = F.array(F.struct(F.col("start_ms").alias("ts_ms"), F.lit("start").alias("kind")), F.struct(F.col("end_ms").alias("ts_ms"), F.lit("end").alias("kind")))
+    marks = stash(derived.actions(spark).select("container_id", "action_id", F.inline(ends)), "marks")
+    return spark.readStream.schema(marks.schema).parquet(marks._stash_path)
+
+
+def stream_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the actions that a stream of markers declares; what still waits when both streams have ended is looked up as a batch."""
+    rows = stream.drained(stateful.timed(stream_of(spark, sf_dir), marker_stream(spark), derived.GAP_MS))
+    rest = derived.stashed(spark, sf_dir).join(rows.select("container_id", "serial"), ["container_id", "serial"], "left_anti")
+    late = enrich.action_at_time(rest, derived.actions(spark), derived.GAP_MS).select(rows.columns)
+    return rows.unionByName(late).select("serial", "container_id", "ts_ms", "action_id")
+
+
 def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges out of the running state of a stream: they are those of the whole table."""
     forks, hubs = stream.running_graph(stream_of(spark, sf_dir))
@@ -190,6 +206,6 @@ TEXT_QUERIES = {
     "command_functions": (command_functions, COMMANDS), "kernel_transfers": (kernel_transfers, TRANSFERS), "container_resolution": (container_resolution, RESOLUTION), "stream_counts": (stream_counts, COUNTS),
     "stream_processes": (stream_processes, "SELECT container_id, pid, first_seq, n_events, exited FROM procs"),
     "stream_attribution": (stream_attribution, "SELECT serial, container_id, action_id FROM timed"),
-    "stream_assemble_at_end": (stream_assemble_at_end, ROUNDTRIP), "stream_fd_resolution": (stream_fd_resolution, RESOLVED), "stream_edges": (stream_edges, EDGE_TIMES),
+    "stream_assemble_at_end": (stream_assemble_at_end, ROUNDTRIP), "stream_fd_resolution": (stream_fd_resolution, RESOLVED), "stream_edges": (stream_edges, EDGE_TIMES), "stream_timed": (stream_timed, "SELECT serial, container_id, ts_ms, action_id FROM timed"),
     "stream_assemble": (stream_assemble, ROUNDTRIP), "parsed_transfers": (parsed_transfers, PARSED_TRANSFERS),
 }

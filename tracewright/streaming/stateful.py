@@ -5,6 +5,7 @@ State is kept in RocksDB, by key; both processors read a key's state once for ea
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -168,3 +169,80 @@ def looked_up(events: DataFrame) -> DataFrame:
     is_file = ~F.startswith("source", F.lit("net:")) & ~F.startswith("source", F.lit("mq:"))
     moved = F.col("syscall").isin([k for k, v in schema.SYSCALLS.items() if v in schema.OPS["transfer", "Read"].split()])
     return rows.withColumn("source", F.when(moved & is_file, F.col("source")))
+
+
+class Attribution(StatefulProcessor):
+    """Events of a time slot until all markers that bear on it have come; then each gets the action of its time."""
+
+    def __init__(self, gap_ms: int, width_ms: int):
+        self.gap_ms, self.width_ms = gap_ms, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "serial bigint, ts_ms bigint")
+        self.marks = handle.getListState("marks", "ts_ms bigint, starts boolean, action_id bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        events, marks = [], []
+        for r in rows:
+            if r.starts is None:
+                events.append((r.serial, r.ts_ms))
+            else:
+                marks.append((r.ts_ms, r.starts, r.action_id))
+        fresh = not self.events.exists() and not self.marks.exists()
+        if events:
+            self.events.appendList(events)
+        if marks:
+            self.marks.appendList(marks)
+        if fresh:
+            self.handle.registerTimer((key[1] + 1) * self.width_ms + self.gap_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        marks = [tuple(m) for m in self.marks.get()] if self.marks.exists() else []
+        events = [tuple(e) for e in self.events.get()] if self.events.exists() else []
+        starts = sorted((ts, action) for ts, is_start, action in marks if is_start)
+        ends: dict[int, int] = {}
+        for ts, is_start, action in marks:
+            if not is_start:
+                ends[action] = max(ts, ends.get(action, ts))
+        times = [ts for ts, _ in starts]
+        open_ = [(ts, action) for ts, action in starts if action not in ends]
+        for serial, ts in events:
+            yield Row(container_id=key[0], serial=serial, ts_ms=ts, action_id=self.action_at(ts, starts, times, ends, open_))
+        self.events.clear()
+        self.marks.clear()
+
+    def action_at(self, ts: int, starts: list, times: list, ends: dict, open_: list) -> int:
+        """The action whose interval holds ts (the latest), else the latest that is open, else the next one if it starts within the gap, else 0."""
+        k = bisect_right(times, ts)
+        inside = [action for _, action in starts[:k] if ts <= ends.get(action, ts)]
+        if inside:
+            return inside[-1]
+        before = [action for start, action in open_ if start <= ts]
+        if before:
+            return before[-1]
+        k = bisect_left(times, ts + 1)
+        return starts[k][1] if k < len(starts) and starts[k][0] - ts < self.gap_ms else 0
+
+    def close(self) -> None:
+        pass
+
+
+def timed(events: DataFrame, marks: DataFrame, gap_ms: int = 2000, delay_ms: int = 0, longest_ms: int = 86_400_000, width_ms: int = 3_600_000, salts: int = 4) -> DataFrame:
+    """container_id, serial, ts_ms, action_id over a stream of events and one of markers (container_id, ts_ms, kind start or end, action_id).
+
+    Both streams have a watermark, delay_ms behind their latest row, and the one behind holds. Events wait in the state of their
+    container and time slot (a busy one's in several) until it has passed the slot and the gap after it: a marker counts wherever
+    it comes in either stream before that, so markers that come after their events still win. A start bears on slots up to longest_ms after it.
+    """
+    marked = lambda df: df.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", f"{delay_ms} milliseconds")
+    slot = lambda c: F.floor(c / F.lit(width_ms)).cast("long")
+    salt = F.pmod(F.xxhash64("serial"), F.lit(salts)).cast("int").alias("salt")
+    own = marked(events).select("container_id", slot(F.col("ts_ms")).alias("slot"), salt, "event_time", F.col("serial").cast("long").alias("serial"), "ts_ms", F.lit(None).cast("boolean").alias("starts"), F.lit(None).cast("long").alias("action_id"))
+    starts = F.col("kind") == "start"
+    first = F.when(starts, slot(F.col("ts_ms") - gap_ms)).otherwise(slot(F.col("ts_ms")))
+    told = marked(marks).withColumn("slot", F.explode(F.sequence(first, slot(F.col("ts_ms") + longest_ms)))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    told = told.select("container_id", "slot", "salt", "event_time", F.lit(None).cast("long").alias("serial"), "ts_ms", starts.alias("starts"), F.col("action_id").cast("long").alias("action_id"))
+    out = "container_id string, serial bigint, ts_ms bigint, action_id bigint"
+    return own.unionByName(told).groupBy("container_id", "slot", "salt").transformWithState(Attribution(gap_ms, width_ms), out, "Append", "EventTime")
