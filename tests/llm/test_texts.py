@@ -74,10 +74,15 @@ def test_token_files(spark, docs):
         at += len(ids)
     file = token_files.SequenceFile(index.first().file)
     (ids, mask), (more, _) = file.sequence(0), file.sequence(1)
-    assert len(ids) == len(mask) == 64 and mask.all() and mask.dtype == np.uint8
+    assert len(ids) == 64 and len(mask) == 8 and file.places(mask).all() and mask.dtype == np.uint8
     # views of one buffer each, the file's own
     assert not ids.flags.owndata and not mask.flags.owndata and more.__array_interface__["data"][0] == ids.__array_interface__["data"][0] + 128
     assert np.shares_memory(mask, file.mask) and np.shares_memory(ids, file.flat) and not ids.flags.writeable
+    # the last sequence of a file is padded, and its mask tells where
+    short = token_files.write(docs.where("doc_id = 5"), queries.vocabulary("byte_bpe_50k.json"), seq_len=12, parts=1)
+    used = sum(r.n_tokens for r in short.collect())
+    last = token_files.SequenceFile(short.first().file)
+    assert 0 < used < 24 and last.places(last.sequence((used - 1) // 12)[1]).tolist() == [i < (used - 1) % 12 + 1 for i in range(12)]
     wide = token_files.write(docs.limit(3), queries.vocabulary("byte_bpe_50k.json"), end_id=70_000, seq_len=8)
     assert {r.ids[-1] for r in token_files.read(token_files.placed(wide), with_ids=True).collect()} == {70_000}
     assert token_files.write(docs.limit(0), queries.vocabulary("byte_bpe_50k.json")).count() == 0

@@ -2,8 +2,8 @@
 
 ``write`` range-partitions documents by id, encodes each partition in id order and writes one Arrow
 file per partition: record batches of equal numbers of sequences, each a fixed-size list of ``seq_len``
-ids beside a fixed-size list of mask bytes (0: padding after the partition's last id, else 1). Batches are
-uncompressed, so a memory map gives any sequence and its mask without copying. The index, a Parquet table,
+ids beside a fixed-size list of mask bytes, eight places each, the first in the lowest bit (0: padding after the partition's
+last id, else 1; ``SequenceFile.places`` unpacks them). Batches are uncompressed, so a memory map gives any sequence and its mask without copying. The index, a Parquet table,
 has a row per document: file, place of its first id in that file, number of ids.
 
 A file's name holds the task attempt, and the index names the files of committed attempts only; what
@@ -36,7 +36,7 @@ BATCH_ROWS = 256
 
 
 def schema(seq_len: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), -(-seq_len // 8)))])
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -75,8 +75,8 @@ class SequenceWriter:
         rows = -(-self.used // self.seq_len)
         if rows:
             self.room[self.used : rows * self.seq_len] = 0
-            mask = (np.arange(rows * self.seq_len) < self.used).astype(np.uint8)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.seq_len) for v in (self.room[: rows * self.seq_len], mask)]
+            mask = np.packbits((np.arange(rows * self.seq_len) < self.used).reshape(rows, self.seq_len), axis=1, bitorder="little")
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n) for v, n in ((self.room[: rows * self.seq_len], self.seq_len), (mask, mask.shape[1]))]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.used = 0
 
@@ -104,10 +104,15 @@ class SequenceFile:
             self.at, (self.flat, self.mask) = k, (b.column(c).values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, both views of the file."""
+        """Ids and mask (a bit for each place) of sequence i, both views of the file."""
         self.batch(i // BATCH_ROWS)
         here = slice(i % BATCH_ROWS * self.seq_len, (i % BATCH_ROWS + 1) * self.seq_len)
-        return self.flat[here], self.mask[here]
+        n = -(-self.seq_len // 8)
+        return self.flat[here], self.mask[i % BATCH_ROWS * n : (i % BATCH_ROWS + 1) * n]
+
+    def places(self, mask: np.ndarray) -> np.ndarray:
+        """A mask as booleans, one for each place."""
+        return np.unpackbits(mask, count=self.seq_len, bitorder="little").astype(bool)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """The n ids from place start on."""
