@@ -311,6 +311,43 @@ def test_a_hot_file_makes_no_pairs(spark):
     assert graph.community_members(procs, forks, hubs).where("community <> pid").isEmpty()
 
 
+def test_scores_action_by_action(spark):
+    """A process born after its parent was raised starts from there, which one fixpoint over all time can't tell; each action has its changes."""
+    procs = spark.createDataFrame([("a", *r, f"p{r[0]}", None, None, False) for r in [(2, 1, 1, 50), (20, 1, 2, 60), (30, 1, 3, 70), (10, 1, 4, 1100), (11, 10, 5, 1150), (12, 11, 6, 1160), (21, 20, 7, 5100), (31, 30, 8, 5200), (32, 31, 9, 5300), (40, 2, 10, 9000)]], PROCS)
+    files = spark.createDataFrame([("a", "/d/f", "writer", 12, 1, 1, 1200), ("a", "/d/f", "reader", 20, 1, 2, 1300), ("a", "/d/g", "writer", 32, 2, 3, 5400), ("a", "/d/g", "reader", 10, 2, 4, 1400), ("a", "/d/h", "writer", 10, 1, 5, 1500), ("a", "/d/h", "reader", 2, 1, 6, 9100)], FILES)
+    queues = spark.createDataFrame([], QUEUES)
+    actions = spark.createDataFrame([("a", 1, "one", 1000, 2000), ("a", 2, "two", 5000, 6000)], ACTION)
+    forks = graph.fork_edges(procs)
+    got = {(r.epoch, r.pid): round(r.score, 9) for r in graph.taint_by_epoch(procs, forks, files, queues, actions, 100).collect()}
+    # 21 has 0.9 of what 20 was raised to; 31 and 32 come of a parent without a score; 2 gets its file after both, and 40 is born then, outside
+    assert got == {(1, 2): 0.0, (1, 20): 0.405, (1, 30): 0.0, (1, 10): 1.0, (1, 11): 0.9, (1, 12): 0.81, (2, 21): 0.3645, (2, 31): 1.0, (2, 32): 0.9, (3, 2): 0.5, (3, 40): 0.45}
+    at = enrich.attributed(procs, actions, 100)
+    once = graph.propagate(graph.initial_scores(procs, at), forks, graph.hub_links(files, queues))
+    assert {r.pid: round(r.score, 9) for r in once.where("pid in (21, 31, 32)").collect()} == {21: 0.3645, 31: 0.0, 32: 0.0}
+
+
+def test_actions_that_reach_a_process(spark):
+    """A daemon of the first action that takes files of two others has all three, as has what it hands on to, while scores count."""
+    files = spark.createDataFrame([("a", "/d/two", "writer", 20, 2, 1, 1), ("a", "/d/two", "reader", 10, 1, 2, 2), ("a", "/d/three", "writer", 30, 3, 3, 3), ("a", "/d/three", "reader", 10, 1, 4, 4), ("a", "/d/out", "writer", 10, 1, 5, 5), ("a", "/d/out", "reader", 40, 4, 6, 6), ("a", "/d/far", "writer", 40, 4, 7, 7), ("a", "/d/far", "reader", 50, 0, 8, 8)], FILES)
+    hubs = graph.hub_links(files, spark.createDataFrame([("a", "q", "sender", 50, 0, 9), ("a", "q", "receiver", 50, 0, 9), ("a", "q", "receiver", 60, 0, 9)], QUEUES))
+    scores = spark.createDataFrame([("a", p, 1.0 if p < 50 else 0.0) for p in (10, 20, 30, 40, 50, 60)], "container_id string, pid long, score double")
+    at = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("a", 30, 3), ("a", 40, 4), ("a", 50, 0), ("a", 60, 0)], "container_id string, pid long, action_id long")
+    none = spark.createDataFrame([], "container_id string, src long, dst long, channel_type string")
+    got = {}
+    for r in graph.reached_by(scores, at, none, hubs).collect():
+        got.setdefault(r.pid, {})[r.action_id] = round(r.score, 9)
+    assert got == {10: {1: 1.0, 2: 0.5, 3: 0.5}, 20: {2: 1.0}, 30: {3: 1.0}, 40: {4: 1.0, 1: 0.5, 2: 0.25, 3: 0.25}, 50: {4: 0.5, 1: 0.25, 2: 0.125, 3: 0.125}, 60: {4: 0.35, 1: 0.175}}
+
+
+def test_actions_by_gaps(spark):
+    """Sessions go on over the borders of time slots, and end where nobody does anything for the gap."""
+    hour = 3_600_000
+    times = [hour - 20, hour - 10, hour + 90, hour + 104, hour + 204, 5 * hour, 5 * hour + 99, 9 * hour]
+    rows = [(i, t, "a" if i != 7 else "b", None if i == 0 else f"c{i}") for i, t in enumerate(times)]
+    got = enrich.session_actions(spark.createDataFrame(rows, "serial long, ts_ms long, container_id string, cmdline string"), 100)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "c1", hour - 20, hour + 204, 5), ("a", 2, "c5", 5 * hour, 5 * hour + 99, 2), ("b", 1, "c7", 9 * hour, 9 * hour, 1)]
+
+
 def test_roots_of_a_long_chain(spark):
     """A chain of ten thousand is done in a logarithmic number of rounds; its scores are powers of the decay."""
     n, rounds = 10_000, []

@@ -237,7 +237,7 @@ def session_actions(events: DataFrame, gap_ms: int, width_ms: int = HOUR) -> Dat
     told = F.min(F.when(F.coalesce("cmdline", F.lit("")) != "", F.struct("ts_ms", "serial")))
     pieces = events.groupBy("container_id", slot.alias("slot"), F.session_window(time, f"{gap_ms} milliseconds")).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), first.alias("command"), told.alias("told"))
     order = Window.partitionBy("container_id").orderBy("start_ms")
-    new = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) >= gap_ms, F.lit(True))
+    new = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) > gap_ms, F.lit(True))
     pieces = pieces.withColumn("new", new.cast("long")).withColumn("action_id", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return pieces.groupBy("container_id", "action_id").agg(F.min_by("command", "told").alias("command"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n_events"))
 

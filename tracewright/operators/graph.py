@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.functions import exprs as X
+from tracewright.operators.enrich import action_at_time
 from tracewright.shared import discard, stash
 
 EDGE = ["container_id", "src", "dst", "channel_type", "channel", "event_count"]
@@ -246,6 +247,80 @@ def reached_by(scores: DataFrame, at: DataFrame, direct: DataFrame, hubs: DataFr
     return now.select("container_id", "pid", "action_id", "score")
 
 
+def epochs_of(rows: DataFrame, actions: DataFrame, ts: str) -> DataFrame:
+    """rows with epoch: the number of the container's first action that hasn't ended by ts, or of those there are and one more."""
+    order = Window.partitionBy("container_id").orderBy("start_ms")
+    ends = actions.select("container_id", F.row_number().over(order).cast("long").alias("action_id"), (F.coalesce(F.lag("end_ms").over(order), F.lit(-1).cast("long")) + 1).alias("start_ms"), "end_ms")
+    most = ends.groupBy("container_id").agg(F.max("action_id").alias("most"))
+    at = action_at_time(rows.withColumn("ts_ms", F.col(ts)), ends, 0) if ts != "ts_ms" else action_at_time(rows, ends, 0)
+    at = at.join(most, "container_id", "left")
+    out = at.withColumn("epoch", F.when(F.col("action_id") > 0, F.col("action_id")).otherwise(F.coalesce("most", F.lit(0).cast("long")) + 1))
+    return out.select(*rows.columns, "epoch")
+
+
+def births(procs: DataFrame, forks: DataFrame) -> DataFrame:
+    """container_id, pid, outer, grown, fresh of processes (container_id, pid, epoch, active): what its ancestors within the epoch make of a score at birth.
+
+    outer: the first ancestor of an earlier epoch, or null. A score x of it gives x * grown, if it isn't 0, else fresh. A child of a process
+    without a score has 1 within an action, else none; others have their parent's, decayed: such rules make one such rule together,
+    so ancestors are passed in a logarithmic number of rounds.
+    """
+    own = procs.select("container_id", "pid", "epoch", "active")
+    parent = own.select("container_id", F.col("pid").alias("src"), F.col("epoch").alias("before"))
+    up = forks.select("container_id", "src", F.col("dst").alias("pid")).join(parent, ["container_id", "src"])
+    rows = own.join(up, ["container_id", "pid"], "left").withColumn("inner", F.when(F.col("before") == F.col("epoch"), F.col("src")))
+    fresh = F.when(F.col("active"), F.lit(1.0)).otherwise(F.lit(0.0))
+    now = stash(rows.select("container_id", "pid", "inner", F.when(F.col("inner").isNull(), F.col("src")).alias("outer"), F.lit(schema.DECAY["fork"]).alias("grown"), fresh.alias("fresh")), "births")
+    while not now.where("inner is not null").isEmpty():
+        above = now.select("container_id", F.col("pid").alias("inner"), F.col("inner").alias("next"), F.col("outer").alias("beyond"), F.col("grown").alias("more"), F.col("fresh").alias("theirs"))
+        rows = now.join(above, ["container_id", "inner"], "left")
+        passed = F.col("inner").isNotNull()
+        new = stash(rows.select(
+            "container_id", "pid", F.when(passed, F.col("next")).alias("inner"), F.when(passed, F.col("beyond")).otherwise(F.col("outer")).alias("outer"), F.when(passed, F.col("grown") * F.col("more")).otherwise(F.col("grown")).alias("grown"),
+            F.when(passed & (F.col("theirs") > 0), F.col("grown") * F.col("theirs")).otherwise(F.col("fresh")).alias("fresh"),
+        ), "births")
+        discard(now)
+        now = new
+    return now.drop("inner")
+
+
+def taint_by_epoch(procs: DataFrame, forks: DataFrame, files: DataFrame, queues: DataFrame, actions: DataFrame, gap_ms: int = 2000) -> DataFrame:
+    """container_id, epoch, pid, score: what each action changes, when scores spread at its end over what has been seen by then.
+
+    Unlike the fixpoint over all time, a process that is born after its parent was raised starts from the raised score, and nothing
+    flows back in time: a file counts from the epoch of its access on. Rows are those of processes that the epoch brings or raises.
+    Epochs follow each other, as each begins with the scores of the one before; within one, work is as in propagate.
+    """
+    timed = epochs_of(procs.select("container_id", "pid", F.col("first_ts").alias("ts_ms"), "first_seq"), actions, "ts_ms")
+    active = action_at_time(timed, actions, gap_ms).withColumn("active", F.col("action_id") > 0)
+    first = procs.groupBy("container_id").agg(F.min_by("pid", "first_seq").alias("first_pid"))
+    known = active.join(first, "container_id").withColumn("active", F.col("active") & (F.col("pid") != F.col("first_pid")))
+    born = stash(births(known, forks).join(known.select("container_id", "pid", "epoch"), ["container_id", "pid"]), "born")
+    files = stash(epochs_of(files, actions, "first_ms"), "epoch-files")
+    queues = stash(epochs_of(queues, actions, "first_ms"), "epoch-queues")
+    lines = stash(forks.join(born.select("container_id", F.col("pid").alias("dst"), "epoch"), ["container_id", "dst"]), "epoch-forks")
+    scores, changes = None, []
+    # a number of actions, which follow each other by nature
+    for epoch in range(1, (born.agg(F.max("epoch")).first()[0] or 0) + 1):
+        new = born.where(F.col("epoch") == epoch)
+        if scores is None:
+            start = new.select("container_id", "pid", F.col("fresh").alias("score"))
+        else:
+            x = scores.select("container_id", F.col("pid").alias("outer"), F.col("score").alias("x"))
+            start = new.join(x, ["container_id", "outer"], "left").select("container_id", "pid", F.when(F.coalesce("x", F.lit(0.0)) > 0, F.col("x") * F.col("grown")).otherwise(F.col("fresh")).alias("score"))
+            start = start.unionByName(scores.select("container_id", "pid", "score"))
+        so_far = lambda df: df.where(F.col("epoch") <= epoch).drop("epoch")  # noqa: B023, E731
+        after = propagate(start, so_far(lines), stash(hub_links(so_far(files), so_far(queues)), "epoch-hubs"))
+        before = scores.select("container_id", "pid", F.col("score").alias("before")) if scores is not None else after.limit(0).select("container_id", "pid", F.col("score").alias("before"))
+        changed = after.join(before, ["container_id", "pid"], "left").where(F.col("before").isNull() | (F.col("score") > F.col("before")))
+        changes.append(changed.select("container_id", F.lit(epoch).cast("long").alias("epoch"), "pid", "score"))
+        scores = after
+    out = changes[0] if changes else procs.limit(0).select("container_id", F.lit(0).cast("long").alias("epoch"), "pid", F.lit(0.0).alias("score"))
+    for more in changes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def components(nodes: DataFrame, links: DataFrame, key: Sequence[str] = CONTAINER) -> DataFrame:
     """key, pid, community: the smallest pid that can be reached over links (key, src, dst). Labels spread and jump."""
     both = links.select(*key, "src", "dst").union(links.select(*key, "dst", "src")).distinct()
