@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import exprs as X
 from tracewright.operators import enrich, facts, graph, receipts, rules, views
 from tracewright.plans import queries
+from tracewright.shared import stash
 from tracewright.streaming import stream
 
 SF = "/root/testdata/sf0.001"
@@ -70,9 +71,9 @@ def test_descriptors_of_one_long_session(spark):
 
 def test_cross_action_flow_and_detections(spark, staged):
     events, actions = staged
-    timed = enrich.action_at_time(events, actions)
-    ops = facts.op_events(timed, "action_id")
-    access, procs, pids = facts.file_access(timed), enrich.processes(events), receipts.action_pids(ops)
+    timed = stash(enrich.action_at_time(events, actions), "timed")
+    ops = stash(facts.op_events(timed, "action_id"), "ops")
+    access, procs, pids = stash(facts.file_access(timed), "files"), stash(enrich.processes(events), "procs"), receipts.action_pids(ops)
     flows = [tuple(r) for r in receipts.cross_action_flows(access, pids).collect()]
     assert flows == [("a", 2, "/tmp/data.txt", 1, 10, 11)]
     assert [(r.src, r.dst, r.channel) for r in graph.file_flow_edges(access).collect()] == [(10, 11, "file:/tmp/data.txt")]
@@ -93,16 +94,16 @@ def test_facts_go_to_the_action_of_their_process(spark):
     ]
     events = spark.createDataFrame(rows, EVENT)
     actions = spark.createDataFrame([("a", 1, "one", 900, 2000), ("a", 2, "two", 5000, 6000)], ACTION)
-    procs = enrich.processes(events)
+    procs = stash(enrich.processes(events), "procs")
     assert {r.pid: r.exe for r in procs.collect()} == {20: None, 21: "/usr/bin/tar", 30: None, 40: None}
-    at = enrich.attributed(procs, actions)
-    routed = enrich.routed(events, at)
+    at = stash(enrich.attributed(procs, actions), "at")
+    routed = stash(enrich.routed(events, at), "routed")
     assert {r.serial: r.action_id for r in routed.collect()} == {1: 1, 2: 1, 3: 1, 6: 1, 4: 2, 5: 2, 7: 0}
     # processes that aren't known go by time
     lost = enrich.routed(events, at.where("pid <> 21"), actions)
     assert {r.serial: r.action_id for r in lost.collect()} == {1: 1, 2: 1, 3: 2, 6: 0, 4: 2, 5: 2, 7: 0}
-    ops, access = facts.op_events(routed, "action_id"), facts.file_access(routed)
-    pids = receipts.action_pids(ops)
+    ops, access = stash(facts.op_events(routed, "action_id"), "ops"), stash(facts.file_access(routed), "files")
+    pids = stash(receipts.action_pids(ops), "pids")
     flows = [tuple(r) for r in receipts.cross_action_flows(access, pids).collect()]
     assert flows == [("a", 2, "/srv/late.out", 1, 21, 30)]
     assert {(r.pid, r.first_action) for r in views.first_actions(procs, ops).collect()} == {(20, 1), (21, 1), (30, 2), (40, 0)}
@@ -110,11 +111,12 @@ def test_facts_go_to_the_action_of_their_process(spark):
     assert {(r.action_id, r.n_unique, r.n_forked, r.n_exited) for r in counts.collect()} == {(0, 1, 0, 0), (1, 2, 0, 1), (2, 1, 0, 0)}
     # a fork shows in the receipt of either process's action
     scores = procs.select("container_id", "pid", F.lit(1.0).alias("score"), F.lit(1.0).alias("initial"))
-    forks, hubs = graph.fork_edges(procs), graph.hub_links(access, facts.ipc_access(routed))
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(access, facts.ipc_access(routed)), "hubs")
     opened, conns = facts.open_files(events), facts.connections(events)
     none = spark.createDataFrame([], "ip string, container_id string")
     diff = receipts.data_flow_diff(flows_df := receipts.cross_action_flows(access, pids), receipts.reads_by_process(access, opened, pids, flows_df), receipts.writes_by_process(access, pids), forks, hubs, pids, receipts.network_flows(conns, pids, none), receipts.preexisting_influence(forks, hubs, pids, scores))
     assert {(r.action_id, r.verb, r.subject, r.detail) for r in diff.collect()} == {(1, "fork", "20", "21"), (1, "read", "21", "/srv/late.out"), (1, "write", "21", "/srv/late.out"), (2, "flow", "30", "/srv/late.out from action 1")}
+    diff = stash(diff, "diff")
     merged = {(r.action_id, r.verb, r.detail, r.comm, r.pids) for r in receipts.merged(diff, procs, pids=True).collect()}
     assert (1, "fork", "tar", "sh", "20") in merged
     found = rules.detections(ops, access, procs, conns, opened, scores, rules.rule_table(spark))
@@ -130,7 +132,7 @@ def test_queues_by_descriptor(spark):
         event(1, 10, 5, 1, 240, "a", fd=7, channel="posix_mq:/jobs"), event(2, 20, 5, 1, 242, "a", fd=7), event(3, 30, 6, 1, 240, "b", fd=3, channel="posix_mq:/jobs"), event(4, 40, 6, 1, 243, "b", fd=3), event(5, 50, 6, 1, 243, "b", fd=4),
         event(6, 60, 6, 1, 231, "b"), event(7, 70, 6, 1, 243, "b", fd=3), event(8, 80, 8, 1, 69, "c", channel="sysv_mq:4"), event(9, 90, 5, 1, 257, "a", "/tmp/f", 0, 7), event(10, 99, 5, 1, 242, "a", fd=7),
     ]
-    events = enrich.with_channels(spark.createDataFrame(rows, EVENT).withColumn("action_id", F.lit(1).cast("long")))
+    events = stash(enrich.with_channels(spark.createDataFrame(rows, EVENT).withColumn("action_id", F.lit(1).cast("long"))), "events")
     assert {r.serial: r.channel for r in events.collect()} == {1: "posix_mq:/jobs", 2: "posix_mq:/jobs", 3: "posix_mq:/jobs", 4: "posix_mq:/jobs", 5: None, 6: None, 7: None, 8: "sysv_mq:4", 9: None, 10: None}
     access = facts.ipc_access(events)
     assert {(r.channel, r.role, r.pid) for r in access.collect()} == {("posix_mq:/jobs", "sender", 5), ("posix_mq:/jobs", "receiver", 6), ("sysv_mq:4", "sender", 8)}
@@ -267,8 +269,8 @@ def random_flows(spark, seed):
 def test_factorised_graph_does_what_pairs_do(spark, seed):
     """Scores, communities and counts over hubs are those over all pairs of processes."""
     procs, files, queues = random_flows(spark, seed)
-    forks, hubs = graph.fork_edges(procs), graph.hub_links(files, queues)
-    pairs = graph.edges(forks, hubs)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    pairs = stash(graph.edges(forks, hubs), "pairs")
     rows = [r.asDict() for r in pairs.collect()]
     access = [tuple(r) for r in files.collect()]
     wrote = {(c, f, p) for c, f, role, p, *_ in access if role == "writer"}
@@ -302,7 +304,7 @@ def test_a_hot_file_makes_no_pairs(spark):
     ids = spark.range(2 * n).select(F.lit("a").alias("container_id"), F.lit("/d/hot").alias("path"), F.when(F.col("id") < n, "writer").otherwise("reader").alias("role"), F.col("id").alias("pid"), F.lit(1).cast("long").alias("action_id"), F.col("id").alias("first_ms"))
     queues = ids.select("container_id", F.lit("q").alias("channel"), F.when(F.col("pid") % 2 == 0, "sender").otherwise("receiver").alias("role"), "pid", "action_id", "first_ms")
     procs = ids.select("container_id", "pid", F.lit(None).cast("long").alias("ppid"), F.col("pid").alias("first_seq"), F.col("pid").alias("first_ts"), F.lit("x").alias("comm"))
-    forks, hubs = graph.fork_edges(procs), graph.hub_links(ids, queues)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(ids, queues), "hubs")
     start = procs.select("container_id", "pid", F.when(F.col("pid") == 4, 1.0).otherwise(0.0).alias("score"))
     got = graph.propagate(start, forks, hubs)
     # an even writer's score goes to all readers by the file, and to all odd ones by the queue, from where odd writers pass it on
@@ -379,7 +381,7 @@ def test_boundaries_and_owners(spark):
 
 ORACLES = [
     "derived_events", "op_events", "process_table", "action_at_time", "attributed_action", "fd_resolution", "file_access", "ipc_access", "file_flow_edges", "taint_scores", "cross_action_flows", "network_flows",
-    "receipts", "receipt_text", "communities", "community_members", "action_communities", "rule_detections", "event_rule_matches", "event_rule_globs", "session_actions", "legend", "experiment_receipt", "reached_by_actions", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "container_status", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
+    "receipts", "receipt_text", "communities", "action_communities", "rule_detections", "event_rule_globs", "session_actions", "legend", "experiment_receipt", "reached_by_actions", "detections_by_severity", "data_flow_diff", "preexisting_influence", "edge_times", "kernel_transfers", "parsed_transfers", "audit_parse_roundtrip", "sockaddr_decode", "path_functions", "container_resolution", "stream_counts", "stream_processes", "stream_attribution", "stream_assemble_at_end", "stream_fd_resolution", "stream_edges", "stream_assemble", "experiment_graph",
 ]
 
 
