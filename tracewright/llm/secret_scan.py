@@ -3,9 +3,12 @@
 The field tags the words of a whole text as begin, inside or outside of a secret. A word's score adds
 weights of its shape, of the classes of its neighbours (two before, one after) and of two features of
 the file; the best tagging is found by Viterbi. It is trained here, by maximum likelihood, on a bounded
-sample of short windows: around the secrets that the patterns find, and elsewhere. All secrets and all
-texts are candidates; the ``SAMPLE`` windows of lowest hash of each sort are taken. A window's features
-come from its whole text, by the code that decoding uses.
+sample of short windows: around the secrets that the patterns find, and elsewhere, half of the latter around
+words that aren't plain. All secrets and all texts are candidates; the ``SAMPLE`` windows of lowest hash of
+each sort are taken. A window's features come from its whole text, by the code that decoding uses. So that the
+field learns more than the patterns' own rule, secrets are taught once more with their key words hidden, and as
+made-up ones of other alphabets (``variants``); what random-looking words the corpus itself has without being secrets,
+it learns from the windows elsewhere, but for those that a first field takes for secrets after all.
 
 Decoding is exact, but words whose outside score leads by more than any change of transitions can make up
 for are outside in every best tagging, so Viterbi only runs over the stretches between them.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +51,7 @@ SAMPLE, REACH = 4000, 8
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 KEY_WORD = r"(?i)(passw|secret|token|key|auth|cred|bearer)"
-PLAIN_WORD = r"^[\p{L}'’-]{1,24}[.,;:!?)\"]*$"
+PLAIN_WORD = r"^[\p{L}'’-]{1,24}[.,;:!?)\"#*$%&|]*$"
 CLASSES = ("none", "plain", "key", "assign", "key_assign", "mark", "number", "mixed", "long", "other")
 CLASS = {c: i for i, c in enumerate(CLASSES)}
 N_SHAPES, N_FILE = 96, 6
@@ -224,7 +228,11 @@ def windows(docs: DataFrame, sample: int, share: float = 1.0) -> DataFrame:
                 if a == z:
                     continue
                 tags = tags_of(some[i].as_py(), base_spans(some[i].as_py())) if hint[k] else [OUT] * (z - a)
-                for place in [j for j, t in enumerate(tags) if t == BEGIN] + [int(number[k]) % (z - a)] * bool(shared[k]):
+                elsewhere = set()
+                if shared[k]:
+                    odd = np.flatnonzero(own[a:z] >= CLASS["mark"])
+                    elsewhere = {int(number[k]) % (z - a)} | ({int(odd[int(number[k]) % len(odd)])} if len(odd) else set())
+                for place in sorted({j for j, t in enumerate(tags) if t == BEGIN} | elsewhere):
                     low, high = max(0, place - REACH), min(z - a, place + REACH + 1)
                     rank, positive = rank_of(int(number[k]), place), any(tags[low:high])
                     if rank <= lowest[positive].limit():
@@ -242,6 +250,52 @@ def windows(docs: DataFrame, sample: int, share: float = 1.0) -> DataFrame:
     return least("true").unionByName(least("false"))
 
 
+#: What hides a key word, and the alphabets and lengths of made-up secrets.
+HIDDEN = re.compile(r"(?i)[a-z_-]*(?:passw|secret|token|key|auth|cred|bearer)[a-z_-]*")
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = (UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "_-", UPPER + DIGITS, LOWER + DIGITS, DIGITS + "ABCDEF")
+SHORTEST, LONGEST = 20, 48
+
+
+def variants(window: dict) -> list[dict]:
+    """The window of a secret with its key words hidden, once with the secret itself and twice with a made-up one.
+
+    A made-up secret has letters and digits of one of ALPHABETS, fixed by the window's rank. The marks of an
+    assignment before a secret stay, or are hidden as well, or a key word takes their place or that of the word before.
+    """
+    out = []
+    for made_up in range(3):
+        rng = random.Random(window["rank"] * 3 + made_up)
+        mark = rng.choice((None, "is", "key"))
+        words, near, tags = list(window["words"]), list(window["near"]), list(window["tags"])
+        put = {}
+        for i, (word, tag) in enumerate(zip(words, tags)):
+            new = word
+            if tag == BEGIN:
+                # the word's own key and mark go, what is left is the secret
+                new = re.sub(r"""^.*[:=]["']?(?=[^:=]{6})""", "", word) if HIDDEN.search(word) else word
+                if new != word and mark == "key" and i and tags[i - 1] == OUT:
+                    put[i - 1] = mark
+                core = new.strip(STRIP)
+                if made_up and core:
+                    letters = rng.choice(ALPHABETS)
+                    new = new.replace(core, "".join(rng.choice(letters) for _ in range(rng.randint(SHORTEST, LONGEST))))
+            elif tag == OUT:
+                new = HIDDEN.sub("of", word)
+                if mark and new.strip("\"'") in ("=", ":"):
+                    new = mark
+            if new != word and new:
+                put[i] = new
+        for i, new in put.items():
+            words[i] = new
+            c = CLASS["plain"] if is_plain(pa.array([new]))[0] else word_class(new)
+            for at, side in ((i + 2, 0), (i + 1, 1), (i - 1, 2)):
+                if 0 <= at < len(words):
+                    near[3 * at + side] = c
+        out.append({**window, "words": words, "near": near, "tags": tags})
+    return out
+
+
 class Field:
     """Weights of the field: shapes, neighbours (two before, before, after), file, and transitions; rows by feature, columns by tag."""
 
@@ -270,16 +324,20 @@ class Field:
             mask[i, : len(r["words"])] = True
         n, steps = len(rows), np.arange(length)
         last = mask.sum(1) - 1
+        # most places are plain words among plain words: scores and gradients are those of distinct places
+        places, which = np.unique(x[mask], axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        e = np.zeros((n, length, 3))
+        by_feature = lambda p: np.stack([np.bincount(places.reshape(-1), np.repeat(np.bincount(which, p[:, t], len(places)), slots), self.at[-1] + 1) for t in range(3)], 1)
         padded = np.zeros((self.at[-1] + 1, 3))
         moment = [np.zeros_like(p) for p in (padded, self.t, self.start, self.end) for _ in (0, 1)]
         hot = np.eye(3)
         gold_t = np.einsum("nka,nkb,nk->ab", hot[y[:, :-1]], hot[y[:, 1:]], mask[:, 1:])
-        flat = x[mask].reshape(-1)
-        gold = np.stack([np.bincount(flat, np.repeat(hot[y[mask]][:, t], slots), self.at[-1] + 1) for t in range(3)], 1)
+        gold = by_feature(hot[y[mask]])
         gold_s, gold_e = hot[y[:, 0]].sum(0), hot[y[np.arange(n), last]].sum(0)
         params = [padded, self.t, self.start, self.end]
         for step in range(1, rounds + 1):
-            e = padded[x].sum(2)
+            e[mask] = padded[places].sum(1)[which]
             a = np.zeros((n, length, 3))
             a[:, 0] = e[:, 0] + self.start
             for k in steps[1:]:
@@ -299,7 +357,7 @@ class Field:
             for k in steps[1:]:
                 s = a[:, k - 1, :, None] + self.t + (e[:, k] + b[:, k])[:, None, :] - z[:, None, None]
                 pair += (np.exp(np.minimum(s, 0)) * mask[:, k, None, None]).sum(0)
-            model = np.stack([np.bincount(flat, np.repeat(p[mask][:, t], slots), self.at[-1] + 1) for t in range(3)], 1)
+            model = by_feature(p[mask])
             grads = [(gold - model) / n - l2 * padded, (gold_t - pair) / n - l2 * self.t, (gold_s - p[:, 0].sum(0)) / n, (gold_e - p[np.arange(n), last].sum(0)) / n]
             for j, (v, g) in enumerate(zip(params, grads)):
                 m, q = moment[2 * j], moment[2 * j + 1]
@@ -320,6 +378,14 @@ class Field:
             e += self.w[self.at[1 + j] : self.at[2 + j]][c]
         return e + np.repeat(self.w[self.at[4] : self.at[5]][words.files()], np.diff(words.ends), axis=0)
 
+    def tagged(self, window: dict) -> bool:
+        """Whether the best tagging of a window has a secret."""
+        plain = is_plain(pa.array(window["words"], pa.large_string()))
+        e = np.array([self.w[[0] if p else shapes(w)].sum(0) for w, p in zip(window["words"], plain.tolist())])
+        for j in range(3):
+            e += self.w[self.at[1 + j] : self.at[2 + j]][np.array(window["near"][j::3])]
+        return bool(self.decode(e + self.w[self.at[4] + window["file"]], np.array([0, len(e)])).any())
+
     def lead(self) -> float:
         """What a change of one tag to outside can cost in transitions at most."""
         t = np.vstack([self.t, self.start])
@@ -377,8 +443,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     rows = windows(docs, sample, share).collect()
     if share < 1 and sum(not r["positive"] for r in rows) < sample:
         rows = windows(docs, sample).collect()
-    rows.sort(key=lambda r: (r["rank"], r["words"]))
-    return Field().fit(rows) if any(r["positive"] for r in rows) else None
+    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["rank"], r["words"]))
+    found = [r for r in rows if r["positive"]]
+    # at most as many variants as there are windows of one sort
+    taught = [v for r in found[: -(-sample // 3)] for v in variants(r)]
+    if not found:
+        return None
+    first = Field().fit(rows + taught)
+    # a window elsewhere that looks like a secret for all that may be one which no pattern knows: it teaches neither
+    known = [r for r in rows if r["positive"] or not first.tagged(r)]
+    return first if len(known) == len(rows) else Field().fit(known + taught)
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
