@@ -194,6 +194,10 @@ def test_containers_of_processes(spark):
     chain = spark.createDataFrame([(h, i, i - 1, f"0::/docker/{h * 12}" if i == 1 else "0::/") for h in "ab" for i in range(1, 14)] + [("b", 50, 1, "0::/docker/cccccccccccc"), ("a", 50, 1, "0::/docker/dddddddddddd")], "host string, pid int, ppid int, line string")
     got = {(r.host, r.pid): r.container_id for r in enrich.container_of(chain).collect()}
     assert [got["a", i] for i in (1, 2, 11, 12, 13)] == ["a" * 12] * 3 + [None] * 2 and [got["b", i] for i in (7, 12, 50)] == ["b" * 12, None, "c" * 12]
+    # or however far up, in circles too; two containers, so that nothing is told by exclusion
+    ring = spark.createDataFrame([("a", 70, 71, "0::/"), ("a", 71, 70, "0::/"), ("a", 72, 72, "0::/")], chain.schema)
+    far = {(r.host, r.pid): r.container_id for r in enrich.container_of(chain.union(ring), hops=None).collect()}
+    assert [far[h, i] for h in "ab" for i in (1, 11, 12, 13)] == ["a" * 12] * 4 + ["b" * 12] * 4 and [far["a", i] for i in (50, 70, 72)] == ["d" * 12, None, None]
 
 
 def test_policy_and_paths(spark):
