@@ -282,6 +282,12 @@ def test_factorised_graph_does_what_pairs_do(spark, seed):
     want = Counter((c, p, q) for c, f, p in wrote for d, g, q in used if (c, f) == (d, g))
     assert {(r["container_id"], r["src"], r["dst"]): r["event_count"] for r in rows if r["channel_type"] == "file"} == want
     assert {r.container_id: r.n_edges for r in graph.edge_counts(forks, hubs).collect()} == Counter(r["container_id"] for r in rows)
+    # counts by groups, whatever the size from which sets are no longer listed, with a process in two groups
+    at = procs.select("container_id", "pid", F.explode(F.array_distinct(F.array(F.col("pid") % 3, F.lit(1)))).alias("a"))
+    to = procs.where("pid % 5 > 0").select("container_id", "pid", (F.col("pid") % 2).alias("b"))
+    found = Counter((r["container_id"], r["channel_type"], a, r["dst"] % 2) for r in rows if r["channel_type"] != "fork" and r["dst"] % 5 for a in {r["src"] % 3, 1})
+    for most in (0, 4):
+        assert {(r.container_id, r.channel_type, r.a, r.b): r.n for r in graph.pair_counts(hubs, at, to, most).collect()} == found
     start = procs.select("container_id", "pid", F.when(F.col("pid") % 11 == 3, 1.0).otherwise(0.0).alias("score"))
     score = lambda df: {(r.container_id, r.pid): round(r.score, 9) for r in df.collect()}
     assert score(graph.propagate(start, forks, hubs)) == score(graph.propagate(start, pairs))
@@ -317,6 +323,14 @@ def test_a_hot_file_makes_no_pairs(spark):
     assert graph.community_members(procs, forks, hubs).where("community <> pid").isEmpty()
 
 
+def test_counts_of_different_sets_make_no_pairs(spark):
+    """Thirty thousand writers and as many readers of one file, each with another file of its own: nine hundred million pairs, of which nobody makes one to count them."""
+    n = 30_000
+    ids = spark.range(2 * n).withColumn("side", F.when(F.col("id") < n, "in").otherwise("out"))
+    hubs = ids.select(F.lit("a").alias("container_id"), F.lit("file").alias("channel_type"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("own "), "id"))).alias("hub"), "side", F.col("id").alias("pid"))
+    assert [tuple(r) for r in graph.pair_counts(stash(hubs, "hubs")).collect()] == [("a", "file", n * n)]
+
+
 def test_scores_action_by_action(spark):
     """A process born after its parent was raised starts from there, which one fixpoint over all time can't tell; each action has its changes."""
     procs = spark.createDataFrame([("a", *r, f"p{r[0]}", None, None, False) for r in [(2, 1, 1, 50), (20, 1, 2, 60), (30, 1, 3, 70), (10, 1, 4, 1100), (11, 10, 5, 1150), (12, 11, 6, 1160), (21, 20, 7, 5100), (31, 30, 8, 5200), (32, 31, 9, 5300), (40, 2, 10, 9000)]], PROCS)
