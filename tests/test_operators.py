@@ -413,3 +413,19 @@ def test_against_duckdb(spark, name):
     assert sorted(got.columns) == sorted(rel.columns)
     want = sorted((tuple(dict(zip(rel.columns, r))[c] for c in got.columns) for r in rel.fetchall()), key=repr)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_counted_flows_are_those_of_the_rows(spark):
+    """flow_counts has the numbers of the rows that data_flow_diff makes, with processes in two actions and edges within one."""
+    procs, files, queues = random_flows(spark, 3)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    pids = stash(procs.where("pid % 7 > 0").select("container_id", F.explode(F.array_distinct(F.array(F.col("pid") % 3, F.col("pid") % 2))).alias("action_id"), "pid"), "pids")
+    scores = stash(procs.select("container_id", "pid", (F.col("pid") % 10 / 10).alias("score"), F.when(F.col("pid") % 4 == 1, 0.0).otherwise(F.col("pid") % 10 / 10).alias("initial")), "scores")
+    flows = spark.createDataFrame([("a", 1, "/f", 2, 5)], "container_id string, action_id long, path string, writer_action long, pid long")
+    reads = spark.createDataFrame([("a", 1, 5, "/g"), ("b", 2, 5, "/g"), ("b", 2, 8, "/g")], "container_id string, action_id long, pid long, path string")
+    network = spark.createDataFrame([("a", 1, 5, "connect", "1.1.1.1:1", None), ("a", 1, 5, "listen", "0.0.0.0:1", None)], "container_id string, action_id long, pid long, direction string, addr string, owner string")
+    rows = receipts.data_flow_diff(flows, reads, reads, forks, hubs, pids, network, receipts.preexisting_influence(forks, hubs, pids, scores))
+    want = Counter((r.container_id, r.action_id, r.verb) for r in rows.collect())
+    got = receipts.flow_counts(flows, reads, reads, forks, hubs, pids, network, scores)
+    assert {(r.container_id, r.action_id, r.verb): r.n for r in got.collect()} == want
+    assert {"influence", "mqueue", "fork"} <= {v for *_, v in want}
