@@ -429,3 +429,41 @@ def test_counted_flows_are_those_of_the_rows(spark):
     got = receipts.flow_counts(flows, reads, reads, forks, hubs, pids, network, scores)
     assert {(r.container_id, r.action_id, r.verb): r.n for r in got.collect()} == want
     assert {"influence", "mqueue", "fork"} <= {v for *_, v in want}
+
+
+def shuffled(spark, df):
+    """df's rows, and how many bytes it took to shuffle for them."""
+    def total():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before, rows = total(), df.collect()
+    return rows, total() - before
+
+
+@pytest.mark.parametrize("few", [0, 2, 16])
+def test_pairs_of_processes_with_few_and_many_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_HUBS", few)
+    monkeypatch.setattr(graph, "PAIRED", 3)
+    rng = np.random.default_rng(5)
+    links = {("c", t, f"/h{h:02}", s, int(p)) for t in ("file", "mqueue") for s in ("in", "out") for p in range(12) for h in rng.choice(20, rng.integers(1, 7), replace=False)}
+    links = [(*x, int(rng.integers(0, 100))) for x in sorted(links)]
+    hubs = spark.createDataFrame(links, "container_id string, channel_type string, hub string, side string, pid long, seen_ms long")
+    met = {}
+    for _, t, h, s, p, a in links:
+        for _, t2, h2, s2, p2, b in links:
+            if (s, s2) == ("in", "out") and (t, h) == (t2, h2) and p != p2:
+                met.setdefault((p, p2, t), []).append((h, max(a, b)))
+    want = {(p, p2, t, ("file:" if t == "file" else "") + min(x)[0], len(x), min(m for _, m in x), max(m for _, m in x)) for (p, p2, t), x in met.items()}
+    got = graph.pairs_of(hubs).select("src", "dst", "channel_type", "channel", "event_count", "first_seen", "last_seen").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = graph.pairs_of(hubs, timed=False).select("src", "dst", "channel_type", "channel", "event_count").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == {w[:5] for w in want}
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Six hundred writers and as many readers of a file make 360 000 edges; what is shuffled goes with the accesses, not with the edges."""
+    hubs = spark.range(1200).select(F.lit("c").alias("container_id"), F.lit("file").alias("channel_type"), F.lit("/f").alias("hub"), F.when(F.col("id") < 600, "in").otherwise("out").alias("side"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.col("id").alias("seen_ms"))
+    rows, size = shuffled(spark, graph.pairs_of(hubs).agg(F.count("*"), F.sum("event_count")))
+    assert tuple(rows[0]) == (360_000, 360_000) and size < 600_000
