@@ -467,3 +467,25 @@ def test_pairs_are_not_shuffled(spark):
     hubs = spark.range(1200).select(F.lit("c").alias("container_id"), F.lit("file").alias("channel_type"), F.lit("/f").alias("hub"), F.when(F.col("id") < 600, "in").otherwise("out").alias("side"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.col("id").alias("seen_ms"))
     rows, size = shuffled(spark, graph.pairs_of(hubs).agg(F.count("*"), F.sum("event_count")))
     assert tuple(rows[0]) == (360_000, 360_000) and size < 600_000
+
+
+def test_flows_between_processes_are_not_shuffled(spark):
+    """Four hundred processes of action 1 and as many of action 2: one side writes a file and sends to a queue, the other reads and receives."""
+    n = 400
+    procs = spark.range(2 * n).select(F.lit("c").alias("container_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.when(F.col("id") < n, 1).otherwise(2).cast("long").alias("action_id"), F.col("id").alias("first_ms"))
+    procs = stash(procs, "many")
+    role = lambda a, b: F.when(F.col("action_id") == 1, a).otherwise(b).alias("role")
+    files = procs.select("*", F.lit("/f").alias("path"), role("writer", "reader"), F.col("first_ms").alias("first_seq"))
+    hubs, pids = graph.hub_links(files.limit(0), procs.select("*", F.lit("q").alias("channel"), role("sender", "receiver"))), procs.select("container_id", "action_id", "pid")
+    rows, size = shuffled(spark, receipts.cross_action_flows(files, pids).agg(F.count("*"), F.count_distinct("writer"), F.count_distinct("pid")))
+    assert tuple(rows[0]) == (n * n, n, n) and size < 1_000_000
+    by_action = receipts.cross_action_flows(files, pids, False)
+    explained = receipts.explained_reads(files, pids)
+    assert sorted(map(tuple, explained.collect())) == sorted({(r.container_id, r.action_id, r.pid, r.path) for r in by_action.collect()}) and explained.count() == n
+    none = lambda schema: spark.createDataFrame([], schema)
+    forks = none("container_id string, src long, dst long, channel_type string, channel string, event_count long, seen_ms long")
+    reads, network = none("container_id string, action_id long, pid long, path string"), none("container_id string, action_id long, pid long, direction string, addr string, owner string")
+    influence = none("container_id string, action_id long, src long, dst long, channel_type string")
+    diff = receipts.data_flow_diff(by_action.limit(0), reads, reads, forks, hubs, pids, network, influence)
+    rows, size = shuffled(spark, diff.groupBy("action_id").agg(F.count("*").alias("n")))
+    assert {r.action_id: r.n for r in rows} == {1: n * n, 2: n * n} and size < 1_000_000
