@@ -489,3 +489,22 @@ def test_flows_between_processes_are_not_shuffled(spark):
     diff = receipts.data_flow_diff(by_action.limit(0), reads, reads, forks, hubs, pids, network, influence)
     rows, size = shuffled(spark, diff.groupBy("action_id").agg(F.count("*").alias("n")))
     assert {r.action_id: r.n for r in rows} == {1: n * n, 2: n * n} and size < 1_000_000
+
+
+def test_merged_flows_count_queues_without_pairs(spark):
+    """Lines over queues merged by counts are those merged out of rows, with processes on both sides, in two actions and in none; no pairs are shuffled for them."""
+    procs, files, queues = random_flows(spark, 3)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    pids = stash(procs.where("pid % 7 > 0").select("container_id", F.explode(F.array_distinct(F.array(F.col("pid") % 3, F.col("pid") % 2))).alias("action_id"), "pid"), "pids")
+    none = lambda schema: spark.createDataFrame([], schema)
+    flows, reads = none("container_id string, action_id long, path string, writer_action long, pid long"), none("container_id string, action_id long, pid long, path string")
+    network, influence = none("container_id string, action_id long, pid long, direction string, addr string, owner string"), none("container_id string, action_id long, src long, dst long, channel_type string")
+    diff = lambda h: receipts.data_flow_diff(flows, reads, reads, forks, h, pids, network, influence)
+    want = sorted(map(tuple, receipts.merged(diff(hubs), procs, pids=True).collect()))
+    got = receipts.merged(diff(None), procs, pids=True, queued=receipts.queue_lines(hubs, pids, procs))
+    assert sorted(map(tuple, got.collect())) == want and any(w[3] == "mqueue" for w in want)
+    n = 400
+    many = stash(spark.range(2 * n).select(F.lit("c").alias("container_id"), "id", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.lit("sh").alias("comm")), "many")
+    hubs = many.select("container_id", F.lit("mqueue").alias("channel_type"), F.lit("q").alias("hub"), F.when(F.col("id") < n, "in").otherwise("out").alias("side"), "pid", F.col("id").alias("seen_ms"))
+    rows, size = shuffled(spark, receipts.merged(diff(None).limit(0), many, queued=receipts.queue_lines(hubs, many.select("container_id", "pid", F.lit(1).cast("long").alias("action_id")), many)))
+    assert [r.n for r in rows] == [n * n] and size < 1_000_000
