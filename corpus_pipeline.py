@@ -81,7 +81,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Repeated rows and ids are documents each; pieces of one length tie, and go anywhere; other columns don't matter.
     """
-    return packing.pack(packing.cut(docs, vocabulary("word_bpe_49k.json")))
+    # less text at once than where packing runs alone, as executors still hold what earlier stages took
+    return packing.pack(packing.cut(docs, vocabulary("word_bpe_49k.json"), bytes_most=3_000_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -190,3 +190,18 @@ def test_stages_keep_columns_of_any_name(spark, corpus):
         assert out.columns == docs.columns, name
         rows = out.collect()
         assert rows and all(r[n] == f"{r.doc_id} {n}" for r in rows for n in names), name
+
+
+def test_workers_keep_little_between_stages():
+    """What shingles of one stage needed is gone when another begins, and large groups of pandas tidy up as well."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from tracewright.llm import shingles
+
+    df = pd.DataFrame({"n": [1]})
+    for done in (shingles.give_back, lambda: shingles.tidied(lambda x: x)(df), lambda: list(shingles.batches_of(iter(())))):
+        shingles.shingle_sets(pa.array(["one two three four five six"]))
+        assert shingles._powers
+        done()
+        assert not shingles._powers

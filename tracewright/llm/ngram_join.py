@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import sized, stash
-from tracewright.llm.shingles import U2, U4, U8, Sets, batches_of, shingle_sets
+from tracewright.llm.shingles import U2, U4, U8, Sets, batches_of, shingle_sets, tidied
 
 #: Classes beyond which a list of them is no longer broadcast but joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -169,7 +169,7 @@ def lists(blobs: DataFrame, buckets: int) -> DataFrame:
                 begin = end
         return pd.DataFrame(rows, columns=["bucket", "kind", "a", "b", "c", "d", "e"])
 
-    return blobs.groupBy("bucket").applyInPandas(work, BLOBS)
+    return blobs.groupBy("bucket").applyInPandas(tidied(work), BLOBS)
 
 
 def documents_of(blobs: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def survivors(blobs: DataFrame, needed: Callable[[np.ndarray], np.ndarray], keep
         kept = passed[which] & (rank >= least[which] - 1)
         return pd.DataFrame({"token": token[kept], "sig": own[which[kept]], "n": size[which[kept]], "weight": weight[which[kept]]})
 
-    return blobs.where("kind >= 2").groupBy("bucket").applyInPandas(work, "token long, sig long, n long, weight double")
+    return blobs.where("kind >= 2").groupBy("bucket").applyInPandas(tidied(work), "token long, sig long, n long, weight double")
 
 
 def restricted(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
@@ -372,7 +372,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         return some.groupby(["y", "x"], as_index=False).size().rename(columns={"size": "lists"})
 
     by_bucket = kept.withColumn("bucket", F.pmod("token", F.lit(buckets * 4)).cast("int"))
-    led = by_bucket.groupBy("bucket").applyInPandas(leaders, "y long, x long, lists long")
+    led = by_bucket.groupBy("bucket").applyInPandas(tidied(leaders), "y long, x long, lists long")
     led = led.groupBy("y", "x").agg(F.sum("lists").alias("lists")).groupBy("y").agg(F.max_by("x", F.struct("lists", "x")).alias("x"))
     led = stash(led.select("x", "y"), "leaders")
     ends = lambda pairs: pairs.select(F.col("y").alias("sig")).union(pairs.select("x")).distinct()

@@ -34,12 +34,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, part int, bin int, offset long, fill int, bins int, bound int"
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document's ids and end id; all but a document's last are as long as the capacity."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False, bytes_most: int = 8_000_000) -> DataFrame:
+    """Pieces of each document's ids and end id; all but a document's last are as long as the capacity. bytes_most: text that is encoded at once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches_of(batches, 1, 8_000_000):
+        for b in batches_of(batches, 1, bytes_most):
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), codec.encode(b.column(1))):
                 data += end

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U8, U4, U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
@@ -133,7 +134,8 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Sets:
 
 
 def give_back() -> None:
-    """Returns free memory to the system: workers live on, and what one stage took would else be missing in the next."""
+    """Returns free memory to the system: workers live on, and what one stage took would else be missing in the next. Powers are made anew where they are needed."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     # where the C library has it
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -141,6 +143,18 @@ def give_back() -> None:
         trim(0)
 
 
+def tidied(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """work on a large group, after which free memory is given back."""
+
+    def tidy(df: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return work(df)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, bytes_most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that none holds much more text than bytes_most, unless one row does; gives free memory back before and after."""
     give_back()
