@@ -508,3 +508,12 @@ def test_merged_flows_count_queues_without_pairs(spark):
     hubs = many.select("container_id", F.lit("mqueue").alias("channel_type"), F.lit("q").alias("hub"), F.when(F.col("id") < n, "in").otherwise("out").alias("side"), "pid", F.col("id").alias("seen_ms"))
     rows, size = shuffled(spark, receipts.merged(diff(None).limit(0), many, queued=receipts.queue_lines(hubs, many.select("container_id", "pid", F.lit(1).cast("long").alias("action_id")), many)))
     assert [r.n for r in rows] == [n * n] and size < 1_000_000
+
+
+def test_best_pairs_of_hubs_are_not_sorted(spark):
+    """The two largest scores of two processes, also where scores tie or a process came before with a smaller one; plans sort no rows that come."""
+    came = [("h", 1, 0.5), ("h", 1, 0.9), ("h", 2, 0.9), ("h", 3, 0.9), ("g", 4, 0.3), ("g", 4, 0.2), ("f", 5, 0.4), ("f", 6, 0.7), ("f", 6, 0.1), ("f", 7, 0.6)]
+    got = graph.best_pairs(spark.createDataFrame(came, "hub string, by long, score double"), ["hub"])
+    rows = {h: sorted((r.score, r.by) for r in got.collect() if r.hub == h) for h in "hgf"}
+    assert [s for s, _ in rows["h"]] == [0.9, 0.9] and len({p for _, p in rows["h"]}) == 2 and rows["g"] == [(0.3, 4)] and rows["f"] == [(0.6, 7), (0.7, 6)]
+    assert "Window" not in got._jdf.queryExecution().toString()
