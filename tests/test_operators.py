@@ -517,3 +517,33 @@ def test_best_pairs_of_hubs_are_not_sorted(spark):
     rows = {h: sorted((r.score, r.by) for r in got.collect() if r.hub == h) for h in "hgf"}
     assert [s for s, _ in rows["h"]] == [0.9, 0.9] and len({p for _, p in rows["h"]}) == 2 and rows["g"] == [(0.3, 4)] and rows["f"] == [(0.6, 7), (0.7, 6)]
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_lines_between_processes_are_numbered_without_sorting_them(spark):
+    """A receipt's lines over queues, forks and influence stand where sorting puts them, with processes on both sides, in two actions and in none, and
+    pids of few and many digits; what is shuffled goes with the accesses."""
+    wide = lambda df, *names: df.withColumns({c: F.when(F.col(c) % 3 == 0, F.col(c) * 1000).otherwise(F.col(c)) for c in names})
+    procs, files, queues = random_flows(spark, 3)
+    procs, files, queues = stash(wide(procs, "pid", "ppid"), "procs"), wide(files, "pid"), wide(queues, "pid")
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    pids = stash(procs.where("pid % 7 > 0").select("container_id", F.explode(F.array_distinct(F.array(F.col("pid") % 3, F.col("pid") % 2))).alias("action_id"), "pid"), "pids")
+    scores = stash(procs.select("container_id", "pid", (F.col("pid") % 10 / 10).alias("score"), F.when(F.col("pid") % 4 == 1, 0.0).otherwise(F.col("pid") % 10 / 10).alias("initial")), "scores")
+    flows = spark.createDataFrame([("a", 1, "/f", 2, 5)], "container_id string, action_id long, path string, writer_action long, pid long")
+    reads = spark.createDataFrame([("a", 1, 5, "/g"), ("b", 2, 5, "/g"), ("b", 2, 8, "/g")], "container_id string, action_id long, pid long, path string")
+    network = spark.createDataFrame([("a", 1, 5, "connect", "1.1.1.1:1", None), ("a", 1, 5, "listen", "0.0.0.0:1", None)], "container_id string, action_id long, pid long, direction string, addr string, owner string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    actions = spark.createDataFrame([("a", 1, "one", 1, 2), ("b", 2, "two", 1, 2)], ACTION)
+    ops, summary = none("container_id string, action_id long, class string, op string"), none("container_id string, action_id long, command string, n long, first_seq long, pid long, name string, cmdline string")
+    groups, found = none("container_id string, action_id long, community_id long, size long, label string"), none("container_id string, action_id long, technique string, pid long, severity int, description string")
+    whole = receipts.data_flow_diff(flows, reads, reads, forks, hubs, pids, network, receipts.preexisting_influence(forks, hubs, pids, scores))
+    want = sorted(map(tuple, receipts.receipts(actions, ops, summary, groups, whole, found).collect()))
+    alone = receipts.data_flow_diff(flows, reads, reads, forks, None, pids, network, None)
+    got = receipts.receipts(actions, ops, summary, groups, alone, found, receipts.placed_lines(forks, hubs, pids, scores))
+    assert sorted(map(tuple, got.collect())) == want
+    assert {"fork", "mqueue", "influence", "flow", "listen"} <= {w[4].split()[0] for w in want}
+    n = 600
+    many = stash(spark.range(2 * n).select(F.lit("c").alias("container_id"), "id", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.when(F.col("id") < n, 1).otherwise(2).cast("long").alias("action_id")), "many")
+    hubs = many.select("container_id", F.lit("mqueue").alias("channel_type"), F.lit("q").alias("hub"), F.when(F.col("id") < n, "in").otherwise("out").alias("side"), "pid", F.col("id").alias("seen_ms"))
+    between = receipts.placed_lines(forks.limit(0), hubs, many.select("container_id", "action_id", "pid"), scores.limit(0))
+    rows, size = shuffled(spark, receipts.receipts(actions, ops, summary, groups, alone.limit(0), found, between).where("section = 3").groupBy("action_id").agg(F.count("*").alias("n"), F.max("nth").alias("last")))
+    assert {r.action_id: (r.n, r.last) for r in rows} == {1: (n * n, n * n), 2: (n * n, n * n)} and size < 1_000_000
