@@ -547,3 +547,12 @@ def test_lines_between_processes_are_numbered_without_sorting_them(spark):
     between = receipts.placed_lines(forks.limit(0), hubs, many.select("container_id", "action_id", "pid"), scores.limit(0))
     rows, size = shuffled(spark, receipts.receipts(actions, ops, summary, groups, alone.limit(0), found, between).where("section = 3").groupBy("action_id").agg(F.count("*").alias("n"), F.max("nth").alias("last")))
     assert {r.action_id: (r.n, r.last) for r in rows} == {1: (n * n, n * n), 2: (n * n, n * n)} and size < 1_000_000
+
+
+def test_epochs_are_counted_without_time_slots(spark):
+    """A row's epoch counts the actions that have ended before it, with an open one and containers without any; slots of time aren't listed, and a row's own action stays."""
+    actions = spark.createDataFrame([("a", 1, "one", 1000, 2000), ("a", 2, "two", 5000, 6000), ("b", 1, "one", 1000, None)], ACTION)
+    rows = spark.createDataFrame([("a", 0, 9), ("a", 2000, 9), ("a", 2001, 9), ("a", 6000, 9), ("a", 6001, 9), ("b", 1, 9), ("b", 9000, 9), ("c", 5, 9)], "container_id string, first_ms long, action_id long")
+    got = graph.epochs_of(rows, actions, "first_ms")
+    assert sorted((r.container_id, r.first_ms, r.epoch, r.action_id) for r in got.collect()) == [("a", 0, 1, 9), ("a", 2000, 1, 9), ("a", 2001, 2, 9), ("a", 6000, 2, 9), ("a", 6001, 3, 9), ("b", 1, 1, 9), ("b", 9000, 1, 9), ("c", 5, 1, 9)]
+    assert "Generate" not in got._jdf.queryExecution().toString()
