@@ -541,6 +541,8 @@ def test_lines_between_processes_are_numbered_without_sorting_them(spark):
     got = receipts.receipts(actions, ops, summary, groups, alone, found, receipts.placed_lines(forks, hubs, pids, scores))
     assert sorted(map(tuple, got.collect())) == want
     assert {"fork", "mqueue", "influence", "flow", "listen"} <= {w[4].split()[0] for w in want}
+    text = receipts.receipt_text(alone, receipts.placed_lines(forks, hubs, pids, scores))
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, receipts.receipt_text(whole).collect()))
     n = 600
     many = stash(spark.range(2 * n).select(F.lit("c").alias("container_id"), "id", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("pid"), F.when(F.col("id") < n, 1).otherwise(2).cast("long").alias("action_id")), "many")
     hubs = many.select("container_id", F.lit("mqueue").alias("channel_type"), F.lit("q").alias("hub"), F.when(F.col("id") < n, "in").otherwise("out").alias("side"), "pid", F.col("id").alias("seen_ms"))
