@@ -558,3 +558,14 @@ def test_epochs_are_counted_without_time_slots(spark):
     got = graph.epochs_of(rows, actions, "first_ms")
     assert sorted((r.container_id, r.first_ms, r.epoch, r.action_id) for r in got.collect()) == [("a", 0, 1, 9), ("a", 2000, 1, 9), ("a", 2001, 2, 9), ("a", 6000, 2, 9), ("a", 6001, 3, 9), ("b", 1, 1, 9), ("b", 9000, 1, 9), ("c", 5, 1, 9)]
     assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_drawn_edges_of_processes_with_other_columns(spark):
+    """Processes asked for may have columns of any name, labels and scores say: edges among them are the same, and are drawn."""
+    procs, files, queues = random_flows(spark, 3)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    nodes = procs.where("pid % 4 = 1").select("container_id", "pid", F.lit("x").alias("label"), F.lit(0).alias("hub"), F.lit(0.5).alias("score"), F.lit("c").alias("colour"))
+    want = sorted(map(tuple, graph.edges(forks, hubs, among=nodes.select("container_id", "pid")).collect()))
+    assert sorted(map(tuple, graph.edges(forks, hubs, among=nodes).collect())) == want != []
+    drawn = views.graph_edges(graph.edges(forks, hubs, among=nodes), nodes)
+    assert sorted((r.container_id, r.src, r.dst, r.channel_type) for r in drawn.collect()) == [w[:4] for w in want] and {r.colour for r in drawn.collect()} == {"#cc8080"}
