@@ -569,3 +569,20 @@ def test_drawn_edges_of_processes_with_other_columns(spark):
     assert sorted(map(tuple, graph.edges(forks, hubs, among=nodes).collect())) == want != []
     drawn = views.graph_edges(graph.edges(forks, hubs, among=nodes), nodes)
     assert sorted((r.container_id, r.src, r.dst, r.channel_type) for r in drawn.collect()) == [w[:4] for w in want] and {r.colour for r in drawn.collect()} == {"#cc8080"}
+
+
+def test_experiment_graph_of_labelled_processes(spark):
+    """The registered graph's shown processes have labels, as its edges do: those are drawn between them, beside their files and addresses."""
+    procs, files, queues = random_flows(spark, 3)
+    forks, hubs = stash(graph.fork_edges(procs), "forks"), stash(graph.hub_links(files, queues), "hubs")
+    scores = stash(procs.select("container_id", "pid", (F.col("pid") % 10 / 10).alias("score")), "scores")
+    nodes = stash(views.graph_nodes(procs, scores, procs.select("container_id", "pid", F.lit(1).cast("long").alias("action_id")), most=20), "nodes")
+    conns = spark.createDataFrame([("a", 9, "connect", "10.0.0.2:80"), ("a", 59, "listen", "10.0.0.1:80")], "container_id string, pid long, direction string, addr string")
+    experiments = spark.createDataFrame([("e", ["a"])], "experiment_id string, container_ids array<string>")
+    owners = spark.createDataFrame([("10.0.0.2", "a")], "ip string, container_id string")
+    data = views.data_edges(files, views.shown_files(files))
+    got = views.experiment_graph(experiments, nodes, views.graph_edges(graph.edges(forks, hubs, among=nodes), nodes), data, conns, owners, scores).collect()
+    shown = {r.pid for r in nodes.where("container_id = 'a'").collect()}
+    every = {(str(r.src), str(r.dst), r.channel_type) for r in graph.edges(forks, hubs).where("container_id = 'a'").collect() if {r.src, r.dst} <= shown}
+    assert {(r.source, r.target, r.label) for r in got if r.kind == "process"} == every and len(every) > 20
+    assert {(r.source, r.target, r.label) for r in got if r.kind == "network"} == {("9", "10.0.0.2:80", "connect"), ("10.0.0.1:80", "59", "listen")} and {"process", "file", "network"} == {r.kind for r in got}
