@@ -586,3 +586,19 @@ def test_experiment_graph_of_labelled_processes(spark):
     every = {(str(r.src), str(r.dst), r.channel_type) for r in graph.edges(forks, hubs).where("container_id = 'a'").collect() if {r.src, r.dst} <= shown}
     assert {(r.source, r.target, r.label) for r in got if r.kind == "process"} == every and len(every) > 20
     assert {(r.source, r.target, r.label) for r in got if r.kind == "network"} == {("9", "10.0.0.2:80", "connect"), ("10.0.0.1:80", "59", "listen")} and {"process", "file", "network"} == {r.kind for r in got}
+
+
+def test_epochs_are_those_of_all_actions(spark):
+    """The registered query goes by each of the thirty actions, in code and SQL, and an epoch in which nobody is born still spreads what its accesses bring."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()["taint_epochs"]).fetchall())
+    got = queries.queries()["taint_epochs"](spark, SF).select("container_id", "epoch", "pid", "score")
+    assert sorted(map(tuple, got.collect())) == want and max(w[1] for w in want) > 20
+    procs = spark.createDataFrame([("a", 5, None, 1, 10, "x", None, None, False), ("a", 6, None, 2, 20, "x", None, None, False), ("a", 7, None, 3, 30, "x", None, None, False)], PROCS)
+    files = spark.createDataFrame([("a", "/d/f", "writer", 6, 1, 4, 40), ("a", "/d/f", "reader", 7, 1, 5, 5400), ("a", "/d/f", "reader", 5, 1, 6, 5500), ("a", "/d/g", "reader", 5, 1, 7, 50), ("a", "/d/g", "writer", 5, 1, 8, 9100), ("a", "/d/g", "writer", 6, 1, 9, 9200)], FILES)
+    actions = spark.createDataFrame([("a", 1, "one", 15, 100), ("a", 2, "two", 5000, 6000), ("a", 3, "three", 9000, 9500)], ACTION)
+    rows = graph.taint_by_epoch(procs, graph.fork_edges(procs), files, spark.createDataFrame([], QUEUES), actions, 1)
+    # 5, the first of all, gets /d/f in the second epoch; nothing of /d/g in the third, as it has written that itself by then
+    assert sorted((r.epoch, r.pid, r.score) for r in rows.collect()) == [(1, 5, 0.0), (1, 6, 1.0), (1, 7, 1.0), (2, 5, 0.5)]
