@@ -706,3 +706,12 @@ def test_text_view_of_a_long_text():
     whole, piece = classifier.text_view(pa.array([long, None, long[:21_000]]))[[0, 2]]
     assert np.allclose(whole, piece, atol=0.002)
 
+
+
+def test_steps_of_size_are_not_broadcast(spark):
+    """Rows of lists are multiplied by steps of size, which Spark doesn't see in their file: the two sides meet through a shuffle, however small it takes them for."""
+    kept = [(t, s, 40, 1.0) for s in range(4) for t in range(100 * (s // 2), 100 * (s // 2) + 11)]
+    kept = ngram_join.stash(spark.createDataFrame(kept, "token long, sig long, n long, weight double"), "kept")
+    got = ngram_join.meetings(kept, spark.createDataFrame([], "sig long, comp long"), 75)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (2, 3)]

@@ -338,7 +338,8 @@ def meetings(kept: DataFrame, groups: DataFrame, percent: int, ratio: float = 1.
     keys = ["token", "large", "apart"]
     close = (F.col("compa") != F.col("compb")) & ((F.col("apart") > 0) | (F.col("siga") < F.col("sigb"))) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     a, b = side(a, "a"), side(b, "b").select(*[F.col(c).alias(f"b_{c}") for c in keys], "sigb", "nb", "compb")
-    met = a.join(b, (F.col("token") == F.col("b_token")) & (F.col("large") == F.col("b_large")) & (F.col("apart") == F.col("b_apart")) & close)
+    # Spark takes the exploded rows for as many bytes as their file and would broadcast them, up to most + 1 for each row of it
+    met = a.join(b.hint("merge"), (F.col("token") == F.col("b_token")) & (F.col("large") == F.col("b_large")) & (F.col("apart") == F.col("b_apart")) & close)
     overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
     set_aside = F.ceil(F.greatest("na", "nb") * F.lit(percent) / F.lit(100)) - 1 + F.col("aside")
     met = met.groupBy("siga", "sigb", "na", "nb", F.col("asidea").alias("aside")).agg(F.count("*").alias("lists")).where(F.col("lists") >= overlap - set_aside)
