@@ -227,3 +227,31 @@ def test_vector_queries_against_duckdb(spark, name):
     rel = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf)
     assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
+
+
+def test_blocks_of_vectors_are_not_sent_to_each_other(spark, monkeypatch):
+    """What is shuffled for near duplicates goes with the vectors and not with their square, though vectors without clusters probe most lists; and links don't depend on the runs that are broadcast."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "LIST", 64)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(rng.normal(size=(1500, 32)))]
+    rows += [(2000 + i, [x + 0.01 for x in rows[i][1]], 1, "x") for i in range(0, 1500, 10)]
+    df, before = spark.createDataFrame(rows, VECTORS), total()
+    # so small a table would be broadcast by itself
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, embedding_dedup.near(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # 2.9 MB; 6.5 MB when each vector was sent to the blocks of the lists it probes
+    assert total() - before < 5_000_000
+    assert got == sorted(brute_components(rows))
+    monkeypatch.setattr(embedding_dedup, "CHUNK_BYTES", 30_000)
+    runs, kept = [], embedding_dedup.found
+    monkeypatch.setattr(embedding_dedup, "found", lambda blocks, run, *rest: (runs.append(len(run)), kept(blocks, run, *rest))[1])
+    assert sorted(map(tuple, embedding_dedup.near(df).collect())) == got and len(runs) > 10

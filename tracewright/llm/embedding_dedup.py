@@ -15,9 +15,10 @@ lists by their nearest coarse centroid. A list keeps, for each of its vectors, t
 
 The centroids and codebooks are fitted on a bounded sample (SAMPLE vectors, the first by hash, of the most
 frequent length); every vector is indexed. They decide how much is looked at, never what is found. Lists are
-cut into blocks of BLOCK vectors, and a block meets those who probe its list in blocks as well, each pair of
-blocks on its own, so a hot list is spread over tasks. A pair of blocks gives each vector's number of links
-and at most one edge for a vector, not pairs: a large group of near copies makes no quadratic output.
+cut into blocks of BLOCK vectors, and blocks meet blocks, so a hot list is spread over tasks. Blocks stay where they
+are: a run of them (CHUNK_BYTES) at a time is broadcast past all, so what is written grows with the vectors, where
+sending each vector to the lists it probes would grow with their square. A pair of blocks gives each vector's number
+of links and at most one edge for a vector, not pairs: a large group of near copies makes no quadratic output.
 
 Null vectors, those with a null or non-finite component and those of length zero link with nothing; vectors
 of different lengths link with nothing (lengths other than the most frequent have one list each, without codes);
@@ -42,6 +43,8 @@ from tracewright.llm.ngram_join import components
 SAMPLE, SAMPLE_BYTES = 16_384, 32_000_000
 #: Vectors of a block (and bytes, about, at most), vectors that a list should have, and lists at most.
 BLOCK, BLOCK_BYTES, LIST, LISTS = 1024, 2 << 20, 1024, 4096
+#: Bytes of blocks that are broadcast at a time, about.
+CHUNK_BYTES = 32 << 20
 #: Subspaces, codewords of each, and what is allowed for rounding in distances of unit vectors.
 SUBSPACES, WORDS, SLACK = 16, 256, 1e-3
 
@@ -180,7 +183,6 @@ def pack(df: pd.DataFrame, extra: dict[str, object]) -> pd.DataFrame:
 
 
 PACKED = "size int, list int, part int, blocks int, ids binary, copies binary, vectors binary, codes binary, errors binary"
-ASKING = "size int, list int, part int, own int, own_part int, ids binary, copies binary, vectors binary"
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -192,63 +194,61 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("size", "list", "part").applyInPandas(one, PACKED)
 
 
-def askers(blocks: DataFrame, lists: dict[int, tuple[int, float]], model: Model, limit: float) -> DataFrame:
-    """For every block of a list that some vectors of a block have to look into: those vectors.
+def runs_of(blocks: DataFrame) -> list[list[tuple[int, int, int]]]:
+    """Keys (size, list, part) of the blocks in order, in runs of CHUNK_BYTES at most, or of one block. There is a key for some BLOCK vectors."""
+    weight = sum((F.octet_length(c) for c in ("ids", "copies", "vectors", "codes", "errors")), F.lit(0))
+    out, room = [], 0
+    for *key, n in blocks.select("size", "list", "part", weight).orderBy("size", "list", "part").collect():
+        if not out or n > room:
+            out.append([])
+            room = CHUNK_BYTES
+        out[-1].append(tuple(key))
+        room -= n
+    return out
+
+
+def found(blocks: DataFrame, run: list[tuple[int, int, int]], radii: dict[int, float], model: Model, least: float, limit: float) -> DataFrame:
+    """kind 0: a class (a) and its number of links (b); kind 1: an edge of a spanning forest. What vectors of the blocks find in a run of blocks, which is broadcast.
 
-    lists: number of blocks and radius of each list of the model's length, at most LISTS.
+    radii: of each list of the model's length, at most LISTS. A block looks into itself and those that come after it, so each pair of blocks meets once.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast((model, lists))
+    at = F.struct("size", "list", "part")
+    key = lambda k: F.struct(*[F.lit(x).cast("int").alias(c) for c, x in zip(("size", "list", "part"), k)])
+    theirs = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in blocks.where((at >= key(run[0])) & (at <= key(run[-1]))).select("size", "list", "part", "ids", "copies", "vectors", "codes", "errors").orderBy("size", "list", "part").collect()]
+    shared = blocks.sparkSession.sparkContext.broadcast((model, radii, theirs))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, lists = shared.value
-        radius = np.array([lists.get(k, (0, -1.0))[1] for k in range(len(model.centres))])
+        model, radii, theirs = shared.value
+        radius = np.array([radii.get(k, -1.0) for k in range(len(model.centres))])
         for df in batches:
             for r in df.itertuples(index=False):
-                ids, copies, raw = np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.vectors).reshape(-1, r.size)
+                all_ids, all_copies, raw = np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.vectors).reshape(-1, r.size)
+                all_units = raw / np.sqrt((raw * raw).sum(1))[:, None]
                 if r.size == model.size:
-                    units = raw / np.sqrt((raw * raw).sum(1))[:, None]
-                    need = model.probes(units, np.full(len(raw), r.list), radius, limit)
-                    need[:, : r.list] = False
+                    need = model.probes(all_units, np.full(len(raw), r.list), radius, limit)
                     need[:, r.list] = True
                 else:
                     need = np.ones((len(raw), 1), bool)
-                for k in np.flatnonzero(need.any(0)).tolist():
-                    own = r.list == k
+                for size, k, part, ids, copies, vectors, codes, errors in theirs:
+                    if size != r.size or (k, part) < (r.list, r.part) or not need[:, k].any():
+                        continue
                     some = need[:, k]
-                    # within a list each pair of blocks meets once
-                    for part in range(r.part if own else 0, r.blocks if own else lists[k][0]):
-                        yield pd.DataFrame([(r.size, k, part, r.list, r.part, ids[some].tobytes(), copies[some].tobytes(), raw[some].tobytes())], columns=ASKING.replace(",", "").split()[::2])
-
-    return blocks.mapInPandas(work, ASKING)
-
-
-def found(asking: DataFrame, blocks: DataFrame, model: Model, least: float, limit: float) -> DataFrame:
-    """kind 0: a class (a) and its number of links (b); kind 1: an edge of a spanning forest."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-    theirs = blocks.select("size", "list", "part", F.col("ids").alias("y_ids"), F.col("copies").alias("y_copies"), F.col("vectors").alias("y_vectors"), "codes", "errors")
-    pairs = asking.join(theirs, ["size", "list", "part"])
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for df in batches:
-            for r in df.itertuples(index=False):
-                x_ids, y_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.y_ids, np.int64)
-                x, y = np.frombuffer(r.vectors).reshape(-1, r.size), np.frombuffer(r.y_vectors).reshape(-1, r.size)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(y), -1)
-                units = x / np.sqrt((x * x).sum(1))[:, None]
-                hopeful = model.hopeful(units, r.list, codes, np.frombuffer(r.errors), limit)
-                if r.own == r.list and r.own_part == r.part:
-                    hopeful &= y_ids[:, None] > x_ids[None, :]
-                link = links_of(x, y, hopeful, least)
-                if not link.any():
-                    continue
-                x_copies, y_copies = np.frombuffer(r.copies, np.int64), np.frombuffer(r.y_copies, np.int64)
-                to_x, to_y = link.T @ y_copies, link @ x_copies
-                rows = [(0, a, n) for a, n in zip(x_ids.tolist(), to_x.tolist()) if n] + [(0, a, n) for a, n in zip(y_ids.tolist(), to_y.tolist()) if n]
-                rows += [(1, a, b) for a, b in spanning(link, y_ids, x_ids)]
-                yield pd.DataFrame(rows, columns=["kind", "a", "b"])
-
-    return pairs.mapInPandas(work, FOUND)
+                    x_ids, x_copies, x, units = all_ids[some], all_copies[some], raw[some], all_units[some]
+                    y_ids, y = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, size)
+                    hopeful = model.hopeful(units, k, np.frombuffer(codes, np.uint8).reshape(len(y), -1), np.frombuffer(errors), limit)
+                    if (k, part) == (r.list, r.part):
+                        hopeful &= y_ids[:, None] > x_ids[None, :]
+                    link = links_of(x, y, hopeful, least)
+                    if not link.any():
+                        continue
+                    to_x, to_y = link.T @ np.frombuffer(copies, np.int64), link @ x_copies
+                    rows = [(0, a, n) for a, n in zip(x_ids.tolist(), to_x.tolist()) if n] + [(0, a, n) for a, n in zip(y_ids.tolist(), to_y.tolist()) if n]
+                    rows += [(1, a, b) for a, b in spanning(link, y_ids, x_ids)]
+                    yield pd.DataFrame(rows, columns=["kind", "a", "b"])
+
+    out = stash(blocks.where(at <= key(run[-1])).select("size", "list", "part", "ids", "copies", "vectors").mapInPandas(work, FOUND), "links")
+    shared.destroy()
+    return out
 
 
 def near(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -266,12 +266,15 @@ def near(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding
     index = stash(coded(classes.select("cls", "copies", "vector"), model), "codes")
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size")))))
     figures = stash(index.groupBy("size", "list").agg(F.ceil(F.count("*") / F.max(block)).cast("int").alias("blocks"), F.max("far").alias("radius")), "lists")
-    lists = {r["list"]: (r["blocks"], r["radius"]) for r in figures.where(F.col("size") == size).collect()}
+    radii = {r["list"]: r["radius"] for r in figures.where(F.col("size") == size).collect()}
     part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("part")
-    blocks = stash(blocks_of(index.join(sized(figures), ["size", "list"]).select(*index.columns, part, "blocks")), "blocks")
+    blocks = blocks_of(index.join(sized(figures), ["size", "list"]).select(*index.columns, part, "blocks"))
+    # each block is read again for each run, so they are dealt out once
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stash(blocks.repartition(parts, F.xxhash64("list", "part", "size")), "blocks")
     limit = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    asking = askers(blocks, lists, model, limit)
-    pairs = stash(found(asking, blocks, model, least, limit), "links")
+    met = [found(blocks, run, radii, model, least, limit) for run in runs_of(blocks)]
+    pairs = spark.read.schema(met[0].schema).parquet(*[df._stash_path for df in met]) if met else spark.createDataFrame([], FOUND)
     links = pairs.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("links"))
     groups = components(pairs.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y")))
     groups = groups.select(F.col("sig").alias("cls"), "comp")
