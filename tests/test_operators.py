@@ -1,5 +1,6 @@
 """Operators on small tables, and registered queries against DuckDB."""
 
+import os
 import re
 from collections import Counter
 
@@ -602,3 +603,18 @@ def test_epochs_are_those_of_all_actions(spark):
     rows = graph.taint_by_epoch(procs, graph.fork_edges(procs), files, spark.createDataFrame([], QUEUES), actions, 1)
     # 5, the first of all, gets /d/f in the second epoch; nothing of /d/g in the third, as it has written that itself by then
     assert sorted((r.epoch, r.pid, r.score) for r in rows.collect()) == [(1, 5, 0.0), (1, 6, 1.0), (1, 7, 1.0), (2, 5, 0.5)]
+
+
+def test_removed_containers_leave_nothing_behind(spark):
+    """The removed containers' events are gone before anything is made of them, and so is what the kept tables were made of; the rows are the SQL's."""
+    from tracewright.shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/tracewright"
+    there = lambda: {n for n in os.listdir(folder) if n.rsplit("-", 1)[0] in ("events", "routed", "attributed", "files", "queues")} if os.path.isdir(folder) else set()
+    con, before = duckdb.connect(), there()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    rel = con.sql(queries.oracle_sql()["removed_containers"])
+    got = queries.queries()["removed_containers"](spark, SF).select(*rel.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+    assert there() == before
